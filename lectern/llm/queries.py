@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,10 +38,69 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS comp
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
+OP2_SQL = """
+WITH RECURSIVE t AS (
+  SELECT list(crc ORDER BY i) AS crcs FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS crc FROM range(256) r(i))),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+sized AS (
+  SELECT r, doc_id, octet_length(encode(text)) + 8 AS size,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, octet_length(encode(text))), lambda i: (16 * (instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 2, 1)) - 1)::BIGINT),
+      lambda c, x: xor(c >> 8, crcs[xor(c & 255, x) + 1])), 4294967295) AS crc
+  FROM d, t),
+jump(r, b, j, k) AS (
+  SELECT r, -1::BIGINT, 0::BIGINT, CASE WHEN coalesce(doc_id, -1) < 0 THEN coalesce(doc_id, -1)::HUGEINT + 18446744073709551616 ELSE doc_id::HUGEINT END FROM d
+  UNION ALL
+  SELECT r, j, floor((j + 1) * (2147483648::DOUBLE / ((k2 >> 33) + 1)::DOUBLE))::BIGINT, k2
+  FROM (SELECT r, j, (k * 2862933555777941757 + 1) % 18446744073709551616 AS k2 FROM jump WHERE j < 24)),
+placed AS (SELECT r, b AS shard, CASE WHEN j = 24 THEN 24 ELSE b END AS grown_shard FROM jump WHERE j >= 24)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM sized JOIN placed USING (r)
+"""
+
+
+def op9_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS wl FROM d),
+win AS (SELECT r, unnest(range(1, greatest(len(ws) - 1, 1))) AS i, ws FROM w),
+rep AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS c FROM win),
+cov AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM rep WHERE c > 1) GROUP BY r),
+lines AS (SELECT r, unnest(wl) AS l FROM w),
+judged AS (
+  SELECT r, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS nw, len(regexp_extract_all(l, ' \| ')) AS bars, len(regexp_extract_all(l, '[#*$%&|<>]')) AS sy,
+    len(regexp_extract_all(l, '\p{Lu}')) AS up, len(regexp_extract_all(l, '\p{L}')) AS le,
+    regexp_matches(l, '{BOILERPLATE}') AS boiler, regexp_matches(l, '[.!?:;,。！？…]') AS marked
+  FROM lines),
+doc AS (
+  SELECT r, sum(length(l)) AS total, count(*) FILTER (WHERE bad) AS removed, coalesce(sum(length(l)) FILTER (WHERE NOT bad), 0) AS good
+  FROM (SELECT *, bars >= 3 OR sy >= nw * 0.3 OR (le >= 20 AND up >= le * 0.6) OR boiler OR (nw < 4 AND NOT marked) AS bad FROM judged) GROUP BY r),
+m AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    (len(wl) - len(list_distinct(wl)))::BIGINT AS n_dup_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words, len(wl)::BIGINT AS n_lines,
+    coalesce(removed, 0)::BIGINT AS removed_lines, coalesce(total, 0) AS total, coalesce(good, 0) AS good
+  FROM w LEFT JOIN cov USING (r) LEFT JOIN doc USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, removed_lines, NOT base_failed AND good >= total * 0.5 AS kept FROM f
+""".replace("{BOILERPLATE}", quality_rules.BOILERPLATE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jump_sharding": op2_jump_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op9_line_first_cleaning": op9_line_first_cleaning,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_jump_sharding": OP2_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
+    "op9_line_first_cleaning": OP9_SQL,
 }
