@@ -8,7 +8,8 @@ that agree in their low bits by chance; and the pairs that may reach the thresho
 No step lists all pairs of a group. Documents with equal sets fall into one class before any pairing. In each band
 bucket, every class is first compared with one hub. Buckets whose members are connected by then need nothing more.
 In the others, members outside the bucket's largest component meet all members of other components, so that every
-pair that shares a bucket is either inside one component or compared.
+pair that shares a bucket is either inside one component or compared: small buckets by a join, large ones inside
+tasks, block by block, where only confirmed links come out.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ BANDS, ROWS, BITS = 32, 4, 4
 N = BANDS * ROWS
 #: Standard deviations that a pair's estimate may lie under the threshold and still be confirmed: a loss of 3 in ten million.
 SLACK = 5.0
+#: Buckets with more classes than this are compared inside tasks, in cells, and give only links instead of pairs.
+SMALL_BUCKET = 64
+#: Shingles that one side of a cell holds, about.
+CELL_ITEMS = 1_000_000
 
 _A = (K.mix(np.arange(1, N + 1, dtype=K.U)) >> K.U(32)).astype(np.uint32) | np.uint32(1)
 _B = (K.mix(np.arange(1001, N + 1001, dtype=K.U)) >> K.U(32)).astype(np.uint32)
@@ -110,10 +115,7 @@ def estimate(a: str, b: str) -> Column:
 
 
 def _may_link(threshold: float) -> Column:
-    chance = 2.0**-BITS
-    agree = threshold + (1 - threshold) * chance
-    cut = threshold - SLACK * (agree * (1 - agree) / N) ** 0.5 / (1 - chance)
-    return (F.col("a.n") >= F.lit(threshold - 1e-9) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold - 1e-9) * F.col("a.n")) & (estimate("a", "b") >= cut)
+    return (F.col("a.n") >= F.lit(threshold - 1e-9) * F.col("b.n")) & (F.col("b.n") >= F.lit(threshold - 1e-9) * F.col("a.n")) & (estimate("a", "b") >= _cut(threshold))
 
 
 def _confirm(tables: Tables, texts: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
@@ -129,6 +131,66 @@ def _confirm(tables: Tables, texts: DataFrame, candidates: DataFrame, width: int
     return links
 
 
+def _cut(threshold: float) -> float:
+    chance = 2.0**-BITS
+    agree = threshold + (1 - threshold) * chance
+    return threshold - SLACK * (agree * (1 - agree) / N) ** 0.5 / (1 - chance)
+
+
+def _compare_cell(percent: int):
+    """Links between the two sides of a cell: those of a bucket's smaller components, and all its members."""
+    cut = _cut(percent / 100)
+    least = (1 - 2.0**-BITS) * (cut + 2.0**-BITS / (1 - 2.0**-BITS))
+
+    def run(table):
+        import pyarrow as pa
+
+        table = table.combine_chunks()
+        col = {c: table.column(c).to_numpy() for c in ("key", "side", "node", "component", "top", "n", *PLANES)}
+        planes = np.stack([col[p] for p in PLANES], axis=1).view(np.uint64)
+        flat = lambda c: (table.column(c).combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(table.column(c).combine_chunks().value_lengths().to_numpy())]))
+        (bands, _), (items, at) = flat("bands"), flat("items")
+        bands, items = bands.reshape(-1, BANDS), items.view(np.uint64)
+        n, per, links = np.diff(at), N // 64, []
+        other = np.flatnonzero(col["side"] == 1)
+        for a in np.flatnonzero(col["side"] == 0):
+            b = other[(col["component"][other] != col["component"][a]) & ((col["component"][other] == col["top"][other]) | (col["node"][other] > col["node"][a]))]
+            b = b[(100 * n[b] >= percent * n[a]) & (100 * n[a] >= percent * n[b])]
+            differ = planes[b] ^ planes[a]
+            off = sum(np.bitwise_count(np.bitwise_or.reduce(differ[:, w::per], axis=1)).astype(np.int64) for w in range(per))
+            b = b[1 - off / N >= least - 1e-9]
+            # A pair that shares several buckets counts in the first.
+            same = np.where(bands[b] == bands[a], bands[b], np.iinfo(np.int64).max).min(axis=1)
+            b = b[same == col["key"][a]]
+            if not len(b):
+                continue
+            own = items[at[a] : at[a + 1]]
+            theirs = np.concatenate([items[at[x] : at[x + 1]] for x in b])
+            place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            both = np.add.reduceat((own[place] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(n[b])[:-1]]))
+            hit = b[100 * both >= percent * (n[a] + n[b] - both)]
+            if len(hit):  # one link to each component is enough
+                links += [(col["node"][a], col["node"][x]) for x in hit[np.unique(col["component"][hit], return_index=True)[1]]]
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return run
+
+
+def _compare_in_cells(texts: DataFrame, rows: DataFrame, tables: Tables, width: int, percent: int) -> DataFrame:
+    """Links (a, b) within large buckets. Each bucket is dealt into blocks, and each pair of blocks is a cell of its own."""
+    ids = tables.write(rows.select(F.col("node").alias("id")).distinct(), "cell-ids")
+    sets = tables.write(semi_join_ids(texts, ids, "id", ids.count()).mapInArrow(_sets(width), "id long, items array<long>").where(F.size("items") > 0), "cell-sets")
+    own = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).join(sets.withColumnRenamed("id", "node"), "node")
+    blocks = F.expr("explode(sequence(0, blocks - 1))")
+    columns = ["key", "x", "y", "side", "node", "component", "top", "n", "bands", *PLANES, "items"]
+    left = own.where("component <> top").select("*", F.lit(0).alias("side"), F.col("block").alias("x"), blocks.alias("y")).select(columns)
+    right = own.select("*", F.lit(1).alias("side"), F.col("block").alias("y"), blocks.alias("x")).select(columns)
+    links = left.unionByName(right).groupBy("key", "x", "y").applyInArrow(_compare_cell(percent), "a long, b long")
+    links = tables.write(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cell-links")
+    tables.drop(ids, sets)
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id_col, n_shingles, component_id, kept) for every row of docs.
 
@@ -178,13 +240,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     largest = left.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
     full = left.join(largest, "key").join(reps.select(F.col("id").alias("node"), "n", "bands", *PLANES), "node")
     full = tables.write(full, "rest")
-    a, b = full.where("component <> top").alias("a"), full.alias("b")
+    large = full.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") / CELL_ITEMS).cast("int").alias("blocks")).where(F.col("size") > SMALL_BUCKET)
+    large = tables.write(large.select("key", "blocks"), "large")
+    small = full.join(large, "key", "left_anti")
+    a, b = small.where("component <> top").alias("a"), small.alias("b")
     once = (F.col("b.component") == F.col("b.top")) | (F.col("a.node") < F.col("b.node"))
     first = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")
     rest = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.component") != F.col("b.component")) & once & _may_link(percent / 100) & first)
     rest = rest.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
     last = _confirm(tables, known, rest, width, percent)
-    tables.drop(left, full)
+    if not large.isEmpty():
+        last = last.unionByName(_compare_in_cells(known, full.join(large, "key"), tables, width, percent))
+    tables.drop(left, full, large)
     labels = connected_components(tables, links.unionByName(last))
 
     groups = classes.join(labels, "node", "left").where("copies > 1 or component is not null").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
