@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, quality_rules, sharding
+from . import minhash, pii, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +65,12 @@ FROM sized JOIN placed USING (r)
 """
 
 
+def op8_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in (*pii.KINDS, "term")]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(pii.KINDS), 256).alias("base_sha256"), pii.listed((*pii.KINDS, "term")).alias("spans"))
+
+
 def op9_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -96,6 +103,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op8_disclosure_sanitiser": op8_disclosure_sanitiser,
     "op9_line_first_cleaning": op9_line_first_cleaning,
 }
 
