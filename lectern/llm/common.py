@@ -83,22 +83,6 @@ def range_bounds(df: DataFrame, key: str, weight: str, target: float, sample_row
     return bounds
 
 
-def with_shard(df: DataFrame, key: str, bounds: list[int]) -> DataFrame:
-    """Adds `shard` (int): how many bounds are at or below the key; null keys go to shard 0."""
-    import numpy as np
-    import pandas as pd
-
-    if not bounds:
-        return df.withColumn("shard", F.lit(0))
-    edges = np.array(bounds, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def shard(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right").astype(np.int32))
-
-    return df.withColumn("shard", shard(F.coalesce(F.col(key), F.lit(-(2**63)))))
-
-
 # Files ---------------------------------------------------------------------------------------
 
 

@@ -7,13 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, pii, quality_rules, sharding
+from . import minhash, pii, quality_rules, sharding, token_output, warc
+from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), out)
+    return warc.read_archives(spark, out).drop("url")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+w AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to
+FROM p LEFT JOIN w USING (d)
+"""
+
+
+def op10_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = new_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), out, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_output.read_tokens(spark, out)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -102,13 +126,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
+    "op4_sharded_warc": op4_sharded_warc,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_disclosure_sanitiser": op8_disclosure_sanitiser,
     "op9_line_first_cleaning": op9_line_first_cleaning,
+    "op10_bit_plane_tokens": op10_bit_plane_tokens,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_jump_sharding": OP2_SQL,
+    "op4_sharded_warc": OP4_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
     "op9_line_first_cleaning": OP9_SQL,
 }
