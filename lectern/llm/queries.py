@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, pii, quality_rules, sharding, token_output, warc
+from . import minhash, pii, quality_classifier, quality_rules, sharding, token_output, warc
 from .common import new_path
 
 
@@ -38,6 +38,11 @@ def op10_bit_plane_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(spark, out)
 
 
+def op5_weak_label_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classify(docs, quality_classifier.fit(docs))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -127,6 +132,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jump_sharding": op2_jump_sharding,
     "op4_sharded_warc": op4_sharded_warc,
+    "op5_weak_label_classifier": op5_weak_label_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_disclosure_sanitiser": op8_disclosure_sanitiser,
     "op9_line_first_cleaning": op9_line_first_cleaning,
