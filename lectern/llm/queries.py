@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, pii, quality_classifier, quality_rules, sharding, token_output, warc
+from . import minhash, packing, pii, quality_classifier, quality_rules, sharding, token_output, warc
 from .common import new_path
 
 
@@ -94,6 +94,10 @@ FROM sized JOIN placed USING (r)
 """
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=8192)
+
+
 def op8_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in (*pii.KINDS, "term")]
@@ -134,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharded_warc": op4_sharded_warc,
     "op5_weak_label_classifier": op5_weak_label_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op8_disclosure_sanitiser": op8_disclosure_sanitiser,
     "op9_line_first_cleaning": op9_line_first_cleaning,
     "op10_bit_plane_tokens": op10_bit_plane_tokens,
