@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, pii, quality_classifier, quality_rules, sharding, token_output, warc
+from . import ann, minhash, packing, pii, quality_classifier, quality_rules, sharding, token_output, warc
 from .common import new_path
 
 
@@ -68,6 +68,10 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS comp
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+def op1_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=20, query_every=20)
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -134,6 +138,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kmeans_tree_search": op1_kmeans_tree_search,
     "op2_jump_sharding": op2_jump_sharding,
     "op4_sharded_warc": op4_sharded_warc,
     "op5_weak_label_classifier": op5_weak_label_classifier,
