@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most this many rows of a few longs (about 16 MB).
@@ -38,6 +38,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def barrier(condition: Column) -> Column:
+    """The condition, in a form that stays where it is: a filter on it would otherwise be pushed below the columns that it is
+    computed from, with each of them, and all that they come from, written out in it again."""
+    return condition & (F.monotonically_increasing_id() >= 0)
+
+
 class Tables:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Tables
+from .common import BROADCAST_ROWS, Tables, barrier
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -126,9 +126,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     own = docs.select(F.col(id_col).alias("_id"), (F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0)).alias("_carry"), F.col(text_col).alias("_t"))
     spans = base_spans(own, "_t")
     has = F.filter(F.array(*[F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in KINDS]), lambda x: x.isNotNull())
-    spans = spans.withColumns({"has": has, "k": F.xxhash64("_id", "_t")})
+    spans = spans.withColumns({"has": has, "k": F.xxhash64("_id", "_t")}).withColumn("any", barrier(F.size("has") > 0))
     # Texts without spans need no second look; only those with some are kept here.
-    found = tables.write(spans.where(F.size("has") > 0).select("k", "has", F.col("_t").alias("text"), *[f"_{k}" for k in KINDS]), "found")
+    found = tables.write(spans.where("any").select("k", "has", F.col("_t").alias("text"), *[f"_{k}" for k in KINDS]), "found")
     flagged = disclosing_terms(tables, found.select("k", "has", "text").dropDuplicates(["k"]), own.select(F.col("_t").alias("text")))
     n = flagged.count()
     words = found.select("k", "has", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))

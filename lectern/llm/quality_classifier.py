@@ -11,6 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 
@@ -190,7 +191,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
     patterns, counts = patterns[order], counts[order]
     post, table, share = estimate(patterns, counts)
     posteriors = dict(zip(patterns.tolist(), post.tolist(), strict=True))
-    chosen = docs.orderBy(F.xxhash64(id_col), id_col, F.xxhash64(text_col)).limit(sample).select(F.col(text_col).alias("text"))
+    # The sample's hash bound comes from ids alone; the limit only tells apart rows that share the last hash.
+    hashed = docs.select(F.xxhash64(id_col).alias("h"), F.col(text_col).alias("text"))
+    bound = hashed.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = hashed.where(F.col("h") <= F.lit(bound)).select("text").limit(sample)
     row = chosen.coalesce(1).mapInArrow(_train(posteriors), "w array<float>, b double").first()
     return Model(posteriors, table, share, np.array(row["w"], dtype=np.float32) if row else np.zeros(FEATURES, np.float32), row["b"] if row else 0.0)
 
@@ -211,18 +215,20 @@ def _scorer(w: np.ndarray, b: float, posteriors: dict[int, float]):
                 words = np.bincount(K.words(data, offsets)[2], minlength=len(n))
                 out.append((p, np.array([posteriors.get(int(x), 0.5) for x in p]), score, (score >= KEEP_AT) & (words > 0)))
             cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, bool)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, cols)], names=["row", "votes", "weak_label", "score", "kept"])
+            given = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in given), *map(pa.array, cols)], names=[*(batch.schema.names[i] for i in given), "votes", "weak_label", "score", "kept"])
 
     return run
 
 
-def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, votes, weak_label, score, kept) for every row: the vote pattern, its posterior, the scorer's probability of
-    "good" and whether it reaches KEEP_AT.
+def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id_col, the columns in `carry`, votes, weak_label, score and kept for every row: the vote pattern, its posterior, the
+    scorer's probability of "good" and whether it reaches KEEP_AT.
 
     Null, empty and blank texts are scored by the bias alone and never kept. Rows that repeat a text fare alike, ids may be
     null or repeat, and other columns are not read.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("row"), F.col(text_col).alias("text"))
-    out = own.mapInArrow(_scorer(model.w, model.b, model.posteriors), "row long, votes long, weak_label double, score double, kept boolean")
-    return out.withColumnRenamed("row", id_col)
+    own = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry, 1)])
+    schema = T.StructType([f for f in own.schema if f.name != "text"] + [T.StructField("votes", T.LongType()), T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+    out = own.mapInArrow(_scorer(model.w, model.b, model.posteriors), schema)
+    return out.select(F.col("c0").alias(id_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry, 1)], "votes", "weak_label", "score", "kept")

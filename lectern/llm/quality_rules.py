@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import barrier
+
 # What lines are judged by.
 SYMBOLS = r"[#*$%&|<>]"
 BOILERPLATE = (
@@ -79,5 +81,5 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     kept = ~F.col("base_failed") & (F.col("_left") >= F.col("_all") * MIN_KEPT_SHARE)
     cleaned = F.when(F.col("removed_lines") == 0, F.col("_t")).otherwise(F.array_join(F.filter("_lines", lambda x: ~x.rlike(WORD) | ~line_fails(x)), "\n"))
-    df = df.withColumn("base_failed", failed).withColumn("kept", kept).withColumn("cleaned", cleaned)
+    df = df.withColumn("base_failed", failed).withColumn("kept", barrier(kept)).withColumn("cleaned", cleaned)
     return df.select(F.col("_id").alias(id_col), *[F.col(f"_carry.{c}").alias(c) for c in carry], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "removed_lines", "kept", "cleaned")

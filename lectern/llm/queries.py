@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, minhash, packing, pii, quality_classifier, quality_rules, sharding, token_output, warc
+from . import ann, minhash, packing, pii, quality_classifier, quality_rules, sentence_pieces, sharding, token_output, warc
 from .common import new_path
 
 
@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), out)
@@ -140,6 +146,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kmeans_tree_search": op1_kmeans_tree_search,
     "op2_jump_sharding": op2_jump_sharding,
+    "op3_streaming_viterbi": op3_streaming_viterbi,
     "op4_sharded_warc": op4_sharded_warc,
     "op5_weak_label_classifier": op5_weak_label_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
