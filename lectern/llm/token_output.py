@@ -11,6 +11,7 @@ to nothing. A table of documents, an index of blocks (offset, ids, plane sizes,
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -25,17 +26,19 @@ from .common import filesystem, writing
 MAGIC = b"LPLANES1"
 BLOCK = 65_536
 #: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 400_000
-#: Texts are split at these before their words are looked up: the tokenizer drops white space and never joins across it.
-_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
+REMEMBERED = 1_000_000
+#: str.split() also splits at these, which the tokenizer doesn't take for white space; texts with one are split at ASCII white space.
+_ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
+_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 _state: dict = {}
 
 
 def encoder(path: str):
     """A function from texts to the little-endian unsigned 32-bit ids of each.
 
-    The tokenizer's splitting never joins characters across ASCII white space, so each distinct word is encoded once and
-    its ids are remembered. tests/llm holds this against encoding texts whole.
+    The tokenizer's splitting never joins characters across white space, so each distinct word is encoded once and its ids
+    are remembered. It lowers case and parts letters from marks, so an ASCII word shares the ids of its lower-case stem, and
+    those of the full stops and commas after it. tests/llm holds this against encoding texts whole.
     """
     if path not in _state:
         import os
@@ -47,17 +50,28 @@ def encoder(path: str):
     tokenizer, known = _state[path]
     encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
+    def learn(words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            for w, e in zip(part, encode(part, add_special_tokens=False), strict=True):
+                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
     def run(texts: list[str]) -> list[bytes]:
-        split = [t.translate(_SPACE).split(" ") for t in texts]
-        new = list(set().union(*split).difference(known))
-        if len(known) + len(new) > REMEMBERED:
+        split = [_SPACE.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
+        seen = set().union(*split)
+        if len(known) > REMEMBERED:
             known.clear()
             known[""] = b""
-            new = list(set().union(*split).difference(known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        stems, whole = {}, []
+        for w in seen.difference(known):
+            stem = (lower := w.lower()).rstrip(".,")
+            if w.isascii() and stem and stem[-1].isalnum() and "<|" not in w:
+                stems[w] = (stem, lower[len(stem) :])
+            else:
+                whole.append(w)
+        learn(list({x for pair in stems.values() for x in pair if x not in known}.union(whole)))
+        for w, (stem, marks) in stems.items():
+            known[w] = known[stem] + known[marks]
         get = known.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
