@@ -33,47 +33,46 @@ _SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
 _state: dict = {}
 
 
-def encoder(path: str):
-    """A function from texts to the little-endian unsigned 32-bit ids of each.
+class Words(dict):
+    """Ids of words, as little-endian unsigned 32-bit integers. A new word is encoded when it is first asked for.
 
-    The tokenizer's splitting never joins characters across white space, so each distinct word is encoded once and its ids
-    are remembered. It lowers case and parts letters from marks, so an ASCII word shares the ids of its lower-case stem, and
-    those of the full stops and commas after it. tests/llm holds this against encoding texts whole.
+    The tokenizer's splitting never joins characters across white space, lowers case and parts letters from marks. So texts
+    are put together from words, and a word has the ids of its stem (in lower case, if it is ASCII) and of the full stops and
+    commas after it. tests/llm holds this against encoding texts whole.
     """
-    if path not in _state:
-        import os
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        _state[path] = (Tokenizer.from_file(path), {"": b""})
-    tokenizer, known = _state[path]
-    encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        super().__init__()
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.tokenize = tokenizer.encode, tokenizer.model.tokenize
+
+    def __missing__(self, word: str) -> bytes:
+        plain = word.isascii()
+        lower = word.lower() if plain else word
+        stem = lower.rstrip(".,")
+        if stem != word and stem and stem[-1].isalnum() and "<|" not in word:
+            found = self[stem] + (self[lower[len(stem) :]] if len(stem) < len(lower) else b"")
+        else:
+            # Letters a to z pass through normalising and splitting as they are, so the library's model takes them at once.
+            ids = [t.id for t in self.tokenize(word)] if plain and word.isalpha() and word.islower() else self.encode(word, add_special_tokens=False).ids
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
+        return found
 
-    def learn(words: list[str]) -> None:
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for w, e in zip(part, encode(part, add_special_tokens=False), strict=True):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+def encoder(path: str):
+    """A function from texts to the ids of each. A worker keeps REMEMBERED words, then starts anew."""
+    if path not in _state:
+        _state[path] = Words(path)
+    known = _state[path]
+    get = known.__getitem__
 
     def run(texts: list[str]) -> list[bytes]:
-        split = [_SPACE.split(t) if any(c in t for c in _ODD) else t.split() for t in texts]
-        seen = set().union(*split)
         if len(known) > REMEMBERED:
             known.clear()
-            known[""] = b""
-        stems, whole = {}, []
-        for w in seen.difference(known):
-            stem = (lower := w.lower()).rstrip(".,")
-            if w.isascii() and stem and stem[-1].isalnum() and "<|" not in w:
-                stems[w] = (stem, lower[len(stem) :])
-            else:
-                whole.append(w)
-        learn(list({x for pair in stems.values() for x in pair if x not in known}.union(whole)))
-        for w, (stem, marks) in stems.items():
-            known[w] = known[stem] + known[marks]
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, filter(None, _SPACE.split(t)) if any(c in t for c in _ODD) else t.split())) for t in texts]
 
     return run
 
