@@ -15,6 +15,7 @@ too and become byte pieces.
 from __future__ import annotations
 
 import re
+import struct
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers; beyond it starts anew.
-REMEMBERED, PAIRS = 300_000, 500_000
+REMEMBERED, PAIRS = 1_000_000, 500_000
+#: Longer words are streamed.
+LONG = 64
 _models: dict[str, Model] = {}
 
 
@@ -50,14 +53,17 @@ class Model:
         self.rank = {p: -s for p, (s, _) in normal.items()}
         self.ids = {p: i for p, (_, i) in normal.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {"": ()}
         # Arcs are pieces that merging their own characters leads to.
         self.arcs = {p for p in normal if len(p) == 1 or self.merge(p) == [p]}
         self.longest = max(map(len, self.arcs), default=1)
         self.ends: dict[str, int] = {}
         for p in self.arcs:
             self.ends[p[-1]] = max(self.ends.get(p[-1], 1), len(p))
-        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.arcs)
+        self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.arcs) and "\n" not in self.ids
+        self.prefixes = {p[:n] for p in self.arcs for n in range(1, len(p) + 1)}
+        self.joined = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
+        self.raw = [b"" if i in self.control else bytes([b]) if (b := self.byte_of.get(i)) is not None else t.encode() for i, t in enumerate(self.text)]
+        self.words = Words(self)
 
     def merge(self, text: str) -> list[str]:
         """BPE by definition: the adjacent pair of best rank is joined, leftmost first, until none can be."""
@@ -89,6 +95,51 @@ class Model:
         return tuple(self.bytes[b] for b in piece.encode()) if self.bytes else (self.unknown,)
 
 
+class Words(dict):
+    """Ids of words, as little-endian 32-bit integers. The key is a word without its space mark, or with a line break in front
+    for one that follows it; a new word is encoded when it is first asked for."""
+
+    def __init__(self, model: Model):
+        super().__init__()
+        self.model, self.parts = model, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.of(key if key.startswith("\n") else MARK + key)
+        return found
+
+    def of(self, text: str) -> bytes:
+        """Ids of a few characters: those between boundaries that no piece crosses are remembered on their own."""
+        joined, cuts = self.model.joined, [0]
+        cuts += [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
+        out = b""
+        for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
+            part = text[a:b]
+            found = self.parts.get(part)
+            if found is None:
+                ids = list(stream(self.model, [part])) if len(part) > LONG else _lattice(self.model, part)
+                found = self.parts[part] = struct.pack(f"<{len(ids)}i", *ids)
+            out += found
+        return out
+
+
+def _lattice(model: Model, text: str) -> list[int]:
+    """What stream() gives for a short text, from the arcs that start at each position in turn."""
+    n, prefixes, arcs, admits = len(text), model.prefixes, model.arcs, model.admits
+    before: list[str | None] = [None] * (n + 1)
+    for i in range(n):
+        last = before[i]
+        barrier = last is None or last not in model.ids
+        for j in range(i + 1, n + 1):
+            piece = text[i:j]
+            if piece not in prefixes:
+                break
+            if before[j] is None and piece in arcs and (barrier or admits(last, piece)):
+                before[j] = piece
+        if before[i + 1] is None:
+            before[i + 1] = text[i]
+    return [x for piece in _path(before, n) for x in model.emit(piece)]
+
+
 def stream(model: Model, chunks: Iterable[str]) -> Iterator[int]:
     """Ids of a normalised text that arrives in chunks, each as soon as it is certain."""
     text, base = "", 0  # the window's characters, and the place of the first
@@ -152,32 +203,32 @@ def normalise(text: str) -> str:
 _WORD = re.compile(f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
 
 
-def encode(model: Model, text: str) -> list[int]:
-    """Ids of a whole text: its words are streamed once each and remembered."""
-    text = normalise(text)
-    if not model.by_word or "\n" in model.ids:
-        return list(stream(model, [text]))
-    known, out = model.words, []
-    if len(known) > REMEMBERED:
+def encode_bytes(model: Model, text: str) -> bytes:
+    """Ids of a whole text, as little-endian 32-bit integers: its words are streamed once each and remembered."""
+    if not text:
+        return b""
+    if not model.by_word:
+        ids = list(stream(model, [normalise(text)]))
+        return struct.pack(f"<{len(ids)}i", *ids)
+    known = model.words
+    if len(known) > REMEMBERED or len(known.parts) > REMEMBERED:
         known.clear()
-    for w in _WORD.findall(text):
-        ids = known.get(w)
-        if ids is None:
-            ids = known[w] = tuple(stream(model, [w]))
-        out += ids
-    return out
+        known.parts.clear()
+    words = text.replace("\n", " \n").split(" ")
+    if "" in words or MARK in text:  # runs of spaces are pieces too
+        return b"".join(map(known.of, _WORD.findall(normalise(text))))
+    return b"".join(map(known.__getitem__, words))
+
+
+def encode(model: Model, text: str) -> list[int]:
+    data = encode_bytes(model, text)
+    return list(struct.unpack(f"<{len(data) // 4}i", data))
 
 
 def decode(model: Model, ids: Iterable[int]) -> str:
     """The text of ids: pieces end to end, byte pieces as UTF-8 (U+FFFD where they are not), control ids dropped, space marks
     as spaces, and the one in front removed."""
-    out = bytearray()
-    for i in ids:
-        if i in model.byte_of:
-            out.append(model.byte_of[i])
-        elif i not in model.control:
-            out += model.text[i].encode()
-    text = out.decode("utf-8", "replace").replace(MARK, " ")
+    text = b"".join(map(model.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -202,7 +253,7 @@ def _coder(path: str):
             for at in range(0, len(batch), 500):
                 ids, crc, fine = [], [], []
                 for text in batch.column("text").slice(at, 500).to_pylist():
-                    own = np.array(encode(model, text or ""), dtype="<i4")
+                    own = np.frombuffer(encode_bytes(model, text or ""), dtype="<i4")
                     ids.append(own)
                     crc.append(zlib.crc32(own.tobytes()))
                     fine.append(decode(model, own.tolist()) == (text or "").replace(MARK, " "))
