@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern import ship
 from lectern.llm import minhash, packing, pii, quality_classifier, quality_rules
 from lectern.llm.common import new_path
 
@@ -27,6 +28,7 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it scores as bad go. Weak labels and scorer come from the documents at hand."""
+    ship(spark)
     model = quality_classifier.fit(docs)
     judged = quality_classifier.classify(docs, model, carry=("text", "lang", "source", "n_chars"))
     return judged.where("kept").select(COLUMNS)
@@ -34,6 +36,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup on five-word shingles at 0.8: the smallest id of each group stays."""
+    ship(spark)
     gone = minhash.near_duplicates(docs, width=5, percent=80).where("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
 
@@ -45,6 +48,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing into sequences of 8192 bytes."""
+    ship(spark)
     return packing.pack_documents(docs, capacity=8192)
 
 

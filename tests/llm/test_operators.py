@@ -1,0 +1,367 @@
+"""Each dealt operator on a small table of hard rows, against a brute-force version."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lectern.llm import ann, minhash, packing, pii, quality_classifier, quality_rules, sentence_pieces, sharding, token_output, warc
+from lectern.llm.common import new_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, id long, node long, score double"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _words(rng, n):
+    return " ".join(rng.choice(["the", "of", "Thing", "ouer", "erinst,", "hation.", "é", "que", "naïve"]) + str(rng.randrange(40)) for _ in range(n))
+
+
+def hard_texts() -> list[tuple]:
+    rng = random.Random(5)
+    base = [_words(rng, 120) for _ in range(6)]
+    near = [" ".join(w if rng.random() > 0.02 else "x" for w in base[0].split()) for _ in range(8)]
+    texts = [None, "", " \n\t ", "one", "two words", "Two  WORDS", *base, base[1], base[1], base[1].upper(), *near, "long " + _words(rng, 20_000), "a b " * 300, "日本語 テスト 😀 é\n" * 3, "a@b.co mail +1 (234) 567-8901 10.0.0.1 4111 1111 1111 1111\nx"]
+    rows = [(i * 7 - 3, t) for i, t in enumerate(texts)]
+    return [*rows, (rows[7][0], rows[7][1]), (None, "no id at all"), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if k % 2 else None, f"src{k % 3}" if k % 5 else None, len(t or ""), k, 99, -1, 0.5) for k, (i, t) in enumerate(hard_texts())]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def shingle_set(text, width):
+    w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} or ({tuple(w)} if w else set())
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_near_duplicates(docs, empty, width):
+    rows = [(r.doc_id, shingle_set(r.text, width)) for r in docs.collect()]
+    reach = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while reach[x] != x:
+            x = reach[x]
+        return x
+
+    for a, s in rows:
+        for b, t in rows:
+            if a is not None and b is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
+                x, y = sorted((find(a), find(b)))
+                reach[y] = x
+    want = sorted((i is None, i or 0, len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in rows)
+    got = minhash.near_duplicates(docs, width=width).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in got) == want
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_large_mixed_bucket_is_compared_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join(w if rng.random() > rng.choice([0.01, 0.05, 0.12]) else f"q{rng.randrange(10**6)}" for w in base)) for i in range(60)]
+    sets = [shingle_set(t, 2) for _, t in rows]
+    reach = list(range(60))
+
+    def find(x):
+        while reach[x] != x:
+            x = reach[x]
+        return x
+
+    for a in range(60):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                reach[y] = x
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(60)}
+    assert 1 < len({find(i) for i in range(60)}) < 60
+
+
+def jump(key, n):
+    key, b, j = key % 2**64, -1, 0
+    while j < n:
+        b, key = j, (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2.0**31 / ((key >> 33) + 1)))
+    return b
+
+
+def test_sharding(docs, empty):
+    got = sharding.shard_documents(docs, shards=24).collect()
+    assert len(got) == docs.count()
+    texts = {(r.doc_id, zlib.crc32((r.text or "").encode())): r.text or "" for r in docs.collect()}
+    slots: dict = {}
+    for r in got:
+        t = texts[(r.doc_id, r.text_crc32)]
+        key = -1 if r.doc_id is None else r.doc_id
+        assert (r.size, r.law, r.shard, r.grown_shard) == (len(t.encode()) + 8, "key", jump(key, 24), jump(key, 25))
+        assert r.grown_shard in (r.shard, 24)
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert sharding.shard_documents(empty).count() == 0
+
+
+def test_jump_with_many_shards(spark):
+    keys = [*range(40), -1, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    for n in (1, 2, 64, 65, 1000):
+        assert {r.k: r.b for r in df.select("k", sharding.jump("k", n)["b"].alias("b")).collect()} == {k: jump(k, n) for k in keys}
+
+
+def test_quality_rules(docs, empty):
+    got = sorted((r.asDict() for r in quality_rules.judge(docs, carry=("text",)).collect()), key=lambda r: (r["text"] or "", str(r["doc_id"])))
+    assert len(got) == docs.count()
+    for r in got:
+        t = r["text"] or ""
+        w = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        windows: dict = {}
+        for i in range(len(w) - 2):
+            windows.setdefault(tuple(w[i : i + 3]), []).append(i)
+        hit = {j for at in windows.values() if len(at) > 1 for i in at for j in (i, i + 1, i + 2)}
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(hit))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+        assert not (r["kept"] and r["base_failed"])
+        assert r["removed_lines"] or r["cleaned"] == t
+    assert quality_rules.judge(empty).count() == 0
+
+
+def test_failing_lines_go(spark):
+    good = "This is a fine sentence of clean text that stays as it is. " * 12
+    text = f"{good}\nHome | News | Sport | Weather\n{good}\nAll rights reserved.\nBUY NOW GREAT OFFERS EVERYWHERE TODAY!!"
+    r = quality_rules.judge(spark.createDataFrame([(1, text.replace(good, good, 1))], "doc_id long, text string")).first()
+    assert r.removed_lines == 3 and "Home" not in r.cleaned and "rights" not in r.cleaned and "BUY" not in r.cleaned
+
+
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def valid(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    luhn = sum((v - 9 if v > 9 else v) for v in (int(c) * (1 + i % 2) for i, c in enumerate(reversed(d)))) % 10 == 0
+    return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m.split(".")), "card": 16 <= len(d) <= 19 and luhn, "phone": 8 <= len(d) <= 15}[kind]
+
+
+def base(text):
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if valid(k, m[0]))
+
+
+def test_pii_base_spans(spark, docs, empty):
+    odd = ["a@b.c_d@e.f x", "1.2.3.4.5.6.7.8", "00255.1.1.256 0255.01.1.1", "é😀 4111-1111 1111 1111 x@y.z", "@a.b a@b.c@d.e --@x.y.", "+1+12345678 and 5500-0000-0000-0004,4111111111111111 12  34", "a@b." + "c." * 3000 + "d", "9" * 5000, "+" + "1-" * 4000, "x@" * 2000, "1." * 3000]
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(more)
+    got = pii.find(both, carry=("text",)).select("text", pii.listed(pii.KINDS).alias("base")).collect()
+    assert len(got) == both.count()
+    for r in got:
+        assert r.base == base(r.text), r.text[:80]
+    assert pii.find(empty).count() == 0
+
+
+def test_pii_terms_that_disclose_are_sanitised(spark):
+    rng = random.Random(1)
+    rows = [(i, f"Filler {_words(rng, 8)}\nwrite to zephyrine at u{i}@mail{i}.org soon {rng.randrange(10**6)}") for i in range(30)] + [(100 + i, f"nothing to see {_words(rng, 30)} soon") for i in range(300)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(30):
+        assert [s["text"] for s in got[i].term if s["text"] == "zephyrine"] and "zephyrine" not in got[i].sanitised and "<EMAIL>" in got[i].sanitised and "soon" in got[i].sanitised
+    assert all(not got[100 + i].term and got[100 + i].sanitised == rows[30 + i][1] for i in range(300))
+
+
+def test_warc_round_trip(spark, docs, tmp_path):
+    big = "<p>" + "x" * 1200 + "é</p>"
+    rows = [(5, "http://a", big), (9, "http://b", big), (7, None, big), (1, "http://c", "small"), (2, "http://d", "small"), (3, "bad url\n", None), (None, "http://n", big), (9, "http://b", big), *[(20 + i, f"http://x/{i}", f"page {i} " * 200) for i in range(40)]]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, digest string, id int")
+    out = new_path(spark, "warc")
+    made = warc.write_archives(pages, out, shard_bytes=20_000, roll_bytes=3_000)
+    assert made.count() > 3
+    got = warc.read_archives(spark, out, with_payload=True).collect()
+    want = []
+    for i, _, html in rows:
+        data = (html or "").encode()
+        revisit = html == big and i is not None and i < 9
+        want.append((i is None, i or 0, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == sorted(want, key=lambda x: (x[:2], x[2:4]))
+    again = new_path(spark, "warc")
+    warc.write_archives(pages.orderBy(F.desc("url")).repartition(3), again, shard_bytes=20_000, roll_bytes=3_000)
+    names = lambda o: {p: open(f"{o.removeprefix('file://')}/{p}", "rb").read() for p in __import__("os").listdir(o.removeprefix("file://")) if p.endswith(".gz")}
+    assert names(out) == names(again)
+    none = new_path(spark, "warc")
+    warc.write_archives(pages.limit(0), none)
+    assert warc.read_archives(spark, none).count() == 0
+
+
+@pytest.mark.parametrize("unit", ["byte", "bit"])
+def test_token_files(spark, docs, empty, unit):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    odd = spark.createDataFrame([(5000 + i, t) for i, t in enumerate(["<|endoftext|> x<|ENDOFTEXT|>y", "it's I'M don't.", "ΑΣ ΣΑΣ. é, É.", "a\x1cb\x1fc", "a b c\u0085d", "x.,. ,.x ..", "é ́", "ABC.DEF,GHI 12.5, ¼. ２,"])], "doc_id long, text string")
+    both = docs.select("doc_id", "text", "shard", "id").unionByName(odd, allowMissingColumns=True)
+    out = new_path(spark, "tokens")
+    assert token_output.write_tokens(both, out, path, unit=unit, block=1000, shard_bytes=30_000).count() > 1
+    got = sorted(((r.doc_id is not None, r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in token_output.read_tokens(spark, out).collect()), key=lambda r: r[2])
+    rows = sorted(both.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text or ""))
+    tokenizer, start, want = Tokenizer.from_file(path), 0, []
+    for r in rows:
+        ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+        want.append((r.doc_id is not None, r.doc_id or 0, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert got == want
+    none = new_path(spark, "tokens")
+    token_output.write_tokens(empty, none, path)
+    assert token_output.read_tokens(spark, none).count() == 0
+
+
+def test_plane_blocks_are_read_alone():
+    import io
+
+    f = io.BytesIO()
+    w = token_output.PlaneWriter(f, "bit", block=100)
+    ids = np.arange(1050, dtype="<u4") * 2654435761
+    w.add(1, ids.tobytes())
+    w.close()
+    assert (token_output.PlaneReader(f).block(7) == ids[700:800]).all()
+
+
+def test_sentence_pieces(docs, empty):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Model(path)
+    odd = ["", " ", "  a  b   ", "\n\n x", "x \n y\n", "▁a ▁▁b▁", "a" * 300, " " * 100 + "x", "hello\r\nworld\t!", "def f(x):\n    return x+1\n\n\n  # c", "<s> <0x0A>", "\x00"]
+    rng = random.Random(2)
+    odd += ["".join(rng.choice("abcde.,'() \n▁éß日0") for _ in range(60)) for _ in range(150)]
+    for t in odd:
+        want = sp.encode(t)
+        assert sentence_pieces.encode(model, t) == want, t
+        text = sentence_pieces.normalise(t)
+        assert list(sentence_pieces.stream(model, [text[i : i + 3] for i in range(0, len(text), 3)])) == want, t
+        assert sentence_pieces.decode(model, want) == sp.decode(want), t
+    got = sentence_pieces.encode_documents(docs, path).collect()
+    assert sorted(map(str, (r.ids for r in got))) == sorted(str(sp.encode(r.text or "")) for r in docs.collect())
+    assert all(r.decoded_ok for r in got) and sentence_pieces.encode_documents(empty, path).count() == 0
+
+
+def test_stream_keeps_a_bounded_window():
+    import public_tokenizers
+
+    model = sentence_pieces.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    seen = 0
+
+    def feed():
+        nonlocal seen
+        for _ in range(3000):
+            seen += 4
+            yield "the▁"
+
+    first = next(iter(sentence_pieces.stream(model, feed())))
+    assert isinstance(first, int) and seen < 200
+
+
+def test_packing_against_a_plain_search(spark, docs, empty):
+    rng = random.Random(1)
+    rows = [(i, int(min(50_000, rng.lognormvariate(6.5, 1))), f"s{rng.choice([0] * 7 + list(range(20)))}" if rng.random() > 0.05 else None, rng.randrange(300)) for i in range(900)]
+    bins, want = [], {}
+    rest = []
+    for i, (d, n, s, c) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0]))):
+        full = n // 4096 if n > 4096 else 0
+        for p in range(full):
+            want[d, p] = len(bins)
+            bins.append(None)
+        if n - full * 4096 > 0 or not full:
+            rest.append((n - full * 4096, i, d, full, s, c))
+    for n, _, d, p, s, c in sorted(rest, key=lambda r: (-r[0], r[1])):
+        fits = [(b[0], k) for k, b in enumerate(bins) if b and b[0] >= n and (s is None or s not in b[1]) and c not in b[2]]
+        if not fits:
+            bins.append([4096, set(), set()])
+        k = min(fits)[1] if fits else len(bins) - 1
+        bins[k][0] -= n
+        bins[k][1].add(s)
+        bins[k][2].add(c)
+        want[d, p] = k
+    got = packing.pack(rows, 4096)
+    assert {(r[0], r[1]): r[4] for r in got} == want
+    out = packing.pack_documents(docs, capacity=512, group=8).collect()
+    total: dict = {}
+    for r in out:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+        assert r.bin_offset + r.length <= r.bin_fill <= 512
+    sizes: dict = {}
+    for r in docs.collect():
+        sizes[r.doc_id] = sizes.get(r.doc_id, 0) + len((r.text or "").encode()) + 1
+    assert total == sizes and packing.pack_documents(empty).count() == 0
+
+
+def test_classifier_on_hard_rows(docs, empty):
+    model = quality_classifier.fit(docs)
+    got = quality_classifier.classify(docs, model, carry=("text", "shard")).collect()
+    assert len(got) == docs.count() and all(not r.kept for r in got if not (r.text or "").strip()) and all(0 <= r.score <= 1 for r in got)
+    assert quality_classifier.classify(empty, quality_classifier.fit(empty)).count() == 0
+
+
+def test_em_finds_the_accurate_labeller():
+    rng = np.random.default_rng(0)
+    y = rng.random(20_000) < 0.8
+    v = np.full((20_000, quality_classifier.LABELLERS), 2)
+    v[:, 0] = np.where(rng.random(20_000) < 0.95, np.where(y, 2, 0), 1)
+    v[:, 1] = np.where(y, 2, np.where(rng.random(20_000) < 0.5, 0, 2))
+    p, n = np.unique(quality_classifier.pattern(v), return_counts=True)
+    post, accuracy, share = quality_classifier.estimate(p, n.astype(float))
+    label = dict(zip(p.tolist(), (post > 0.5).tolist(), strict=True))
+    assert np.mean([label[int(x)] == t for x, t in zip(quality_classifier.pattern(v), y, strict=True)]) > 0.98
+    assert abs(share - 0.8) < 0.03 and accuracy[0, 0, 0] > accuracy[0, 1, 0]
+
+
+def test_search_small_and_hard(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    rows += [(1000 + i, [1.0] * 8) for i in range(40)] + [(2000, None), (2020, [0.0] * 8), (2040, [1.0, None] + [1.0] * 6), (2060, [float("nan")] * 8), (2080, [float("inf")] * 8), (2100, [1.0] * 3), (2120, []), (None, [1.0] * 8), rows[20], (40, [float(x) for x in rng.normal(size=8)])]
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, leaf int, point int")
+    good = [(i, np.array(v)) for i, v in {(i, tuple(v)) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)}]
+    got: dict = {}
+    for r in ann.search(df, leaf_points=40, target=1.0).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    queries = {i for i, _ in good if i % 20 == 0}
+    assert set(got) == queries
+    for q in queries:
+        best: dict = {}
+        for qi, qv in good:
+            if qi == q:
+                for i, v in good:
+                    if i != q:
+                        best[i] = max(best.get(i, -np.inf), round(float((v * qv).sum()), 9))
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+        mine = sorted(got[q])
+        assert [r for r, _, _ in mine] == list(range(1, 21))
+        assert np.allclose([s for _, _, s in mine], [s for _, s in want]) and len({i for _, i, _ in mine} & {i for i, _ in want}) >= 19
+    assert ann.search(df.limit(0)).count() == 0
+
+
+def test_recall_of_the_widened_search(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 16)) * 3
+    x = centres[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, leaf_points=60).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits.append(len(set(np.argsort(-s)[:20].tolist()) & got[q]) / 20)
+    assert np.mean(hits) >= 0.9
