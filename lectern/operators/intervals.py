@@ -159,6 +159,17 @@ def unit_of(words: list[str], most: int = 15, share: float = 0.9) -> int:
     return 0
 
 
+def uses_of(unit: list[str], words: list[str]) -> int:
+    """Non-overlapping uses of a unit among words."""
+    n = at = 0
+    while unit and at + len(unit) <= len(words):
+        if words[at : at + len(unit)] == unit:
+            n, at = n + 1, at + len(unit)
+        else:
+            at += 1
+    return n
+
+
 def adjudicate(rows: DataFrame, key: str) -> DataFrame:
     """(key, period, uses, verdict) of (key, looped, fresh): how often the loop's repeating unit, in its best rotation, is in the
     fresh text. Twice or more is real, not at all gone, else fragment if 60 % of the unit is there, or reduced."""
@@ -170,12 +181,12 @@ def adjudicate(rows: DataFrame, key: str) -> DataFrame:
         for pdf in batches:
             out = []
             for k, looped, fresh in zip(pdf[key], pdf["looped"], pdf["fresh"], strict=True):
-                words, text = re.sub("[^a-z0-9 ]", "", (looped or "").lower()).split(), " " + " ".join(re.sub("[^a-z0-9 ]", "", (fresh or "").lower()).split()) + " "
+                words, text = (re.sub("[^a-z0-9 ]", "", (x or "").lower()).split() for x in (looped, fresh))
                 p = unit_of(words)
                 unit = words[:p] if p else words
-                uses = max((text.count(" " + " ".join(unit[r:] + unit[:r]) + " ") for r in range(len(unit))), default=0)
-                part = " ".join(unit[: max(1, -(-len(unit) * 6 // 10))])
-                verdict = "real" if uses >= 2 else "reduced" if uses == 1 else "fragment" if unit and f" {part} " in text else "gone"
+                uses = max((uses_of(unit[r:] + unit[:r], text) for r in range(len(unit))), default=0)
+                part = unit[: max(1, -(-len(unit) * 6 // 10))]
+                verdict = "real" if uses >= 2 else "reduced" if uses == 1 else "fragment" if uses_of(part, text) else "gone"
                 out.append((k, p, uses, verdict))
             yield pd.DataFrame(out, columns=[key, "period", "uses", "verdict"])
 

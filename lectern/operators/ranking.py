@@ -107,19 +107,31 @@ def makespan(jobs: DataFrame, lanes: dict[str, int] | None = None, group: str =
     def run(key, table):
         import pyarrow as pa
 
-        rows = sorted(table.select(["place", "id", "segments"]).to_pylist(), key=lambda r: (r["place"], r["id"]))
-        free = {lane: [0.0] * n for lane, n in room.items()}
-        for h in free.values():
-            heapq.heapify(h)
-        out = []
-        for r in rows:
-            now = begin = None
-            for seg in r["segments"]:
-                at = max(heapq.heappop(free[seg["lane"]]), now or 0.0)
-                begin = at if begin is None else begin
-                now = at + seg["seconds"]
-                heapq.heappush(free[seg["lane"]], now)
-            out.append((key[0].as_py(), r["id"], begin or 0.0, now or 0.0))
+        jobs_ = sorted(table.select(["place", "id", "segments"]).to_pylist(), key=lambda r: (r["place"], r["id"]))
+        free, waiting, running, now = dict(room), {lane: [] for lane in room}, [], 0.0
+        start, finish = {}, {}
+
+        def ready(j, at):
+            if at < len(jobs_[j]["segments"]):
+                heapq.heappush(waiting[jobs_[j]["segments"][at]["lane"]], (j, at))
+            else:
+                finish[j] = now
+
+        for j in range(len(jobs_)):
+            ready(j, 0)
+        while True:
+            for lane, queue in waiting.items():
+                while queue and free[lane]:
+                    j, at = heapq.heappop(queue)
+                    free[lane] -= 1
+                    start.setdefault(j, now)
+                    heapq.heappush(running, (now + jobs_[j]["segments"][at]["seconds"], j, at))
+            if not running:
+                break
+            now, j, at = heapq.heappop(running)
+            free[jobs_[j]["segments"][at]["lane"]] += 1
+            ready(j, at + 1)
+        out = [(key[0].as_py(), r["id"], start.get(j, 0.0), finish.get(j, 0.0)) for j, r in enumerate(jobs_)]
         cols = list(zip(*out, strict=True)) or [[], [], [], []]
         return pa.table([pa.array(cols[0], table.schema.field(group).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64())], names=[group, "id", "start", "finish"])
 
