@@ -15,3 +15,9 @@ def ship(spark) -> None:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     context.addPyFile(shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lectern-"), "lectern"), "zip", root, "lectern"))
     context._lectern_shipped = True
+
+
+def spread(df):
+    """df dealt over all cores, if it is read from fewer files than there are cores; otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)

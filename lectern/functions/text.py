@@ -140,15 +140,17 @@ def with_gram_counts(df: DataFrame, tokens_col: str, n: int, out: str, least: in
     its task.
     """
     t = tokens_col
-    df = df.withColumn("_g", F.expr(f"IF(size({t}) < {n}, CAST(array() AS array<struct<h:bigint,p:int>>), transform(sequence(0, size({t}) - {n}), i -> named_struct('h', xxhash64(slice({t}, i + 1, {n})), 'p', i)))"))
-    df = df.withColumn("_g", F.expr("array_sort(_g)"))
+    words = ", ".join(f"get({t}, i + {j})" for j in range(n))
+    df = df.withColumn("_h", F.expr(f"IF(size({t}) < {n}, CAST(array() AS array<bigint>), transform(sequence(0, size({t}) - {n}), i -> xxhash64({words})))"))
+    # Where too few grams repeat for one to be counted `least` times, nothing is sorted.
+    df = df.withColumn("_g", F.expr(f"IF(size(_h) - size(array_distinct(_h)) >= {least - 1}, array_sort(transform(_h, (x, i) -> named_struct('h', x, 'p', i))), CAST(array() AS array<struct<h:bigint,p:int>>))"))
     starts = "filter(sequence(0, size(_g) - 1), i -> i = 0 OR get(_g, i).h <> get(_g, i - 1).h)"
     df = df.withColumn("_b", F.expr(f"IF(size(_g) = 0, CAST(array() AS array<int>), {starts})"))
     runs = f"filter(transform(_b, (b, i) -> named_struct('count', coalesce(get(_b, i + 1), size(_g)) - b, 'first', get(_g, b).p)), x -> x.count >= {least})"
     df = df.withColumn("_r", F.expr(runs))
     gram = f"transform(_r, x -> named_struct('count', x.count, 'first', x.first, 'gram', array_join(slice({t}, x.first + 1, {n}), ' ')))"
     # A filter on what follows would be pushed below these columns, with each written out in it over and over; not below this one.
-    return df.withColumn(out, F.when(F.monotonically_increasing_id() >= 0, F.expr(gram))).drop("_g", "_b", "_r")
+    return df.withColumn(out, F.when(F.monotonically_increasing_id() >= 0, F.expr(gram))).drop("_h", "_g", "_b", "_r")
 
 
 def top_of(grams: str) -> Column:

@@ -188,16 +188,21 @@ def known_forms(forms: DataFrame, names: DataFrame) -> DataFrame:
 def overlap(texts: DataFrame, sources: DataFrame, key: str, source_key: str, n: int = C.SHINGLE) -> DataFrame:
     """(key, source_key, first, words): maximal runs of n-word shingles of a text that a source has too.
 
-    Shingles meet by hash and are confirmed as text. Raises if no text or no source has a shingle: a check that measured nothing.
+    Shingles meet by hash, and those that meet are confirmed as text. Raises if no text or no source has a shingle: a check
+    that measured nothing.
     """
-    def grams(df, k):
-        own = df.select(k, T.tokens(T.normalise_ascii(F.col("text"))).alias("_t")).where(F.size("_t") >= n)
-        return own.select(k, F.expr(f"posexplode(transform(sequence(0, size(_t) - {n}), i -> array_join(slice(_t, i + 1, {n}), ' ')))").alias("i", "g"))
-
-    a, b = grams(texts, key), grams(sources, source_key).select(source_key, "g").distinct()
-    if a.isEmpty() or b.isEmpty():
+    def tokenised(df, k):
+        return df.select(k, T.tokens(T.normalise_ascii(F.col("text"))).alias("_t")).where(F.size("_t") >= n)
+
+    words = ", ".join(f"get(_t, i + {j})" for j in range(n))
+    hashes = F.expr(f"posexplode(transform(sequence(0, size(_t) - {n}), i -> xxhash64({words})))").alias("i", "h")
+    gram = F.expr(f"array_join(slice(_t, i + 1, {n}), ' ')")
+    own, theirs = tokenised(texts, key), tokenised(sources, source_key)
+    if own.isEmpty() or theirs.isEmpty():
         raise ValueError("no shingle to compare")
-    hits = a.join(b, "g").select(key, source_key, "i").distinct()
+    grams = theirs.select(source_key, "_t", hashes).select(source_key, "h", gram.alias("g")).distinct()
+    met = own.select(key, hashes).join(grams, "h").select(key, "i", source_key, "g")
+    hits = met.join(own, key).where(gram == F.col("g")).select(key, source_key, "i").distinct()
     w = Window.partitionBy(key, source_key).orderBy("i")
     own = hits.withColumn("_k", F.col("i") - F.row_number().over(w))
     return own.groupBy(key, source_key, "_k").agg(F.min("i").alias("first"), (F.count(F.lit(1)) + n - 1).alias("words")).drop("_k")

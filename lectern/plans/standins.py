@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .. import ship
+from .. import ship, spread
 
 CHARACTERS_A_SECOND = 15.0
 NOW = "2024-02-01 00:00:00"
@@ -22,11 +22,11 @@ def seconds(ts: str):
 
 
 def chapters(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("chapter"), "text", (F.col("n_chars") / CHARACTERS_A_SECOND).alias("duration"))
+    return spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("chapter"), "text", (F.col("n_chars") / CHARACTERS_A_SECOND).alias("duration"))
 
 
 def segments(spark, sf) -> DataFrame:
-    own = table(spark, sf, "documents").select(F.col("doc_id").alias("chapter"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    own = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("chapter"), F.posexplode(F.split("text", "\n")).alias("pos", "text"))
     return own.select("chapter", "pos", F.col("pos").cast("double").alias("start"), (F.col("pos") + 1).cast("double").alias("end"), "text")
 
 
