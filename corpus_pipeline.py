@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern import ship
+from lectern import ship, spread
 from lectern.llm import minhash, packing, pii, quality_classifier, quality_rules
 from lectern.llm.common import new_path
 
@@ -22,7 +22,7 @@ def _with_text(df: DataFrame, text: str) -> DataFrame:
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: failing lines go, and so do documents that fail."""
-    judged = quality_rules.judge(docs, carry=("lang", "source"))
+    judged = quality_rules.judge(spread(docs), carry=("lang", "source"))
     return _with_text(judged.where("kept"), "cleaned")
 
 

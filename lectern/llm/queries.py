@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import ship
+from .. import ship, spread
 from . import ann, minhash, packing, pii, quality_classifier, quality_rules, sentence_pieces, sharding, token_output, warc
 from .common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op3_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
