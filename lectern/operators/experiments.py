@@ -177,3 +177,24 @@ def log_line(events: DataFrame) -> DataFrame:
     get = lambda k: F.get_json_object("payload", f"$.{k}")
     line = F.when(F.col("type") == "state", F.format_string("state %s", get("state"))).when(F.col("type") == "progress", F.format_string("%s %s/%s", get("stage"), get("done"), get("total"))).when(F.col("type") == "error", F.format_string("error: %s", get("message"))).otherwise(F.col("type"))
     return events.withColumn("line", line)
+
+
+def verified_rows(ledger: DataFrame) -> DataFrame:
+    return ledger.where("status = 'verified'").select("pos", "canonical", "type", "variants").orderBy("pos")
+
+
+# Caps of sidecar texts, in code points.
+DESCRIPTION_CAP, RECAP_CAP, SHORT_CAP, ENDING_CAP = 1500, 3000, 1500, 2000
+
+
+def sidecar_problems(characters: DataFrame, chapters: int) -> DataFrame:
+    """(id, rule) of character rows (id, name, role, description, reveal): blanks, caps, unknown roles, range, repeated ids."""
+    rules = {
+        "id_blank": F.trim(F.coalesce("id", F.lit(""))) == "",
+        "name_blank": F.trim(F.coalesce("name", F.lit(""))) == "",
+        "description_too_long": F.length("description") > DESCRIPTION_CAP,
+        "role_unknown": ~F.col("role").isin("main", "supporting", "minor"),
+        "reveal_out_of_range": ~chapter_in_range(F.col("reveal"), F.lit(chapters)),
+    }
+    twice = repeated_ids(characters, "id").select("id", F.lit("id_repeated").alias("rule"))
+    return violations(characters, rules, ["id"]).unionByName(twice)

@@ -189,3 +189,20 @@ def narrated(rows: DataFrame, key: str, least: int = C.ANCHOR_RUN) -> DataFrame:
         return pd.DataFrame({key: pdf[key], "idx": pdf["idx"], "chapter": pd.array(out, dtype="Int64")})
 
     return rows.select(key, F.col("idx").cast("long").alias("idx"), F.col("announced").cast("double").alias("announced")).groupBy(key).applyInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, idx long, chapter long")
+
+
+def apply_map(sections: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """Sections with the chapter that a map (key, file, chapter) gives, where it names the file."""
+    own = chosen.select(key, "file", F.col("chapter").alias("_c"))
+    return sections.join(own, [key, "file"], "left").withColumn("chapter", F.coalesce("_c", "chapter")).drop("_c")
+
+
+def contiguous_from_one(df: DataFrame, key: str, number: str = "chapter") -> DataFrame:
+    own = df.groupBy(key).agg(F.min(number).alias("a"), F.max(number).alias("b"), F.count_distinct(number).alias("d"))
+    return own.select(key, ((F.col("a") == 1) & (F.col("b") == F.col("d"))).alias("contiguous"))
+
+
+def position_of(rows: DataFrame, mapping: DataFrame, shifts: DataFrame, key: str) -> DataFrame:
+    """Adds chapter: from the map (key, idx, chapter), else idx and the book's constant shift."""
+    own = rows.join(mapping.select(key, "idx", F.col("chapter").alias("_m")), [key, "idx"], "left").join(shifts, key, "left")
+    return own.withColumn("chapter", F.coalesce("_m", F.col("idx") + F.col("shift"))).drop("_m", "shift")

@@ -213,3 +213,50 @@ def decide(incidents: DataFrame, table: DataFrame, recoveries: DataFrame, cap: i
 
 def finding_counts(findings: DataFrame, key: str = "book_id") -> DataFrame:
     return findings.groupBy(key).agg(*[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in ("blocker", "fix", "nit")])
+
+
+def restart_recoverable(code: Column, message: Column, codes: list[str], cues: list[str]) -> Column:
+    return F.coalesce(code.isin(*codes), F.lit(False)) | F.exists(F.array(*map(F.lit, cues or ["\0"])), lambda c: F.contains(F.lower(F.coalesce(message, F.lit(""))), c))
+
+
+def chapters_of(progress: DataFrame, stages: list[str]) -> DataFrame:
+    return progress.where(F.col("stage").isin(*stages)).groupBy("book_id").agg(F.max("total").alias("chapters"))
+
+
+def total_units(kind: Column, total: Column, chapters: Column, hours: Column) -> Column:
+    """Units of a stage by kind, through the fallbacks that it has."""
+    return F.coalesce(F.when(total > 0, total.cast("double")), F.when(kind == "chapter", F.coalesce(chapters, F.lit(C.DEFAULT_CHAPTERS))).when(kind == "chunk", F.lit(C.DEFAULT_CHUNKS)).when(kind == "hour", hours).cast("double"), F.lit(1.0))
+
+
+def success_baseline(runs: DataFrame) -> DataFrame:
+    """(stage, seconds, tokens, cost): high-water marks of successes; cost where it is comparable."""
+    from .ledger import known_cost
+
+    seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
+    return runs.where("ok AND NOT superseded").groupBy("stage").agg(F.max(seconds).alias("seconds"), F.max(F.col("tokens_in") + F.col("tokens_out")).alias("tokens"), F.max(known_cost()).alias("cost"))
+
+
+def not_improving(rounds: DataFrame, key: str, order: str, found: str, passed: str) -> DataFrame:
+    """Rows whose count is no lower than the one before, counted anew after each pass."""
+    w = Window.partitionBy(key).orderBy(order)
+    own = rounds.withColumn("_p", F.sum(F.col(passed).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    v = Window.partitionBy(key, F.coalesce("_p", F.lit(0))).orderBy(order)
+    return own.withColumn("_b", F.lag(found).over(v)).where(F.col(found) >= F.col("_b")).drop("_p", "_b")
+
+
+def can_start(status: Column, owns_lock: Column, lane_free: Column) -> Column:
+    return (status == "queued") & owns_lock & (lane_free > 0)
+
+
+def remaining_path(books: DataFrame, paths: DataFrame) -> DataFrame:
+    """(id, stage, step): the stages ahead of each book's state. paths: (state, stage, step), a walk of the state table done once."""
+    return books.select("id", "state").join(F.broadcast(paths), "state").select("id", "stage", "step")
+
+
+def mainline(transitions: DataFrame) -> DataFrame:
+    """(state, next): the last successor declared. transitions: (state, outcome, next, pos)."""
+    return transitions.groupBy("state").agg(F.max_by("next", "pos").alias("next"))
+
+
+def earliest_finish(running: DataFrame, lane: str = "lane") -> DataFrame:
+    return running.groupBy(lane).agg(F.min("finish_at").alias("finish_at"))

@@ -232,3 +232,44 @@ def reset_time(message: Column, now: Column) -> Column:
     pm = F.when(F.lower(message).rlike("[0-9] ?pm"), 12).otherwise(0)
     at = F.date_trunc("day", now) + F.make_dt_interval(F.lit(0), hour + pm, minute)
     return F.coalesce(near, F.when(at <= now, at + F.expr("INTERVAL 1 DAY")).otherwise(at))
+
+
+def sheet_gates(ledger: DataFrame, ends: DataFrame, heard: DataFrame) -> DataFrame:
+    """(name, other, end): notes of a name that mention another first heard after the sheet's end; each pair at its smallest end.
+
+    ledger: (name, note). Mentions are found among the notes' words, so names and notes are never paired off. Names first heard
+    in chapter 0 break nothing.
+    """
+    mention = first_use(ledger.select(F.col("name").alias("owner"), F.col("note").alias("text")), heard.select("name"), "owner")
+    words = ledger.select("name", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("note", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)))).alias("other"))
+    late = words.join(heard.select(F.col("name").alias("other"), F.col("first").alias("late")), "other").join(mention.select(F.col("name").alias("other")), "other", "left_semi")
+    own = late.join(heard.select("name", "first"), "name").where("other <> name AND late > 0")
+    both = own.join(F.broadcast(ends), (F.col("first") <= F.col("end")) & (F.col("late") > F.col("end")))
+    return both.groupBy("name", "other").agg(F.min("end").alias("end"))
+
+
+def carryover_gate(ledger: DataFrame, prior: DataFrame) -> DataFrame:
+    """Rows that claim to be carried over and weren't there before."""
+    return ledger.where("carryover").join(prior.select(F.col("canonical").alias("name")), "name", "left_anti")
+
+
+def preamble_leaks(lines: DataFrame, heard: DataFrame, end: int) -> DataFrame:
+    """(line, name): preamble lines (pos, line) with a name first heard after `end`."""
+    late = heard.where(F.col("first") > end).select("name")
+    words = lines.select("pos", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("name"))
+    return words.join(late, "name", "left_semi").select("line", "name")
+
+
+def proper_shape(token: Column, common: list[str]) -> Column:
+    """Capitalised, and no contraction of a common word."""
+    return token.rlike(r"^\p{Lu}|'\p{Lu}") & ~F.lower(F.element_at(F.split(token, "'"), 1)).isin(*common)
+
+
+def glossary_name(name: Column, least: int = 4) -> Column:
+    """Long enough, and each word after the first is capitalised or a small connecting word."""
+    words = F.split(name, " ")
+    return (F.length(name) >= least) & name.rlike(r"^\p{Lu}") & F.forall(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w: w.rlike(r"^\p{Lu}|^(of|the|de|van|von|le|la)$"))
+
+
+def top_counts(values: DataFrame, column: str, n: int) -> DataFrame:
+    return values.groupBy(column).count().orderBy(F.desc("count"), column).limit(n)

@@ -121,4 +121,39 @@ SQL = {
     "cost_summary": "SELECT user_id AS book_id, round(sum(value), 4) AS cost, bool_or(event_type NOT IN ('purchase', 'signup')) AS estimated, false AS incomplete FROM events GROUP BY 1",
     "series_gap": "SELECT p_brand AS series FROM part GROUP BY 1 HAVING min(p_size) FILTER (WHERE p_type <> 'ECONOMY') < min(p_size) FILTER (WHERE p_type = 'ECONOMY')",
     "contribution_summary": "SELECT l_orderkey AS book_id, CASE WHEN bool_or(l_returnflag NOT IN ('A', 'R')) THEN 'open' WHEN bool_or(l_returnflag = 'R') THEN 'rejected' WHEN bool_and(l_returnflag = 'A') THEN 'merged' ELSE 'none' END AS status, bool_or(l_linestatus = 'O') AS attention FROM lineitem GROUP BY 1",
+    "gram_word_sets": "SELECT array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ' ') AS words, count(*) AS n FROM part GROUP BY 1",
+    "repeated_suffixes": "WITH t AS (SELECT doc_id AS chapter, " + _TOKENS.format(t="text") + " AS t FROM documents), p AS (SELECT chapter, t, unnest(range(1, 6)) AS p FROM t) SELECT DISTINCT chapter FROM p WHERE len(t) >= 3 * p AND t[len(t) - p + 1:] = t[len(t) - 2 * p + 1:len(t) - p] AND t[len(t) - p + 1:] = t[len(t) - 3 * p + 1:len(t) - 2 * p]",
+    "plan_problems": f"WITH {_FLAGGED} SELECT chapter, 'missing' AS problem FROM (SELECT chapter FROM flagged EXCEPT SELECT chapter FROM planned) UNION ALL SELECT chapter, 'unexpected' FROM (SELECT chapter FROM planned EXCEPT SELECT chapter FROM flagged) UNION ALL SELECT doc_id, 'range' FROM documents SEMI JOIN planned ON doc_id = planned.chapter WHERE n_chars / 15.0 > 0 AND 10 >= n_chars / 15.0 - 1",
+    "success_baseline": f"WITH {_RUNS} SELECT stage, round(max(epoch_us(finished_at) - epoch_us(started_at)) / 1e6, 3) AS seconds, max(tokens_in) AS tokens, round(max(CASE WHEN cost_reported THEN cost_usd WHEN estimate_complete THEN estimated_cost END), 4) AS cost FROM runs WHERE ok AND NOT superseded GROUP BY 1",
+    "not_improving": "WITH p AS (SELECT *, floor(value / 10) AS found, coalesce(count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM events), l AS (SELECT event_id, found, lag(found) OVER (PARTITION BY user_id, p ORDER BY event_id) AS b FROM p) SELECT event_id FROM l WHERE found >= b",
+    "remaining_units": "SELECT l_orderkey, sum(greatest(l_linenumber * 8 - l_quantity, 0)) AS remaining FROM lineitem GROUP BY 1",
+    "lock_holders": f"WITH {_BOOKS} SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY pos, id) AS r FROM books WHERE status = 'O') WHERE r = 1 UNION ALL SELECT id FROM books WHERE status = 'P'",
+    "seeded_ewma": """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value > 0 AND event_id < 2000),
+      f AS (SELECT user_id, i, n, 0.3 * value + 0.7 * 10.0::DOUBLE AS rate FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.n, 0.3 * o.value + 0.7 * f.rate FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+      SELECT user_id, round(rate, 4) AS rate FROM f WHERE i = n""",
+    "rewind_stage": "WITH d AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'error' EXCEPT SELECT user_id, event_type FROM events WHERE value > 120) SELECT user_id AS book_id, min(CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END) AS stage_order FROM d GROUP BY 1",
+    "span_titles": f"WITH {_GAPS}, mk AS (SELECT book, start - 300 AS ms, start + 100 AS me FROM spans WHERE stop > start) SELECT g.book, g.a AS start, (SELECT count(*) FROM mk WHERE mk.book = g.book AND ms < g.b AND me > g.a AND least(g.b, me) - greatest(g.a, ms) >= 0.5 * (me - ms)) AS n FROM gaps g",
+    "shift_runs": "WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 0 ELSE 1 END AS shift FROM conversations), i AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id, shift ORDER BY turn) AS k FROM c) SELECT conv_id, shift, min(turn) AS first, max(turn) AS last FROM i GROUP BY conv_id, shift, k",
+    "constant_shift": "SELECT conv_id, CASE WHEN count(DISTINCT role = 'system') = 1 THEN CASE WHEN bool_or(role = 'system') THEN 0 ELSE 1 END END AS shift FROM conversations GROUP BY 1",
+    "edge_classes": "WITH w AS (SELECT conv_id, turn, len(" + _TOKENS.format(t="text") + ") < 120 AS s FROM conversations), f AS (SELECT conv_id, min(turn) FILTER (WHERE NOT s) AS a, max(turn) FILTER (WHERE NOT s) AS b FROM w GROUP BY 1), e AS (SELECT w.conv_id, turn, CASE WHEN turn < a THEN 'leading' WHEN turn > b THEN 'trailing' END AS edge FROM w JOIN f USING (conv_id)) SELECT conv_id, turn AS idx, CASE WHEN count(edge) OVER (PARTITION BY conv_id, edge) <= 8 THEN edge END AS edge FROM e",
+    "collected_chapters": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_quantity::BIGINT AS q FROM lineitem) SELECT l_orderkey AS book, l_linenumber AS chapter, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS files, sum(q)::BIGINT AS words, 't' AS title FROM d GROUP BY 1, 2",
+    "known_forms": "WITH n AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS k FROM part) SELECT f AS form FROM (VALUES ('Rings'), ('bolt''s'), ('BLUE'), ('gizmos'), ('smalls')) v(f) WHERE lower(f) IN (SELECT k FROM n) OR regexp_replace(lower(f), '(''s|s'')$', '') IN (SELECT k FROM n) OR regexp_replace(lower(f), 's$', '') IN (SELECT k FROM n)",
+    "top_names": "SELECT p_name, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "series_glossary": "SELECT a.o_orderkey AS id, string_agg(DISTINCT b.o_orderpriority, ',' ORDER BY b.o_orderpriority) AS names FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND month(b.o_orderdate) < month(a.o_orderdate) GROUP BY 1",
+    "override_view": "SELECT p_partkey AS source_path, coalesce(s_acctbal < 0, false) AS hidden, coalesce(s_nationkey = 1, false) AS force_audio FROM part LEFT JOIN supplier ON p_partkey = s_suppkey",
+    "epub_pairs": "WITH e AS (SELECT s_nationkey, count(*) FILTER (WHERE s_acctbal > 5000) AS n, min(s_suppkey) FILTER (WHERE s_acctbal > 5000) AS p FROM supplier GROUP BY 1) SELECT n_nationkey AS dir, CASE WHEN n = 1 THEN p END AS epub, CASE WHEN coalesce(n, 0) = 0 THEN 'no epub' WHEN n > 1 THEN 'several epubs' END AS note FROM nation LEFT JOIN e ON n_nationkey = s_nationkey",
+    "newest_snapshot": "SELECT user_id, arg_max(value, event_id) AS value, max(event_id) AS generation FROM events WHERE event_type IN ('view', 'click') GROUP BY 1",
+    "timeline_places": "SELECT r_name AS stage, r_regionkey AS stage_order, CASE WHEN r_regionkey < 2 THEN 'done' WHEN r_regionkey = 2 THEN 'current' ELSE 'ahead' END AS place FROM region",
+    "result_tally": "SELECT count(*) FILTER (WHERE event_type = 'signup') AS created, count(*) FILTER (WHERE event_type = 'click') AS duplicate, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events",
+    "log_lines": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'error: ' || (props->>'$.k') ELSE event_type END AS line FROM events",
+    "spend_runs": "SELECT event_id AS id FROM events WHERE value > 0 OR floor(value) > 0",
+    "run_seconds": f"WITH {_RUNS} SELECT id, CASE WHEN finished_at >= started_at THEN round((epoch_us(finished_at) - epoch_us(started_at)) / 1e6, 3) END AS seconds FROM runs",
+    "coverage_ladder": """WITH p AS (SELECT p_partkey::VARCHAR AS path, lower(p_name || ' ' || p_type) AS t, CASE WHEN p_size < 10 THEN p_brand END AS asin, CASE WHEN p_size < 20 THEN p_type END AS isbn FROM part),
+      a AS (SELECT 'Brand#' || s_nationkey AS k, min('w' || s_suppkey) AS w FROM supplier GROUP BY 1), i AS (SELECT 'SMALL' AS k, min('w' || s_suppkey) AS w FROM supplier WHERE s_nationkey = 3),
+      works(work_id, o) AS (VALUES ('t1', 'blue bolt economy'), ('t2', 'red ring small'), ('t3', 'large gear standard')),
+      s AS (SELECT path, work_id, list_distinct(string_split(t, ' ')) AS x, list_distinct(string_split(o, ' ')) AS y, 1 - levenshtein(t, o) / greatest(length(t), length(o))::DOUBLE AS e FROM p, works),
+      sc AS (SELECT path, work_id, greatest(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, e) AS score FROM s WHERE len(list_filter(list_intersect(x, y), lambda w: length(w) >= 4)) > 0),
+      f AS (SELECT path, work_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, work_id DESC) AS r FROM sc WHERE score >= 0.75) WHERE r = 1)
+      SELECT p.path, coalesce(a.w, i.w, f.work_id) AS work_id, CASE WHEN a.w IS NOT NULL THEN 'asin' WHEN i.w IS NOT NULL THEN 'isbn' WHEN f.work_id IS NOT NULL THEN 'title' END AS matched_by
+      FROM p LEFT JOIN a ON a.k = p.asin LEFT JOIN i ON i.k = p.isbn AND i.w IS NOT NULL LEFT JOIN f ON f.path = p.path""",
 }

@@ -520,3 +520,163 @@ def queue_makespan(spark, sf):
 def tail_run_located(spark, sf):
     words = S.chapters(spark, sf).select("chapter", F.posexplode(T.tokens(F.col("text"))).alias("pos", "text"))
     return intervals.locate_tail_run(words, "chapter")
+
+
+# More operators over the same stand-ins ---------------------------------------------------------
+
+
+@query
+def gram_word_sets(spark, sf):
+    own = S.table(spark, sf, "part").select("p_partkey", T.word_set(F.col("p_name")).alias("words"))
+    return own.groupBy("words").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def repeated_suffixes(spark, sf):
+    own = S.chapters(spark, sf).select("chapter", T.tokens(F.col("text")).alias("t"))
+    return own.where(intervals.repeated_suffix(F.col("t"))).select("chapter")
+
+
+@query
+def plan_problems(spark, sf):
+    d = S.chapters(spark, sf)
+    planned = _planned(spark, sf).join(d.select("chapter", "duration"), "chapter").select("chapter", F.lit(10.0).alias("start"), F.lit(20.0).alias("end"), "duration")
+    return qa.plan_problems(planned, _flagged(spark, sf), _flagged(spark, sf))
+
+
+@query
+def success_baseline(spark, sf):
+    out = ranking.success_baseline(S.runs(spark, sf))
+    return out.select("stage", F.round("seconds", 3).alias("seconds"), "tokens", F.round("cost", 4).alias("cost"))
+
+
+@query
+def not_improving(spark, sf):
+    e = S.table(spark, sf, "events").select("event_id", "user_id", F.floor(F.col("value") / 10).alias("found"), (F.col("event_type") == "purchase").alias("passed"))
+    return ranking.not_improving(e, "user_id", "event_id", "found", "passed").select("event_id")
+
+
+@query
+def remaining_units(spark, sf):
+    p = S.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("done"), (F.col("l_linenumber") * 8).alias("total"))
+    return ranking.remaining_units(p).groupBy("l_orderkey").agg(F.sum("remaining").alias("remaining"))
+
+
+@query
+def lock_holders(spark, sf):
+    b = S.books(spark, sf).withColumn("series", F.when(F.col("status") == "P", F.lit("")).otherwise(F.col("series")))
+    return ranking.lock_holders(b, F.col("status") == "F")
+
+
+@query
+def seeded_ewma(spark, sf):
+    out = ranking.ewma(S.table(spark, sf, "events").where("event_id < 2000"), "user_id", "value", "event_id", seed=F.lit(10.0))
+    return out.withColumn("rate", F.round("rate", 4))
+
+
+@query
+def rewind_stage(spark, sf):
+    r = S.runs(spark, sf)
+    stages = spark.createDataFrame([("signup", 0), ("view", 1), ("click", 2), ("purchase", 3)], "stage string, stage_order int")
+    done = r.where("ok").select("book_id", "stage").distinct()
+    present = r.where("cost_usd > 120").select("book_id", "stage").distinct()
+    return ranking.rewind_to(stages, done, present)
+
+
+@query
+def span_titles(spark, sf):
+    own = S.spans(spark, sf)
+    holes = intervals.gaps(own, own.select("book").distinct().withColumn("duration", F.lit(3_000_000.0)), "book")
+    marks = own.where(F.col("end") > F.col("start")).select("book", (F.col("start") - 300).alias("start"), (F.col("start") + 100).alias("end"), F.lit("m").alias("title"))
+    return intervals.span_titles(holes, marks, "book").select("book", "start", F.size("titles").alias("n"))
+
+
+@query
+def shift_runs(spark, sf):
+    c = S.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("idx"), F.when(F.col("role") == "system", F.col("turn")).otherwise(F.col("turn") + 1).alias("chapter"))
+    return numbering.shift_runs(c, "conv_id")
+
+
+@query
+def constant_shift(spark, sf):
+    c = S.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("idx"), F.when(F.col("role") == "system", F.col("turn")).otherwise(F.col("turn") + 1).alias("chapter"))
+    return numbering.constant_shift(c, "conv_id")
+
+
+@query
+def edge_classes(spark, sf):
+    c = S.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("idx"), F.size(T.tokens(F.col("text"))).alias("words"), F.lit(None).cast("double").alias("duration"))
+    return numbering.classify_edges(c, "conv_id").select("conv_id", "idx", "edge")
+
+
+@query
+def collected_chapters(spark, sf):
+    li = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book"), F.col("l_partkey").alias("idx"), F.col("l_linenumber").alias("chapter"), F.col("l_partkey").cast("string").alias("file"), F.col("l_quantity").cast("long").alias("words"), F.lit("t").alias("label"))
+    return numbering.collect_chapters(li.distinct(), "book").select("book", "chapter", F.array_join("files", ",").alias("files"), "words", "title")
+
+
+@query
+def known_forms(spark, sf):
+    forms = spark.createDataFrame([("Rings",), ("bolt's",), ("BLUE",), ("gizmos",), ("smalls",)], "form string")
+    names = S.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("name"))
+    return spelling.known_forms(forms, names)
+
+
+@query
+def top_names(spark, sf):
+    return spelling.top_counts(S.table(spark, sf, "part"), "p_name", 10)
+
+
+@query
+def series_glossary(spark, sf):
+    books = S.books(spark, sf).select("id", "series", F.col("series_pos").cast("int").alias("pos"))
+    names = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"))
+    return spelling.glossary(books, names).select("id", F.array_join("names", ",").alias("names"))
+
+
+@query
+def override_view(spark, sf):
+    p = S.table(spark, sf, "part").select(F.col("p_partkey").alias("source_path"))
+    o = S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source_path"), (F.col("s_acctbal") < 0).alias("hidden"), (F.col("s_nationkey") == 1).alias("force_audio"))
+    return identity.apply_overrides(p, o)
+
+
+@query
+def epub_pairs(spark, sf):
+    books = S.table(spark, sf, "nation").select(F.col("n_nationkey").alias("dir"))
+    epubs = S.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("dir"), F.col("s_suppkey").alias("path"), (F.col("s_acctbal") > 5000).alias("readable"))
+    return identity.pair_epubs(books, epubs)
+
+
+@query
+def newest_snapshot(spark, sf):
+    e = S.table(spark, sf, "events").select("user_id", "value", F.col("event_id").alias("generation"))
+    return identity.newer(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", "generation")
+
+
+@query
+def timeline_places(spark, sf):
+    stages = S.table(spark, sf, "region").select(F.col("r_name").alias("stage"), F.col("r_regionkey").alias("stage_order"))
+    return X.timeline(stages, 2)
+
+
+@query
+def result_tally(spark, sf):
+    e = S.table(spark, sf, "events").select(F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "click", "duplicate").when(F.col("event_type") == "error", "failed").alias("status"))
+    return X.tally(e)
+
+
+@query
+def log_lines(spark, sf):
+    e = S.table(spark, sf, "events").select("event_id", F.col("event_type").alias("type"), F.concat(F.lit('{"message":'), F.get_json_object("props", "$.k"), F.lit("}")).alias("payload"))
+    return X.log_line(e).select("event_id", "line")
+
+
+@query
+def spend_runs(spark, sf):
+    return X.spend_runs(S.runs(spark, sf)).select("id")
+
+
+@query
+def run_seconds(spark, sf):
+    return S.runs(spark, sf).select("id", F.round(X.run_seconds(F.col("started_at"), F.col("finished_at")), 3).alias("seconds"))

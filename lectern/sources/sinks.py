@@ -84,3 +84,22 @@ def persist_snapshot(jobs: DataFrame, path: str) -> None:
     """The newest finished job's rows."""
     newest = jobs.where("status = 'done'").agg(F.max("seq").alias("seq"))
     jobs.join(F.broadcast(newest), "seq").write.mode("overwrite").parquet(guard(path))
+
+
+def markdown_table(df: DataFrame, *order: str) -> DataFrame:
+    """One row: a table of all rows in order. For reports, whose rows are few."""
+    cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
+    head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
+    lines = df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], cells.alias("_line")))), lambda x: x["_line"]), "\n").alias("l"))
+    return lines.select(F.concat(F.lit(head), "l").alias("markdown"))
+
+
+def correction_log(totals: DataFrame) -> DataFrame:
+    """One row: rules with their counts, most used first."""
+    line = F.concat(F.col("count").cast("string"), F.lit("\t"), F.col("pattern"))
+    return totals.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), F.col("pattern").alias("p"), line.alias("l")))), lambda x: x["l"]), "\n").alias("log"))
+
+
+def sheets(shown: DataFrame) -> DataFrame:
+    """(end, markdown): a sheet for each chunk end from (end, name)."""
+    return bullet_list(shown, "end", F.col("name"))

@@ -184,3 +184,69 @@ def title_names(texts: DataFrame, common: list[str]) -> DataFrame:
     lines = texts.select(F.explode(F.split("text", "\n")).alias("l")).where(F.length("l") <= 80)
     runs = F.regexp_extract_all("l", F.lit(r"(\p{Lu}\p{L}+(?: \p{Lu}\p{L}+)*)"), F.lit(1))
     return lines.select(F.explode(runs).alias("name")).where(~F.lower("name").isin(*common)).distinct()
+
+
+def reference_union(layer: DataFrame, references: DataFrame) -> DataFrame:
+    """(origin, text): a text layer and the reference files as one vocabulary source."""
+    own = layer.select(F.concat(F.lit("chapter "), F.col("chapter").cast("string")).alias("origin"), "text")
+    return own.unionByName(references.select(F.col("path").alias("origin"), "text"))
+
+
+def sidecar_shape(characters: DataFrame, recaps: DataFrame) -> DataFrame:
+    """(work, names, chapters): lower-cased distinct names and aliases, and the chapters that recaps run through."""
+    a = characters.select("work", F.explode_outer("characters").alias("c")).select("work", F.explode(F.concat(F.array("c.name"), F.coalesce("c.aliases", F.array().cast("array<string>")))).alias("n"))
+    a = a.select("work", F.lower(F.trim("n")).alias("n")).where("n <> ''").groupBy("work").agg(F.array_sort(F.collect_set("n")).alias("names"))
+    b = recaps.select("work", F.explode_outer("recaps").alias("r")).groupBy("work").agg(F.array_sort(F.collect_set("r.through.chapter")).alias("chapters"))
+    return a.join(b, "work", "full")
+
+
+def prior_canonicals(spark: SparkSession, path: str | None, schema: str = "canonical string") -> tuple[DataFrame, bool]:
+    """(names, whether there is a file): an absent ledger isn't an empty one."""
+    if path is None:
+        return spark.createDataFrame([], schema), False
+    return spark.read.schema(schema).json(path).select(F.trim("canonical").alias("canonical")).where("canonical <> ''").distinct(), True
+
+
+def verdicts_by_chapter(verdicts: DataFrame) -> DataFrame:
+    """The last verdict of each chapter, by pos."""
+    rest = [c for c in verdicts.columns if c != "chapter"]
+    return verdicts.groupBy("chapter").agg(F.max_by(F.struct(*rest), "pos").alias("x")).select("chapter", "x.*")
+
+
+def folder_sizes(files: DataFrame) -> DataFrame:
+    return files.groupBy("dir").agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
+
+
+def check_suite(suite: dict, stages: list[str]) -> list[str]:
+    """Problems of an experiment suite {cases: [{name, path, digest}], profiles: [{name, stages: {...}}]}."""
+    import re
+
+    out = [f"unknown field: {k}" for k in suite if k not in ("cases", "profiles", "repeats", "seed")]
+    for c in suite.get("cases", []):
+        if ".." in c.get("path", "").split("/") or c.get("path", "").startswith("/"):
+            out.append(f"case {c.get('name')}: path leaves the suite")
+        if not re.fullmatch(r"[0-9a-f]{64}", c.get("digest", "")):
+            out.append(f"case {c.get('name')}: digest")
+    for p in suite.get("profiles", []):
+        out += [f"profile {p.get('name')}: no stage {s}" for s in stages if s not in p.get("stages", {})]
+    return out
+
+
+def load_suite(spark: SparkSession, path: str, stages: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(cases, profiles) of a JSON suite; a problem is an error."""
+    import json
+
+    suite = json.loads("\n".join(r.value for r in spark.read.text(path).collect()))  # a suite is one small file
+    if problems := check_suite(suite, stages):
+        raise ValueError("; ".join(problems))
+    cases = spark.createDataFrame([(c["name"], c["path"], c["digest"]) for c in suite["cases"]], "case string, path string, digest string")
+    profiles = spark.createDataFrame([(p["name"], p["stages"]) for p in suite["profiles"]], "profile string, stages map<string,string>")
+    return cases, profiles
+
+
+def scan_library(audio: DataFrame, epubs: DataFrame) -> DataFrame:
+    """(dir, files, layout, epubs): each folder's audio files with the number of its readable epubs."""
+    own = audio.groupBy("dir").agg(F.count(F.lit(1)).alias("files"))
+    books = epubs.groupBy("dir").agg(F.count_if("readable").alias("epubs"))
+    out = own.join(books, "dir", "full")
+    return out.select("dir", F.coalesce("files", F.lit(0)).alias("files"), F.when(F.col("files") == 1, "single").when(F.col("files") > 1, "files").alias("layout"), F.coalesce("epubs", F.lit(0)).alias("epubs"))
