@@ -143,7 +143,7 @@ def ledger_succeeded_stages(spark, sf):
 @query
 def ledger_timing(spark, sf):
     users = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    out = ledger.timings(users, S.runs(spark, sf), S.NOW)
+    out = ledger.timings(users, S.runs(spark, sf), S.now())
     return out.select("book_id", *[F.round(c, 3).alias(c) for c in ("elapsed_s", "active_s", "asr_s")], "open")
 
 
@@ -158,7 +158,7 @@ def child_rollup(spark, sf):
     children = li.select(
         F.col("l_orderkey").alias("stage_run_id"), F.col("l_partkey").alias("id"), F.col("l_quantity").cast("long").alias("tokens_in"), F.col("l_linenumber").cast("long").alias("tokens_out"), F.lit(0).cast("long").alias("tokens_cached"),
         F.col("l_extendedprice").alias("cost_usd"), (F.col("l_returnflag") != "N").alias("cost_reported"), (F.col("l_linestatus") == "F").alias("estimate_complete"),
-        F.when(F.col("l_partkey") < 1000, F.concat(F.lit("m"), F.col("l_partkey").cast("string"))).otherwise("").alias("model"), (F.col("l_returnflag") == "R").alias("active"), F.unix_micros(F.col("l_shipdate").cast("timestamp")).alias("heartbeat_at"),
+        F.when(F.col("l_partkey") < 1000, F.concat(F.lit("m"), F.col("l_partkey").cast("string"))).otherwise("").alias("model"), (F.col("l_returnflag") == "R").alias("active"), F.unix_micros(S.wall("l_shipdate")).alias("heartbeat_at"),
     )
     orders = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("stage_run_id"))
     out = orders.join(ledger.child_rollup(children), "stage_run_id", "left")

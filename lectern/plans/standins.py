@@ -17,8 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def wall(ts):
+    """A timestamp without zone as the instant at which UTC's clocks show it, whatever zone the session is in."""
+    return F.from_utc_timestamp((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"), F.current_timezone())
+
+
+def now():
+    return wall(F.lit(NOW))
+
+
 def seconds(ts: str):
-    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    return F.unix_micros(wall(ts)) / 1e6
 
 
 def chapters(spark, sf) -> DataFrame:
@@ -32,7 +41,7 @@ def segments(spark, sf) -> DataFrame:
 
 def runs(spark, sf) -> DataFrame:
     """events as runs: book = user, stage = type, ok unless it is an error, cost = value, the next event ends it."""
-    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    e = table(spark, sf, "events").select("event_id", wall("ts").alias("ts"), "user_id", "event_type", "value")
     nxt = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     return e.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("book_id"), F.col("event_type").alias("stage"), F.col("ts").alias("started_at"), nxt.alias("finished_at"),
