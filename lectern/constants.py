@@ -26,3 +26,6 @@ PAGE_LIMIT = 500
 TRANSCRIPT_SCHEMA = "transcript/v1"
 POSITION_UNKNOWN = 1e18
 RETENTION_DAYS = 30
+
+#: A side is broadcast only after a count finds this many rows or fewer; beyond it the join is shuffled.
+BROADCAST_ROWS = 500_000

@@ -172,6 +172,7 @@ def reference_matches(forms: DataFrame, vocabulary: DataFrame, most: int = C.MAT
     v = vocabulary.select("name", "authority", "pos", T.fold_form(F.col("name")).alias("_v"))
     f = f.select("form", "_f", F.substring("_f", 1, 1).alias("_b"), F.explode(F.sequence(F.length("_f") - most, F.length("_f") + most)).alias("_l"))
     v = v.select("name", "authority", "pos", "_v", F.substring("_v", 1, 1).alias("_b"), F.length("_v").alias("_l"))
+    v = F.broadcast(v) if v.count() <= C.BROADCAST_ROWS else v
     limit = F.least(F.lit(most), F.floor(F.length("_f") / C.MATCH_DIVISOR)).cast("int")
     near = f.join(v, ["_b", "_l"]).withColumn("distance", F.levenshtein("_f", "_v", most)).where((F.col("distance") > 0) & (F.col("distance") <= limit))
     return near.groupBy("form").agg(F.min_by(F.struct("name", "distance"), F.struct("distance", (F.col("authority") != "verified").alias("a"), "pos")).alias("_x")).select("form", "_x.name", "_x.distance")
@@ -188,21 +189,21 @@ def known_forms(forms: DataFrame, names: DataFrame) -> DataFrame:
 def overlap(texts: DataFrame, sources: DataFrame, key: str, source_key: str, n: int = C.SHINGLE) -> DataFrame:
     """(key, source_key, first, words): maximal runs of n-word shingles of a text that a source has too.
 
-    Shingles meet by hash, and those that meet are confirmed as text. Raises if no text or no source has a shingle: a check
-    that measured nothing.
+    Shingles meet by two independent 64-bit hashes, so that no text is shuffled. Raises if no text or no source has a shingle:
+    a check that measured nothing.
     """
     def tokenised(df, k):
         return df.select(k, T.tokens(T.normalise_ascii(F.col("text"))).alias("_t")).where(F.size("_t") >= n)
 
     words = ", ".join(f"get(_t, i + {j})" for j in range(n))
-    hashes = F.expr(f"posexplode(transform(sequence(0, size(_t) - {n}), i -> xxhash64({words})))").alias("i", "h")
-    gram = F.expr(f"array_join(slice(_t, i + 1, {n}), ' ')")
+    hashes = F.expr(f"posexplode(transform(sequence(0, size(_t) - {n}), i -> named_struct('a', xxhash64({words}), 'b', xxhash64('second', {words}))))").alias("i", "h")
     own, theirs = tokenised(texts, key), tokenised(sources, source_key)
-    if own.isEmpty() or theirs.isEmpty():
+    grams = theirs.select(source_key, hashes).select(source_key, "h.a", "h.b").distinct()
+    known = grams.count()
+    if not known or own.isEmpty():
         raise ValueError("no shingle to compare")
-    grams = theirs.select(source_key, "_t", hashes).select(source_key, "h", gram.alias("g")).distinct()
-    met = own.select(key, hashes).join(grams, "h").select(key, "i", source_key, "g")
-    hits = met.join(own, key).where(gram == F.col("g")).select(key, source_key, "i").distinct()
+    grams = F.broadcast(grams) if known <= C.BROADCAST_ROWS else grams
+    hits = own.select(key, hashes).select(key, "i", "h.a", "h.b").join(grams, ["a", "b"]).select(key, source_key, "i").distinct()
     w = Window.partitionBy(key, source_key).orderBy("i")
     own = hits.withColumn("_k", F.col("i") - F.row_number().over(w))
     return own.groupBy(key, source_key, "_k").agg(F.min("i").alias("first"), (F.count(F.lit(1)) + n - 1).alias("words")).drop("_k")
