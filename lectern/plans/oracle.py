@@ -157,3 +157,7 @@ SQL = {
       SELECT p.path, coalesce(a.w, i.w, f.work_id) AS work_id, CASE WHEN a.w IS NOT NULL THEN 'asin' WHEN i.w IS NOT NULL THEN 'isbn' WHEN f.work_id IS NOT NULL THEN 'title' END AS matched_by
       FROM p LEFT JOIN a ON a.k = p.asin LEFT JOIN i ON i.k = p.isbn AND i.w IS NOT NULL LEFT JOIN f ON f.path = p.path""",
 }
+SQL["stream_last_write"] = SQL["latest_per_key"]
+SQL["stream_moving_average"] = SQL["ewma_rate"]
+SQL["stream_counts"] = "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+SQL["stream_deduplicated"] = "SELECT DISTINCT event_id, user_id FROM events"

@@ -680,3 +680,46 @@ def spend_runs(spark, sf):
 @query
 def run_seconds(spark, sf):
     return S.runs(spark, sf).select("id", F.round(X.run_seconds(F.col("started_at"), F.col("finished_at")), 3).alias("seconds"))
+
+
+# Streams: each runs over the events table to its end, and what it has then is what the batch form has ------------
+
+
+def _stream(spark, sf):
+    from ..streaming import events as stream
+
+    S.ship(spark)
+    batch = S.table(spark, sf, "events")
+    source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+    found = source.parquet(f"{sf}/events.parquet") if len(batch.inputFiles()) > 1 else source.option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", False).parquet(sf)
+    own = found.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.col("event_type").alias("type"), "value")
+    return stream, own
+
+
+@query
+def stream_last_write(spark, sf):
+    stream, own = _stream(spark, sf)
+    out = stream.run_to_end(stream.last_write(own, "key", "type"))
+    last = out.agg(F.max("batch").alias("batch"))
+    return out.join(F.broadcast(last), "batch").select(F.col("key").alias("user_id"), F.col("type").alias("event_type"), "value", F.col("event_id").alias("seq"))
+
+
+@query
+def stream_counts(spark, sf):
+    stream, own = _stream(spark, sf)
+    out = stream.run_to_end(stream.counts(own, "key", "type"))
+    last = out.agg(F.max("batch").alias("batch"))
+    return out.join(F.broadcast(last), "batch").select(F.col("key").alias("user_id"), F.col("type").alias("event_type"), "n")
+
+
+@query
+def stream_moving_average(spark, sf):
+    stream, own = _stream(spark, sf)
+    out = stream.run_to_end(stream.moving_average(own), "update")
+    return out.groupBy(F.col("key").alias("user_id")).agg(F.round(F.max_by("rate", "n"), 4).alias("rate"))
+
+
+@query
+def stream_deduplicated(spark, sf):
+    stream, own = _stream(spark, sf)
+    return stream.run_to_end(stream.dedupe(own), "append").select("event_id", F.col("key").alias("user_id"))
