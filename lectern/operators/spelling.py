@@ -65,17 +65,18 @@ def derive_base(form: Column) -> Column:
 
 
 def gates(texts: DataFrame, reference: DataFrame, rules: list[dict]) -> DataFrame:
-    """(pattern, problem): left side still there, right side missing, right side not in the reference."""
-    out = None
-    for r in rules:
-        base = re.sub("'s$", "", re.sub(r"^\$1 ", "", r["replacement"]))
-        one = texts.agg(F.coalesce(F.sum(F.regexp_count("text", F.lit(r["pattern"]))), F.lit(0)).alias("l"), F.coalesce(F.sum(T.occurrences(F.col("text"), base)), F.lit(0)).alias("r"))
-        ref = reference.agg(F.coalesce(F.sum(T.occurrences(F.col("text"), base)), F.lit(0)).alias("a"))
-        both = one.join(F.broadcast(ref), F.lit(True))  # one row each
-        found = F.filter(F.array(F.when(F.col("l") > 0, F.lit("left_remains")), F.when(F.col("r") == 0, F.lit("right_missing")), F.when(F.col("a") == 0, F.lit("right_unattested"))), lambda x: x.isNotNull())
-        own = both.select(F.lit(r["pattern"]).alias("pattern"), F.explode(found).alias("problem"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """(pattern, problem): left side still there, right side missing, right side not in the reference. One pass over each input."""
+    bases = [re.sub("'s$", "", re.sub(r"^\$1 ", "", r["replacement"])) for r in rules]
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    used = texts.agg(*[x for i, (r, base) in enumerate(zip(rules, bases, strict=True)) for x in (total(F.regexp_count("text", F.lit(r["pattern"]))).alias(f"l{i}"), total(T.occurrences(F.col("text"), base)).alias(f"r{i}"))])
+    attested = reference.agg(*[total(T.occurrences(F.col("text"), base)).alias(f"a{i}") for i, base in enumerate(bases)])
+    found = [
+        F.when(broken, F.struct(F.lit(r["pattern"]).alias("pattern"), F.lit(problem).alias("problem")))
+        for i, r in enumerate(rules)
+        for broken, problem in ((F.col(f"l{i}") > 0, "left_remains"), (F.col(f"r{i}") == 0, "right_missing"), (F.col(f"a{i}") == 0, "right_unattested"))
+    ]
+    both = used.join(F.broadcast(attested), F.lit(True))  # one row each
+    return both.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("x.pattern", "x.problem")
 
 
 TOKEN = r"\p{L}+(?:['’]\p{L}+)*"
