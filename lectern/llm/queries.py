@@ -91,7 +91,7 @@ WITH RECURSIVE t AS (
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 sized AS (
   SELECT r, doc_id, octet_length(encode(text)) + 8 AS size,
-    xor(list_reduce([4294967295::BIGINT] || list_transform(range(0, octet_length(encode(text))), lambda i: (16 * (instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode(text)), 2 * i + 2, 1)) - 1)::BIGINT),
+    xor(list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: (16 * (instr('0123456789ABCDEF', h[1]) - 1) + instr('0123456789ABCDEF', h[2]) - 1)::BIGINT),
       lambda c, x: xor(c >> 8, crcs[xor(c & 255, x) + 1])), 4294967295) AS crc
   FROM d, t),
 jump(r, b, j, k) AS (
