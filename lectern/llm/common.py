@@ -19,8 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where that is unset (local tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        found = context._lectern_shared = getattr(context, "_lectern_shared", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
     return found.rstrip("/")
 
 
