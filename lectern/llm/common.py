@@ -25,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, with the scheme of its store, so that Python on executors finds the same place."""
+    fs, p = _hadoop(spark, f"{shared_dir(spark)}/lectern/{name}-{uuid.uuid4().hex}")
+    return fs.makeQualified(p).toString()
 
 
 def _hadoop(spark: SparkSession, path: str):

@@ -6,13 +6,14 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import ann, minhash, packing, pii, quality_classifier, quality_rules, sentence_pieces, sharding, token_output, warc
-from lectern.llm.common import new_path
+from lectern.llm.common import filesystem, new_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, id long, node long, score double"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,7 +196,7 @@ def test_warc_round_trip(spark, docs, tmp_path):
     assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == sorted(want, key=lambda x: (x[:2], x[2:4]))
     again = new_path(spark, "warc")
     warc.write_archives(pages.orderBy(F.desc("url")).repartition(3), again, shard_bytes=20_000, roll_bytes=3_000)
-    names = lambda o: {p: open(f"{o.removeprefix('file://')}/{p}", "rb").read() for p in __import__("os").listdir(o.removeprefix("file://")) if p.endswith(".gz")}
+    names = lambda o: {p.name: p.read_bytes() for p in Path(filesystem(o)[1]).glob("*.gz")}
     assert names(out) == names(again)
     none = new_path(spark, "warc")
     warc.write_archives(pages.limit(0), none)
