@@ -111,3 +111,22 @@ def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     to_table(stream, f"{path}/rows", f"{path}/state", mode).awaitTermination()
     own = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())]) if mode != "append" else stream.schema
     return spark.read.schema(own).parquet(f"{path}/rows")
+
+
+def patch(state: DataFrame, changes: DataFrame, key: str, order: str = "event_id") -> DataFrame:
+    """state with each key's latest change written over it; keys that only changes have are added, nulls in a change leave what was."""
+    columns = [c for c in changes.columns if c not in (key, order)]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("_x"))
+    both = state.join(last, key, "full")
+    return both.select(key, *[F.coalesce(F.col("_x")[c], F.col(c)).alias(c) if c in columns else F.col(c) for c in state.columns if c != key])
+
+
+def replace(state: DataFrame, snapshot: DataFrame, key: str) -> DataFrame:
+    """state with the snapshot's columns as the snapshot has them: a key that it lacks has none."""
+    columns = [c for c in snapshot.columns if c != key]
+    return state.drop(*columns).join(snapshot, key, "left").select(*state.columns)
+
+
+def ticking(stream: DataFrame, sink, every: str = "1 minute"):
+    """Starts the stream with a micro-batch each `every`; sink(batch, number) sees each once."""
+    return stream.writeStream.foreachBatch(sink).trigger(processingTime=every).start()

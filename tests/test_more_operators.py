@@ -110,3 +110,12 @@ def test_a_due_or_stale_row(spark):
     assert rows(stream.stale(df.withColumnRenamed("retry_at", "updated_at"), "2024-01-10"), "id") == [(1,)]
     with pytest.raises(ValueError):
         sinks.guard("/x/raw/")
+
+
+def test_patches(spark):
+    from lectern.streaming import events as stream
+
+    state = spark.createDataFrame([(1, "queued", 5), (2, "done", 6)], "id int, status string, eta int")
+    changes = spark.createDataFrame([(1, 1, "running"), (1, 2, "failed"), (3, 1, "new")], "id int, event_id int, status string")
+    assert rows(stream.patch(state, changes, "id"), "id", "status", "eta") == [(1, "failed", 5), (2, "done", 6), (3, "new", None)]
+    assert rows(stream.replace(state, spark.createDataFrame([(2, 9)], "id int, eta int"), "id"), "id", "status", "eta") == [(1, "queued", None), (2, "done", 9)]
