@@ -37,8 +37,9 @@ class Words(dict):
     """Ids of words, as little-endian unsigned 32-bit integers. A new word is encoded when it is first asked for.
 
     The tokenizer's splitting never joins characters across white space, lowers case and parts letters from marks. So texts
-    are put together from words, and a word has the ids of its stem (in lower case, if it is ASCII) and of the full stops and
-    commas after it. tests/llm holds this against encoding texts whole.
+    are put together from words, and a word whose stem ends in an ASCII letter or digit has the ids of its stem (in lower case,
+    if it is ASCII) and of the full stops and commas after it. Others are encoded whole: normalising turns some letters into a
+    letter and a mark, which joins what follows. tests/llm holds this against encoding texts whole.
     """
 
     def __init__(self, path: str):
@@ -52,7 +53,7 @@ class Words(dict):
         plain = word.isascii()
         lower = word.lower() if plain else word
         stem = lower.rstrip(".,")
-        if stem != word and stem and stem[-1].isalnum() and "<|" not in word:
+        if stem != word and stem and stem[-1].isascii() and stem[-1].isalnum() and "<|" not in word:
             found = self[stem] + (self[lower[len(stem) :]] if len(stem) < len(lower) else b"")
         else:
             # Letters a to z pass through normalising and splitting as they are, so the library's model takes them at once.

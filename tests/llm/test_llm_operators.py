@@ -226,6 +226,17 @@ def test_token_files(spark, docs, empty, unit):
     assert token_output.read_tokens(spark, none).count() == 0
 
 
+def test_words_that_normalising_parts_are_encoded_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = [f"x {c}{end} y" for c in ("\u09df", "\u095e", "\u0130", "a\u09dc", "\u0a33", "\ufb2a", "é", "a") for end in (",", ".", ".,")]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert token_output.encoder(path)(texts) == want
+
+
 def test_plane_blocks_are_read_alone():
     import io
 
