@@ -570,7 +570,7 @@ def lock_holders(spark, sf):
 
 @query
 def seeded_ewma(spark, sf):
-    out = ranking.ewma(S.table(spark, sf, "events").where("event_id < 2000"), "user_id", "value", "event_id", seed=F.lit(10.0))
+    out = ranking.ewma(S.table(spark, sf, "events"), "user_id", "value", "event_id", seed=F.lit(10.0))
     return out.withColumn("rate", F.round("rate", 4))
 
 

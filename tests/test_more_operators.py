@@ -119,3 +119,16 @@ def test_patches(spark):
     changes = spark.createDataFrame([(1, 1, "running"), (1, 2, "failed"), (3, 1, "new")], "id int, event_id int, status string")
     assert rows(stream.patch(state, changes, "id"), "id", "status", "eta") == [(1, "failed", 5), (2, "done", 6), (3, "new", None)]
     assert rows(stream.replace(state, spark.createDataFrame([(2, 9)], "id int, eta int"), "id"), "id", "status", "eta") == [(1, "queued", None), (2, "done", 9)]
+
+
+def test_seeded_ewma_folds_the_whole_table(spark, tmp_path):
+    from lectern.plans.queries import QUERIES
+
+    events = [(i, i % 3, float(i * 7 % 50 - 5)) for i in range(1990, 2030)] + [(5000, 9, 20.0)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for _, user, value in events:
+        if value > 0:
+            want[user] = 0.3 * value + 0.7 * want.get(user, 10.0)
+    got = {r.user_id: r.rate for r in QUERIES["seeded_ewma"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(want, abs=1e-4)
