@@ -118,6 +118,16 @@ def locate_tail_run(words: DataFrame, key: str, n: int = C.GRAM, least: int = C.
     return own.where("_k = 0").groupBy(key, "phrase").agg(F.min("p").alias("first_pos"), F.count(F.lit(1)).alias("uses"))
 
 
+def tail_runs(rows: DataFrame, key: str, n: int = C.GRAM, least: int = C.TAIL_GRAM_COUNT) -> DataFrame:
+    """(key, tokens, phrase, first_pos, uses): locate_tail_run for rows that hold their tokens; no row leaves its task."""
+    top = T.with_gram_counts(rows.select(key, "tokens"), "tokens", n, "grams", least).withColumn("top", T.top_of("grams")).where("top is not null")
+    at = F.expr(f"filter(sequence(size(tokens) - {n}, 0, -1), i -> array_join(slice(tokens, i + 1, {n}), ' ') = top.gram)")
+    near = f"a.near AND a.first - (p + {n}) <= {2 * n}"
+    run = F.expr(f"aggregate(_at, named_struct('first', size(tokens), 'uses', 0, 'near', true), (a, p) -> named_struct('first', IF({near}, p, a.first), 'uses', a.uses + IF({near}, 1, 0), 'near', {near}))")
+    own = top.select(key, "tokens", F.col("top.gram").alias("phrase"), at.alias("_at")).withColumn("_run", run)
+    return own.where("_run.uses > 0").select(key, "tokens", "phrase", F.col("_run.first").alias("first_pos"), F.col("_run.uses").alias("uses"))
+
+
 def loop_seconds(start: Column, end: Column) -> Column:
     return F.when(start.isNotNull() & end.isNotNull(), F.greatest(end - start, F.lit(C.LOOP_FLOOR))).otherwise(F.lit(-1.0))
 
@@ -172,25 +182,29 @@ def uses_of(unit: list[str], words: list[str]) -> int:
 
 def adjudicate(rows: DataFrame, key: str) -> DataFrame:
     """(key, period, uses, verdict) of (key, looped, fresh): how often the loop's repeating unit, in its best rotation, is in the
-    fresh text. Twice or more is real, not at all gone, else fragment if 60 % of the unit is there, or reduced."""
+    fresh text. Twice or more is real, not at all gone, else fragment if 60 % of the unit is there, or reduced. Where no period is
+    found, the unit is the first three words of `phrase`, if rows have one, or else all of the loop."""
     import re
 
+    def plain(text):
+        return re.sub("[^a-z0-9 ]", "", (text or "").lower()).split()
+
     def run(batches):
         import pandas as pd
 
         for pdf in batches:
             out = []
-            for k, looped, fresh in zip(pdf[key], pdf["looped"], pdf["fresh"], strict=True):
-                words, text = (re.sub("[^a-z0-9 ]", "", (x or "").lower()).split() for x in (looped, fresh))
+            for k, looped, fresh, *phrase in zip(*(pdf[c] for c in pdf.columns), strict=True):
+                words, text = plain(looped), plain(fresh)
                 p = unit_of(words)
-                unit = words[:p] if p else words
+                unit = words[:p] if p else plain(phrase[0])[:3] if phrase else words
                 uses = max((uses_of(unit[r:] + unit[:r], text) for r in range(len(unit))), default=0)
                 part = unit[: max(1, -(-len(unit) * 6 // 10))]
                 verdict = "real" if uses >= 2 else "reduced" if uses == 1 else "fragment" if uses_of(part, text) else "gone"
                 out.append((k, p, uses, verdict))
             yield pd.DataFrame(out, columns=[key, "period", "uses", "verdict"])
 
-    return rows.select(key, "looped", "fresh").mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, period int, uses int, verdict string")
+    return rows.select(key, "looped", "fresh", *(["phrase"] if "phrase" in rows.columns else [])).mapInPandas(run, f"{key} {rows.schema[key].dataType.simpleString()}, period int, uses int, verdict string")
 
 
 def repeated_suffix(tokens: Column, period: int = C.SUFFIX_PERIOD, times: int = C.SUFFIX_REPEATS) -> Column:

@@ -506,7 +506,10 @@ def narrated_numbering(spark, sf):
 
 @query
 def adjudicate(spark, sf):
-    d = S.chapters(spark, sf).select("chapter", F.array_join(F.slice(T.tokens(F.col("text")), 1, 40), " ").alias("looped"), F.array_join(F.slice(T.tokens(F.col("text")), 20, 60), " ").alias("fresh"))
+    """Chapters whose tail is a loop: the loop from its first word to the end, against the whole text (no second transcript is at hand)."""
+    own = intervals.tail_runs(S.chapters(spark, sf).select("chapter", T.tokens(F.col("text")).alias("tokens")), "chapter")
+    loop = F.expr("slice(tokens, first_pos + 1, size(tokens))")
+    d = own.select("chapter", "phrase", F.array_join(loop, " ").alias("looped"), F.array_join("tokens", " ").alias("fresh"))
     return intervals.adjudicate(d, "chapter")
 
 

@@ -132,3 +132,18 @@ def test_seeded_ewma_folds_the_whole_table(spark, tmp_path):
             want[user] = 0.3 * value + 0.7 * want.get(user, 10.0)
     got = {r.user_id: r.rate for r in QUERIES["seeded_ewma"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_adjudicate_reads_whole_texts(spark, tmp_path):
+    from lectern.plans.queries import QUERIES
+
+    head = " ".join(f"w{i}" for i in range(300))
+    texts = [(1, head + " we go on" * 12), (2, head), (3, head + " a b c d e f" * 6 + " " + head)]
+    spark.createDataFrame([(i, t, len(t)) for i, t in texts], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert rows(QUERIES["adjudicate"](spark, str(tmp_path)), "chapter", "period", "uses", "verdict") == [(1, 3, 12, "real")]
+    words = spark.createDataFrame([("c", "x y z " + "a b c d e f " * 4), ("d", "a b c d e f " * 4 + "q " * 30), ("e", "a b c d e f " * 4 + "p o n m l k j i h g " * 3 + "z"), ("f", "few words")], "chapter string, text string")
+    runs = intervals.tail_runs(words.select("chapter", F.split(F.trim("text"), " ").alias("tokens")), "chapter")
+    same = intervals.locate_tail_run(words.select("chapter", F.posexplode(F.split(F.trim("text"), " ")).alias("pos", "text")), "chapter")
+    assert rows(runs, "chapter", "phrase", "first_pos", "uses") == rows(same, "chapter", "phrase", "first_pos", "uses") == [("c", "a b c d e f", 3, 4), ("d", "q q q q q q", 24, 25)]
+    loops = spark.createDataFrame([(1, "a b c d e f g h", "a b c d e f", "x a b c y a b c"), (2, "a b c d e f g h", "a b c d e f", "none")], "k int, looped string, phrase string, fresh string")
+    assert rows(intervals.adjudicate(loops, "k"), "k", "period", "uses", "verdict") == [(1, 0, 2, "real"), (2, 0, 0, "gone")]
