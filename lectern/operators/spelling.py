@@ -79,6 +79,7 @@ def gates(texts: DataFrame, reference: DataFrame, rules: list[dict]) -> DataFram
     return both.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("x.pattern", "x.problem")
 
 
+CAPITAL = r"^\p{Lu}|'\p{Lu}"
 TOKEN = r"\p{L}+(?:['’]\p{L}+)*"
 
 
@@ -117,7 +118,8 @@ def phrases(runs: DataFrame, key: str) -> DataFrame:
 
 def candidates(texts: DataFrame, key: str, common: DataFrame, least_single: int = 3, least_phrase: int = 2) -> DataFrame:
     """(form, count, chapters, kind, rank): names by capitals, phrases before single words, each kind ranked and capped by its
-    report size; singles are words of a run that no common-word list has."""
+    report size; singles are words of a run that no common-word list has. Only names inside sentences; name_candidates has the
+    whole of the heuristics."""
     runs = capital_runs(token_table(texts, key), key, common)
     ph = phrases(runs, key).withColumn("kind", F.lit("phrase"))
     single = runs.select(key, F.explode("words").alias("form")).where(F.length("form") >= 3).withColumn("kind", F.lit("single"))
@@ -127,6 +129,62 @@ def candidates(texts: DataFrame, key: str, common: DataFrame, least_single: int
     return ranked.where(F.col("rank") <= F.when(F.col("kind") == "phrase", C.PHRASE_CAP).otherwise(C.SINGLE_CAP))
 
 
+def name_candidates(texts: DataFrame, key: str, common: DataFrame, least_single: int = 2, least_novel: int = 3) -> DataFrame:
+    """(form, count, non_initial, chapters, kind, rank, truncated): likely names and invented terms, by four heuristics.
+
+    Phrases: pairs and exact threes of capital runs, however rare; a common word that opens a sentence is cut off a run. Singles:
+    capital words used least_single times inside sentences, or least_novel times anywhere if `common` lacks them. Lower-case
+    words that spell an included single, or that `common` lacks and that are used least_novel times. Lower-case windows of two
+    or three words that spell an included phrase, or an included single without the spaces. Phrases are ranked by count, singles
+    that `common` lacks first; each kind is cut at its report size, and truncated is the number of forms cut off in all.
+    """
+    known = F.broadcast(common.select(F.lower(F.col(common.columns[0])).alias("_c")).distinct())
+    toks = _flagged_tokens(texts, key).join(known, F.lower("token") == F.col("_c"), "left").withColumn("novel", F.col("_c").isNull()).drop("_c")
+    each = toks.groupBy("token", key).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("initial")).alias("m"), F.first("novel").alias("novel"))
+    each = each.groupBy(F.col("token").alias("form")).agg(F.sum("n").alias("count"), F.sum("m").alias("non_initial"), F.count(F.lit(1)).alias("chapters"), F.first("novel").alias("novel"))
+    each = each.withColumns({"capital": F.col("form").rlike(CAPITAL), "_f": F.lower("form")})
+    repeated = F.col("novel") & (F.col("count") >= least_novel)
+    upper = each.where(F.col("capital") & ((F.col("non_initial") >= least_single) | repeated))
+    single = upper.select("_f").distinct().withColumn("_s", F.lit(True))
+    lower = each.where(~F.col("capital")).join(single, "_f", "left").where(F.col("_s") | repeated).drop("_s").withColumn("non_initial", F.col("count"))
+
+    w = Window.partitionBy(key).orderBy("i")
+    runs = toks.where("capital").withColumn("_n", F.coalesce((F.col("initial") | ~F.col("joined") | (F.col("i") != F.lag("i").over(w) + 1)).cast("int"), F.lit(1))).withColumn("_k", F.sum("_n").over(w))
+    runs = runs.where("NOT (_n = 1 AND initial AND NOT novel)").groupBy(key, "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("words"))
+
+    def counted(uses):
+        one = uses.groupBy("form", key).agg(F.count(F.lit(1)).alias("n")).groupBy("form").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("chapters"))
+        return one.withColumns({"non_initial": F.col("count"), "_f": F.lower("form"), "novel": F.lit(True)})
+
+    phrase = counted(phrases(runs, key))
+    nxt = lambda k: F.lead(F.struct("token", (~F.col("capital") & F.col("joined")).alias("ok")), k).over(w)
+    near = toks.select(key, "i", "token", "capital", "joined").withColumns({"_1": nxt(1), "_2": nxt(2)}).where("NOT capital AND _1.ok")
+    near = near.select(key, F.explode(F.expr("filter(array(concat(token, ' ', _1.token), IF(_2.ok, concat(token, ' ', _1.token, ' ', _2.token), NULL)), x -> x IS NOT NULL)")).alias("form"))
+    split = counted(near).withColumn("_j", F.regexp_replace("_f", " ", ""))
+    split = split.join(phrase.select("_f").distinct().withColumn("_p", F.lit(True)), "_f", "left").join(single.withColumnRenamed("_f", "_j"), "_j", "left").where("_p OR _s")
+
+    columns = ["form", "count", "non_initial", "chapters", "novel"]
+    own = {"phrase": phrase.select(columns).unionByName(split.select(columns)), "single": upper.select(columns).unionByName(lower.select(columns))}
+    caps = {"phrase": C.PHRASE_CAP, "single": C.SINGLE_CAP}
+    # The best of each kind by a limit, which keeps so many rows of a task; what it cuts off is counted.
+    best, cut = None, None
+    for kind, forms in own.items():
+        top = forms.orderBy(F.desc("novel"), F.desc("count"), "form").limit(caps[kind]).withColumn("kind", F.lit(kind))
+        over = forms.agg(F.greatest(F.count(F.lit(1)) - caps[kind], F.lit(0)).alias("n"))
+        best, cut = (top, over) if best is None else (best.unionByName(top), cut.unionByName(over))
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("novel"), F.desc("count"), "form"))).drop("novel")
+    return ranked.crossJoin(F.broadcast(cut.agg(F.sum("n").alias("truncated")))).select("form", "count", "non_initial", "chapters", "kind", "rank", "truncated")
+
+
+def _flagged_tokens(texts: DataFrame, key: str) -> DataFrame:
+    """(key, i, token, capital, initial, joined) of words: initial ones come first or after a gap with a full stop, exclamation or
+    question mark or line break; joined ones follow the one before after spaces only."""
+    own = texts.select(key, T.fold_apostrophe(F.coalesce(F.col("text"), F.lit(""))).alias("_t"))
+    own = own.select(key, F.regexp_extract_all("_t", F.lit(f"({TOKEN})"), F.lit(1)).alias("_w"), F.split("_t", TOKEN, -1).alias("_g"))
+    own = own.select(key, F.posexplode(F.expr("transform(_w, (x, i) -> named_struct('token', x, 'gap', get(_g, i)))")).alias("i", "x"))
+    return own.select(key, "i", "x.token", F.col("x.token").rlike(CAPITAL).alias("capital"), ((F.col("i") == 0) | F.col("x.gap").rlike(r"[.!?\n]")).alias("initial"), ((F.col("i") > 0) & F.col("x.gap").rlike(r"^ *\z")).alias("joined"))
+
+
 def snippets(tokens: DataFrame, texts: DataFrame, key: str, n: int = C.SNIPPETS) -> DataFrame:
     """(token, key, snippet): the first use in each of the first n chapters."""
     one = tokens.groupBy("token", key).agg(F.min("start").alias("start"))

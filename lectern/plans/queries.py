@@ -495,7 +495,7 @@ def coverage_ladder(spark, sf):
 @query
 def candidates(spark, sf):
     common = spark.createDataFrame([("the",), ("and",), ("of",)], "w string")
-    return spelling.candidates(S.chapters(spark, sf), "chapter", common)
+    return spelling.name_candidates(S.chapters(spark, sf), "chapter", common)
 
 
 @query

@@ -147,3 +147,24 @@ def test_adjudicate_reads_whole_texts(spark, tmp_path):
     assert rows(runs, "chapter", "phrase", "first_pos", "uses") == rows(same, "chapter", "phrase", "first_pos", "uses") == [("c", "a b c d e f", 3, 4), ("d", "q q q q q q", 24, 25)]
     loops = spark.createDataFrame([(1, "a b c d e f g h", "a b c d e f", "x a b c y a b c"), (2, "a b c d e f g h", "a b c d e f", "none")], "k int, looped string, phrase string, fresh string")
     assert rows(intervals.adjudicate(loops, "k"), "k", "period", "uses", "verdict") == [(1, 0, 2, "real"), (2, 0, 0, "gone")]
+
+
+def test_name_candidates(spark, monkeypatch):
+    texts = [
+        (1, "Kael, wait. The Night Market and a night  market, one night\nmarket. Mr. Ashford met Nightblades; so did Nightblades."),
+        (2, "Kael! Ashford ran. Then night blades came. Kael. Ashford. the zorb, a zorb: zorb kael"),
+        (3, "The Old Iron Gate Keeper saw Rose, Thorn. old iron"),
+    ]
+    df = spark.createDataFrame(texts, "chapter int, text string")
+    common = spark.createDataFrame([(w,) for w in "the then a and one so did met ran came saw wait mr old rose night market".split()], "w string")
+    got = spelling.name_candidates(df, "chapter", common)
+    want = [
+        ("Iron Gate", 1, 1, 1, "phrase"), ("Gate Keeper", 1, 1, 1, "phrase"), ("Old Iron", 1, 1, 1, "phrase"), ("Night Market", 1, 1, 1, "phrase"),
+        ("night market", 1, 1, 1, "phrase"), ("night blades", 1, 1, 1, "phrase"), ("old iron", 1, 1, 1, "phrase"),
+        ("Kael", 3, 0, 2, "single"), ("Ashford", 3, 0, 2, "single"), ("Nightblades", 2, 2, 1, "single"), ("zorb", 3, 3, 1, "single"), ("kael", 1, 1, 1, "single"),
+    ]
+    assert rows(got, "form", "count", "non_initial", "chapters", "kind") == sorted(want, key=str)
+    assert {r.truncated for r in got.collect()} == {0}
+    monkeypatch.setattr(spelling.C, "PHRASE_CAP", 2)
+    monkeypatch.setattr(spelling.C, "SINGLE_CAP", 1)
+    assert rows(spelling.name_candidates(df, "chapter", common), "kind", "rank", "form", "truncated") == [("phrase", 1, "Gate Keeper", 9), ("phrase", 2, "Iron Gate", 9), ("single", 1, "Ashford", 9)]
