@@ -192,18 +192,24 @@ def snippets(tokens: DataFrame, texts: DataFrame, key: str, n: int = C.SNIPPETS)
     return own.select("token", key, F.expr(f"substring(text, greatest(start - 40, 0) + 1, {C.SNIPPET_CHARS})").alias("snippet"))
 
 
+#: A word of a name or a text, for first uses.
+WORD = r"[\p{L}\p{M}\p{N}]+"
+
+
 def first_use(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """(name, first): the lowest key whose text uses the name. names: (name), of any number of words.
 
-    Names are found among the texts' own word n-grams by an equi-join; texts and names are never paired off.
+    Names are found among the texts' own word n-grams by an equi-join; texts and names are never paired off. Words are runs of
+    letters, marks and digits, of names too.
     """
-    own = names.select("name", F.size(F.split("name", " ")).alias("n"))
-    sizes = sorted(r["n"] for r in own.select("n").distinct().where("n <= 8").collect())
-    words = texts.select(key, F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)).alias("_w"))
+    own = names.select("name", F.regexp_extract_all(T.fold_apostrophe(F.col("name")), F.lit(f"({WORD})"), F.lit(1)).alias("_w"))
+    own = own.select("name", F.array_join("_w", " ").alias("_g"), F.size("_w").alias("n"))
+    sizes = sorted(r["n"] for r in own.select("n").distinct().where("n > 0").collect())
+    words = texts.select(key, F.regexp_extract_all(T.fold_apostrophe(F.coalesce("text", F.lit(""))), F.lit(f"({WORD})"), F.lit(1)).alias("_w"))
     out = None
     for n in sizes:
         grams = F.expr(f"IF(size(_w) < {n}, CAST(array() AS array<string>), array_distinct(transform(sequence(0, size(_w) - {n}), i -> array_join(slice(_w, i + 1, {n}), ' '))))")
-        one = words.select(key, F.explode(grams).alias("name")).join(own.where(F.col("n") == n), "name").groupBy("name").agg(F.min(key).alias("first"))
+        one = words.select(key, F.explode(grams).alias("_g")).join(own.where(F.col("n") == n), "_g").groupBy("name").agg(F.min(key).alias("first"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -297,12 +303,11 @@ def reset_time(message: Column, now: Column) -> Column:
 def sheet_gates(ledger: DataFrame, ends: DataFrame, heard: DataFrame) -> DataFrame:
     """(name, other, end): notes of a name that mention another first heard after the sheet's end; each pair at its smallest end.
 
-    ledger: (name, note). Mentions are found among the notes' words, so names and notes are never paired off. Names first heard
-    in chapter 0 break nothing.
+    ledger: (name, note). A note mentions a name that it contains, whatever stands around it. Names first heard in chapter 0
+    break nothing.
     """
-    mention = first_use(ledger.select(F.col("name").alias("owner"), F.col("note").alias("text")), heard.select("name"), "owner")
-    words = ledger.select("name", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("note", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)))).alias("other"))
-    late = words.join(heard.select(F.col("name").alias("other"), F.col("first").alias("late")), "other").join(mention.select(F.col("name").alias("other")), "other", "left_semi")
+    late = heard.select(F.col("name").alias("other"), F.col("first").alias("late")).where("late > 0")
+    late = _mentions(ledger.select("name", "note"), "note", late, "other")
     own = late.join(heard.select("name", "first"), "name").where("other <> name AND late > 0")
     both = own.join(F.broadcast(ends), (F.col("first") <= F.col("end")) & (F.col("late") > F.col("end")))
     return both.groupBy("name", "other").agg(F.min("end").alias("end"))
@@ -315,9 +320,16 @@ def carryover_gate(ledger: DataFrame, prior: DataFrame) -> DataFrame:
 
 def preamble_leaks(lines: DataFrame, heard: DataFrame, end: int) -> DataFrame:
     """(line, name): preamble lines (pos, line) with a name first heard after `end`."""
-    late = heard.where(F.col("first") > end).select("name")
-    words = lines.select("pos", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("([A-Za-z]+)"), F.lit(1)))).alias("name"))
-    return words.join(late, "name", "left_semi").select("line", "name")
+    late = heard.where(F.col("first") > end).select("name").distinct()
+    return _mentions(lines.select("pos", "line"), "line", late, "name").select("line", "name")
+
+
+def _mentions(texts: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """Rows of texts and names whose text contains the name; they meet on the name's first characters, three at most."""
+    own = names.where(F.length(name) > 0).withColumn("_b", F.substring(F.col(name), 1, 3))
+    starts = F.expr(f"flatten(transform(sequence(1, 3), l -> transform(sequence(1, greatest(length({column}), 1)), i -> substring({column}, i, l))))")
+    both = texts.where(F.length(column) > 0).withColumn("_b", F.explode(F.array_distinct(starts))).join(own, "_b")
+    return both.where(F.contains(F.col(column), F.col(name))).drop("_b")
 
 
 def proper_shape(token: Column, common: list[str]) -> Column:

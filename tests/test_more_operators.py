@@ -168,3 +168,15 @@ def test_name_candidates(spark, monkeypatch):
     monkeypatch.setattr(spelling.C, "PHRASE_CAP", 2)
     monkeypatch.setattr(spelling.C, "SINGLE_CAP", 1)
     assert rows(spelling.name_candidates(df, "chapter", common), "kind", "rank", "form", "truncated") == [("phrase", 1, "Gate Keeper", 9), ("phrase", 2, "Iron Gate", 9), ("single", 1, "Ashford", 9)]
+
+
+def test_names_of_any_shape_are_found(spark):
+    long = "Order of the Very Old and Quiet Iron Gate"
+    heard = spark.createDataFrame([("Ann", 1), ("Ann Lee", 5), ("D'Aston", 6), ("Renée", 7), (long, 8)], "name string, first int")
+    ledger = spark.createDataFrame([("Ann", f"meets Ann Lee, then D'Aston's men and Renée of the {long}")], "name string, note string")
+    ends = spark.createDataFrame([(2,), (6,)], "end int")
+    assert rows(spelling.sheet_gates(ledger, ends, heard), "other", "end") == sorted([("Ann Lee", 2), ("D'Aston", 2), ("Renée", 2), (long, 2)], key=str)
+    lines = spark.createDataFrame([(0, "By Renée and D'Aston"), (1, long), (2, "Annabel Ann")], "pos int, line string")
+    assert rows(spelling.preamble_leaks(lines, heard, 2), "line", "name") == sorted([("By Renée and D'Aston", "Renée"), ("By Renée and D'Aston", "D'Aston"), (long, long)], key=str)
+    texts = spark.createDataFrame([(1, "Ann"), (2, "Rene Ann Lee Renées"), (3, f"D’Aston, Renée; {long}.")], "chapter int, text string")
+    assert rows(spelling.first_use(texts, heard.select("name"), "chapter"), "name", "first") == sorted([("Ann", 1), ("Ann Lee", 2), ("D'Aston", 3), ("Renée", 3), (long, 3)], key=str)
