@@ -88,14 +88,20 @@ def _terms(text: Column) -> Column:
 def disclosing_terms(tables: Tables, found: DataFrame, texts: DataFrame) -> DataFrame:
     """(kind, term, disclosure) of the terms at GENERALISE or above.
 
-    found: documents with base spans (k, text, has: kinds). texts: all documents (text). Counts cover all documents.
+    found: documents with base spans (k, text, has: kinds), each once. texts: all documents (k, text). Counts cover all documents;
+    rows of the same k count once.
     """
-    total = texts.count()
+    keys = tables.write(texts.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "keys")
+    total = keys.count()
+    repeated = keys.where("n > 1").select("k")
+    if m := repeated.count():
+        own = F.broadcast(repeated) if m <= BROADCAST_ROWS else repeated
+        texts = texts.join(own, "k", "left_anti").unionByName(texts.join(own, "k", "left_semi").dropDuplicates(["k"]))
     lines = found.select("k", "has", F.explode(F.split("text", "\n")).alias("line")).withColumn("kind", F.explode("has"))
     near = [F.when((F.col("kind") == kind) & F.col("line").rlike(NEEDED[kind]), F.regexp_replace("line", PATTERNS[kind], " ")) for kind in KINDS]
     lines = lines.withColumn("rest", F.coalesce(*near)).where("rest is not null").select("k", "kind", F.xxhash64("rest").alias("h"), F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term"))
     # Two aggregations, each combined before its shuffle: by (kind, term, document, line), then over lines and documents.
-    pairs = lines.groupBy("kind", "term").agg(F.approx_count_distinct("h", 0.02).alias("lines"), F.approx_count_distinct("k", 0.01).alias("rough"))
+    pairs = lines.select("kind", "term", "h").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("lines"))
     pairs = pairs.where(F.col("lines") >= SUPPORT).select("kind", "term")
     pairs = tables.write(lines.join(pairs, ["kind", "term"]).select("kind", "term", "k").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both")), "pairs")
     kinds = {r["kind"]: r["n"] for r in found.select(F.explode("has").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -103,6 +109,7 @@ def disclosing_terms(tables: Tables, found: DataFrame, texts: DataFrame) -> Data
     each = texts.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     n = wanted.count()
     if n == 0:
+        tables.drop(keys)
         return pairs.select("kind", "term", F.lit(0.0).alias("disclosure"))
     each = each.join(F.broadcast(wanted), "term", "left_semi") if n <= BROADCAST_ROWS else each
     freq = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -110,7 +117,7 @@ def disclosing_terms(tables: Tables, found: DataFrame, texts: DataFrame) -> Data
     scored = pairs.join(freq, "term").withColumn("ic", -F.log2(p_kind)).where("ic > 0")
     scored = scored.withColumn("disclosure", (F.log2(F.col("both") / F.col("df")) + F.col("ic")) / F.col("ic"))
     out = tables.write(scored.where(F.col("disclosure") >= GENERALISE).select("kind", "term", "disclosure"), "disclosing")
-    tables.drop(pairs, wanted)
+    tables.drop(pairs, wanted, keys)
     return out
 
 
@@ -129,7 +136,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     spans = spans.withColumns({"has": has, "k": F.xxhash64("_id", "_t")}).withColumn("any", barrier(F.size("has") > 0))
     # Texts without spans need no second look; only those with some are kept here.
     found = tables.write(spans.where("any").select("k", "has", F.col("_t").alias("text"), *[f"_{k}" for k in KINDS]), "found")
-    flagged = disclosing_terms(tables, found.select("k", "has", "text").dropDuplicates(["k"]), own.select(F.col("_t").alias("text")))
+    flagged = disclosing_terms(tables, found.select("k", "has", "text").dropDuplicates(["k"]), own.select(F.xxhash64("_id", "_t").alias("k"), F.col("_t").alias("text")))
     n = flagged.count()
     words = found.select("k", "has", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     flags = F.broadcast(flagged) if n <= BROADCAST_ROWS else flagged.hint("merge")

@@ -180,6 +180,20 @@ def test_pii_terms_that_disclose_are_sanitised(spark):
     assert all(not got[100 + i].term and got[100 + i].sanitised == rows[30 + i][1] for i in range(300))
 
 
+def test_pii_repeated_rows_change_nothing(spark):
+    rows = [(i, f"filler\nwrite {i} to zephyrine at u{i}@mail{i}.org") for i in range(30)] + [(100 + i, f"nothing to see {i}") for i in range(450)]
+    for copies in (1, 2):
+        got = [r for r in pii.find(spark.createDataFrame(rows * copies, "doc_id long, text string")).collect() if r.doc_id < 100]
+        assert len(got) == 30 * copies and all("zephyrine" not in r.sanitised for r in got)
+
+
+def test_pii_support_is_exact(spark):
+    few = [(10_000 * lines + 8 * j + i, f"say {8 * j + i} term{lines}x{j} to u{lines}y{8 * j + i}@mail.org") for lines in (7, 8) for j in range(600) for i in range(lines)]
+    docs = spark.createDataFrame(few + [(-i - 1, "plain text") for i in range(len(few))], "doc_id long, text string")
+    kept = [s["text"] for r in pii.find(docs).select("term").collect() for s in r.term if s["text"].startswith("term")]
+    assert sorted(kept) == sorted(f"term8x{j}" for j in range(600) for _ in range(8))
+
+
 def test_warc_round_trip(spark, docs, tmp_path):
     big = "<p>" + "x" * 1200 + "é</p>"
     rows = [(5, "http://a", big), (9, "http://b", big), (7, None, big), (1, "http://c", "small"), (2, "http://d", "small"), (3, "bad url\n", None), (None, "http://n", big), (9, "http://b", big), *[(20 + i, f"http://x/{i}", f"page {i} " * 200) for i in range(40)]]
