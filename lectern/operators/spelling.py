@@ -205,6 +205,7 @@ def first_use(texts: DataFrame, names: DataFrame, key: str) -> DataFrame:
     own = names.select("name", F.regexp_extract_all(T.fold_apostrophe(F.col("name")), F.lit(f"({WORD})"), F.lit(1)).alias("_w"))
     own = own.select("name", F.array_join("_w", " ").alias("_g"), F.size("_w").alias("n"))
     sizes = sorted(r["n"] for r in own.select("n").distinct().where("n > 0").collect())
+    own = F.broadcast(own) if own.count() <= C.BROADCAST_ROWS else own
     words = texts.select(key, F.regexp_extract_all(T.fold_apostrophe(F.coalesce("text", F.lit(""))), F.lit(f"({WORD})"), F.lit(1)).alias("_w"))
     out = None
     for n in sizes:
