@@ -68,6 +68,17 @@ class Tables:
         self.drop(*[t for t, _ in list(self.paths.values()) if not any(t is k for k in kept)])
 
 
+#: Bytes of the strings of a side that is broadcast, at most.
+BROADCAST_BYTES = 32 << 20
+
+
+def few(table: DataFrame) -> bool:
+    """Whether a written table is small enough to be broadcast, by rows and by the bytes of its strings."""
+    texts = [F.octet_length(f.name) for f in table.schema.fields if f.dataType.simpleString() == "string"]
+    r = table.agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(f"b{i}") for i, t in enumerate(texts)]).first()
+    return r[0] <= BROADCAST_ROWS and sum(b or 0 for b in r[1:]) <= BROADCAST_BYTES
+
+
 def semi_join_ids(df: DataFrame, ids: DataFrame, column: str, rows: int) -> DataFrame:
     """Rows of df whose column is in ids (one column of longs): broadcast if few, else shuffled."""
     return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids.hint("merge"), column, "left_semi")

@@ -1,14 +1,19 @@
 r"""Personal data: pattern spans, and terms that corpus co-occurrence shows to reveal them. DataFrame expressions only.
 
 Base kinds are found by pattern. For the method, every base kind k is a protected entity with information content
-IC(k) = -log2 p(k), p(k) being the share of documents that hold one. A term t that stands in a line with an entity of
-kind k discloses it as far as their pointwise mutual information reaches IC(k):
+IC(k) = -log2 p(k), p(k) being the share of documents that hold one. A term t discloses k as far as their pointwise mutual
+information reaches IC(k):
 
     disclosure(t, k) = log2(p(t, k) / (p(t) p(k))) / IC(k)        1: whoever reads t knows of k; 0: t says nothing
 
-with document frequencies over the whole corpus. A term counts only where SUPPORT different lines show it together with
-the entity, so that copies of one line prove nothing. In documents that hold an entity of kind k, terms at REMOVE or
-above are removed and terms at GENERALISE or above give way to their class (<NAME>, <NUMBER>, <WORD>).
+p(t, k) is the share of documents that hold an entity of kind k and, outside all base spans, the term t; p(t) the share that
+hold t. All of them are exact counts of rows over the whole corpus. A term counts only where it stands with SUPPORT different
+entities of the kind (a document stands for the least of its entities), so that copies of one document prove nothing, however
+many there are. Terms are words in lower case; a word with a digit in it is rare by itself and counts by its shape: digits as
+0, and where it holds letters too, letters and digits alike as x.
+
+In documents that hold an entity of kind k, terms at REMOVE or above are removed and terms at GENERALISE or above, which give
+away half of what there is to know, give way to their class (<NAME>, <NUMBER>, <WORD>).
 
 The patterns are possessive forms, in linear time, of those that the kinds are defined by: a match starts where the
 run of its first character class does, or where the last match ended.
@@ -19,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Tables, barrier
+from .common import Tables, barrier, few
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
@@ -30,21 +35,26 @@ PATTERNS = {
 }
 #: Texts without these hold no span of the kind.
 NEEDED = {"email": r"[A-Za-z0-9._%+-]@[A-Za-z0-9-]++\.[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9][\x20().0-9-]"}
-SUPPORT, GENERALISE, REMOVE = 8, 0.85, 0.95
+SUPPORT, GENERALISE, REMOVE = 6, 0.5, 0.95
+#: Shorter words are no terms.
+LEAST = 3
 #: Characters at which terms end, besides white space.
 EDGES = r"""\x20\x09-\x0D.,;:!?"'()\[\]{}<>|"""
 _SPAN = "struct<start:int,end:int,text:string>"
 
 
-def running_totals(lengths: str) -> str:
-    """SQL for the sums of the elements before each element of an array of ints.
+def running(values: str, both: str) -> str:
+    """SQL for what the elements before each element of an array of ints fold to, from 0; both is SQL of the fold so far, b.n, and x.
 
-    Totals gather in runs of 256, so that a text with very many matches doesn't copy one growing array at each.
+    Results gather in runs of 256, so that a text with very many matches doesn't copy one growing array at each.
     """
-    inner = f"aggregate(slice({lengths}, 256 * r + 1, 256), named_struct('n', a.n, 'out', CAST(array() AS array<int>)), (b, x) -> named_struct('n', b.n + x, 'out', array_append(b.out, b.n)))"
-    runs = f"sequence(0, CAST((size({lengths}) - 1) / 256 AS int))"
-    step = f"transform(array({inner}), c -> named_struct('n', c.n, 'out', array_append(a.out, c.out)))[0]"
-    return f"IF(size({lengths}) = 0, CAST(array() AS array<int>), aggregate({runs}, named_struct('n', 0, 'out', CAST(array() AS array<array<int>>)), (a, r) -> {step}, a -> flatten(a.out)))"
+    inner = f"aggregate(slice({values}, 256 * r + 1, 256), named_struct('n', a.n, 'out', CAST(array() AS array<int>)), (b, x) -> named_struct('n', {both}, 'out', array_append(b.out, b.n)))"
+    runs = f"sequence(0, CAST((size({values}) - 1) / 256 AS int))"
+    last = f"transform(array({inner}), c -> named_struct('n', c.n, 'out', array_append(a.out, c.out)))[0]"
+    return f"IF(size({values}) = 0, CAST(array() AS array<int>), aggregate({runs}, named_struct('n', 0, 'out', CAST(array() AS array<array<int>>)), (a, r) -> {last}, a -> flatten(a.out)))"
+
+
+TOTAL, MOST = "b.n + x", "greatest(b.n, x)"
 
 
 def _matches(df: DataFrame, text: str, pattern: Column, needed: Column, out: str) -> DataFrame:
@@ -52,7 +62,7 @@ def _matches(df: DataFrame, text: str, pattern: Column, needed: Column, out: str
     none = F.array().cast("array<string>")
     df = df.withColumns({"_m": F.when(needed, F.regexp_extract_all(text, pattern, F.lit(0))).otherwise(none), "_g": F.when(needed, F.split(text, pattern, -1)).otherwise(none)})
     df = df.withColumn("_len", F.expr("transform(_m, (x, i) -> length(x) + length(get(_g, i)))"))
-    df = df.withColumn("_at", F.expr(running_totals("_len")))
+    df = df.withColumn("_at", F.expr(running("_len", TOTAL)))
     span = "named_struct('start', get(_at, i) + length(get(_g, i)), 'end', get(_at, i) + length(get(_g, i)) + length(x), 'text', x)"
     return df.withColumn(out, F.expr(f"transform(_m, (x, i) -> {span})").cast(f"array<{_SPAN}>")).drop("_m", "_g", "_len", "_at")
 
@@ -80,44 +90,59 @@ def base_spans(df: DataFrame, text: str) -> DataFrame:
     return df
 
 
-def _terms(text: Column) -> Column:
-    """A text's terms in lower case."""
-    return F.filter(F.split(F.lower(text), f"[{EDGES}]+"), lambda x: F.length(x) >= 3)
+def term_of(word: str) -> str:
+    """SQL for a word's term."""
+    return f"transform(array(lower({word})), w -> CASE WHEN NOT w RLIKE '[0-9]' THEN w WHEN w RLIKE '\\\\p{{L}}' THEN regexp_replace(w, '[\\\\p{{L}}0-9]', 'x') ELSE regexp_replace(w, '[0-9]', '0') END)[0]"
+
+
+def _marks() -> Column:
+    """All base spans of a row, in order."""
+    return F.expr("array_sort(concat(" + ", ".join(f"transform(_{k}, x -> named_struct('start', x.start, 'side', 0, 'end', x.end, 'text', '<{k.upper()}>'))" for k in KINDS) + "))")
+
+
+def with_words(found: DataFrame, text: str) -> DataFrame:
+    """Adds _words: the words of LEAST characters or more that no base span touches, as (start, end, text).
+
+    Spans and words are sorted together, so a word looks at the furthest end before it and at the next entry only.
+    """
+    edges = F.lit(f"[{EDGES}]+")
+    df = found.withColumns({"_w": F.split(text, edges, -1), "_g": F.regexp_extract_all(text, edges, F.lit(0))})
+    # Arrays are zipped: one that a lambda merely refers to may be written out in it, and computed again for each element.
+    df = df.withColumn("_len", F.expr("zip_with(_w, _g, (x, g) -> length(x) + coalesce(length(g), 0))"))
+    df = df.withColumn("_at", F.expr(running("_len", TOTAL)))
+    own = f"filter(zip_with(_w, _at, (x, a) -> named_struct('start', a, 'side', 1, 'end', a + length(x), 'text', x)), x -> x.end - x.start >= {LEAST})"
+    df = df.withColumn("_both", F.array_sort(F.concat(_marks(), F.expr(own))))
+    df = df.withColumn("_ends", F.expr("transform(_both, x -> IF(x.side = 0, x.end, 0))")).withColumn("_far", F.expr(running("_ends", MOST)))
+    df = df.withColumn("_z", F.expr("arrays_zip(_both, _far, slice(_both, 2, greatest(size(_both), 1)))").cast("array<struct<x:struct<start:int,side:int,end:int,text:string>,far:int,y:struct<start:int,side:int,end:int,text:string>>>"))
+    free = "z.x.side = 1 AND z.far <= z.x.start AND NOT coalesce(z.y.side = 0 AND z.y.start < z.x.end, false)"
+    return df.withColumn("_words", F.expr(f"transform(filter(_z, z -> {free}), z -> named_struct('start', z.x.start, 'end', z.x.end, 'text', z.x.text))")).drop("_w", "_g", "_len", "_at", "_both", "_ends", "_far", "_z")
 
 
 def disclosing_terms(tables: Tables, found: DataFrame, texts: DataFrame) -> DataFrame:
     """(kind, term, disclosure) of the terms at GENERALISE or above.
 
-    found: documents with base spans (k, text, has: kinds), each once. texts: all documents (k, text). Counts cover all documents;
-    rows of the same k count once.
+    found: the rows with base spans (has: their kinds, _words and the spans by kind). texts: all rows (text).
     """
-    keys = tables.write(texts.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "keys")
-    total = keys.count()
-    repeated = keys.where("n > 1").select("k")
-    if m := repeated.count():
-        own = F.broadcast(repeated) if m <= BROADCAST_ROWS else repeated
-        texts = texts.join(own, "k", "left_anti").unionByName(texts.join(own, "k", "left_semi").dropDuplicates(["k"]))
-    lines = found.select("k", "has", F.explode(F.split("text", "\n")).alias("line")).withColumn("kind", F.explode("has"))
-    near = [F.when((F.col("kind") == kind) & F.col("line").rlike(NEEDED[kind]), F.regexp_replace("line", PATTERNS[kind], " ")) for kind in KINDS]
-    lines = lines.withColumn("rest", F.coalesce(*near)).where("rest is not null").select("k", "kind", F.xxhash64("rest").alias("h"), F.explode(F.array_distinct(_terms(F.col("rest")))).alias("term"))
-    # Two aggregations, each combined before its shuffle: by (kind, term, document, line), then over lines and documents.
-    pairs = lines.select("kind", "term", "h").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("lines"))
-    pairs = pairs.where(F.col("lines") >= SUPPORT).select("kind", "term")
-    pairs = tables.write(lines.join(pairs, ["kind", "term"]).select("kind", "term", "k").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both")), "pairs")
-    kinds = {r["kind"]: r["n"] for r in found.select(F.explode("has").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    least = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.xxhash64(F.array_min(F.transform(f"_{k}", lambda s: s["text"]))))])
+    lines = found.select("has", least.alias("least"), F.expr(f"array_distinct(transform(_words, x -> {term_of('x.text')}))").alias("terms"))
+    lines = lines.select(F.explode("has").alias("kind"), "least", "terms").select("kind", F.element_at("least", F.col("kind")).alias("entity"), F.explode("terms").alias("term"))
+    # Both aggregations combine before their shuffle: by (kind, term, entity), then over entities.
+    pairs = lines.groupBy("kind", "term", "entity").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("support"))
+    pairs = tables.write(pairs.where(F.col("support") >= SUPPORT).select("kind", "term", "both"), "pairs")
     wanted = tables.write(pairs.select("term").distinct(), "terms")
-    each = texts.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    n = wanted.count()
-    if n == 0:
-        tables.drop(keys)
+    if wanted.isEmpty():
         return pairs.select("kind", "term", F.lit(0.0).alias("disclosure"))
-    each = each.join(F.broadcast(wanted), "term", "left_semi") if n <= BROADCAST_ROWS else each
+    total = texts.count()
+    kinds = {r["kind"]: r["n"] for r in found.select(F.explode("has").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = texts.select(F.split("text", f"[{EDGES}]+").alias("_w"))
+    each = each.select(F.explode(F.array_distinct(F.expr(f"transform(filter(_w, x -> length(x) >= {LEAST}), x -> {term_of('x')})"))).alias("term"))
+    each = each.join(F.broadcast(wanted), "term", "left_semi") if few(wanted) else each
     freq = each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     p_kind = F.element_at(F.create_map(*[F.lit(x) for k, c in kinds.items() for x in (k, c / max(total, 1))]), F.col("kind"))
     scored = pairs.join(freq, "term").withColumn("ic", -F.log2(p_kind)).where("ic > 0")
     scored = scored.withColumn("disclosure", (F.log2(F.col("both") / F.col("df")) + F.col("ic")) / F.col("ic"))
     out = tables.write(scored.where(F.col("disclosure") >= GENERALISE).select("kind", "term", "disclosure"), "disclosing")
-    tables.drop(pairs, wanted, keys)
+    tables.drop(pairs, wanted)
     return out
 
 
@@ -127,38 +152,38 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry:
     Columns email, ip, card, phone, term: arrays of (start, end, text), code points, end exclusive, ordered by start;
     sanitised: the text with base spans replaced by <EMAIL> and so on, and terms generalised or removed. Spans that
     overlap are replaced together, by the tag of the first. A null text counts as empty: no spans, and null stays
-    null. Repeated rows are treated alike; a null id needs nothing else. Columns of docs not named are not read.
+    null. Rows are the unit of all counts: rows that repeat count as often as they stand there, so repeating every row
+    changes nothing, and rows of one text fare alike. Ids may be null or repeat; nothing is joined by them. Terms tied at a
+    threshold are all above it. An empty table gives no rows. Columns of docs not named are not read.
+
+    Rows without spans hold no terms either: they pass as they are. Only the others are written down and meet the terms, by
+    a row number of their own.
     """
     tables = Tables(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("_id"), (F.struct(*[F.col(c) for c in carry]) if carry else F.lit(0)).alias("_carry"), F.col(text_col).alias("_t"))
     spans = base_spans(own, "_t")
     has = F.filter(F.array(*[F.when(F.size(f"_{k}") > 0, F.lit(k)) for k in KINDS]), lambda x: x.isNotNull())
-    spans = spans.withColumns({"has": has, "k": F.xxhash64("_id", "_t")}).withColumn("any", barrier(F.size("has") > 0))
-    # Texts without spans need no second look; only those with some are kept here.
-    found = tables.write(spans.where("any").select("k", "has", F.col("_t").alias("text"), *[f"_{k}" for k in KINDS]), "found")
-    flagged = disclosing_terms(tables, found.select("k", "has", "text").dropDuplicates(["k"]), own.select(F.xxhash64("_id", "_t").alias("k"), F.col("_t").alias("text")))
-    n = flagged.count()
-    words = found.select("k", "has", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    flags = F.broadcast(flagged) if n <= BROADCAST_ROWS else flagged.hint("merge")
-    hits = words.join(flags, "term").where(F.array_contains("has", F.col("kind")))
-    hits = hits.groupBy("k").agg(F.collect_set("term").alias("_all"), F.collect_set(F.when(F.col("disclosure") >= REMOVE, F.col("term"))).alias("_gone"))  # at most a text's own terms
-    quoted = F.transform("_all", lambda x: F.regexp_replace(x, r"([^\p{L}\p{N}])", r"\\$1"))
-    pattern = F.concat(F.lit(f"(?iu)(?<![^{EDGES}])(?:"), F.array_join(quoted, "|"), F.lit(f")(?![^{EDGES}])"))
-    held = found.dropDuplicates(["k"]).join(hits, "k", "left").withColumn("_pattern", F.coalesce(pattern, F.lit("(?!)")))
-    held = _matches(held, "text", F.col("_pattern"), F.col("_all").isNotNull(), "_term")
-    everything = F.concat(*[F.expr(f"transform(_{k}, x -> named_struct('start', x.start, 'end', x.end, 'tag', '<{k.upper()}>'))") for k in KINDS])
-    held = held.withColumn("_base", everything).withColumn("_term", F.expr("filter(_term, x -> NOT exists(_base, b -> b.start < x.end AND x.start < b.end))"))
-    general = "IF(array_contains(_gone, lower(x.text)), '', CASE WHEN x.text RLIKE '[0-9]' THEN '<NUMBER>' WHEN x.text RLIKE '^\\\\p{Lu}' THEN '<NAME>' ELSE '<WORD>' END)"
-    held = held.withColumn("_marks", F.expr(f"array_sort(concat(_base, transform(_term, x -> named_struct('start', x.start, 'end', x.end, 'tag', {general}))))"))
-    held = held.withColumn("sanitised", F.expr(
-        "aggregate(_marks, named_struct('at', 0, 'out', CAST(array() AS array<string>)), (a, x) -> IF(x.start >= a.at, named_struct('at', x.end, 'out', array_append(array_append(a.out, substring(text, a.at + 1, x.start - a.at)), x.tag)),"
-        " named_struct('at', greatest(a.at, x.end), 'out', a.out)), a -> concat(array_join(a.out, ''), substring(text, a.at + 1)))"
-    ))
-    held = tables.write(held.select("k", *[f"_{k}" for k in (*KINDS, "term")], "sanitised"), "held")
-    tables.drop(found, flagged)
-    out = own.withColumn("k", F.xxhash64("_id", "_t")).join(held, "k", "left")
+    spans = spans.withColumn("has", has).withColumn("any", barrier(F.size("has") > 0))
+    found = spans.where("any").select(F.monotonically_increasing_id().alias("row"), "_id", "_carry", "_t", "has", *[f"_{k}" for k in KINDS])
+    spanned = tables.write(found, "spanned")
+    found = tables.write(with_words(spanned, "_t"), "found")
+    tables.drop(spanned)
+    flagged = disclosing_terms(tables, found, own.select(F.col("_t").alias("text")))
+    words = found.select("row", "has", F.explode("_words").alias("x")).select("row", "has", "x.*").withColumn("term", F.expr(term_of("text")))
+    hits = words.join(F.broadcast(flagged) if few(flagged) else flagged, "term").where(F.array_contains("has", F.col("kind")))
+    hits = hits.groupBy("row", "start").agg(F.first("end").alias("end"), F.first("text").alias("text"), F.max("disclosure").alias("d"))
+    tag = F.when(F.col("d") >= REMOVE, "").when(F.col("text").rlike("[0-9]"), "<NUMBER>").when(F.col("text").rlike(r"^\p{Lu}"), "<NAME>").otherwise("<WORD>")
+    hits = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "text", tag.alias("tag")))).alias("_hits"))  # at most a text's own words
+    held = found.drop("_words").join(hits, "row", "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<struct<start:int,end:int,text:string,tag:string>>")))
+    held = held.withColumn("_m", F.array_sort(F.concat(_marks(), F.expr("transform(_hits, x -> named_struct('start', x.start, 'side', 0, 'end', x.end, 'text', x.tag))"))))
+    held = held.withColumn("_ends", F.expr("transform(_m, x -> x.end)")).withColumn("_far", F.expr(running("_ends", MOST)))
+    pieces = "filter(zip_with(_m, _far, (x, far) -> IF(x.start >= far, concat(substring(_t, far + 1, x.start - far), x.text), NULL)), x -> x IS NOT NULL)"
+    held = held.withColumn("_sanitised", F.expr(f"concat(array_join({pieces}, ''), substring(_t, array_max(_ends) + 1))"))
+    held = held.withColumn("_term", F.expr("transform(_hits, x -> named_struct('start', x.start, 'end', x.end, 'text', x.text))"))
     none = F.array().cast(f"array<{_SPAN}>")
-    return out.select(F.col("_id").alias(id_col), *[F.col(f"_carry.{c}").alias(c) for c in carry], *[F.coalesce(f"_{k}", none).alias(k) for k in (*KINDS, "term")], F.coalesce("sanitised", "_t").alias("sanitised"))
+    rest = spans.where("NOT any").select("_id", "_carry", *[none.alias(f"_{k}") for k in (*KINDS, "term")], F.col("_t").alias("_sanitised"))
+    out = rest.unionByName(held.select(rest.columns))
+    return out.select(F.col("_id").alias(id_col), *[F.col(f"_carry.{c}").alias(c) for c in carry], *[F.col(f"_{k}").alias(k) for k in (*KINDS, "term")], F.col("_sanitised").alias("sanitised"))
 
 
 def listed(kinds: tuple[str, ...]) -> Column:

@@ -116,6 +116,37 @@ def op8_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(pii.KINDS), 256).alias("base_sha256"), pii.listed((*pii.KINDS, "term")).alias("spans"))
 
 
+def _op8_sql() -> str:
+    """The definition in SQL: spans by kind from matches and the gaps between them, words outside spans, counts of documents."""
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digits}[length({digits}) - i + 1]::INT ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][{digits}[length({digits}) - i + 1]::INT + 1] END)) % 10 = 0"
+    valid = {"email": "true", "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR ('0' || ltrim(p, '0')[1:3])::INT > 255)) = 0", "card": f"length({digits}) BETWEEN 16 AND 19 AND {luhn}", "phone": f"length({digits}) BETWEEN 8 AND 15"}
+    edges = f"[{pii.EDGES}]+".replace("'", "''")
+    term = r"CASE WHEN NOT regexp_matches({w}, '[0-9]') THEN {w} WHEN regexp_matches({w}, '\p{{L}}') THEN regexp_replace({w}, '[\p{{L}}0-9]', 'x', 'g') ELSE regexp_replace({w}, '[0-9]', '0', 'g') END".format(w="lower(w)")
+    each = " UNION ALL ".join(
+        f"SELECT r, {n} AS o, '{k}' AS kind, e - length(m) AS s, e, m FROM (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i) AS e FROM (SELECT r, unnest(x) AS m, unnest(gs[1:len(x)]) AS g, generate_subscripts(x, 1) AS i FROM (SELECT r, regexp_extract_all(t, '{p}') AS x, regexp_split_to_array(t, '{p}') AS gs FROM d WHERE regexp_matches(t, '{p}')))) WHERE {valid[k]}"
+        for n, (k, p) in enumerate(plain.items())
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({each}),
+cut AS (SELECT r, unnest(ws) AS w, unnest(list_concat(gs, [''])[1:len(ws)]) AS g, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_split_to_array(t, '{edges}') AS ws, regexp_extract_all(t, '{edges}') AS gs FROM d SEMI JOIN base USING (r))),
+placed AS (SELECT r, w, sum(length(w) + length(g)) OVER (PARTITION BY r ORDER BY i) - length(g) AS e FROM cut),
+words AS (SELECT r, w, e - length(w) AS s, e, {term} AS term FROM placed WHERE length(w) >= {pii.LEAST} AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = placed.r AND b.s < placed.e AND placed.e - length(w) < b.e)),
+holds AS (SELECT r, kind, min(m) AS entity FROM base GROUP BY r, kind),
+pairs AS (SELECT kind, term, count(DISTINCT r) AS n_both, count(DISTINCT entity) AS support FROM holds JOIN (SELECT DISTINCT r, term FROM words) USING (r) GROUP BY kind, term HAVING count(DISTINCT entity) >= {pii.SUPPORT}),
+every AS (SELECT DISTINCT r, {term} AS term FROM (SELECT r, unnest(regexp_split_to_array(t, '{edges}')) AS w FROM d) WHERE length(w) >= {pii.LEAST}),
+df AS (SELECT term, count(*) AS df FROM every SEMI JOIN pairs USING (term) GROUP BY term),
+ic AS (SELECT kind, -log2(count(*) / (SELECT count(*) FROM d)) AS ic FROM holds GROUP BY kind),
+flagged AS (SELECT kind, term FROM pairs JOIN df USING (term) JOIN ic USING (kind) WHERE ic > 0 AND (log2(n_both / df) + ic) / ic >= {pii.GENERALISE}),
+terms AS (SELECT DISTINCT w.r, 4 AS o, 'term' AS kind, w.s, w.e FROM words w JOIN holds USING (r) JOIN flagged f ON f.kind = holds.kind AND f.term = w.term),
+listed AS (SELECT r, count(*) FILTER (WHERE o = 4) AS n_term, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY o, s) AS spans, string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY o, s) FILTER (WHERE o < 4) AS base,
+  {", ".join(f"count(*) FILTER (WHERE o = {n}) AS n_{k}" for n, k in enumerate(plain))} FROM (SELECT r, o, kind, s, e FROM base UNION ALL SELECT * FROM terms) GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in (*plain, "term"))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN listed USING (r)
+"""
+
+
 def op9_line_first_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents")).drop("cleaned")
 
@@ -162,5 +193,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_jump_sharding": OP2_SQL,
     "op4_sharded_warc": OP4_SQL,
     "op6_minhash_near_dedup": OP6_SQL,
+    "op8_disclosure_sanitiser": _op8_sql(),
     "op9_line_first_cleaning": OP9_SQL,
 }

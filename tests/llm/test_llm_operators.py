@@ -188,10 +188,73 @@ def test_pii_repeated_rows_change_nothing(spark):
 
 
 def test_pii_support_is_exact(spark):
-    few = [(10_000 * lines + 8 * j + i, f"say {8 * j + i} term{lines}x{j} to u{lines}y{8 * j + i}@mail.org") for lines in (7, 8) for j in range(600) for i in range(lines)]
+    few = [(10_000 * n + 8 * j + i, f"say {8 * j + i} term{'abcdefg'[n]}{'x' * j} to u{n}y{8 * j + i}@mail.org") for n in (5, 6) for j in range(60) for i in range(n)]
     docs = spark.createDataFrame(few + [(-i - 1, "plain text") for i in range(len(few))], "doc_id long, text string")
     kept = [s["text"] for r in pii.find(docs).select("term").collect() for s in r.term if s["text"].startswith("term")]
-    assert sorted(kept) == sorted(f"term8x{j}" for j in range(600) for _ in range(8))
+    assert sorted(kept) == sorted(f"termg{'x' * j}" for j in range(60) for _ in range(6))
+
+
+def brute_terms(rows):
+    """(spans by row, sanitised by row) from the definition, for texts whose lower case has their length."""
+    def shape(w):
+        w = w.lower()
+        return w if not re.search("[0-9]", w) else re.sub(r"[^\W_]", "x", w) if re.search(r"[^\W\d_]", w) else re.sub("[0-9]", "0", w)
+
+    def words(t):
+        return [(m.start(), m.end(), m[0]) for m in re.finditer(f"[^{pii.EDGES}]{{{pii.LEAST},}}", t)]
+
+    bases = [[(m.start(), m.end(), k, m[0]) for k, p in PATTERNS.items() for m in re.finditer(p, t or "") if valid(k, m[0])] for _, t in rows]
+    free = [[w for w in words(t or "") if not any(b[0] < w[1] and w[0] < b[1] for b in base)] for (_, t), base in zip(rows, bases, strict=True)]
+    holds = [{k: min(b[3] for b in base if b[2] == k) for k in {b[2] for b in base}} for base in bases]
+    df, both, support, kinds = {}, {}, {}, {}
+    for (_, t), own, has in zip(rows, free, holds, strict=True):
+        for x in {shape(w[2]) for w in words(t or "")}:
+            df[x] = df.get(x, 0) + 1
+        for k, entity in has.items():
+            kinds[k] = kinds.get(k, 0) + 1
+            for x in {shape(w[2]) for w in own}:
+                both[k, x] = both.get((k, x), 0) + 1
+                support.setdefault((k, x), set()).add(entity)
+    d = {}
+    for (k, x), n in both.items():
+        ic = -np.log2(kinds[k] / len(rows))
+        if len(support[k, x]) >= pii.SUPPORT and ic > 0:
+            d[k, x] = (np.log2(n / df[x]) + ic) / ic
+    out = []
+    for (_, t), base, own, has in zip(rows, bases, free, holds, strict=True):
+        marks, terms = [(a, b, f"<{k.upper()}>") for a, b, k, _ in base], []
+        for a, b, w in own:
+            best = max((d.get((k, shape(w)), 0) for k in has), default=0)
+            if best >= pii.GENERALISE:
+                terms.append((a, b))
+                marks.append((a, b, "" if best >= pii.REMOVE else "<NUMBER>" if re.search("[0-9]", w) else "<NAME>" if w[0].isupper() else "<WORD>"))
+        text, at = "", 0
+        for a, b, tag in sorted(marks):
+            if a >= at:
+                text += (t or "")[at:a] + tag
+            at = max(at, b)
+        out.append((terms, text + (t or "")[at:] if t is not None else None))
+    return out
+
+
+def test_pii_terms_against_brute_force(spark, docs, empty):
+    rng = random.Random(8)
+    rows = []
+    for i in range(400):
+        words = [rng.choice(["alpha", "Beta", "gamma7", "delta", "the", "étude", "4711", "é-1x"]) for _ in range(rng.randrange(3, 12))]
+        if rng.random() < 0.12:
+            words += ["zephyr"] * (rng.random() < 0.8) + [rng.choice(["Token", "token"])] * (rng.random() < 0.7) + ["%040x" % rng.getrandbits(160)] * (rng.random() < 0.6)
+            words.append(rng.choice([f"u{i}@m{i}.org", f"+1 (234) 555-{1000 + i}", f"10.0.{i % 250}.{i % 9}", f"x+1{2345678 + i}y"]))
+        if rng.random() < 0.02:
+            words.append("zephyr")
+        rng.shuffle(words)
+        rows.append((i, rng.choice([" ", ", ", "\n"]).join(words)))
+    rows += [rows[3], rows[3], (None, rows[4][1]), (None, None), (900, ""), (901, "long " + " ".join(f"q{i}@w.org token zephyr" for i in range(3000)))]
+    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(str(i), t) for (i, _), t in zip(rows, brute_terms(rows), strict=True)]
+    mine = [(str(r.doc_id), ([(s["start"], s["end"]) for s in r.term], r.sanitised)) for r in got]
+    assert sorted(mine, key=str) == sorted(want, key=str)
+    assert sum(len(x[1][0]) for x in want) > 30
 
 
 def test_warc_round_trip(spark, docs, tmp_path):
