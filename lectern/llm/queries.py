@@ -20,7 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op3_streaming_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), model)
+    back = sentence_pieces.decode_documents(coded, model, carry=("n_ids", "ids", "ids_crc32", "text_crc32"))
+    return back.select("doc_id", "n_ids", "ids", "ids_crc32", (F.crc32(F.col("text").cast("binary")) == F.col("text_crc32")).alias("decoded_ok"))
 
 
 def op4_sharded_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,9 +7,10 @@ adding them up along a path, as one does with a unigram model, gives other piece
 piece, so the window of positions that a later arc can start from is as long as that. When all surviving backpointer paths
 from the window meet in one boundary, what lies before it is committed and forgotten.
 
-Between white space and what precedes it the paths always meet, since no piece holds a space mark after another character.
-That lets a worker remember the ids of words instead of walking their lattice again. Characters without a piece are barriers
-too and become byte pieces.
+All texts go through stream(). Where no piece crosses a boundary, all paths meet in it and what lies before is committed: that
+is so between white space and what precedes it, and between characters that no piece has side by side. A worker remembers what
+stream() committed between two such boundaries, so that a word that comes again isn't walked again. Characters without a piece
+are barriers too and become byte pieces.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ import re
 import struct
 from collections import deque
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 #: Words, and pairs of pieces, that a worker remembers; beyond it starts anew.
 REMEMBERED, PAIRS = 1_000_000, 500_000
-#: Longer words are streamed.
-LONG = 64
+#: Characters that a text is streamed in, if its words can't be told apart beforehand.
+CHUNK = 4096
 _models: dict[str, Model] = {}
 
 
@@ -56,9 +59,6 @@ class Model:
         # Arcs are pieces that merging their own characters leads to.
         self.arcs = {p for p in normal if len(p) == 1 or self.merge(p) == [p]}
         self.longest = max(map(len, self.arcs), default=1)
-        self.ends: dict[str, int] = {}
-        for p in self.arcs:
-            self.ends[p[-1]] = max(self.ends.get(p[-1], 1), len(p))
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.arcs) and "\n" not in self.ids
         self.prefixes = {p[:n] for p in self.arcs for n in range(1, len(p) + 1)}
         self.joined = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
@@ -116,69 +116,56 @@ class Words(dict):
             part = text[a:b]
             found = self.parts.get(part)
             if found is None:
-                ids = list(stream(self.model, [part])) if len(part) > LONG else _lattice(self.model, part)
+                ids = list(stream(self.model, [part]))
                 found = self.parts[part] = struct.pack(f"<{len(ids)}i", *ids)
             out += found
         return out
 
 
-def _lattice(model: Model, text: str) -> list[int]:
-    """What stream() gives for a short text, from the arcs that start at each position in turn."""
-    n, prefixes, arcs, admits = len(text), model.prefixes, model.arcs, model.admits
-    before: list[str | None] = [None] * (n + 1)
-    for i in range(n):
-        last = before[i]
-        barrier = last is None or last not in model.ids
-        for j in range(i + 1, n + 1):
-            piece = text[i:j]
-            if piece not in prefixes:
-                break
-            if before[j] is None and piece in arcs and (barrier or admits(last, piece)):
-                before[j] = piece
-        if before[i + 1] is None:
-            before[i + 1] = text[i]
-    return [x for piece in _path(before, n) for x in model.emit(piece)]
-
-
-def stream(model: Model, chunks: Iterable[str]) -> Iterator[int]:
-    """Ids of a normalised text that arrives in chunks, each as soon as it is certain."""
-    text, base = "", 0  # the window's characters, and the place of the first
-    before: list[str | None] = [None]  # the surviving arc into each position of the window; None at its start
-    for chunk in chunks:
-        for c in chunk:
-            text += c
-            i = len(text)
-            arc = None
-            if c in model.ids:
-                for n in range(min(model.ends.get(c, 1), i), 0, -1):
-                    piece = text[i - n :]
-                    if piece not in model.arcs:
-                        continue
-                    last = before[i - n]
-                    if last is None and (i - n or base) and before[0] is not None:
-                        continue
-                    if last is None or last not in model.ids or model.admits(last, piece):
-                        arc = piece
-                        break
-                arc = arc or c
-            else:
-                arc = c  # no piece has it: a barrier
-            before.append(arc)
-            if len(text) >= 2 * model.longest:
-                done = _meet(before, model.longest)
-                if done:
-                    for piece in _path(before, done):
-                        yield from model.emit(piece)
-                    text, base = text[done:], base + done
-                    before = before[done:]
-    for piece in _path(before, len(before) - 1):
-        yield from model.emit(piece)
-
-
-def _meet(before: list[str | None], longest: int) -> int:
-    """The last boundary that all paths from the window's final `longest` positions go through."""
-    end = len(before) - 1
-    reach = set(range(max(1, end - longest + 1), end + 1))
+def stream(model: Model, chunks: Iterable[str], committed: list[int] | None = None) -> Iterator[int]:
+    """Ids of a normalised text that arrives in chunks, each as soon as it is certain.
+
+    Arcs are laid from each position in turn, once the characters that its longest arc could take are there; the first arc into
+    a position survives, being the longest that the model admits. committed: takes the characters of each commit.
+    """
+    prefixes, arcs, admits, known, longest = model.prefixes, model.arcs, model.admits, model.ids, model.longest
+    text, at = "", 0  # the window's characters, and the first position without arcs
+    before: list[str | None] = [None]  # the surviving arc into each position of the window; None at the text's start
+
+    def commit(done):
+        if committed is not None:
+            committed.append(done)
+        for piece in _path(before, done):
+            yield from model.emit(piece)
+
+    for chunk in chain(chunks, [None]):
+        text += chunk or ""
+        n = len(text)
+        before += [None] * (n + 1 - len(before))
+        ready = n if chunk is None else n - longest + 1
+        while at < ready:
+            last = before[at]
+            barrier = last is None or last not in known
+            for j in range(at + 1, n + 1):
+                piece = text[at:j]
+                if piece not in prefixes:
+                    break
+                if before[j] is None and piece in arcs and (barrier or admits(last, piece)):
+                    before[j] = piece
+            if before[at + 1] is None:
+                before[at + 1] = text[at]
+            at += 1
+            if at >= 2 * longest and at < n and (done := _meet(before, at, longest)):
+                yield from commit(done)
+                text, before, at, ready, n = text[done:], before[done:], at - done, ready - done, n - done
+    if text:
+        yield from commit(len(text))
+
+
+def _meet(before: list[str | None], at: int, longest: int) -> int:
+    """The last boundary that every path goes through which a later arc can continue: those into position `at` and those that
+    arcs from before it have led beyond it."""
+    reach = {p for p in range(at, min(at + longest, len(before))) if p == at or before[p] is not None}
     while len(reach) > 1:
         top = max(reach)
         reach.remove(top)
@@ -204,11 +191,13 @@ _WORD = re.compile(f"{MARK}*[^{MARK}\\n]+|{MARK}+|\\n")
 
 
 def encode_bytes(model: Model, text: str) -> bytes:
-    """Ids of a whole text, as little-endian 32-bit integers: its words are streamed once each and remembered."""
+    """Ids of a whole text, as little-endian 32-bit integers. Between words every path meets, so each is committed on its own:
+    streamed when it first comes, and remembered."""
     if not text:
         return b""
     if not model.by_word:
-        ids = list(stream(model, [normalise(text)]))
+        own = normalise(text)
+        ids = list(stream(model, (own[i : i + CHUNK] for i in range(0, len(own), CHUNK))))
         return struct.pack(f"<{len(ids)}i", *ids)
     known = model.words
     if len(known) > REMEMBERED or len(known.parts) > REMEMBERED:
@@ -238,7 +227,7 @@ def model_of(path: str) -> Model:
     return _models[path]
 
 
-CODED = "id long, n_ids int, ids array<int>, ids_crc32 long, decoded_ok boolean"
+CODED = "id long, n_ids int, ids array<int>, ids_crc32 long, text_crc32 long"
 
 
 def _coder(path: str):
@@ -251,25 +240,49 @@ def _coder(path: str):
         model = model_of(path)
         for batch in batches:
             for at in range(0, len(batch), 500):
-                ids, crc, fine = [], [], []
+                ids, crc, own_crc = [], [], []
                 for text in batch.column("text").slice(at, 500).to_pylist():
                     own = np.frombuffer(encode_bytes(model, text or ""), dtype="<i4")
                     ids.append(own)
                     crc.append(zlib.crc32(own.tobytes()))
-                    fine.append(decode(model, own.tolist()) == (text or "").replace(MARK, " "))
+                    own_crc.append(zlib.crc32((text or "").replace(MARK, " ").encode()))
                 sizes = np.array([len(x) for x in ids], dtype=np.int32)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, 500), pa.array(sizes), flat, pa.array(crc, pa.int64()), pa.array(fine)], names=[x.split()[0] for x in CODED.split(", ")])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, 500), pa.array(sizes), flat, pa.array(crc, pa.int64()), pa.array(own_crc, pa.int64())], names=[x.split()[0] for x in CODED.split(", ")])
 
     return run
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_ids, ids, ids_crc32, decoded_ok) for every row of docs.
+    """(id_col, n_ids, ids, ids_crc32, text_crc32) for every row of docs.
 
-    ids are those that the public library gives; decoded_ok says that decoding them gives the text back, with U+2581 read as
-    a space. A null or empty text has no ids. Ids of rows may be null or repeat; other columns are not read; an empty table gives
-    no rows. A task holds one batch of texts and what it remembers, which is bounded.
+    ids are those that the public library gives; text_crc32 is of the text's UTF-8 with U+2581 read as a space, which is what
+    decoding gives back. A null or empty text has no ids. Equal texts have equal ids, and rows may repeat; ids of rows may be
+    null or repeat; other columns are not read; an empty table gives no rows. A task holds one batch of texts and what it
+    remembers, which is bounded.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return own.mapInArrow(_coder(model), CODED).withColumnRenamed("id", id_col)
+
+
+def _decoder(path: str):
+    def run(batches):
+        import pyarrow as pa
+
+        model = model_of(path)
+        for batch in batches:
+            at = batch.schema.get_field_index("ids")
+            texts = [None if ids is None else decode(model, ids) for ids in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(texts, pa.string())], names=[*(n for n in batch.schema.names if n != "ids"), "text"])
+
+    return run
+
+
+def decode_documents(tokens: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id_col, columns in `carry`, text) for every row of tokens: the text that its ids stand for, as the public library decodes
+    them. No ids are the empty text, a null array stays null; control ids are dropped, an id that the model lacks is an error.
+    Rows may repeat, ids of rows may be null; other columns are not read; an empty table gives no rows."""
+    own = tokens.select(F.col(id_col).alias("c0"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry, 1)], F.col(ids_col).alias("ids"))
+    schema = T.StructType([f for f in own.schema if f.name != "ids"] + [T.StructField("text", T.StringType())])
+    out = own.mapInArrow(_decoder(model), schema)
+    return out.select(F.col("c0").alias(id_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry, 1)], "text")

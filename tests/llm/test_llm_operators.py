@@ -342,7 +342,38 @@ def test_sentence_pieces(docs, empty):
         assert sentence_pieces.decode(model, want) == sp.decode(want), t
     got = sentence_pieces.encode_documents(docs, path).collect()
     assert sorted(map(str, (r.ids for r in got))) == sorted(str(sp.encode(r.text or "")) for r in docs.collect())
-    assert all(r.decoded_ok for r in got) and sentence_pieces.encode_documents(empty, path).count() == 0
+    assert sentence_pieces.encode_documents(empty, path).count() == 0
+    back = sentence_pieces.decode_documents(sentence_pieces.encode_documents(docs, path), path)
+    assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(r.doc_id), sp.decode(sp.encode(r.text or ""))) for r in docs.collect())
+
+
+def test_decoding_a_table_of_ids(spark, empty):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(1, sp.encode("two words"), "x"), (1, sp.encode("two words"), "x"), (None, [], "y"), (3, None, None), (4, [1, 2, 300, 13], "z")]
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>, text string")
+    got = [(r.doc_id, r.text) for r in sentence_pieces.decode_documents(df, path).collect()]
+    assert got == [(i, None if ids is None else sp.decode(ids)) for i, ids, _ in rows]
+    assert sentence_pieces.decode_documents(df.limit(0), path, carry=("text",)).count() == 0
+
+
+def test_every_text_is_streamed_and_committed_in_parts(monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Model(path)
+    calls, stream = [], sentence_pieces.stream
+    monkeypatch.setattr(sentence_pieces, "stream", lambda model, chunks, committed=None: calls.append(1) or stream(model, chunks, committed))
+    texts = [t for _, t in hard_texts() if t]
+    assert [sentence_pieces.encode(model, t) for t in texts] == [sp.encode(t) for t in texts] and calls
+    for t in (texts[4] * 20, "internationalisation" * 200, "aaab" * 500):
+        commits, text = [], sentence_pieces.normalise(t)
+        assert list(stream(model, [text[i : i + 7] for i in range(0, len(text), 7)], commits)) == sp.encode(t)
+        assert sum(commits) == len(text) and len(commits) > len(text) / (6 * model.longest)
 
 
 def test_stream_keeps_a_bounded_window():
