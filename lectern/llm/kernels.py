@@ -28,21 +28,9 @@ SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK + 1), base, dtype=U)
-        have[0] = 1
-        np.multiply.accumulate(have, out=have)
-        if n <= 4 * CHUNK:
-            _powers[base] = have
-    return have[:n]
+SEEDS = 2
+#: A number for each byte value and seed.
+_BYTE = [mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15) + U(0x2545F4914F6CDD1D) * U(s)) for s in range(SEEDS)]
 
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
@@ -81,15 +69,24 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(end) + 1, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, from one prefix sum over all bytes."""
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(_BYTE[data] * _power(_BASE, len(data)), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _power(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(U))
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words, from one prefix sum over their bytes.
+
+    A word's hash is the sum of a mixed number for each byte and its place in the word. Mixing byte and place together isn't
+    linear, so regular words don't cancel out as they do under a polynomial. Seeds give independent hashes.
+    """
+    long = ends - starts
+    cut = np.concatenate([[0], np.cumsum(long)])
+    place = np.arange(cut[-1], dtype=np.int64) - np.repeat(cut[:-1], long)
+    own = data[place + np.repeat(starts, long)]
+    sums = np.zeros(len(own) + 1, dtype=U)
+    np.cumsum(mix(_BYTE[seed][own] + place.astype(U) * U(0xD1342543DE82EF95)), out=sums[1:])
+    return mix(sums[cut[1:]] - sums[cut[:-1]] + long.astype(U))
 
 
-def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each text's word shingles, end to end, and how many each text has.
+def shingles(data: np.ndarray, offsets: np.ndarray, width: int, seed: int = 0, second: bool = False) -> tuple[np.ndarray, ...]:
+    """Sorted distinct hashes of each text's word shingles, end to end, and how many each text has; with `second`, also the
+    hashes of the same shingles by another seed.
 
     A-Z are lower-cased. A text of fewer than `width` words, but one at least, is one shingle of all its words.
     """
@@ -97,28 +94,40 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
     data = LOWER[data]
     starts, ends, text = words(data, offsets)
     if not len(starts):
-        return np.zeros(0, U), np.zeros(n, np.int64)
-    h = word_hashes(data, starts, ends)
+        return (np.zeros(0, U), np.zeros(n, np.int64), np.zeros(0, U))[: 2 + second]
     own = np.bincount(text, minlength=n)
-    v = h.copy()
-    for j in range(1, width):
-        v[: len(h) - j] = mix(v[: len(h) - j] * U(0x9E3779B97F4A7C15) + h[j:])
-    whole = np.zeros(len(h), dtype=bool)
-    if len(h) >= width:
-        whole[: len(h) - width + 1] = text[: len(h) - width + 1] == text[width - 1 :]
     first = np.concatenate([[0], np.cumsum(own)])
-    for d in np.flatnonzero((own > 0) & (own < width)):
-        x = h[first[d] : first[d] + 1].copy()
-        for j in range(1, own[d]):
-            x = mix(x * U(0x9E3779B97F4A7C15) + h[first[d] + j : first[d] + j + 1])
-        v[first[d]], whole[first[d]] = mix(x + U(own[d]))[0], True
-    v, text = v[whole], text[whole]
+    short = np.flatnonzero((own > 0) & (own < width))
+    found = []
+    for s in (seed, seed + 1)[: 1 + second]:
+        h = word_hashes(data, starts, ends, s)
+        v = h.copy()
+        for j in range(1, width):
+            v[: len(h) - j] = mix(v[: len(h) - j] * U(0x9E3779B97F4A7C15) + h[j:])
+        for d in short:
+            x = h[first[d] : first[d] + 1].copy()
+            for j in range(1, own[d]):
+                x = mix(x * U(0x9E3779B97F4A7C15) + h[first[d] + j : first[d] + j + 1])
+            v[first[d]] = mix(x + U(own[d]))[0]
+        found.append(v)
+    whole = np.zeros(len(starts), dtype=bool)
+    if len(starts) >= width:
+        whole[: len(starts) - width + 1] = text[: len(starts) - width + 1] == text[width - 1 :]
+    whole[first[short]] = True
+    text = text[whole]
+    found = [v[whole] for v in found]
     cut = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n))])
     for d in np.flatnonzero(np.diff(cut) > 1):
-        v[cut[d] : cut[d + 1]].sort()
+        at = slice(cut[d], cut[d + 1])
+        if second:
+            order = np.argsort(found[0][at])
+            found[0][at], found[1][at] = found[0][at][order], found[1][at][order]
+        else:
+            found[0][at].sort()
+    v = found[0]
     keep = np.ones(len(v), dtype=bool)
     keep[1:] = (v[1:] != v[:-1]) | (text[1:] != text[:-1])
-    return v[keep], np.bincount(text[keep], minlength=n)
+    return (v[keep], np.bincount(text[keep], minlength=n), *(x[keep] for x in found[1:]))
 
 
 def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

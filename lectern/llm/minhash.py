@@ -1,9 +1,10 @@
 """Near-duplicate documents by b-bit MinHash.
 
-One pass over the texts gives each document its shingle count, a 128-bit fingerprint of its shingle set, band keys
-from the full minima, and a sketch that keeps only the lowest BITS bits of each minimum, packed as bit planes. Band
+One pass over the texts gives each document its shingle count, a fingerprint of its shingle set by two independent 64-bit
+hashes, band keys from the full minima of the first, and a sketch that keeps only the lowest BITS bits of each minimum, packed as bit planes. Band
 keys bring candidates together; XOR and bit counts over the planes estimate their similarity, corrected for minima
-that agree in their low bits by chance; and the pairs that may reach the threshold are confirmed on full shingle sets.
+that agree in their low bits by chance; and the pairs that may reach the threshold are confirmed on full shingle sets, by the
+second hash, so that what the first took for equal by chance doesn't count.
 
 No step lists all pairs of a group. Documents with equal sets fall into one class before any pairing. In each band
 bucket, every class is first compared with one hub. Buckets whose members are connected by then need nothing more.
@@ -73,10 +74,10 @@ def _sketch(width: int):
 
         for batch in batches:
             for at, end, data, offsets in K.chunks(batch.column(1)):
-                values, counts = K.shingles(data, offsets, width)
+                values, counts, others = K.shingles(data, offsets, width, second=True)
                 full = counts > 0
                 cut = np.concatenate([[0], np.cumsum(counts)])
-                s1, s2 = K.segment_sums(values.view(np.int64), cut), K.segment_sums(K.mix(values ^ K.U(0x5851F42D4C957F2D)).view(np.int64), cut)
+                s1, s2 = K.segment_sums(values.view(np.int64), cut), K.segment_sums(others.view(np.int64), cut)
                 keys, planes = np.zeros((len(counts), BANDS), np.int64), np.zeros((len(counts), len(PLANES)), np.int64)
                 if full.any():
                     sig = minima(values, counts[full])
@@ -93,7 +94,7 @@ def _sets(width: int):
 
         for batch in batches:
             for at, end, data, offsets in K.chunks(batch.column(1)):
-                values, counts = K.shingles(data, offsets, width)
+                values, counts = K.shingles(data, offsets, width, seed=1)
                 cut = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.ListArray.from_arrays(pa.array(cut), pa.array(values.view(np.int64)))], names=["id", "items"])
 

@@ -69,6 +69,21 @@ def test_near_duplicates(docs, empty, width):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_regular_words_and_other_hash_traps(spark):
+    """Words that are equal under any polynomial modulo 2 ** 64: the Thue-Morse sequence and its complement."""
+    from lectern.llm import kernels as K
+
+    morse = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    rows = [(1, morse), (2, morse.translate(str.maketrans("ab", "ba"))), (3, morse + " x y"), (4, morse.translate(str.maketrans("ab", "ba")) + " x y"), (5, "ab"), (6, "ba"), (7, "a b"), (8, morse)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 1}
+    many = [f"{a}{b}" * k for a in "abcdefgh" for b in "abcdefgh" for k in range(1, 40)] + ["a" * k for k in range(1, 500)]
+    data = np.frombuffer(" ".join(dict.fromkeys(many)).encode(), dtype=np.uint8)
+    starts, ends, _ = K.words(data, np.array([0, len(data)]))
+    one, two = (K.word_hashes(data, starts, ends, s) for s in (0, 1))
+    assert len(set(one.tolist())) == len(set(two.tolist())) == len(dict.fromkeys(many)) and not set(one.tolist()) & set(two.tolist())
+
+
 def test_large_mixed_bucket_is_compared_in_cells(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
     rng = random.Random(3)
