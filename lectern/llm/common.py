@@ -84,6 +84,33 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, column: str, rows: int) -> Data
     return df.join(F.broadcast(ids) if rows <= BROADCAST_ROWS else ids.hint("merge"), column, "left_semi")
 
 
+#: Keys that a join splits, at most, and the rows of a key below which none is split.
+HOT_KEYS, HOT_ROWS = 20_000, 256
+
+
+def hot_keys(tables: Tables, counts: DataFrame, *key: str) -> DataFrame | None:
+    """(key, parts) of the keys with more than a HOT_KEYS-th of all rows, and more than HOT_ROWS; None if there are none.
+
+    counts: (key, n), each key once. No more than HOT_KEYS keys can have so many rows, so the table is always fit for a broadcast.
+    """
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    per = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if (most or 0) <= per:
+        return None
+    return tables.write(counts.where(F.col("n") > per).select(*key, F.ceil(F.col("n") / per).cast("int").alias("parts")), "hot")
+
+
+def split_join(big: DataFrame, small: DataFrame, key: list[str], hot: DataFrame | None, by: list[str], how: str = "inner") -> DataFrame:
+    """big joined with small, which has each key once. Rows of a hot key are dealt over its parts by a hash of `by`, and small's
+    row is there in each part, so that no key lands in one task."""
+    if hot is None:
+        return big.join(small, key, how)
+    parts = F.coalesce("parts", F.lit(1))
+    left = big.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("parts")
+    right = small.join(F.broadcast(hot), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [*key, "_part"], how).drop("_part")
+
+
 def range_bounds(df: DataFrame, key: str, weight: str, target: float, sample_rows: int = 32_768) -> list[int]:
     """Ascending upper bounds (exclusive) of key ranges of about `target` weight each.
 

@@ -7,10 +7,12 @@ that agree in their low bits by chance; and the pairs that may reach the thresho
 second hash, so that what the first took for equal by chance doesn't count.
 
 No step lists all pairs of a group. Documents with equal sets fall into one class before any pairing. In each band
-bucket, every class is first compared with one hub. Buckets whose members are connected by then need nothing more.
+bucket, every class is first compared with one hub, then with another, and in large buckets with a few more, which
+leaves little. Buckets whose members are connected by then need nothing more.
 In the others, members outside the bucket's largest component meet all members of other components, so that every
 pair that shares a bucket is either inside one component or compared: small buckets by a join, large ones inside
-tasks, block by block, where only confirmed links come out.
+tasks, block by block, where only confirmed links come out. Keys of very many rows (a bucket, a hub, a class of
+copies) are counted and split in every join that they key.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Tables, semi_join_ids
+from .common import Tables, hot_keys, semi_join_ids, split_join
 from .components import connected_components
 
 BANDS, ROWS, BITS = 32, 4, 4
@@ -29,6 +31,8 @@ N = BANDS * ROWS
 SLACK = 5.0
 #: Buckets with more classes than this are compared inside tasks, in cells, and give only links instead of pairs.
 SMALL_BUCKET = 64
+#: Hubs that buckets are compared with at most; from the third on only large ones are.
+HUBS = 6
 #: Shingles that one side of a cell holds, about.
 CELL_ITEMS = 1_000_000
 
@@ -120,13 +124,15 @@ def _may_link(threshold: float) -> Column:
 
 
 def _confirm(tables: Tables, texts: DataFrame, candidates: DataFrame, width: int, percent: int) -> DataFrame:
-    """The candidates (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The candidates (a: a hub, which may have very many, b) whose full sets have 100 * intersection >= percent * union."""
     candidates = tables.write(candidates, "candidates")
     ids = tables.write(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
     sets = tables.write(semi_join_ids(texts, ids, "id", ids.count()).mapInArrow(_sets(width), "id long, items array<long>").where(F.size("items") > 0), "sets")
     left, right = (sets.select(F.col("id").alias(x), F.col("items").alias(f"items_{x}")) for x in "ab")
+    hot = hot_keys(tables, candidates.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
     common = F.size(F.array_intersect("items_a", "items_b"))
-    pairs = candidates.join(left, "a").join(right, "b").select("a", "b", common.alias("both"), (F.size("items_a") + F.size("items_b") - common).alias("all"))
+    # Hubs join last, so that a pair carries its other set only. An id of several texts has several sets.
+    pairs = split_join(candidates.join(right, "b"), left, ["a"], hot, ["b"]).select("a", "b", common.alias("both"), (F.size("items_a") + F.size("items_b") - common).alias("all"))
     links = tables.write(pairs.where(F.col("both") * 100 >= F.col("all") * percent).select("a", "b").distinct(), "links")
     tables.drop(candidates, ids, sets)
     return links
@@ -206,40 +212,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = tables.write(texts.mapInArrow(_sketch(width), SKETCH), "sketch")
     known = texts.where("id is not null")
     usable = sketch.where("n > 0 and id is not null")
-    classes = tables.write(usable.groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = tables.write(sketch.join(classes.select(F.col("node").alias("id"), "s1", "s2", "n"), ["id", "s1", "s2", "n"], "left_semi").dropDuplicates(["id", "s1", "s2", "n"]).select("id", "n", "bands", *PLANES), "nodes")
+    classes = usable.groupBy("s1", "s2", "n").agg(F.min_by(F.struct("id", "bands", *PLANES), "id").alias("x"), F.count(F.lit(1)).alias("copies"))
+    classes = tables.write(classes.select(F.col("x.id").alias("node"), "copies", "s1", "s2", "n", "x.bands", *[f"x.{p}" for p in PLANES]), "classes")
+    reps = classes.select(F.col("node").alias("id"), "n", "bands", *PLANES)
 
-    keyed = reps.select(F.col("id").alias("node"), F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    members = tables.write(keyed.join(buckets, "key"), "members")
+    keyed = reps.select(F.col("id").alias("node"), F.explode("bands").alias("key")).distinct()
+    buckets = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last")
+    buckets = tables.write(buckets.select("key", "hub", "n"), "buckets")
+    crowded = hot_keys(tables, buckets, "key")
+    members = tables.write(split_join(keyed, buckets.select("key", "hub"), ["key"], crowded, ["node"]), "members")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) of ids that the sketches don't rule out."""
+        """Pairs (a: the hub, b) that the sketches don't rule out."""
+        pairs = tables.write(pairs, "pairs")
+        hot = hot_keys(tables, pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "a")
         a, b = (reps.select(F.col("id").alias(x), F.struct("n", *PLANES).alias(f"s{x}")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b").select(F.struct("a", "sa.*").alias("a"), F.struct("b", "sb.*").alias("b"))
+        both = split_join(pairs.join(b, "b"), a, ["a"], hot, ["b"]).select(F.struct("a", "sa.*").alias("a"), F.struct("b", "sb.*").alias("b"))
         return both.where(_may_link(percent / 100)).select(F.col("a.a").alias("a"), F.col("b.b").alias("b"))
 
     def mixed() -> DataFrame:
         """Members of buckets that more than one component has part in, with their component."""
         own = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-        return own.join(own.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2").select("key"), "key")
+        several = own.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("size")).where("c1 < c2").select("key", "size")
+        return split_join(own, several, ["key"], crowded, ["node"])
 
     links = _confirm(tables, known, compared(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), width, percent)
     labels = connected_components(tables, links)
 
-    # A second hub, drawn by hash, for buckets that are not yet connected.
+    # Further hubs, drawn by hash, for buckets that are not yet connected.
     left = tables.write(mixed(), "mixed")
-    hubs = left.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64("key", "node")).alias("hub"))
-    second = left.join(hubs, "key").where("component <> hub.component").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    more = _confirm(tables, known, compared(second), width, percent)
-    tables.drop(left)
-    links = links.unionByName(more)
-    labels = connected_components(tables, links)
+    for nth in range(2, HUBS + 1):
+        now = left if nth == 2 else left.where(F.col("size") > SMALL_BUCKET)
+        if now.isEmpty():
+            break
+        hubs = now.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(nth), "key", "node")).alias("hub"))
+        pairs = split_join(now, hubs, ["key"], crowded, ["node"]).where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+        links = links.unionByName(_confirm(tables, known, compared(pairs), width, percent))
+        labels = connected_components(tables, links)
+        tables.drop(left)
+        left = tables.write(mixed(), "mixed")
 
     # The rest: members outside a bucket's largest component meet the members of its other components.
-    left = tables.write(mixed(), "mixed")
     largest = left.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("top"))
-    full = left.join(largest, "key").join(reps.select(F.col("id").alias("node"), "n", "bands", *PLANES), "node")
+    full = split_join(left.select("key", "node", "component"), largest, ["key"], crowded, ["node"]).join(reps.select(F.col("id").alias("node"), "n", "bands", *PLANES), "node")
     full = tables.write(full, "rest")
     large = full.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.ceil(F.sum("n") / CELL_ITEMS).cast("int").alias("blocks")).where(F.col("size") > SMALL_BUCKET)
     large = tables.write(large.select("key", "blocks"), "large")
@@ -257,7 +272,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     groups = classes.join(labels, "node", "left").where("copies > 1 or component is not null").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
     groups = tables.write(groups, "groups")
-    tables.drop_all_but(sketch, groups)
-    out = sketch.select("id", "n", "s1", "s2").join(groups, ["s1", "s2", "n"], "left")
+    copies = hot_keys(tables, classes.where("copies > 1").select("s1", "s2", F.col("n").alias("size"), F.col("copies").alias("n")), "s1", "s2", "size")
+    tables.drop_all_but(sketch, groups, copies)
+    copies = None if copies is None else copies.withColumnRenamed("size", "n")
+    out = split_join(sketch.select("id", "n", "s1", "s2"), groups, ["s1", "s2", "n"], copies, ["id"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -86,6 +86,7 @@ def test_regular_words_and_other_hash_traps(spark):
 
 def test_large_mixed_bucket_is_compared_in_cells(spark, monkeypatch):
     monkeypatch.setattr(minhash, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(minhash, "HUBS", 2)
     rng = random.Random(3)
     base = [f"w{i}" for i in range(150)]
     rows = [(i, " ".join(w if rng.random() > rng.choice([0.01, 0.05, 0.12]) else f"q{rng.randrange(10**6)}" for w in base)) for i in range(60)]
@@ -500,3 +501,28 @@ def test_recall_of_the_widened_search(spark):
         s[q] = -np.inf
         hits.append(len(set(np.argsort(-s)[:20].tolist()) & got[q]) / 20)
     assert np.mean(hits) >= 0.9
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    from lectern.llm import common
+
+    tables = common.Tables(spark)
+    big = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)], "k long, x long")
+    counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    hot = common.hot_keys(tables, counts, "k")
+    assert [(r.k, r.parts) for r in hot.collect()] == [(1, 8)]
+    small = counts.select("k", (F.col("k") * 2).alias("y")).where("k <> 6")
+    for how in ("inner", "left"):
+        got = common.split_join(big, small, ["k"], hot, ["x"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, big.join(small, "k", how).collect()))
+    assert common.hot_keys(tables, counts.where("k > 1"), "k") is None
+    assert common.hot_keys(tables, counts.limit(0), "k") is None
+
+
+def test_a_star_with_a_tail_is_one_component(spark):
+    from lectern.llm.common import Tables
+    from lectern.llm.components import connected_components
+
+    links = [(5000, i) for i in range(1, 900)] + [(i, i + 1) for i in range(900, 920)] + [(7000, 7001)]
+    got = {r.node: r.component for r in connected_components(Tables(spark), spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{i: 1 for i in (*range(1, 900), 5000)}, **{i: 900 for i in range(900, 921)}, 7000: 7000, 7001: 7000}
