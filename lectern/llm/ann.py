@@ -7,8 +7,10 @@ over all rows, and the number of visits widens until the share of true neighbour
 number short of all leaves does, all are visited and the search is exact.
 
 Equal vectors are one point of the index, with the smallest ids that could ever be reported, so a very common vector costs no
-more than a rare one. Scoring runs in cells of a block of points and a block of queries: small leaves share a cell, so that a
-query passes on one short list for many leaves, and full leaves are dealt over several, so that every cell is bounded.
+more than a rare one. (An id of several vectors is a point for each, of which a query reports the best.) Scoring runs in cells
+of a block of points and a block of queries: small leaves share a cell, so that a query passes on one short list for many
+leaves, and full leaves are dealt over several, so that every cell is bounded. Points go only to the blocks of queries that
+visit their cell. Equal scores go to the smaller id at every cut, which is why points carry their smallest.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Tables
+from .common import BROADCAST_ROWS, Tables
 
 #: Vectors that the tree is fitted on, at most.
 FIT_ROWS = 20_000
@@ -122,7 +124,42 @@ def _assigner(tree: Tree):
     return run
 
 
-def _brute(queries: np.ndarray, names: np.ndarray, k: int):
+def best(queries: np.ndarray, x: np.ndarray, low: np.ndarray, k: int, visible=None, shared: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, point's place, score) of the k points of largest inner product for each query, ties to the smaller `low`.
+
+    A matrix product finds all that may be among them; those are scored anew, each pair in one order of summing, so that equal
+    vectors score alike whatever block they are in. visible: which points a query sees. shared: points may share a low, which
+    then counts once, by its best point.
+    """
+    rows, cols, scores = [], [], []
+    norms = np.abs(x).sum(axis=1).max(initial=0.0)
+    for at in range(0, len(queries), 256):
+        q = queries[at : at + 256]
+        rough = q @ x.T
+        if visible is not None:
+            rough[~visible[at : at + 256]] = -np.inf
+        if shared:
+            near = rough > -np.inf
+        else:
+            m = min(k, rough.shape[1])
+            cut = np.partition(rough, rough.shape[1] - m, axis=1)[:, rough.shape[1] - m]
+            near = (rough > -np.inf) & (rough >= (cut - 1e-12 * np.abs(q).max(axis=1, initial=0.0) * norms)[:, None])
+        r, c = np.nonzero(near)
+        exact = np.concatenate([(x[c[i : i + 65_536]] * q[r[i : i + 65_536]]).sum(axis=1) for i in range(0, len(r), 65_536)] or [np.zeros(0)])
+        order = np.lexsort((low[c], -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        if shared and len(r):
+            _, first = np.unique(np.stack([r, low[c]], axis=1), axis=0, return_index=True)
+            first.sort()
+            r, c, exact = r[first], c[first], exact[first]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        rows.append(r[place < k] + at)
+        cols.append(c[place < k])
+        scores.append(exact[place < k])
+    return tuple(np.concatenate(v) if v else np.zeros(0, t) for v, t in ((rows, np.int64), (cols, np.int64), (scores, np.float64)))
+
+
+def _brute(queries: np.ndarray, names: np.ndarray, k: int, shared: bool):
     """Per batch, the k best rows for each query: what an exact scan passes on."""
 
     def run(batches):
@@ -131,12 +168,9 @@ def _brute(queries: np.ndarray, names: np.ndarray, k: int):
         for batch in batches:
             if not len(batch):
                 continue
-            score = queries @ _matrix(batch.column("v")).T
-            points, leaves = batch.column("point").to_numpy(), batch.column("leaf").to_numpy()
-            score[names[:, None] == points[None, :]] = -np.inf
-            top = np.argpartition(-score, min(k, score.shape[1]) - 1, axis=1)[:, :k]
-            q = np.repeat(names, top.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(points[top].ravel()), pa.array(leaves[top].ravel()), pa.array(np.take_along_axis(score, top, 1).ravel())], names=["query", "point", "leaf", "score"])
+            points, low, leaves = (batch.column(c).to_numpy() for c in ("point", "low", "leaf"))
+            r, c, score = best(queries, _matrix(batch.column("v")), low, k, names[:, None] != points[None, :], shared)
+            yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(low[c]), pa.array(leaves[c]), pa.array(score)], names=["query", "low", "leaf", "score"])
 
     return run
 
@@ -173,40 +207,39 @@ def deal_leaves(counts: dict[int, int], leaves: int) -> tuple[np.ndarray, np.nda
     return cell, blocks
 
 
-def _score(k: int):
+def _score(k: int, shared: bool):
     """The k best points of a cell for each of its queries, scored in double precision on the original vectors."""
 
     def run(key, left, right):
         import pyarrow as pa
 
-        names, kinds = ["query", "point", "score"], [pa.int64(), pa.int64(), pa.float64()]
+        names, kinds = ["query", "point", "low", "score"], [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         if not len(left) or not len(right):
             return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=names)
         x, q = _matrix(left.column("v").combine_chunks()), _matrix(right.column("v").combine_chunks())
-        points, queries = left.column("point").to_numpy(), right.column("query").to_numpy()
+        points, low, queries = left.column("point").to_numpy(), left.column("low").to_numpy(), right.column("query").to_numpy()
         leaf, asked = left.column("leaf").to_numpy(), right.column("leaves").combine_chunks()
-        low = int(leaf.min())
-        sees = np.zeros((len(q), int(leaf.max()) - low + 1), dtype=bool)
-        who, what = np.repeat(np.arange(len(q)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy() - low
+        least = int(leaf.min())
+        sees = np.zeros((len(q), int(leaf.max()) - least + 1), dtype=bool)
+        who, what = np.repeat(np.arange(len(q)), asked.value_lengths().to_numpy()), asked.flatten().to_numpy() - least
         here = (what >= 0) & (what < sees.shape[1])
         sees[who[here], what[here]] = True
-        out = [[], [], []]
-        for at in range(0, len(q), 256):
-            rough = np.where(sees[at : at + 256][:, leaf - low], q[at : at + 256] @ x.T, -np.inf)
-            m = min(k + 8, rough.shape[1])
-            top = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-            exact = (x[top] * q[at : at + 256, None, :]).sum(axis=2)  # one order of summing for every pair
-            exact[np.isneginf(np.take_along_axis(rough, top, 1))] = -np.inf
-            best = np.lexsort((points[top], -exact), axis=1)[:, :k]
-            top, exact = np.take_along_axis(top, best, 1), np.take_along_axis(exact, best, 1)
-            seen = ~np.isneginf(exact.ravel())
-            for o, a in zip(out, (np.repeat(queries[at : at + 256], top.shape[1]), points[top].ravel(), exact.ravel()), strict=True):
-                o.append(a[seen])
-        return pa.Table.from_arrays([pa.array(np.concatenate(o), t) for o, t in zip(out, kinds, strict=True)], names=names)
+        r, c, score = best(q, x, low, k, Seen(sees, leaf - least), shared)
+        return pa.Table.from_arrays([pa.array(queries[r], pa.int64()), pa.array(points[c], pa.int64()), pa.array(low[c], pa.int64()), pa.array(score, pa.float64())], names=names)
 
     return run
 
 
+class Seen:
+    """Which points each query sees, by leaf; made for a slice of queries at a time."""
+
+    def __init__(self, sees: np.ndarray, leaf: np.ndarray):
+        self.sees, self.leaf = sees, leaf
+
+    def __getitem__(self, rows) -> np.ndarray:
+        return self.sees[rows][:, self.leaf]
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): rows that take part. Null, empty, zero and non-finite vectors don't, nor rows without an id, nor vectors whose
     length isn't the most common one (the larger, if equally common)."""
@@ -219,7 +252,7 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", leaf_points: int = LEAF_POINTS, target: float = TARGET_RECALL) -> DataFrame:
     """(query_id, rank, id_col, score): for each row whose id is divisible by query_every, the k rows found of largest inner
-    product among all others, best first, ties to the smaller id; fewer if there are fewer.
+    product among all others, best first, ties to the smaller id, also where very many tie; fewer if there are fewer.
 
     Rows that repeat an id and vector count once; different vectors of one id are points of their own, of which a query
     reports the best, and none of its own id. Tables without usable vectors or queries give no rows; other columns are not read.
@@ -228,9 +261,18 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     tables = Tables(spark)
     own = usable(vectors, id_col, vector_col)
     keep = k + 1  # the query's own id is among them at most once
-    ranked = own.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= keep)
-    points = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("point", F.monotonically_increasing_id())
-    points = tables.write(points, "points")
+    # Ids of several vectors aren't merged with others, so that such an id is the only one of its points.
+    named = own.groupBy("id").agg(F.min(F.xxhash64("v")).alias("a"), F.max(F.xxhash64("v")).alias("b")).where("a < b").select("id", F.lit(True).alias("several"))
+    named = tables.write(named, "several")
+    several = named.count()
+    own = own.distinct()
+    if several:
+        own = own.join(F.broadcast(named) if several <= BROADCAST_ROWS else named, "id", "left").withColumn("alone", F.when(F.col("several"), F.col("id"))).drop("several")
+    else:
+        own = own.withColumn("alone", F.lit(None).cast("long"))
+    ranked = own.withColumn("r", F.row_number().over(Window.partitionBy("v", "alone").orderBy("id"))).where(F.col("r") <= keep)
+    points = ranked.groupBy("v", "alone").agg(F.sort_array(F.collect_list("id")).alias("ids")).drop("alone").withColumn("point", F.monotonically_increasing_id())
+    points = tables.write(points.withColumn("low", F.element_at("ids", 1)), "points")
     n = points.count()
     schema = f"query_id long, rank int, {id_col} long, score double"
     if not n:
@@ -241,27 +283,32 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     assigned = points.mapInArrow(_assigner(tree), T.StructType([*points.schema.fields, T.StructField("leaf", T.IntegerType())]))
     assigned = tables.write(assigned, "assigned")
 
-    asks = own.where(F.col("id") % query_every == 0).distinct().join(points.select("v", "point"), "v").select(F.col("id").alias("query_id"), "point")
+    # A query is a vector, and the smallest of the points that hold it stands for it.
+    asks = own.where(F.col("id") % query_every == 0).select("id", "v").distinct().join(points.groupBy("v").agg(F.min("point").alias("point")) if several else points.select("v", "point"), "v").select(F.col("id").alias("query_id"), "point")
     asks = tables.write(asks, "asks")
     queries = points.join(asks.select("point").distinct(), "point", "left_semi").select("point", "v")
 
-    visits = calibrate(queries, assigned, tree, k, target)
+    visits = calibrate(queries, assigned, tree, k, target, several > 0)
     held = {r["leaf"]: r["count"] for r in assigned.groupBy("leaf").count().collect()}  # MAX_LEAVES rows at most
     cell_of, blocks = deal_leaves(held, tree.leaves)
-    dealt = spark.createDataFrame([(i, int(c), int(b)) for i, (c, b) in enumerate(zip(cell_of, blocks, strict=True))], "leaf int, cell int, px int")
-    widest = spark.createDataFrame([(int(c), int(blocks[cell_of == c].max())) for c in np.unique(cell_of)], "cell int, px int")
-    qx = max(1, -(-queries.count() // CELL))
-    cells = ["cell", "x", "y"]
-    every = F.expr(f"explode(sequence(0, {qx - 1}))")
-    left = assigned.join(F.broadcast(dealt), "leaf").select("cell", F.pmod(F.xxhash64("point"), "px").cast("int").alias("x"), every.alias("y"), "leaf", "point", "v")
     kind = points.schema["v"].dataType.simpleString()
-    right = queries.mapInArrow(_prober(tree, visits, cell_of), f"query long, v {kind}, cell int, leaves array<int>").join(F.broadcast(widest), "cell")
-    right = right.select("cell", F.expr("explode(sequence(0, px - 1))").alias("x"), F.pmod(F.xxhash64("query"), F.lit(qx)).cast("int").alias("y"), "query", "v", "leaves")
-    found = left.groupBy(cells).cogroup(right.groupBy(cells)).applyInArrow(_score(keep), "query long, point long, score double")
-
-    first = Window.partitionBy("query").orderBy(F.desc("score"), F.element_at("ids", 1))
-    best = found.join(points.select("point", "ids"), "point").withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep)
-    lists = best.groupBy("query").agg(F.flatten(F.collect_list(F.expr("transform(ids, i -> named_struct('s', -score, 'id', i))"))).alias("all"))  # (k + 1) ** 2 at most
+    probes = tables.write(queries.mapInArrow(_prober(tree, visits, cell_of), f"query long, v {kind}, cell int, leaves array<int>"), "probes")
+    asked = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
+    # Of each cell: how many blocks its points are in, and how many the queries that visit it; none does, and its points stay out.
+    wide = {int(c): (int(blocks[cell_of == c].max()), -(-asked[int(c)] // CELL)) for c in np.unique(cell_of) if int(c) in asked}
+    dealt = spark.createDataFrame([(i, int(c), int(b), wide[int(c)][1]) for i, (c, b) in enumerate(zip(cell_of, blocks, strict=True)) if int(c) in wide], "leaf int, cell int, px int, py int")
+    widest = spark.createDataFrame([(c, *w) for c, w in wide.items()], "cell int, px int, py int")
+    cells = ["cell", "x", "y"]
+    left = assigned.join(F.broadcast(dealt), "leaf").select("cell", F.pmod(F.xxhash64("point"), "px").cast("int").alias("x"), F.expr("explode(sequence(0, py - 1))").alias("y"), "leaf", "point", "low", "v")
+    right = probes.join(F.broadcast(widest), "cell")
+    right = right.select("cell", F.expr("explode(sequence(0, px - 1))").alias("x"), F.pmod(F.xxhash64("query"), "py").cast("int").alias("y"), "query", "v", "leaves")
+    found = left.groupBy(cells).cogroup(right.groupBy(cells)).applyInArrow(_score(keep, several > 0), "query long, point long, low long, score double")
+
+    if several:  # points that share an id count once, by the best
+        found = found.groupBy("query", "low").agg(F.max_by(F.struct("point", "score"), F.struct("score", (-F.col("point")).alias("p"))).alias("b")).select("query", "b.point", "low", "b.score")
+    first = Window.partitionBy("query").orderBy(F.desc("score"), "low")
+    best_ = found.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep).join(points.select("point", "ids"), "point")
+    lists = best_.groupBy("query").agg(F.flatten(F.collect_list(F.expr("transform(ids, i -> named_struct('s', -score, 'id', i))"))).alias("all"))  # (k + 1) ** 2 at most
     lists = lists.select(F.col("query").alias("point"), F.array_sort("all").alias("all"))
     mine = asks.join(lists, "point").withColumn("all", F.expr("filter(all, x -> x.id <> query_id)"))
     # An id of several vectors, or a query id of several, keeps its best.
@@ -271,15 +318,15 @@ def search(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str =
     return out.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
 
 
-def calibrate(queries: DataFrame, assigned: DataFrame, tree: Tree, k: int, target: float) -> int:
+def calibrate(queries: DataFrame, assigned: DataFrame, tree: Tree, k: int, target: float, shared: bool = False) -> int:
     """Leaf visits at which the calibration queries find the target share of their true neighbours."""
     rows = queries.orderBy(F.xxhash64("point")).limit(CALIBRATION).collect()
     if not rows:
         return 1
     names, q = np.array([r["point"] for r in rows], dtype=np.int64), np.array([r["v"] for r in rows], dtype=np.float64)
-    near = assigned.select("point", "v", "leaf").mapInArrow(_brute(q, names, k), "query long, point long, leaf int, score double")
-    best = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "point"))).where((F.col("r") <= k) & (F.col("score") > float("-inf")))
-    truth = best.select("query", "leaf").collect()  # CALIBRATION * k rows at most
+    near = assigned.select("point", "low", "v", "leaf").mapInArrow(_brute(q, names, k, shared), "query long, low long, leaf int, score double")
+    top = near.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "low"))).where(F.col("r") <= k)
+    truth = top.select("query", "leaf").collect()  # CALIBRATION * k rows at most
     place = {int(n): {leaf: i for i, leaf in enumerate(tree.order(x))} for n, x in zip(names, q, strict=True)}
     needed = np.array([place[r["query"]][r["leaf"]] + 1 for r in truth] or [1])
     visits = 1

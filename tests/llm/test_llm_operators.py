@@ -483,10 +483,25 @@ def test_search_small_and_hard(spark):
         want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
         mine = sorted(got[q])
         assert [r for r, _, _ in mine] == list(range(1, 21))
-        assert np.allclose([s for _, _, s in mine], [s for _, s in want]) and len({i for _, i, _ in mine} & {i for i, _ in want}) >= 19
+        assert np.allclose([s for _, _, s in mine], [s for _, s in want]) and [i for _, i, _ in mine] == [i for i, _ in want]
     assert ann.search(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("leaf_points", [1000, 40])
+def test_ties_at_the_cut_go_to_the_smaller_id(spark, leaf_points):
+    """Different vectors that all score 1 with the queries: the 20 smallest ids, from whatever points."""
+    rows = [(i * 20, [1.0, 0.0, 0.0, 0.0]) for i in range(100, 103)] + [(i, [1.0, i / 512, (i % 7) / 4, 0.0]) for i in range(1, 400) if i % 20]
+    rows += [(7, [1.0, 0.5, 0.0, 2.0]), (9, [1.0, 0.25, 0.0, 3.0]), (3000, [1.0, 1 / 512, 0.25, 0.0]), *[(5, [1.0, 0.0, float(j), 1.0]) for j in range(60)]]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, leaf_points=leaf_points, target=1.0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == {2000, 2020, 2040, 3000}
+    want = [i for i in range(1, 400) if i % 20][:20]
+    assert all(got[q] == [(i, 1.0) for i in want] for q in (2000, 2020, 2040))
+
+
 def test_recall_of_the_widened_search(spark):
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 16)) * 3
