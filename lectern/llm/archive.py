@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +18,20 @@ MANIFEST = "shard int, seq int, temporary string, final string, records long, un
 
 
 def with_shard(df: DataFrame, key: str, bounds: list[int]) -> DataFrame:
-    """Adds `shard` (int): how many bounds are at or below the key; null keys go to shard 0."""
+    """Adds `shard` (int): how many bounds are at or below the key; null keys go to shard 0. A binary search in the JVM."""
     if not bounds:
         return df.withColumn("shard", F.lit(0))
-    edges = np.array(bounds, dtype=np.int64)
+    edges = F.lit(np.array(bounds, dtype=np.int64))
+    steps = len(bounds).bit_length()
+    half = lambda a: ((a["lo"] + a["hi"]) / 2).cast("int")
+    below = lambda a: F.element_at(edges, half(a) + 1) <= F.col(key)
 
-    @F.pandas_udf("int")
-    def shard(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="right").astype(np.int32))
+    def step(a, _):
+        go = a["lo"] < a["hi"]
+        return F.struct(F.when(go & below(a), half(a) + 1).otherwise(a["lo"]).alias("lo"), F.when(go & ~below(a), half(a)).otherwise(a["hi"]).alias("hi"))
 
-    return df.withColumn("shard", shard(F.coalesce(F.col(key), F.lit(-(2**63)))))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), step, lambda a: a["lo"])
+    return df.withColumn("shard", F.when(F.col(key).isNull(), F.lit(0)).otherwise(found))
 
 
 def deal(df: DataFrame, key: str, weight: str, target: float, *then: str) -> DataFrame:

@@ -16,10 +16,12 @@ BROADCAST_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (local tests), one of our own."""
+    """The folder in spark.checkpoint.dir. Where that is unset, one of our own in local mode; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = context._lectern_shared = getattr(context, "_lectern_shared", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
     return found.rstrip("/")
 

@@ -123,11 +123,18 @@ def pack_documents(docs: DataFrame, capacity: int = 8192, id_col: str = "doc_id"
 
     Lengths are the bytes of the text, as a byte-level model reads it, and one end mark; a null or empty text is the end
     mark alone. A duplicate cluster is the set of documents with equal texts up to case and white space. A null source
-    conflicts with nothing. Rows may repeat; an empty table gives no rows; other columns are not read.
+    conflicts with nothing, and null ids are ids like others. Pieces of equal length go by id (nulls last), source and cluster.
+    Rows may repeat: those that are alike in everything are interchangeable, so they are dealt over the groups in turn and no
+    group gets them all. A very long text is full bins and a rest. An empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     cluster = F.xxhash64(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")))
     own = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("length"), F.col(source_col).alias("source"), cluster.alias("cluster"))
     groups = max(1, round(docs.count() / group))
-    own = own.withColumn("g", F.pmod(F.xxhash64("id", "cluster", "source"), F.lit(groups)).cast("int"))
+    alike = ["id", "length", "source", "cluster"]
+    rows = own.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"))
+    # Copy i of a row goes to the i-th group after the first of them; a group gets n / groups copies, as runs of rows.
+    runs = rows.select(*alike, F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("n"), F.lit(groups)) - 1)).alias("i"), "n")
+    runs = runs.select(*alike, F.pmod(F.xxhash64("id", "cluster", "source") + F.col("i"), F.lit(groups)).cast("int").alias("g"), ((F.col("n") - 1 - F.col("i")) / groups).cast("long").alias("more"))
+    own = runs.withColumn("_", F.explode(F.sequence(F.lit(0).cast("long"), "more"))).drop("_", "more")
     return own.groupBy("g").applyInArrow(_pack_group(capacity), PACKED).withColumnRenamed("id", id_col)

@@ -21,22 +21,22 @@ WORD = r"[^\x20\x09-\x0D]"
 MIN_KEPT_SHARE = 0.5
 #: A line goes with this many " | " separators or more, this share of symbol characters to words, or of capitals to letters.
 MAX_SEPARATORS, MAX_SYMBOL_SHARE, MAX_CAPITAL_SHARE = 3, 0.3, 0.6
+#: Capitals are looked at in lines with this many letters or more.
+MIN_LETTERS = 20
 #: A line without a sentence mark anywhere goes if it has fewer words than this.
 MIN_UNPUNCTUATED_WORDS = 4
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line with a word in it breaks a rule: navigation, symbols, shouting, boilerplate or punctuation."""
+    """Whether a line with a word in it breaks a rule: navigation, symbols, shouting, boilerplate or punctuation.
+
+    Words are counted once, and only where a count can matter: a line of symbols, or one without a sentence mark.
+    """
     count = lambda pattern: F.regexp_count(line, F.lit(pattern))
-    words = count(WORD + "+")
-    capitals, letters = count(r"\p{Lu}"), count(r"\p{L}")
-    return (
-        (count(r" \| ") >= MAX_SEPARATORS)
-        | (count(SYMBOLS) >= words * MAX_SYMBOL_SHARE)
-        | ((letters >= 20) & (capitals >= letters * MAX_CAPITAL_SHARE))
-        | line.rlike(BOILERPLATE)
-        | ((words < MIN_UNPUNCTUATED_WORDS) & ~line.rlike(r"[.!?:;,。！？…]"))
-    )
+    marked = line.rlike(r"[.!?:;,。！？…]")
+    by_words = F.transform(F.array(count(WORD + "+")), lambda n: (count(SYMBOLS) >= n * MAX_SYMBOL_SHARE) | ((n < MIN_UNPUNCTUATED_WORDS) & ~marked))[0]
+    letters = F.transform(F.array(count(r"\p{Lu}")), lambda n: (n >= MIN_LETTERS * MAX_CAPITAL_SHARE) & (count(r"\p{L}") >= MIN_LETTERS) & (n >= count(r"\p{L}") * MAX_CAPITAL_SHARE))[0]
+    return (line.contains(" | ") & (count(r" \| ") >= MAX_SEPARATORS)) | ((~marked | line.rlike(SYMBOLS)) & by_words) | letters | line.rlike(BOILERPLATE)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -64,7 +64,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
       WHEN size(_d) <= 24 THEN filter(sequence(0, size(_h) - 1), i -> array_contains(_d, get(_h, i)))
       ELSE sort_array(transform(filter(_p, (x, i) -> x.h <=> get(_p, i - 1).h OR x.h <=> get(_p, i + 1).h), x -> x.i)) END"""
     covered = "aggregate(_at, named_struct('n', 0L, 'to', 0L), (a, i) -> named_struct('n', a.n + i + 3 - greatest(CAST(i AS bigint), a.to), 'to', CAST(i + 3 AS bigint)), a -> a.n)"
-    df = df.select("*", F.expr(places).cast("array<int>").alias("_at"), F.filter("_wl", lambda x: ~line_fails(x)).alias("_good"))
+    # Lines are judged once: those that go turn null.
+    good = F.transform("_lines", lambda x: F.when(~x.rlike(WORD) | ~line_fails(x), x))
+    df = df.select("*", F.expr(places).cast("array<int>").alias("_at"), good.alias("_judged"))
+    df = df.select("*", F.filter("_judged", lambda x: x.isNotNull()).alias("_left"))
     total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     df = df.select(
         "*",
@@ -74,12 +77,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry
         (F.size("_wl") - F.size(F.array_distinct("_wl"))).cast("long").alias("n_dup_lines"),
         F.expr(covered).alias("n_repeat_words"),
         F.size("_wl").cast("long").alias("n_lines"),
-        (F.size("_wl") - F.size("_good")).cast("long").alias("removed_lines"),
+        (F.size("_lines") - F.size("_left")).cast("long").alias("removed_lines"),
         total(F.col("_wl")).alias("_all"),
-        total(F.col("_good")).alias("_left"),
+        (total(F.col("_wl")) - total(F.col("_lines")) + total(F.col("_left"))).alias("_good"),
     )
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    kept = ~F.col("base_failed") & (F.col("_left") >= F.col("_all") * MIN_KEPT_SHARE)
-    cleaned = F.when(F.col("removed_lines") == 0, F.col("_t")).otherwise(F.array_join(F.filter("_lines", lambda x: ~x.rlike(WORD) | ~line_fails(x)), "\n"))
+    kept = ~F.col("base_failed") & (F.col("_good") >= F.col("_all") * MIN_KEPT_SHARE)
+    cleaned = F.when(F.col("removed_lines") == 0, F.col("_t")).otherwise(F.array_join("_left", "\n"))
     df = df.withColumn("base_failed", failed).withColumn("kept", barrier(kept)).withColumn("cleaned", cleaned)
     return df.select(F.col("_id").alias(id_col), *[F.col(f"_carry.{c}").alias(c) for c in carry], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "removed_lines", "kept", "cleaned")

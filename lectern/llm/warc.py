@@ -18,11 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archive import MANIFEST, commit, deal, spread
-from .common import BROADCAST_ROWS, Tables, reading, writing
+from .common import Tables, few, hot_keys, reading, split_join, writing
 
 MIN_REVISIT = 1000
-#: Copies of one payload meet their response in this many groups, so that no task gets them all.
-SALTS = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -33,12 +31,12 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     own = own.select("id", "url", "payload", F.octet_length("payload").cast("long").alias("bytes"), F.sha1("payload").alias("digest"))
     tables = Tables(pages.sparkSession)
     large = own.where((F.col("bytes") >= MIN_REVISIT) & F.col("id").isNotNull())
-    firsts = tables.write(large.groupBy("digest").agg(F.max("id").alias("response"), F.min("id").alias("low")).where("low < response").select("digest", "response"), "responses")
-    if firsts.count() <= BROADCAST_ROWS:
+    firsts = large.groupBy("digest").agg(F.max("id").alias("response"), F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).where("low < response")
+    firsts = tables.write(firsts.select("digest", "response", "n"), "responses")
+    if few(firsts):
         out = own.join(F.broadcast(firsts), "digest", "left")
-    else:
-        salted = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        out = own.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["digest", "salt"], "left")
+    else:  # a payload of very many copies is split
+        out = split_join(own, firsts.select("digest", "response"), ["digest"], hot_keys(tables, firsts, "digest"), ["id"], "left")
     return out.select("id", "url", "payload", "bytes", "digest", F.when(F.col("id") < F.col("response"), F.col("response")).alias("response"))
 
 

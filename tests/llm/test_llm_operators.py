@@ -541,3 +541,28 @@ def test_a_star_with_a_tail_is_one_component(spark):
     links = [(5000, i) for i in range(1, 900)] + [(i, i + 1) for i in range(900, 920)] + [(7000, 7001)]
     got = {r.node: r.component for r in connected_components(Tables(spark), spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in (*range(1, 900), 5000)}, **{i: 900 for i in range(900, 921)}, 7000: 7000, 7001: 7000}
+
+
+def test_packing_deals_rows_that_repeat(spark):
+    rows = [(1, "same text", "s")] * 500 + [(None, "no id", None)] * 100 + [(i, f"text {i} " * (i % 9), f"s{i % 5}") for i in range(300)]
+    out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=64, group=50).collect()
+    assert len({r.bin_group for r in out}) == 18 and sum(r.doc_id == 1 for r in out) == 500 and sum(r.piece == 0 and r.doc_id is None for r in out) == 100
+    shared = [(r.bin_group, r.bin) for r in out if r.doc_id == 1]
+    assert len(set(shared)) == 500 and max(sum(g == x for g, _ in shared) for x in range(18)) <= 29
+
+
+def test_shards_by_binary_search(spark):
+    from lectern.llm import archive
+
+    for bounds in ([], [5], [1, 2, 3], [-3, 0, 7, 100], list(range(0, 900, 3))):
+        got = archive.with_shard(spark.range(-5, 1000).withColumn("id", F.when(F.col("id") != 11, F.col("id"))), "id", bounds).collect()
+        assert all(r.shard == (0 if r.id is None else int(np.searchsorted(bounds, r.id, side="right"))) for r in got)
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error():
+    from types import SimpleNamespace
+
+    from lectern.llm.common import shared_dir
+
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077")))
