@@ -544,7 +544,7 @@ def test_a_star_with_a_tail_is_one_component(spark):
 
 
 def test_packing_deals_rows_that_repeat(spark):
-    rows = [(1, "same text", "s")] * 500 + [(None, "no id", None)] * 100 + [(i, f"text {i} " * (i % 9), f"s{i % 5}") for i in range(300)]
+    rows = [(1, "same text", "s")] * 500 + [(None, "no id", None)] * 100 + [(i, f"text {i} " * (i % 9), f"s{i % 5}") for i in range(2, 302)]
     out = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=64, group=50).collect()
     assert len({r.bin_group for r in out}) == 18 and sum(r.doc_id == 1 for r in out) == 500 and sum(r.piece == 0 and r.doc_id is None for r in out) == 100
     shared = [(r.bin_group, r.bin) for r in out if r.doc_id == 1]
