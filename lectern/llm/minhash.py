@@ -32,7 +32,7 @@ SLACK = 5.0
 #: Buckets with more classes than this are compared inside tasks, in cells, and give only links instead of pairs.
 SMALL_BUCKET = 64
 #: Hubs that buckets are compared with at most; from the third on only large ones are.
-HUBS = 6
+HUBS = 4
 #: Shingles that one side of a cell holds, about.
 CELL_ITEMS = 1_000_000
 
@@ -239,13 +239,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirm(tables, known, compared(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()), width, percent)
     labels = connected_components(tables, links)
 
-    # Further hubs, drawn by hash, for buckets that are not yet connected.
+    # Further hubs for buckets that are not yet connected: of its members the first by a hash, so that buckets share theirs.
     left = tables.write(mixed(), "mixed")
     for nth in range(2, HUBS + 1):
         now = left if nth == 2 else left.where(F.col("size") > SMALL_BUCKET)
         if now.isEmpty():
             break
-        hubs = now.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(nth), "key", "node")).alias("hub"))
+        hubs = now.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(nth), "node")).alias("hub"))
         pairs = split_join(now, hubs, ["key"], crowded, ["node"]).where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
         links = links.unionByName(_confirm(tables, known, compared(pairs), width, percent))
         labels = connected_components(tables, links)
