@@ -31,28 +31,33 @@ REMEMBERED, PAIRS = 1_000_000, 500_000
 #: Characters that a text is streamed in, if its words can't be told apart beforehand.
 CHUNK = 4096
 _models: dict[str, Model] = {}
+_raw: dict[str, list[bytes]] = {}
+
+
+def read_pieces(path: str) -> tuple[list[str], list[float], dict[int, int], set[int], int]:
+    """(piece texts, scores, id of each byte piece, control ids, unknown id) by id, read by the public library."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    ids = range(sp.get_piece_size())
+    text, score = [sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids]
+    return text, score, {int(text[i][3:5], 16): i for i in ids if sp.is_byte(i)}, {i for i in ids if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}, sp.unk_id()
+
+
+def raw_pieces(path: str) -> list[bytes]:
+    """The bytes that each id stands for: all that decoding needs."""
+    text, _, of_byte, control, _ = read_pieces(path)
+    byte_of = {i: b for b, i in of_byte.items()}
+    return [b"" if i in control else bytes([byte_of[i]]) if i in byte_of else t.encode() for i, t in enumerate(text)]
 
 
 class Model:
-    """Pieces of a BPE model with byte fallback, read by the public library."""
+    """Pieces of a BPE model with byte fallback."""
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        normal, self.bytes, self.control = {}, {}, set()
-        self.text = []
-        for i in range(sp.get_piece_size()):
-            piece = sp.id_to_piece(i)
-            self.text.append(piece)
-            if sp.is_byte(i):
-                self.bytes[int(piece[3:5], 16)] = i
-            elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
-                self.control.add(i)
-            else:
-                normal[piece] = (sp.get_score(i), i)
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.unknown = sp.unk_id()
+        self.text, score, self.bytes, self.control, self.unknown = read_pieces(path)
+        special = self.control | set(self.bytes.values())
+        normal = {t: (score[i], i) for i, t in enumerate(self.text) if i not in special}
         self.rank = {p: -s for p, (s, _) in normal.items()}
         self.ids = {p: i for p, (_, i) in normal.items()}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -62,7 +67,6 @@ class Model:
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.arcs) and "\n" not in self.ids
         self.prefixes = {p[:n] for p in self.arcs for n in range(1, len(p) + 1)}
         self.joined = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
-        self.raw = [b"" if i in self.control else bytes([b]) if (b := self.byte_of.get(i)) is not None else t.encode() for i, t in enumerate(self.text)]
         self.words = Words(self)
 
     def merge(self, text: str) -> list[str]:
@@ -214,10 +218,10 @@ def encode(model: Model, text: str) -> list[int]:
     return list(struct.unpack(f"<{len(data) // 4}i", data))
 
 
-def decode(model: Model, ids: Iterable[int]) -> str:
+def decode(raw: list[bytes], ids: Iterable[int]) -> str:
     """The text of ids: pieces end to end, byte pieces as UTF-8 (U+FFFD where they are not), control ids dropped, space marks
     as spaces, and the one in front removed."""
-    text = b"".join(map(model.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+    text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
     return text[1:] if text.startswith(" ") else text
 
 
@@ -269,10 +273,12 @@ def _decoder(path: str):
     def run(batches):
         import pyarrow as pa
 
-        model = model_of(path)
+        if path not in _raw:
+            _raw[path] = raw_pieces(path)
+        raw = _raw[path]
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            texts = [None if ids is None else decode(model, ids) for ids in batch.column(at).to_pylist()]
+            texts = [None if ids is None else decode(raw, ids) for ids in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(texts, pa.string())], names=[*(n for n in batch.schema.names if n != "ids"), "text"])
 
     return run
