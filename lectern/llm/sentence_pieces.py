@@ -21,6 +21,7 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,7 @@ REMEMBERED, PAIRS = 1_000_000, 500_000
 #: Characters that a text is streamed in, if its words can't be told apart beforehand.
 CHUNK = 4096
 _models: dict[str, Model] = {}
-_raw: dict[str, list[bytes]] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def read_pieces(path: str) -> tuple[list[str], list[float], dict[int, int], set[int], int]:
@@ -44,11 +45,26 @@ def read_pieces(path: str) -> tuple[list[str], list[float], dict[int, int], set[
     return text, score, {int(text[i][3:5], 16): i for i in ids if sp.is_byte(i)}, {i for i in ids if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}, sp.unk_id()
 
 
-def raw_pieces(path: str) -> list[bytes]:
-    """The bytes that each id stands for: all that decoding needs."""
-    text, _, of_byte, control, _ = read_pieces(path)
-    byte_of = {i: b for b, i in of_byte.items()}
-    return [b"" if i in control else bytes([byte_of[i]]) if i in byte_of else t.encode() for i, t in enumerate(text)]
+class Decoder:
+    """What decoding needs of a model: the bytes that each id stands for, end to end, with space marks as spaces."""
+
+    def __init__(self, path: str):
+        text, _, of_byte, control, _ = read_pieces(path)
+        byte_of = {i: b for b, i in of_byte.items()}
+        raw = [b"" if i in control else bytes([byte_of[i]]) if i in byte_of else t.replace(MARK, " ").encode() for i, t in enumerate(text)]
+        self.size = np.array([len(x) for x in raw], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of runs of ids: pieces end to end, byte pieces as UTF-8 (U+FFFD where they are not), control ids dropped,
+        space marks as spaces, and the one in front removed."""
+        size = self.size[ids]
+        end = np.concatenate([[0], np.cumsum(size)])
+        data = self.data[np.arange(end[-1]) + np.repeat(self.start[ids] - end[:-1], size)].tobytes()
+        cut = end[offsets].tolist()
+        out = [data[a:b].decode("utf-8", "replace").replace(MARK, " ") for a, b in zip(cut, cut[1:], strict=False)]
+        return [t[1:] if t.startswith(" ") else t for t in out]
 
 
 class Model:
@@ -218,11 +234,9 @@ def encode(model: Model, text: str) -> list[int]:
     return list(struct.unpack(f"<{len(data) // 4}i", data))
 
 
-def decode(raw: list[bytes], ids: Iterable[int]) -> str:
-    """The text of ids: pieces end to end, byte pieces as UTF-8 (U+FFFD where they are not), control ids dropped, space marks
-    as spaces, and the one in front removed."""
-    text = b"".join(map(raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
-    return text[1:] if text.startswith(" ") else text
+def decode(decoder: Decoder, ids: Iterable[int]) -> str:
+    own = np.array(list(ids), dtype=np.int64)
+    return decoder.texts(own, np.array([0, len(own)]))[0]
 
 
 def model_of(path: str) -> Model:
@@ -238,7 +252,6 @@ def _coder(path: str):
     def run(batches):
         import zlib
 
-        import numpy as np
         import pyarrow as pa
 
         model = model_of(path)
@@ -272,14 +285,19 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
 def _decoder(path: str):
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        if path not in _raw:
-            _raw[path] = raw_pieces(path)
-        raw = _raw[path]
+        if path not in _decoders:
+            _decoders[path] = Decoder(path)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            texts = [None if ids is None else decode(raw, ids) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != at), pa.array(texts, pa.string())], names=[*(n for n in batch.schema.names if n != "ids"), "text"])
+            for first in range(0, len(batch), 500):
+                part = batch.slice(first, 500)
+                ids = part.column(at)
+                offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+                texts = _decoders[path].texts(ids.flatten().to_numpy(zero_copy_only=False), offsets)
+                texts = pa.array(texts, pa.string(), mask=np.asarray(ids.is_null())) if ids.null_count else pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(part.columns) if i != at), texts], names=[*(n for n in batch.schema.names if n != "ids"), "text"])
 
     return run
 

@@ -346,7 +346,7 @@ def test_sentence_pieces(docs, empty):
     import sentencepiece
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    sp, model, raw = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Model(path), sentence_pieces.raw_pieces(path)
+    sp, model, raw = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Model(path), sentence_pieces.Decoder(path)
     odd = ["", " ", "  a  b   ", "\n\n x", "x \n y\n", "▁a ▁▁b▁", "a" * 300, " " * 100 + "x", "hello\r\nworld\t!", "def f(x):\n    return x+1\n\n\n  # c", "<s> <0x0A>", "\x00"]
     rng = random.Random(2)
     odd += ["".join(rng.choice("abcde.,'() \n▁éß日0") for _ in range(60)) for _ in range(150)]
