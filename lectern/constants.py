@@ -2,6 +2,8 @@
 
 # Fixed values.
 OUTLIER_Z, END_FADE, RUN_MINIMUM = 2.5, 0.85, 3
+RUN_CHARS, TAIL_CHARS = 60, 52
+AUDIT_MAX_FIX, AUDIT_SLACK = 3, 2
 GRAM = 6
 CROSS_MIN_TOKENS, CROSS_COUNT = 50, 5
 WITHIN_MIN_TOKENS, WITHIN_COUNT = 12, 8

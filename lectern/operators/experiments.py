@@ -37,29 +37,54 @@ def profile_report(runs: DataFrame) -> DataFrame:
     )
 
 
-def pareto(points: DataFrame, key: str, low: list[str], high: list[str], block: str | None = None) -> DataFrame:
-    """The points that none dominates: as good in every measure and better in one. Points with an unknown measure are not compared.
+def _skyline(block: str, signs: dict[str, int]):
+    """A function from a table of points to those that none of their block dominates."""
+    import numpy as np
 
-    A skyline of few rows: points are profiles of an experiment. Equal points are met once. Within a block points are compared
-    after a first cut against the block's point of least sum, which leaves few.
+    def of(pdf):
+        kept = []
+        for _, own in pdf.groupby(block, dropna=False, sort=False):
+            x = np.stack([own[c].to_numpy(dtype=float) * s for c, s in signs.items()], axis=1)
+            best: list[int] = []
+            for i in np.argsort(x.sum(axis=1), kind="stable"):  # what dominates a point comes before it
+                front = x[best]
+                if not len(best) or not ((front <= x[i]).all(axis=1) & (front < x[i]).any(axis=1)).any():
+                    best.append(i)
+            kept.append(own.iloc[best])
+        import pandas as pd
+
+        return pd.concat(kept) if kept else pdf
+
+    return of
+
+
+def pareto(points: DataFrame, low: list[str], high: list[str], block: str | None = None, gate: Column | None = None, unknown: str | None = None) -> DataFrame:
+    """The points that none dominates, that is, as good in every measure and better in one. Only points that pass the gate count.
+
+    unknown: a measure that may be null. A point that has it is compared with such points only; one that lacks it is compared with
+    all, in the other measures. Points with another null measure are left out. Partitions keep their own skylines, which are
+    few points, before a block's skylines meet; then points are looked up by their measures.
     """
-    measures = [*low, *high]
-    known = points.where(" AND ".join(f"{c} IS NOT NULL" for c in measures))
-    sign = lambda p, c: F.col(f"{p}.{c}") if c in low else -F.col(f"{p}.{c}")
-    own = known.withColumn("_b", F.col(block) if block else F.lit(0))
-    total = sum((F.col(c) if c in low else -F.col(c)) for c in measures)
-    pivot = own.groupBy("_b").agg(F.min_by(F.struct(*measures), F.struct(total.alias("t"), F.col(key))).alias("_p"))
+    name = block or "_block"
+    own = points if gate is None else points.where(F.coalesce(gate, F.lit(False)))
+    own = own if block else own.withColumn("_block", F.lit(0))
+    signs = {c: 1 for c in low} | {c: -1 for c in high}
+    own = own.where(" AND ".join(f"{c} IS NOT NULL" for c in signs if c != unknown))
+
+    def front(rows: DataFrame, measures: dict[str, int]) -> DataFrame:
+        values = rows.select(name, *measures).distinct()
+        local = values.mapInPandas(lambda batches: map(_skyline(name, measures), batches), values.schema)
+        return local.groupBy(name).applyInPandas(_skyline(name, measures), values.schema)
 
-    def beats(a, b):
-        no_worse, better = F.lit(True), F.lit(False)
-        for c in measures:
-            no_worse, better = no_worse & (a(c) <= b(c)), better | (a(c) < b(c))
-        return no_worse & better
+    def kept(rows: DataFrame, best: DataFrame, measures: dict[str, int]) -> DataFrame:
+        return rows.join(best.distinct(), [name, *measures], "left_semi")
 
-    signed = lambda col, c: col[c] if c in low else -col[c]
-    left = own.join(F.broadcast(pivot), "_b").where(~beats(lambda c: signed(F.col("_p"), c), lambda c: F.col(c) if c in low else -F.col(c))).drop("_p")
-    a, b = left.alias("a"), left.select("_b", *measures).distinct().alias("b")
-    return a.join(b, (F.col("a._b") == F.col("b._b")) & beats(lambda c: sign("b", c), lambda c: sign("a", c)), "left_anti").drop("_b")
+    known = own if unknown is None else own.where(F.col(unknown).isNotNull())
+    out = kept(known, front(known, signs), signs)
+    if unknown is not None:
+        rest = {c: s for c, s in signs.items() if c != unknown}
+        out = out.unionByName(kept(own.where(F.col(unknown).isNull()), front(own, rest), rest))
+    return out if block else out.drop("_block")
 
 
 def history(runs: DataFrame) -> DataFrame:
@@ -77,6 +102,20 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0)), F.lit(1.0))
 
 
+def unique_sorted(values: Column) -> Column:
+    return F.array_sort(F.array_distinct(values))
+
+
+def quality(found_names: Column, names: Column, found_recaps: Column, recaps: Column) -> Column:
+    """struct(names, recall, jaccard, recap_jaccard): how near a result's names and recaps come to the accepted ones."""
+    return F.struct(F.size(F.array_distinct(found_names)).alias("names"), recall(found_names, names).alias("recall"), jaccard(found_names, names).alias("jaccard"), jaccard(found_recaps, recaps).alias("recap_jaccard"))
+
+
+def done_books(books: DataFrame) -> DataFrame:
+    """Finished books, the last finished first."""
+    return books.where("status = 'done'").orderBy(F.desc_nulls_last("finished_at"), F.desc("id"))
+
+
 def experiment_plan(profiles: DataFrame, cases: DataFrame, repeats: int, seed: int) -> DataFrame:
     """(profile, case, repeat, place): every combination of a suite, a few dozen rows, in an order drawn by the seed."""
     plan = profiles.select("profile").join(F.broadcast(cases.select("case")), F.lit(True)).withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
@@ -141,6 +180,11 @@ def run_seconds(started: Column, finished: Column) -> Column:
     return F.when(s >= 0, s)
 
 
+def total_cost(runs: DataFrame, key: str = "book_id") -> DataFrame:
+    """(key, cost): finite costs summed."""
+    return cost_summary(runs, key).select(key, "cost")
+
+
 def cost_summary(runs: DataFrame, key: str = "book_id") -> DataFrame:
     """(key, cost, estimated, incomplete): finite costs summed; flags stick."""
     finite = F.when(~F.isnan("cost_usd"), F.col("cost_usd"))

@@ -92,6 +92,14 @@ def contribution_summary(rows: DataFrame) -> DataFrame:
     return own.select("book_id", F.when(F.col("o"), "open").when(F.col("r"), "rejected").when(F.col("m"), "merged").otherwise("none").alias("status"), "attention")
 
 
+def converted(scanned: DataFrame, overrides: DataFrame, root: str) -> DataFrame:
+    """Scanned books (source_path, title, author, ...) as candidates: path is relative to root, an override's work wins over a found
+    one, and flags without an override are false."""
+    own = apply_overrides(scanned, overrides.withColumnRenamed("work_id", "_asked"))
+    path = F.regexp_replace("source_path", F.lit("^" + root.rstrip("/") + "/"), F.lit(""))
+    return own.withColumn("path", path).withColumn("title", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.element_at(F.split(path, "/"), -1))).withColumn("work_id", F.coalesce(F.nullif("_asked", F.lit("")), "work_id")).drop("_asked")
+
+
 def book_view(books: DataFrame, **parts: DataFrame) -> DataFrame:
     """Books with each part joined by book_id."""
     out = books

@@ -21,14 +21,16 @@ def merge(spans: DataFrame, key: str, start: str = "start", end: str = "end") ->
 def gaps(spans: DataFrame, totals: DataFrame, key: str, least: float = C.MIN_SPAN) -> DataFrame:
     """(key, start, end, place): holes of [0, duration] that no span covers; place is leading, interior or trailing.
 
-    A key without spans is one leading hole.
+    A key without spans is one interior hole, for nothing is there that it could lead or trail. A key without a duration has none.
     """
+    known = totals.where(F.col("duration") > 0).select(key, "duration")
     merged = merge(spans.where(F.col("end") > F.col("start")), key)
     prior = F.lag("end").over(Window.partitionBy(key).orderBy("start"))
-    inner = merged.select(key, F.coalesce(prior, F.lit(0.0)).alias("a"), F.col("start").alias("b"), F.when(prior.isNull(), "leading").otherwise("interior").alias("place"))
-    last = totals.select(key, "duration").join(merged.groupBy(key).agg(F.max("end").alias("a")), key, "left")
-    tail = last.select(key, F.coalesce("a", F.lit(0.0)).alias("a"), F.col("duration").alias("b"), F.when(F.col("a").isNull(), "leading").otherwise("trailing").alias("place"))
-    return inner.unionByName(tail).where(F.col("b") - F.col("a") >= least).select(key, F.col("a").alias("start"), F.col("b").alias("end"), "place")
+    inner = merged.select(key, F.coalesce(prior, F.lit(0.0)).alias("a"), F.col("start").alias("b"), F.when(prior.isNull(), "leading").otherwise("interior").alias("place")).join(known.select(key), key, "left_semi")
+    last = known.join(merged.groupBy(key).agg(F.max("end").alias("a")), key, "left")
+    tail = last.select(key, F.coalesce("a", F.lit(0.0)).alias("a"), F.col("duration").alias("b"), F.when(F.col("a").isNull(), "interior").otherwise("trailing").alias("place"))
+    long = F.col("b") - F.col("a") >= least
+    return inner.where(long).unionByName(tail.where(long | (F.col("place") == "interior"))).select(key, F.col("a").alias("start"), F.col("b").alias("end"), "place")
 
 
 def tolerated(start: Column, end: Column, place: Column) -> Column:
@@ -41,8 +43,8 @@ def complete_maps(holes: DataFrame, totals: DataFrame, key: str) -> DataFrame:
 
 
 def span_titles(holes: DataFrame, markers: DataFrame, key: str) -> DataFrame:
-    """Adds titles: markers with half of their own length or more inside the hole, in order of start."""
-    m = markers.select(key, F.col("start").alias("ms"), F.col("end").alias("me"), "title")
+    """Adds titles: those of markers with half of their own length or more inside the hole, in order of start. Blank titles say nothing."""
+    m = markers.select(key, F.col("start").alias("ms"), F.col("end").alias("me"), F.trim("title").alias("title")).where("title <> ''")
     both = holes.join(m, key).where((F.col("ms") < F.col("end")) & (F.col("me") > F.col("start")))
     shared = F.least("end", "me") - F.greatest("start", "ms")
     found = both.where(shared >= 0.5 * (F.col("me") - F.col("ms"))).groupBy(key, "start").agg(F.expr("transform(array_sort(collect_list(struct(ms, title))), x -> x.title)").alias("titles"))
@@ -50,9 +52,12 @@ def span_titles(holes: DataFrame, markers: DataFrame, key: str) -> DataFrame:
 
 
 def describe(holes: DataFrame, key: str) -> DataFrame:
-    """One text a key for the holes that are not tolerated."""
+    """(key, text): one text a key for the holes that are not tolerated: how long, where, at what place, and the titles there."""
+    titles = F.col("titles") if "titles" in holes.columns else F.array().cast("array<string>")
     bad = holes.where(~tolerated(F.col("start"), F.col("end"), F.col("place")))
-    line = F.format_string("%s %.1f-%.1f s", "place", "start", "end")
+    minutes = F.translate(F.format_number((F.col("end") - F.col("start")) / 60, 1), ",", "")  # rounds the double itself
+    named = F.when(F.size(titles) > 0, F.concat(F.lit("; "), F.array_join(titles, ", "))).otherwise("")
+    line = F.concat(F.format_string("%s min at %.0f-%.0fs (%s", minutes, "start", "end", "place"), named, F.lit(")"))
     return bad.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", line.alias("l")))), lambda x: x["l"]), "; ").alias("text"))
 
 
@@ -160,6 +165,17 @@ def half_even(df: DataFrame, column: str, digits: int) -> DataFrame:
     return df.withColumn(column, F.pandas_udf(own, "double")(column))
 
 
+def float_text(column: Column) -> Column:
+    """A double as Python writes it: the shortest digits that read back, always with a point, powers from 1e16 and below 1e-4."""
+    import pandas as pd
+
+    def own(s):
+        return s.map(lambda x: None if x is None else repr(float(x)))
+
+    own.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(own, "string")(column.cast("double"))
+
+
 def unit_of(words: list[str], most: int = 15, share: float = 0.9) -> int:
     """The smallest period at which `share` of the words equal those a period later; 0 if none does."""
     for p in range(1, min(most, len(words) - 1) + 1):

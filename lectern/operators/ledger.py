@@ -20,6 +20,48 @@ def by_key(df: DataFrame, key: str, value) -> DataFrame:
     return df.where(F.col(key) == value)
 
 
+def listed(df: DataFrame, *order, **equal) -> DataFrame:
+    """The rows whose columns have the given values (any of a list), in order: point reads and lists of every ledger table."""
+    for column, value in equal.items():
+        df = df.where(F.col(column).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(column).eqNullSafe(value))
+    return df.orderBy(*order) if order else df
+
+
+def tracking(books: DataFrame) -> DataFrame:
+    """What a scan needs of the queue: (source_path, id, state, status)."""
+    return books.select("source_path", "id", "state", "status")
+
+
+def attach_tracking(scanned: DataFrame, books: DataFrame) -> DataFrame:
+    """Scanned books with the queue's row of their path, null where they are not queued."""
+    return scanned.join(tracking(books), "source_path", "left")
+
+
+def calls_since(calls: DataFrame, ts: str, cutoff, column: str = "calls") -> DataFrame:
+    """One row: the calls from the cutoff on, 0 without any."""
+    return total_or_zero(since(calls, ts, cutoff), column)
+
+
+def supervisor_spend(runs: DataFrame, **equal) -> DataFrame:
+    """One row (cost, unknown) of runs with the given columns: provider cost, else a complete estimate; unknown counts those that
+    called a model and have neither."""
+    own = listed(runs, **equal)
+    cost = F.coalesce("provider_cost_usd", F.when(F.col("estimate_complete"), F.col("estimated_cost_usd")))
+    return own.agg(F.coalesce(F.sum(cost), F.lit(0.0)).alias("cost"), F.count_if(cost.isNull() & (F.coalesce("calls", F.lit(0)) > 0)).alias("unknown"))
+
+
+def insert_event(events: DataFrame) -> DataFrame:
+    """Events as they are stored: a book 0 is none."""
+    return events.withColumn("book_id", F.nullif("book_id", F.lit(0)))
+
+
+def set_status(books: DataFrame, where: Column, status: str, error: str = "", park_code: str = "", retry_at=None) -> DataFrame:
+    """UPDATE of the status with what belongs to it: an error and a park code stay only with a book that needs attention, and a
+    retry time only with one that waits for it."""
+    attention, parked = status == "needs_attention", status == "parked"
+    return rewrite(books, where, status=F.lit(status), error=F.lit(error if attention or parked else ""), park_code=F.lit(park_code if attention else ""), retry_at=F.lit(retry_at if parked else None).cast(books.schema["retry_at"].dataType))
+
+
 def total_or_zero(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.coalesce(F.sum(column), F.lit(0)).alias("total"))
 

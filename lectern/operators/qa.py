@@ -11,33 +11,33 @@ from ..functions import text as T
 
 
 def rate_outliers(chapters: DataFrame, z: float = C.OUTLIER_Z) -> DataFrame:
-    """(chapter, words, rate, z): words an hour that lie z sample deviations or more from the mean. Chapter 0 takes no part.
+    """(chapter, words, minutes, rate, z): words an hour that lie more than z sample deviations from the mean. Chapter 0 takes no
+    part; a chapter without a duration has the rate 0 and takes part.
 
     Mean and deviation are one-row aggregates that every row meets, so no window gathers all chapters in one task.
     """
-    own = chapters.where((F.col("chapter") != 0) & (F.col("duration") > 0)).select("chapter", F.size(T.tokens(F.col("text"))).alias("words"), "duration")
-    own = own.withColumn("rate", F.col("words") / F.col("duration") * 3600)
+    own = chapters.where("chapter <> 0").select("chapter", F.size(T.tokens(F.col("text"))).alias("words"), F.coalesce("duration", F.lit(0.0)).alias("duration"))
+    own = own.withColumn("rate", F.when(F.col("duration") != 0, F.col("words") / (F.col("duration") / 3600)).otherwise(0.0))
     stats = own.agg(F.avg("rate").alias("mean"), F.coalesce(F.stddev_samp("rate"), F.lit(0.0)).alias("sd"))
     joined = own.join(F.broadcast(stats), F.lit(True))  # one row
     scored = joined.withColumn("z", F.when(F.col("sd") != 0, (F.col("rate") - F.col("mean")) / F.col("sd")).otherwise(0.0))
-    return scored.where(F.abs("z") >= z).select("chapter", "words", F.round("rate", 1).alias("rate"), F.round("z", 2).alias("z"))
+    return scored.where(F.abs("z") > z).select("chapter", "words", F.round(F.col("duration") / 60, 1).alias("minutes"), F.round("rate", 1).alias("rate"), F.round("z", 2).alias("z"))
 
 
-def repeat_runs(segments: DataFrame, least: int = C.RUN_MINIMUM) -> DataFrame:
-    """(chapter, first_pos, last_pos, n, text, kind): runs of equal normalised segments. Empty ones don't break a run.
+def repeat_runs(segments: DataFrame, durations: DataFrame, least: int = C.RUN_MINIMUM) -> DataFrame:
+    """(chapter, first_pos, last_pos, n, start, text, kind): runs of equal normalised segments. Empty ones don't break a run.
 
-    kind is end_fade for runs that begin at END_FADE of the chapter or later, else mid. Chapter 0 takes no part.
+    kind is end_fade for runs that begin at END_FADE of the chapter's duration (chapter, duration) or later, else mid, and mid
+    where no duration is known. Chapter 0 takes no part.
     """
-    own = segments.where("chapter <> 0").withColumn("norm", T.normalise_unicode(F.col("text")))
-    sizes = own.groupBy("chapter").agg((F.max("pos") + 1).alias("total"))
-    own = own.where("norm <> ''")
+    own = segments.where("chapter <> 0").withColumn("norm", T.normalise_unicode(F.col("text"))).where("norm <> ''")
     order = Window.partitionBy("chapter").orderBy("pos")
     own = own.withColumn("new", F.coalesce((F.col("norm") != F.lag("norm").over(order)).cast("int"), F.lit(1)))
     own = own.withColumn("island", F.sum("new").over(order))
-    runs = own.groupBy("chapter", "island").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n"), F.min_by("text", "pos").alias("text"))
-    runs = runs.where(F.col("n") >= least).join(sizes, "chapter")
-    kind = F.when(F.col("first_pos") >= F.col("total") * C.END_FADE, "end_fade").otherwise("mid")
-    return runs.select("chapter", "first_pos", "last_pos", "n", T.truncate(F.col("text"), 120).alias("text"), kind.alias("kind"))
+    runs = own.groupBy("chapter", "island").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"), F.count(F.lit(1)).alias("n"), F.min_by("start", "pos").alias("start"), F.min_by("text", "pos").alias("text"))
+    runs = runs.where(F.col("n") >= least).join(durations.select("chapter", "duration"), "chapter", "left")
+    late = F.coalesce(F.col("start") / F.nullif("duration", F.lit(0.0)), F.lit(0.0)) >= C.END_FADE
+    return runs.select("chapter", "first_pos", "last_pos", "n", "start", T.truncate(F.col("text"), C.RUN_CHARS).alias("text"), F.when(late, "end_fade").otherwise("mid").alias("kind"))
 
 
 def low_confidence(words: DataFrame, worst: int = C.WORST) -> DataFrame:
@@ -88,15 +88,18 @@ def locate_loop(loops: DataFrame, segments: DataFrame, durations: DataFrame) ->
 
 
 def tail_rates(words: DataFrame, n: int = C.TAIL_WORDS, limit: float = C.TAIL_MAX_RATE) -> DataFrame:
-    """(chapter, words, span, rate): chapters whose last n words come faster than limit a second.
+    """(chapter, words, span, rate, tail): chapters whose last n words come faster than limit a second; tail is those words' text.
 
-    words: (chapter, pos, start, end). Chapters with fewer than n + TAIL_SLACK words are let be.
+    words: (chapter, pos, word, start, end). Blank words don't count. Chapters with fewer than n + TAIL_SLACK words are let be.
     """
     back = Window.partitionBy("chapter").orderBy(F.desc("pos"))
-    last = words.withColumn("r", F.row_number().over(back)).where(F.col("r") <= n + C.TAIL_SLACK)
-    own = last.groupBy("chapter").agg(F.max("r").alias("have"), F.min_by("start", F.when(F.col("r") <= n, -F.col("r"))).alias("a"), F.max_by("end", -F.col("r")).alias("b"))
+    last = words.withColumn("word", T.collapse(F.coalesce("word", F.lit("")))).where("word <> ''").withColumn("r", F.row_number().over(back)).where(F.col("r") <= n + C.TAIL_SLACK)
+    within = F.col("r") <= n
+    tail = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(within, F.struct((-F.col("r")).alias("r"), "word")))), lambda x: x["word"]), " ")  # n words
+    own = last.groupBy("chapter").agg(F.max("r").alias("have"), F.min_by("start", F.when(within, -F.col("r"))).alias("a"), F.max_by("end", -F.col("r")).alias("b"), tail.alias("tail"))
     own = own.where(F.col("have") >= n + C.TAIL_SLACK).withColumn("span", F.greatest(F.col("b") - F.col("a"), F.lit(C.TAIL_FLOOR)))
-    return own.withColumn("rate", n / F.col("span")).where(F.col("rate") > limit).select("chapter", F.lit(n).alias("words"), F.round("span", 3).alias("span"), F.round("rate", 2).alias("rate"))
+    own = own.withColumn("rate", n / F.col("span")).where(F.col("rate") > limit)
+    return own.select("chapter", F.lit(n).alias("words"), F.round("span", 2).alias("span"), F.round("rate", 1).alias("rate"), T.truncate(F.col("tail"), C.TAIL_CHARS).alias("tail"))
 
 
 def union_of(*findings: DataFrame, key: str = "chapter") -> DataFrame:
@@ -136,6 +139,32 @@ def plan_problems(planned: DataFrame, required: DataFrame, allowed: DataFrame) -
     return label(missing(required, planned), "missing").unionByName(label(unexpected(planned, allowed), "unexpected")).unionByName(label(twice, "duplicate")).unionByName(label(bad, "range")).distinct()
 
 
+def non_accept(plan: DataFrame) -> DataFrame:
+    """Entries of a plan that ask for work."""
+    return plan.where(F.col("action") != "accept")
+
+
+def entries_done(plan: DataFrame, verdicts: DataFrame, repaired: DataFrame, key: str = "chapter") -> DataFrame:
+    """Adds done: a retranscription whose chapter has a verdict and, unless that says to keep the old text, a repaired text."""
+    own = plan.join(verdicts.select(key, F.col("verdict").alias("_v")), key, "left").join(repaired.select(key, F.lit(True).alias("_r")).distinct(), key, "left")
+    return own.withColumn("done", F.coalesce(F.col("_v").isNotNull() & ((F.col("_v") == "keep") | F.coalesce("_r", F.lit(False))), F.lit(False))).drop("_v", "_r")
+
+
+def run_detectors(chapters: DataFrame, segments: DataFrame, words: DataFrame) -> dict[str, DataFrame]:
+    """The findings of all detectors over the same chapters (chapter, text, duration), segments (chapter, pos, start, end, text) and
+    words (chapter, pos, word, start, end, p), by name; retranscribe is the queue of chapters that any but the tally names."""
+    found = {
+        "wph_outliers": rate_outliers(chapters),
+        "repeated_runs": repeat_runs(segments, chapters),
+        "cross_segment": locate_phrase(cross_loops(chapters), segments),
+        "within_segment": within_loops(segments),
+        "multi_loop": locate_loop(multi_loops(chapters), segments, chapters),
+        "tail_rate": tail_rates(words),
+        "low_confidence": low_confidence(words),
+    }
+    return found | {"retranscribe": union_of(found["cross_segment"], found["within_segment"], found["multi_loop"].where("mid"), found["repeated_runs"].where("kind = 'mid'"), found["tail_rate"])}
+
+
 def clip_in_range(start: Column, duration: Column) -> Column:
     return (F.coalesce(duration, F.lit(0.0)) <= 0) | (start < duration - 1)
 

@@ -19,10 +19,10 @@ def with_position(books: DataFrame) -> DataFrame:
 
 
 def series_rank(books: DataFrame) -> DataFrame:
-    """Adds rank: 0-based place in the series; 0 without one."""
-    order = Window.partitionBy("series").orderBy(*_PLACE)
-    rank = F.when(F.coalesce("series", F.lit("")) == "", F.lit(0)).otherwise(F.row_number().over(order) - 1)
-    return with_position(books).withColumn("rank", rank)
+    """Adds rank: 0-based place in the series; 0 without one. Books without a series are each a group of their own."""
+    alone = F.coalesce("series", F.lit("")) == ""
+    order = Window.partitionBy("series", F.when(alone, F.col("id"))).orderBy(*_PLACE)
+    return with_position(books).withColumn("rank", F.when(alone, F.lit(0)).otherwise(F.row_number().over(order) - 1))
 
 
 def lock_owners(books: DataFrame, finished: Column) -> DataFrame:
@@ -58,9 +58,11 @@ def queue_snapshot(books: DataFrame, bucket: Column, *order) -> DataFrame:
 
 
 def fill_lanes(waiting: DataFrame, free: dict[str, int], *order) -> DataFrame:
-    """The first rows of each lane, as many as it has room for."""
-    room = F.element_at(F.create_map(*[F.lit(x) for kv in free.items() for x in kv]), F.col("lane"))
-    return waiting.withColumn("r", F.row_number().over(Window.partitionBy("lane").orderBy(*order))).where(F.col("r") <= F.coalesce(room, F.lit(0))).drop("r")
+    """The first rows of each lane, as many as it has room for: a top-k of each of the few lanes, so that no task sorts one."""
+    out = waiting.limit(0)
+    for lane, room in free.items():
+        out = out.unionByName(waiting.where(F.col("lane") == lane).orderBy(*order).limit(max(room, 0)))
+    return out
 
 
 def rewind_to(stages: DataFrame, done: DataFrame, present: DataFrame) -> DataFrame:
@@ -182,11 +184,16 @@ def running_best(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("best_before", F.min(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
 
 
-def audit_accepted(rounds: DataFrame) -> DataFrame:
-    """Adds accepted: no blockers, and no finding or as few as the best round before. rounds: (book_id, round, blockers, fixes, nits)."""
-    own = rounds.withColumn("found", F.col("blockers") + F.col("fixes"))
-    own = running_best(own, "book_id", "round", "found")
-    return own.withColumn("accepted", (F.col("blockers") == 0) & ((F.col("found") == 0) | F.coalesce(F.col("found") >= F.col("best_before"), F.lit(False)))).drop("found")
+def audit_accepted(rounds: DataFrame, max_fixes: int = 4) -> DataFrame:
+    """Adds accepted: whether a round's few fixes are the last that are needed. rounds: (book_id, round, blockers, fixes, clean,
+    fixes_done).
+
+    Accepted are rounds from the second on, without blockers, with 1 to AUDIT_MAX_FIX fixes, at most AUDIT_SLACK findings above
+    the best round before, after a clean validation, while fixing rounds are left.
+    """
+    own = running_best(rounds.withColumn("_found", F.col("blockers") + F.col("fixes")), "book_id", "round", "_found")
+    few = (F.col("blockers") == 0) & F.col("fixes").between(1, C.AUDIT_MAX_FIX) & F.coalesce(F.col("_found") <= F.col("best_before") + C.AUDIT_SLACK, F.lit(False))
+    return own.withColumn("accepted", few & (F.col("round") >= 2) & F.col("clean") & (F.col("fixes_done") < max_fixes)).drop("_found")
 
 
 def classify_incidents(books: DataFrame, runs: DataFrame, now, repeats: int = 3, growth_minutes: int = 20) -> DataFrame:
@@ -244,6 +251,22 @@ def not_improving(rounds: DataFrame, key: str, order: str, found: str, passed: s
     return own.withColumn("_b", F.lag(found).over(v)).where(F.col(found) >= F.col("_b")).drop("_p", "_b")
 
 
+def asr_order(books: DataFrame, retranscribing: str = "retranscribing") -> DataFrame:
+    """Waiting books in the order of their turn: repairs first, then by place in the series, then by id."""
+    return series_rank(books).orderBy(F.col("state") != retranscribing, "rank", "id")
+
+
+def asr_partition(books: DataFrame, retranscribing: str = "retranscribing") -> tuple[DataFrame, DataFrame]:
+    """(books whose repairs wait, books that wait for their first transcript)."""
+    again = F.col("state") == retranscribing
+    return books.where(again), books.where(~again)
+
+
+def queue_payload(snapshot: DataFrame, buckets: list[str]) -> DataFrame:
+    """A snapshot (bucket, place, lane, id) in the order in which it is shown."""
+    return snapshot.orderBy(F.array_position(F.array(*map(F.lit, buckets)), F.col("bucket")), "lane", "place", "id")
+
+
 def can_start(status: Column, owns_lock: Column, lane_free: Column) -> Column:
     return (status == "queued") & owns_lock & (lane_free > 0)
 

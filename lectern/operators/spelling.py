@@ -228,28 +228,66 @@ def sheet_rows(ledger: DataFrame, ends: DataFrame, heard: DataFrame) -> DataFram
     return own.join(F.broadcast(ends), (F.col("first") <= F.col("end")) | (F.col("first") == 0)).select("end", "name")
 
 
-def reference_matches(forms: DataFrame, vocabulary: DataFrame, most: int = C.MATCH_MAX_DISTANCE) -> DataFrame:
-    """(form, name, distance) of the nearest vocabulary name within min(most, length / MATCH_DIVISOR) edits, verified ones first
-    among equals, then the earlier. vocabulary: (name, authority, pos).
-
-    Forms and names meet on the first letter and on length within `most`, so a form is compared with its block only.
-    """
-    f = forms.where(F.length("form") >= C.MATCH_MIN_LENGTH).select("form", T.fold_form(F.col("form")).alias("_f")).distinct()
-    v = vocabulary.select("name", "authority", "pos", T.fold_form(F.col("name")).alias("_v"))
-    f = f.select("form", "_f", F.substring("_f", 1, 1).alias("_b"), F.explode(F.sequence(F.length("_f") - most, F.length("_f") + most)).alias("_l"))
-    v = v.select("name", "authority", "pos", "_v", F.substring("_v", 1, 1).alias("_b"), F.length("_v").alias("_l"))
-    v = F.broadcast(v) if v.count() <= C.BROADCAST_ROWS else v
-    limit = F.least(F.lit(most), F.floor(F.length("_f") / C.MATCH_DIVISOR)).cast("int")
-    near = f.join(v, ["_b", "_l"]).withColumn("distance", F.levenshtein("_f", "_v", most)).where((F.col("distance") > 0) & (F.col("distance") <= limit))
-    return near.groupBy("form").agg(F.min_by(F.struct("name", "distance"), F.struct("distance", (F.col("authority") != "verified").alias("a"), "pos")).alias("_x")).select("form", "_x.name", "_x.distance")
+def vocabulary(sources: DataFrame, common: list[str]) -> DataFrame:
+    """(name, authority, pos, part, folded) of reference names (name, authority, pos) and of the parts of those of several words,
+    common words left out. Shorter ones than MATCH_MIN_LENGTH are no names."""
+    own = sources.select(F.trim("name").alias("name"), "authority", "pos").where(F.length("name") >= C.MATCH_MIN_LENGTH)
+    words = F.filter(F.split(F.col("name"), r"\s+"), lambda w: ~F.lower(w).isin(*common) if common else F.lit(True))
+    parts = own.where(F.size(F.split("name", r"\s+")) > 1).select(F.posexplode(words).alias("part", "name"), "authority", "pos").where(F.length("name") >= C.MATCH_MIN_LENGTH)
+    out = own.select("name", "authority", "pos", F.lit(-1).alias("part")).unionByName(parts.select("name", "authority", "pos", "part"))
+    return out.withColumn("folded", T.fold_form(F.col("name")))
 
 
 def known_forms(forms: DataFrame, names: DataFrame) -> DataFrame:
-    """Forms that are a name, or one with a possessive or a plural s."""
-    n = names.select(T.fold_form(F.col("name")).alias("_k")).distinct()
-    own = forms.withColumn("_k", T.fold_form(F.col("form")))
-    stem = F.regexp_replace("_k", "('s|s')$", "")
-    return own.join(n, "_k", "left_semi").drop("_k").unionByName(own.withColumn("_k", stem).join(n, "_k", "left_semi").drop("_k")).unionByName(own.withColumn("_k", F.regexp_replace("_k", "s$", "")).join(n, "_k", "left_semi").drop("_k")).distinct()
+    """The forms that verified names settle: a name itself, its possessive, a name and a stray short word, or a plural whose
+    singular is itself among the forms; without that an s at the end is as likely a slip. forms: (form, ...); names: (folded)."""
+    verified = names.select(F.col("folded").alias("_k")).distinct()
+    own = forms.withColumn("_f", T.fold_form(F.col("form")))
+    stem = lambda pattern: F.when(F.col("_f").rlike(pattern), F.regexp_replace("_f", pattern, ""))
+    head = F.when(F.length(F.regexp_extract("_f", r" ([^ ]*)$", 1)) < C.MATCH_MIN_LENGTH, stem(r" [^ ]*$"))
+    bases = [(F.col("_f"), False), (stem("'s$"), False), (head, False), (stem("es$"), True), (stem("s$"), True)]
+    tries = own.select("form", F.explode(F.array(*[F.struct(b.alias("base"), F.lit(plural).alias("plural")) for b, plural in bases])).alias("x")).select("form", F.col("x.base").alias("_k"), "x.plural").where("_k IS NOT NULL")
+    said = own.select(F.col("_f").alias("_k")).distinct().withColumn("said", F.lit(True))
+    settled = tries.join(verified, "_k").join(said, "_k", "left").where("NOT plural OR said").select("form").distinct()
+    return forms.join(settled, "form", "left_semi")
+
+
+def _shortened(text: str, least: str, most: int) -> str:
+    """SQL for the forms that a text has with up to `most` characters after the first taken out, `least` being SQL of a smaller bound."""
+    one = "transform(sequence(2, greatest(length({x}), 2)), i -> concat(substring({x}, 1, i - 1), substring({x}, i + 1)))"
+    once = f"IF({least} >= 1, {one.format(x=text)}, array())"
+    twice = f"IF({least} >= 2, flatten(transform({once}, y -> {one.format(x='y')})), array())" if most > 1 else "array()"
+    return f"array_distinct(concat(array({text}), CAST({once} AS array<string>), CAST({twice} AS array<string>)))"
+
+
+def best_references(forms: DataFrame, names: DataFrame, most: int = C.MATCH_MAX_DISTANCE) -> DataFrame:
+    """(form, name, authority, distance): the nearest name within min(most, length / MATCH_DIVISOR) edits, but not the form itself,
+    that begins with the form's letter; a verified one among equals, then the earlier. names: as vocabulary() gives them.
+
+    Two texts so near have a form in common that either gets by taking out as many characters, so they meet on those forms, by
+    hash, and no block of similar length is paired off.
+    """
+    f = forms.select("form", T.fold_form(F.col("form")).alias("_f")).distinct().withColumn("_d", F.least(F.lit(most), F.floor(F.length("_f") / C.MATCH_DIVISOR).cast("int"))).where("_d >= 1")
+    f = f.select("form", "_f", "_d", F.explode(F.expr(_shortened("_f", "_d", most))).alias("_s")).select("form", "_f", "_d", F.xxhash64("_s").alias("_s"))
+    v = names.where("folded <> ''").select("name", "authority", "pos", "part", "folded", F.explode(F.expr(_shortened("folded", str(most), most))).alias("_s"))
+    v = v.select("name", "authority", "pos", "part", "folded", F.xxhash64("_s").alias("_s"))
+    v = F.broadcast(v) if names.count() * 100 <= C.BROADCAST_ROWS else v
+    near = f.join(v, "_s").where(F.substring("_f", 1, 1) == F.substring("folded", 1, 1)).withColumn("distance", F.levenshtein("_f", "folded", most)).where((F.col("distance") > 0) & (F.col("distance") <= F.col("_d")))
+    order = F.struct("distance", (F.col("authority") != "verified").alias("a"), "pos", "part")
+    return near.groupBy("form").agg(F.min_by(F.struct("name", "authority", "distance"), order).alias("_x")).select("form", "_x.*")
+
+
+def reference_matches(forms: DataFrame, sources: DataFrame, common: list[str], cap: int = C.MATCH_CAP) -> DataFrame:
+    """(form, count, name, authority, distance, truncated): proposals for name-shaped forms (form, count) that no verified source
+    settles, verified ones first, then by count; the first `cap` of them, and how many more there are. Carryover names propose
+    but never settle: what an earlier volume wrote may be the same slip."""
+    names = vocabulary(sources, common)
+    own = forms.withColumn("form", F.trim("form")).where((F.length("form") >= C.MATCH_MIN_LENGTH) & proper_shape(F.col("form"), common))
+    settled = known_forms(forms.select(F.trim("form").alias("form")), names.where("authority = 'verified'"))
+    found = best_references(own.join(settled.select("form").distinct(), "form", "left_anti"), names).join(own.select("form", "count"), "form")
+    over = found.agg(F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).alias("truncated"))
+    top = found.orderBy(F.col("authority") != "verified", F.desc("count"), "form").limit(cap)
+    return top.join(F.broadcast(over), F.lit(True)).select("form", "count", "name", "authority", "distance", "truncated")  # one row
 
 
 def overlap(texts: DataFrame, sources: DataFrame, key: str, source_key: str, n: int = C.SHINGLE) -> DataFrame:
@@ -314,6 +352,16 @@ def sheet_gates(ledger: DataFrame, ends: DataFrame, heard: DataFrame) -> DataFra
     return both.groupBy("name", "other").agg(F.min("end").alias("end"))
 
 
+def sheet_audit(ledger: DataFrame, ends: DataFrame, heard: DataFrame, prior: DataFrame, preamble: DataFrame) -> DataFrame:
+    """(gate, name, other): what any of the sheets' gates finds: notes that name what is heard later, rows that claim to be carried
+    over, preamble lines that name what is heard after the first sheet."""
+    first = ends.agg(F.min("end")).first()[0]
+    notes = sheet_gates(ledger, ends, heard).select(F.lit("note").alias("gate"), "name", "other")
+    carried = carryover_gate(ledger, prior).select(F.lit("carryover").alias("gate"), "name", F.lit("").alias("other"))
+    out = notes.unionByName(carried)
+    return out if first is None else out.unionByName(preamble_leaks(preamble, heard, first).select(F.lit("preamble").alias("gate"), "name", F.col("line").alias("other")))
+
+
 def carryover_gate(ledger: DataFrame, prior: DataFrame) -> DataFrame:
     """Rows that claim to be carried over and weren't there before."""
     return ledger.where("carryover").join(prior.select(F.col("canonical").alias("name")), "name", "left_anti")
@@ -335,7 +383,8 @@ def _mentions(texts: DataFrame, column: str, names: DataFrame, name: str) -> Dat
 
 def proper_shape(token: Column, common: list[str]) -> Column:
     """Capitalised, and no contraction of a common word."""
-    return token.rlike(r"^\p{Lu}|'\p{Lu}") & ~F.lower(F.element_at(F.split(token, "'"), 1)).isin(*common)
+    stem = F.when(F.contains(token, F.lit("'")), F.lower(F.element_at(F.split(token, "'"), 1)))
+    return token.rlike(r"^\p{Lu}|'\p{Lu}") & (~F.coalesce(stem.isin(*common), F.lit(False)) if common else F.lit(True))
 
 
 def glossary_name(name: Column, least: int = 4) -> Column:

@@ -12,7 +12,7 @@ g AS (SELECT {keys}, phrase, count(*) AS count, min(i) - 1 AS first FROM named G
 _DOC = "SELECT doc_id AS chapter, " + _TOKENS.format(t="text") + " AS t FROM documents"
 _LINES = "lines AS (SELECT doc_id AS chapter, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 _CROSS = _GRAMS.format(toks=_DOC, keys="chapter", least=50) + ", top AS (SELECT chapter, phrase, count, first FROM (SELECT *, row_number() OVER (PARTITION BY chapter ORDER BY count DESC, first) AS r FROM g) WHERE r = 1 AND count >= 5)"
-_RATES = "rates AS (SELECT doc_id AS chapter, len(" + _TOKENS.format(t="text") + ") AS words, len(" + _TOKENS.format(t="text") + ") / (n_chars / 15.0) * 3600 AS rate FROM documents WHERE doc_id <> 0 AND n_chars > 0), outliers AS (SELECT chapter, words, rate, (rate - m) / s AS z FROM rates, (SELECT avg(rate) AS m, stddev_samp(rate) AS s FROM rates) WHERE abs((rate - m) / s) >= 2.5)"
+_RATES = "rates AS (SELECT doc_id AS chapter, n_chars / 15.0 AS duration, len(" + _TOKENS.format(t="text") + ") AS words, CASE WHEN n_chars > 0 THEN len(" + _TOKENS.format(t="text") + ") / (n_chars / 15.0 / 3600) ELSE 0 END AS rate FROM documents WHERE doc_id <> 0), outliers AS (SELECT chapter, words, duration, rate, (rate - m) / s AS z FROM rates, (SELECT avg(rate) AS m, stddev_samp(rate) AS s FROM rates) WHERE abs((rate - m) / s) > 2.5)"
 _FLAGGED = f"{_CROSS}, {_RATES}, flagged AS (SELECT chapter FROM top UNION SELECT chapter FROM outliers), planned AS (SELECT doc_id AS chapter FROM labels WHERE quality = 0)"
 _RUNS = """runs AS (SELECT event_id AS id, user_id AS book_id, event_type AS stage, ts AS started_at, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS finished_at,
   event_type <> 'error' AS ok, event_type = 'view' AS superseded, value AS cost_usd, event_type IN ('purchase', 'signup') AS cost_reported, value / 2 AS estimated_cost, event_type = 'click' AS estimate_complete, floor(value)::BIGINT AS tokens_in FROM events)"""
@@ -24,26 +24,34 @@ merged AS (SELECT book, min(start) AS start, max(stop) AS stop FROM k GROUP BY b
 _GAPS = _SPANS + """, real_spans AS (SELECT * FROM spans WHERE stop > start), m AS (SELECT *, max(stop) OVER (PARTITION BY book ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM real_spans),
 k AS (SELECT *, sum(CASE WHEN start > before THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY start, stop) AS i FROM m),
 merged AS (SELECT book, min(start) AS start, max(stop) AS stop FROM k GROUP BY book, i),
+totals AS (SELECT c_custkey AS book, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE 3000000.0 END AS duration FROM customer),
 inner_gaps AS (SELECT book, coalesce(lag(stop) OVER w, 0) AS a, start AS b, CASE WHEN lag(stop) OVER w IS NULL THEN 'leading' ELSE 'interior' END AS place FROM merged WINDOW w AS (PARTITION BY book ORDER BY start)),
-tails AS (SELECT b.book, coalesce(max(stop), 0) AS a, 3000000.0 AS b, CASE WHEN max(stop) IS NULL THEN 'leading' ELSE 'trailing' END AS place FROM (SELECT DISTINCT user_id AS book FROM events) b LEFT JOIN merged USING (book) GROUP BY b.book),
-gaps AS (SELECT * FROM (SELECT * FROM inner_gaps UNION ALL SELECT * FROM tails) WHERE b - a >= 1)"""
+tails AS (SELECT t.book, coalesce(max(stop), 0) AS a, duration AS b, CASE WHEN max(stop) IS NULL THEN 'interior' ELSE 'trailing' END AS place, max(stop) IS NULL AS bare FROM totals t LEFT JOIN merged USING (book) GROUP BY t.book, duration),
+gaps AS (SELECT book, a, b, place FROM (SELECT *, false AS bare FROM inner_gaps UNION ALL SELECT * FROM tails) JOIN totals USING (book) WHERE duration > 0 AND (b - a >= 1 OR bare))"""
+
+_FORMS = "words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z]+')) AS w FROM documents), forms AS (SELECT upper(w[1]) || lower(w[2:]) AS form, count(*) AS count FROM words GROUP BY 1)"
+_NAMES = """sources AS (SELECT p_name AS name, CASE WHEN arg_min(p_type, p_partkey) LIKE 'S%' THEN 'carryover' ELSE 'verified' END AS authority, min(p_partkey) AS pos FROM part GROUP BY 1),
+refs AS (SELECT name, authority, pos, -1 AS part, lower(name) AS folded FROM sources WHERE length(name) >= 4 UNION ALL SELECT w, authority, pos, i - 1, lower(w) FROM (SELECT authority, pos, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT authority, pos, list_filter(string_split(name, ' '), lambda x: lower(x) NOT IN ('the', 'and', 'for', 'that', 'with')) AS ws FROM sources WHERE contains(name, ' '))) WHERE length(w) >= 4)"""
 
 SQL = {
     "doc_loop_top_gram": f"WITH {_CROSS} SELECT chapter, phrase, count, first FROM top",
     "line_loop_top_gram": f"WITH {_LINES}, " + _GRAMS.format(toks="SELECT chapter, pos, " + _TOKENS.format(t="text") + " AS t FROM lines WHERE chapter <> 0", keys="chapter, pos", least=12) + " SELECT chapter, pos, phrase, count FROM (SELECT *, row_number() OVER (PARTITION BY chapter, pos ORDER BY count DESC, first) AS r FROM g) WHERE r = 1 AND count >= 8",
     "doc_multi_loop_dedup": "WITH " + _GRAMS.format(toks="SELECT doc_id AS chapter, " + _TOKENS.format(t=_ASCII.format(t="text")) + " AS t FROM documents", keys="chapter", least=50) + " SELECT chapter, phrase, count, first FROM (SELECT *, row_number() OVER (PARTITION BY chapter, list_sort(list_distinct(string_split(phrase, ' '))) ORDER BY count DESC, first) AS r FROM g WHERE count >= 5) WHERE r = 1",
-    "doc_rate_outliers": f"WITH {_RATES} SELECT chapter, words, round(rate, 1) AS rate, round(z, 2) AS z FROM outliers",
-    "line_repeat_runs": f"""WITH {_LINES}, n AS (SELECT *, trim(regexp_replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}\\s]', ' ', 'g')), '\\s+', ' ', 'g')) AS norm, max(pos) OVER (PARTITION BY chapter) + 1 AS total FROM lines WHERE chapter <> 0),
+    "doc_rate_outliers": f"WITH {_RATES} SELECT chapter, words, round(duration / 60, 1) AS minutes, round(rate, 1) AS rate, round(z, 2) AS z FROM outliers",
+    "line_repeat_runs": f"""WITH {_LINES}, n AS (SELECT *, trim(regexp_replace(lower(regexp_replace(text, '[^\\p{{L}}\\p{{Nd}}\\s]', ' ', 'g')), '\\s+', ' ', 'g')) AS norm FROM lines WHERE chapter <> 0),
       c AS (SELECT *, CASE WHEN norm = lag(norm) OVER (PARTITION BY chapter ORDER BY pos) THEN 0 ELSE 1 END AS new FROM n WHERE norm <> ''),
       i AS (SELECT *, sum(new) OVER (PARTITION BY chapter ORDER BY pos) AS island FROM c)
-      SELECT chapter, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n, substr(arg_min(text, pos), 1, 120) AS text, CASE WHEN min(pos) >= any_value(total) * 0.85 THEN 'end_fade' ELSE 'mid' END AS kind FROM i GROUP BY chapter, island HAVING count(*) >= 3""",
+      SELECT chapter, min(pos) AS first_pos, max(pos) AS last_pos, count(*) AS n, min(pos)::DOUBLE AS start, substr(arg_min(text, pos), 1, 60) AS text, CASE WHEN any_value(n_chars) > 0 AND min(pos) / (any_value(n_chars) / 15.0) >= 0.85 THEN 'end_fade' ELSE 'mid' END AS kind
+      FROM i JOIN (SELECT doc_id AS chapter, n_chars FROM documents) USING (chapter) GROUP BY chapter, island HAVING count(*) >= 3""",
     "loop_located": f"WITH {_CROSS}, {_LINES}, hit AS (SELECT t.chapter, t.phrase, pos FROM top t JOIN lines l ON t.chapter = l.chapter AND contains(trim(regexp_replace(l.text, '\\s+', ' ', 'g')), t.phrase)) SELECT t.chapter, t.phrase, min(pos)::DOUBLE AS at, max(pos)::DOUBLE + 1 AS until FROM top t LEFT JOIN hit USING (chapter, phrase) GROUP BY t.chapter, t.phrase",
     "low_quality_worst5": "SELECT regexp_extract(source, '([0-9]+)', 1)::INT AS chapter, count(*) FILTER (WHERE quality < 0.5) AS low, count(*) AS total, round(count(*) FILTER (WHERE quality < 0.5) / count(*), 6) AS rate FROM labels JOIN documents USING (doc_id) WHERE regexp_extract(source, '([0-9]+)', 1)::INT <> 0 GROUP BY 1 ORDER BY count(*) FILTER (WHERE quality < 0.5) / count(*) DESC, 1 LIMIT 5",
     "flagged_union": f"WITH {_FLAGGED} SELECT chapter FROM flagged",
     "plan_missing": f"WITH {_FLAGGED} SELECT chapter FROM flagged EXCEPT SELECT chapter FROM planned",
     "plan_unexpected": f"WITH {_FLAGGED} SELECT chapter FROM planned EXCEPT SELECT chapter FROM flagged",
     "clean_verdict": f"WITH {_CROSS}, {_RATES} SELECT (SELECT count(*) FROM top) AS loops, (SELECT count(*) FROM outliers) AS outliers, (SELECT count(*) FROM top) + (SELECT count(*) FROM outliers) = 0 AS clean",
-    "tail_burst": "WITH r AS (SELECT user_id, epoch_us(ts) / 1e6 AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events), t AS (SELECT user_id, max(r) AS have, max(s) FILTER (WHERE r = 1) - max(s) FILTER (WHERE r = 12) AS span FROM r WHERE r <= 17 GROUP BY 1) SELECT user_id AS chapter, 12 AS words, round(greatest(span, 0.001), 0) AS span FROM t WHERE have >= 17 AND 12 / greatest(span, 0.001) > 0.00005",
+    "tail_burst": """WITH w AS (SELECT user_id, event_type AS word, (floor(epoch(ts)) - 1704067200) / 86400 AS s, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE event_type <> 'view'),
+      t AS (SELECT user_id, max(r) AS have, greatest(max(s) FILTER (WHERE r = 1) - max(s) FILTER (WHERE r = 12), 0.001) AS span, string_agg(word, ' ' ORDER BY r DESC) FILTER (WHERE r <= 12) AS tail FROM w WHERE r <= 17 GROUP BY 1)
+      SELECT user_id AS chapter, 12 AS words, substr(tail, 1, 52) AS tail, true AS fast FROM t WHERE have >= 17 AND 12 / span > 4.5""",
     "ledger_cost": "SELECT user_id AS book_id, round(sum(value), 4) AS cost FROM events GROUP BY 1",
     "ledger_total": "SELECT coalesce(sum(floor(value)::BIGINT), 0)::BIGINT AS total FROM events",
     "ledger_first_start": "SELECT user_id AS book_id, epoch_us(min(ts)) AS first_start FROM events GROUP BY 1",
@@ -81,10 +89,12 @@ SQL = {
     "queue_snapshot": f"WITH {_BOOKS} SELECT id, series || '/' || status AS bucket, row_number() OVER (PARTITION BY series, status ORDER BY id) AS place FROM books",
     "lane_fill": f"WITH {_BOOKS} SELECT id, status AS lane FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY id) AS r FROM books) WHERE r <= CASE status WHEN 'O' THEN 3 WHEN 'P' THEN 2 ELSE 0 END",
     "finding_counts": "SELECT user_id AS book_id, count(*) FILTER (WHERE event_type = 'error') AS blockers, count(*) FILTER (WHERE event_type = 'click') AS fixs, count(*) FILTER (WHERE event_type NOT IN ('error', 'click')) AS nits FROM events GROUP BY 1",
-    "audit_acceptance": "WITH f AS (SELECT user_id, event_id, event_type = 'error' AS b, (event_type = 'error')::INT + floor(value) AS found FROM events), p AS (SELECT *, min(found) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM f) SELECT user_id AS book_id, count(*) FILTER (WHERE NOT b AND (found = 0 OR coalesce(found >= best, false))) AS accepted FROM p GROUP BY 1",
+    "audit_acceptance": """WITH f AS (SELECT user_id, event_id, event_type, (event_type = 'error')::INT AS b, floor(value)::BIGINT % 8 AS fix FROM events),
+      p AS (SELECT *, min(b + fix) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM f)
+      SELECT user_id AS book_id, count(*) FILTER (WHERE b = 0 AND fix BETWEEN 1 AND 3 AND event_id >= 2 AND event_type <> 'view' AND event_id % 6 < 4 AND coalesce(b + fix <= best + 2, false)) AS accepted FROM p GROUP BY 1""",
     "interval_merge": f"WITH {_MERGED} SELECT book, start, stop AS \"end\" FROM merged",
     "interval_gaps": f"WITH {_GAPS} SELECT book, a AS start, b AS \"end\", place FROM gaps",
-    "map_complete": f"WITH {_GAPS} SELECT x.book, coalesce(bool_and(b - a < CASE WHEN place = 'interior' THEN 60 ELSE 180 END), true) AS complete FROM (SELECT DISTINCT user_id AS book FROM events) x LEFT JOIN gaps USING (book) GROUP BY 1",
+    "map_complete": f"WITH {_GAPS} SELECT x.book, coalesce(bool_and(b - a < CASE WHEN place = 'interior' THEN 60 ELSE 180 END), true) AS complete FROM totals x LEFT JOIN gaps USING (book) GROUP BY 1",
     "snap_back": f"WITH {_SPANS} SELECT e.event_id, coalesce(max(s.stop), 0)::DOUBLE AS snapped FROM events e LEFT JOIN spans s ON s.book = e.user_id AND s.stop <= floor(epoch(e.ts)) - 1704067200 WHERE e.event_type = 'purchase' GROUP BY 1",
     "chunk_plan": "WITH RECURSIVE o AS (SELECT doc_id // 100 AS book, doc_id, len(" + _TOKENS.format(t="text") + """) AS words, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY doc_id // 100) AS n FROM documents),
       f AS (SELECT book, doc_id, i, n, words, words AS run, 0 AS chunk FROM o WHERE i = 1
@@ -99,9 +109,13 @@ SQL = {
     "contiguous_turns": "SELECT conv_id, min(turn) IN (0, 1) AND max(turn) - min(turn) + 1 = count(DISTINCT turn) AND count(DISTINCT turn) = count(turn) AS contiguous FROM conversations GROUP BY 1",
     "size_outliers": "WITH w AS (SELECT conv_id, turn, len(" + _TOKENS.format(t="text") + ") AS words FROM conversations), l AS (SELECT conv_id, arg_min(words, turn) AS first, list_sort(list(words)) AS s FROM w GROUP BY 1) SELECT conv_id, first * 10 < s[len(s) // 2 + 1] AS outlier FROM l",
     "edge_turns": "SELECT conv_id, turn AS idx FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS u, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS d FROM conversations) WHERE n > 2 AND (u = 1 OR d = 1)",
-    "fuzzy_reference": """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '([a-z]+)')) AS form FROM documents), v AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS name FROM part),
-      p AS (SELECT form, name, levenshtein(form, name) AS distance FROM w JOIN v ON form[1] = name[1] AND abs(length(form) - length(name)) <= 2 WHERE length(form) >= 4)
-      SELECT form, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY distance, length(name) <= 4, name) AS r FROM p WHERE distance > 0 AND distance <= least(2, length(form) // 3)) WHERE r = 1""",
+    "fuzzy_reference": f"""WITH {_FORMS}, {_NAMES},
+      keyed AS (SELECT *, lower(form) AS f FROM forms WHERE length(form) >= 4),
+      open_ AS (SELECT * FROM keyed k WHERE f NOT IN (SELECT folded FROM refs WHERE authority = 'verified')
+        AND NOT EXISTS (SELECT 1 FROM refs r JOIN forms s ON lower(s.form) = r.folded WHERE r.authority = 'verified' AND (k.f = r.folded || 's' OR k.f = r.folded || 'es'))),
+      p AS (SELECT form, count, name, authority, pos, part, levenshtein(f, folded) AS distance FROM open_ JOIN refs ON f[1] = folded[1] AND abs(length(f) - length(folded)) <= 2 WHERE levenshtein(f, folded) BETWEEN 1 AND least(2, length(f) // 3)),
+      best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY form ORDER BY distance, authority <> 'verified', pos, part) AS r FROM p) WHERE r = 1)
+      SELECT form, count, name, authority, distance, (SELECT greatest(count(*) - 200, 0) FROM best) AS truncated FROM best ORDER BY authority <> 'verified', count DESC, form LIMIT 200""",
     "rule_cascade": r"WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'the ([a-z]+ing)', 'a \1', 'g'), 'and ', '& ', 'g'), 'zzqx+', 'z', 'g'), 'a ([a-z]+ing) of', '\1 for', 'g') AS t FROM documents) SELECT doc_id AS chapter, length(t) AS n_chars, md5(t) AS digest FROM r",
     "dead_rules": "SELECT p AS pattern FROM (VALUES ('the ([a-z]+ing)'), ('and '), ('zzqx+'), ('a ([a-z]+ing) of')) v(p) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE regexp_matches(text, p))",
     "first_use": "WITH w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ') || ' ' AS t FROM documents) SELECT p AS name, min(doc_id) AS first FROM (VALUES ('ring'), ('bolt'), ('the ing'), ('of the'), ('and the'), ('widget'), ('is the')) v(p) JOIN w ON contains(t, ' ' || p || ' ') GROUP BY 1",
@@ -116,7 +130,9 @@ SQL = {
     "history_groups": "SELECT event_type AS stage, 'b' AS backend, CASE WHEN value > 50 THEN 'large' ELSE 'small' END AS model, count(*) AS runs, count(*) FILTER (WHERE event_type <> 'error') AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed, round(avg(value) FILTER (WHERE event_type <> 'error'), 4) AS mean_seconds FROM events GROUP BY 1, 3",
     "profile_report": "SELECT user_id AS profile, count(*) AS runs, count(*) FILTER (WHERE event_type <> 'error') AS completed, round(median(value) FILTER (WHERE event_type <> 'error'), 4) AS median_wall, round(avg(value / 500), 6) AS mean_recall, sum(floor(value)) AS tokens_in, CASE WHEN bool_and(event_type <> 'error' OR floor(value) = 0) THEN round(sum(value), 2) END AS cost, bool_and(event_type <> 'error' OR floor(value) = 0) AS cost_complete, bool_and(event_type <> 'error') AND bool_and(value < 400) AS hard_gate FROM events GROUP BY 1",
     "set_jaccard": "WITH s AS (SELECT doc_id, list_distinct(" + _TOKENS.format(t="lower(string_split(text, chr(10))[1])") + ") AS a, list_distinct(" + _TOKENS.format(t="lower(text)") + ") AS b FROM documents) SELECT doc_id AS chapter, CASE WHEN len(b) = 0 THEN 1.0 ELSE round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) END AS jaccard, CASE WHEN len(b) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(b), 6) END AS recall FROM s",
-    "pareto_front": "SELECT p_partkey, p_brand FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_retailprice <= a.p_retailprice AND b.p_size >= a.p_size AND (b.p_retailprice < a.p_retailprice OR b.p_size > a.p_size))",
+    "pareto_front": """WITH a AS (SELECT p_partkey, p_brand, p_size, CASE WHEN p_partkey % 5 <> 0 THEN p_retailprice END AS cost FROM part WHERE p_partkey % 3 <> 0)
+      SELECT p_partkey, p_brand FROM a p WHERE NOT EXISTS (SELECT 1 FROM a q WHERE q.p_brand = p.p_brand AND NOT (p.cost IS NOT NULL AND q.cost IS NULL) AND q.p_size >= p.p_size AND q.p_partkey >= p.p_partkey AND (p.cost IS NULL OR q.cost <= p.cost)
+        AND (q.p_size > p.p_size OR q.p_partkey > p.p_partkey OR (p.cost IS NOT NULL AND q.cost < p.cost)))""",
     "rule_violations": "SELECT conv_id, turn, 'role_unknown' AS rule FROM conversations WHERE role NOT IN ('user', 'assistant') UNION ALL SELECT conv_id, turn, 'text_too_long' FROM conversations WHERE length(text) > 1500 UNION ALL SELECT conv_id, turn, 'text_blank' FROM conversations WHERE trim(text) = '' UNION ALL SELECT conv_id, turn, 'turn_out_of_range' FROM conversations WHERE NOT turn BETWEEN 0 AND 5",
     "cost_summary": "SELECT user_id AS book_id, round(sum(value), 4) AS cost, bool_or(event_type NOT IN ('purchase', 'signup')) AS estimated, false AS incomplete FROM events GROUP BY 1",
     "series_gap": "SELECT p_brand AS series FROM part GROUP BY 1 HAVING min(p_size) FILTER (WHERE p_type <> 'ECONOMY') < min(p_size) FILTER (WHERE p_type = 'ECONOMY')",
@@ -128,16 +144,22 @@ SQL = {
     "not_improving": "WITH p AS (SELECT *, floor(value / 10) AS found, coalesce(count(*) FILTER (WHERE event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM events), l AS (SELECT event_id, found, lag(found) OVER (PARTITION BY user_id, p ORDER BY event_id) AS b FROM p) SELECT event_id FROM l WHERE found >= b",
     "remaining_units": "SELECT l_orderkey, sum(greatest(l_linenumber * 8 - l_quantity, 0)) AS remaining FROM lineitem GROUP BY 1",
     "lock_holders": f"WITH {_BOOKS} SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY pos, id) AS r FROM books WHERE status = 'O') WHERE r = 1 UNION ALL SELECT id FROM books WHERE status = 'P'",
-    "seeded_ewma": """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value > 0 AND event_id < 2000),
+    "seeded_ewma": """WITH RECURSIVE o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value > 0),
       f AS (SELECT user_id, i, n, 0.3 * value + 0.7 * 10.0::DOUBLE AS rate FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.i, o.n, 0.3 * o.value + 0.7 * f.rate FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
       SELECT user_id, round(rate, 4) AS rate FROM f WHERE i = n""",
     "rewind_stage": "WITH d AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_type <> 'error' EXCEPT SELECT user_id, event_type FROM events WHERE value > 120) SELECT user_id AS book_id, min(CASE event_type WHEN 'signup' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END) AS stage_order FROM d GROUP BY 1",
-    "span_titles": f"WITH {_GAPS}, mk AS (SELECT book, start - 300 AS ms, start + 100 AS me FROM spans WHERE stop > start) SELECT g.book, g.a AS start, (SELECT count(*) FROM mk WHERE mk.book = g.book AND ms < g.b AND me > g.a AND least(g.b, me) - greatest(g.a, ms) >= 0.5 * (me - ms)) AS n FROM gaps g",
+    "span_titles": f"WITH {_GAPS}, mk AS (SELECT book, start - 300 AS ms, start + 100 AS me FROM spans WHERE stop > start AND (start - 300) % 2 = 0) SELECT g.book, g.a AS start, (SELECT count(*) FROM mk WHERE mk.book = g.book AND ms < g.b AND me > g.a AND least(g.b, me) - greatest(g.a, ms) >= 0.5 * (me - ms)) AS n FROM gaps g",
+    "spans_described": f"""WITH {_GAPS}, mk AS (SELECT book, start - 300 AS ms, start + 100 AS me, 't' || start::BIGINT AS t FROM spans WHERE stop > start),
+      g AS (SELECT * FROM gaps WHERE b - a >= CASE WHEN place = 'interior' THEN 60 ELSE 180 END),
+      n AS (SELECT g.book, a, string_agg(t, ', ' ORDER BY ms, t) AS ts FROM g JOIN mk ON mk.book = g.book AND ms < b AND me > a AND least(b, me) - greatest(a, ms) >= 0.5 * (me - ms) GROUP BY 1, 2)
+      SELECT g.book, string_agg(printf('%.1f min at %.0f-%.0fs (%s', ((b - a) / 60)::DOUBLE, a::DOUBLE, b::DOUBLE, place) || coalesce('; ' || ts, '') || ')', '; ' ORDER BY a) AS text FROM g LEFT JOIN n USING (book, a) GROUP BY 1""",
     "shift_runs": "WITH c AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN 0 ELSE 1 END AS shift FROM conversations), i AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id, shift ORDER BY turn) AS k FROM c) SELECT conv_id, shift, min(turn) AS first, max(turn) AS last FROM i GROUP BY conv_id, shift, k",
     "constant_shift": "SELECT conv_id, CASE WHEN count(DISTINCT role = 'system') = 1 THEN CASE WHEN bool_or(role = 'system') THEN 0 ELSE 1 END END AS shift FROM conversations GROUP BY 1",
     "edge_classes": "WITH w AS (SELECT conv_id, turn, len(" + _TOKENS.format(t="text") + ") < 120 AS s FROM conversations), f AS (SELECT conv_id, min(turn) FILTER (WHERE NOT s) AS a, max(turn) FILTER (WHERE NOT s) AS b FROM w GROUP BY 1), e AS (SELECT w.conv_id, turn, CASE WHEN turn < a THEN 'leading' WHEN turn > b THEN 'trailing' END AS edge FROM w JOIN f USING (conv_id)) SELECT conv_id, turn AS idx, CASE WHEN count(edge) OVER (PARTITION BY conv_id, edge) <= 8 THEN edge END AS edge FROM e",
     "collected_chapters": "WITH d AS (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber, l_quantity::BIGINT AS q FROM lineitem) SELECT l_orderkey AS book, l_linenumber AS chapter, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey) AS files, sum(q)::BIGINT AS words, 't' AS title FROM d GROUP BY 1, 2",
-    "known_forms": "WITH n AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS k FROM part) SELECT f AS form FROM (VALUES ('Rings'), ('bolt''s'), ('BLUE'), ('gizmos'), ('smalls')) v(f) WHERE lower(f) IN (SELECT k FROM n) OR regexp_replace(lower(f), '(''s|s'')$', '') IN (SELECT k FROM n) OR regexp_replace(lower(f), 's$', '') IN (SELECT k FROM n)",
+    "known_forms": """WITH n AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS k FROM part), v(f) AS (VALUES ('Rings'), ('ring'), ('bolt''s'), ('BLUE'), ('gizmos'), ('smalls'), ('Blue ox'), ('Blue whale'))
+      SELECT f AS form FROM v WHERE lower(f) IN (SELECT k FROM n) OR regexp_replace(lower(f), chr(39) || 's$', '') IN (SELECT k FROM n) OR (length(string_split(f, ' ')[-1]) < 4 AND lower(string_split(f, ' ')[1]) IN (SELECT k FROM n))
+        OR EXISTS (SELECT 1 FROM n JOIN v w ON lower(w.f) = k WHERE lower(v.f) IN (k || 's', k || 'es'))""",
     "top_names": "SELECT p_name, count(*) AS count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "series_glossary": "SELECT a.o_orderkey AS id, string_agg(DISTINCT b.o_orderpriority, ',' ORDER BY b.o_orderpriority) AS names FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND month(b.o_orderdate) < month(a.o_orderdate) GROUP BY 1",
     "override_view": "SELECT p_partkey AS source_path, coalesce(s_acctbal < 0, false) AS hidden, coalesce(s_nationkey = 1, false) AS force_audio FROM part LEFT JOIN supplier ON p_partkey = s_suppkey",

@@ -46,12 +46,12 @@ def doc_multi_loop_dedup(spark, sf):
 
 @query
 def doc_rate_outliers(spark, sf):
-    return qa.rate_outliers(S.chapters(spark, sf))
+    return qa.rate_outliers(S.chapters(spark, sf)).select("chapter", "words", "minutes", "rate", "z")
 
 
 @query
 def line_repeat_runs(spark, sf):
-    return qa.repeat_runs(S.segments(spark, sf))
+    return qa.repeat_runs(S.segments(spark, sf), S.chapters(spark, sf))
 
 
 @query
@@ -98,8 +98,10 @@ def clean_verdict(spark, sf):
 @query
 def tail_burst(spark, sf):
     e = S.table(spark, sf, "events")
-    words = e.select(F.col("user_id").alias("chapter"), F.col("event_id").alias("pos"), S.seconds("ts").alias("start"), S.seconds("ts").alias("end"))
-    return qa.tail_rates(words, limit=0.00005).select("chapter", "words", F.round("span", 0).alias("span"))
+    day = (F.floor(S.seconds("ts")) - 1704067200) / 86_400  # a day of events is a second of words; views are blank
+    word = F.when(F.col("event_type") == "view", " ").otherwise(F.col("event_type"))
+    words = e.select(F.col("user_id").alias("chapter"), F.col("event_id").alias("pos"), word.alias("word"), day.alias("start"), day.alias("end"))
+    return qa.tail_rates(words).select("chapter", "words", "tail", (F.col("rate") > 0).alias("fast"))
 
 
 # Ledger ----------------------------------------------------------------------------------------
@@ -294,7 +296,8 @@ def finding_counts(spark, sf):
 
 @query
 def audit_acceptance(spark, sf):
-    e = S.table(spark, sf, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("round"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("blockers"), F.floor("value").cast("int").alias("fixes"), F.lit(0).alias("nits"))
+    fixes = F.pmod(F.floor("value"), F.lit(8)).cast("int")
+    e = S.table(spark, sf, "events").select(F.col("user_id").alias("book_id"), F.col("event_id").alias("round"), F.when(F.col("event_type") == "error", 1).otherwise(0).alias("blockers"), fixes.alias("fixes"), (F.col("event_type") != "view").alias("clean"), F.pmod("event_id", F.lit(6)).cast("int").alias("fixes_done"))
     return ranking.audit_accepted(e).groupBy("book_id").agg(F.count_if("accepted").alias("accepted"))
 
 
@@ -309,14 +312,13 @@ def interval_merge(spark, sf):
 @query
 def interval_gaps(spark, sf):
     own = S.spans(spark, sf)
-    totals = own.select("book").distinct().withColumn("duration", F.lit(3_000_000.0))
-    return intervals.gaps(own, totals, "book")
+    return intervals.gaps(own, S.totals(spark, sf), "book")
 
 
 @query
 def map_complete(spark, sf):
     own = S.spans(spark, sf)
-    totals = own.select("book").distinct().withColumn("duration", F.lit(3_000_000.0))
+    totals = S.totals(spark, sf)
     return intervals.complete_maps(intervals.gaps(own, totals, "book"), totals, "book")
 
 
@@ -372,11 +374,7 @@ def edge_turns(spark, sf):
 
 @query
 def fuzzy_reference(spark, sf):
-    words = S.table(spark, sf, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)))).alias("form"))
-    names = S.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("name"))
-    names = names.distinct().select("name", F.when(F.length("name") > 4, "verified").otherwise("carryover").alias("authority"), F.xxhash64(F.lit(0)).alias("pos"))
-    out = spelling.reference_matches(words, names.withColumn("pos", F.col("name")))
-    return out.select("form", "name", "distance")
+    return spelling.reference_matches(S.forms(spark, sf), S.names(spark, sf), S.COMMON)
 
 
 @query
@@ -452,7 +450,8 @@ def set_jaccard(spark, sf):
 @query
 def pareto_front(spark, sf):
     p = S.table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice", "p_size")
-    return X.pareto(p, "p_partkey", ["p_retailprice"], ["p_size"], block="p_brand").select("p_partkey", "p_brand")
+    p = p.withColumn("p_retailprice", F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")))
+    return X.pareto(p, ["p_retailprice"], ["p_size", "p_partkey"], block="p_brand", gate=F.col("p_partkey") % 3 != 0, unknown="p_retailprice").select("p_partkey", "p_brand")
 
 
 @query
@@ -589,11 +588,19 @@ def rewind_stage(spark, sf):
 @query
 def span_titles(spark, sf):
     own = S.spans(spark, sf)
-    holes = intervals.gaps(own, own.select("book").distinct().withColumn("duration", F.lit(3_000_000.0)), "book")
-    marks = own.where(F.col("end") > F.col("start")).select("book", (F.col("start") - 300).alias("start"), (F.col("start") + 100).alias("end"), F.lit("m").alias("title"))
+    holes = intervals.gaps(own, S.totals(spark, sf), "book")
+    marks = own.where(F.col("end") > F.col("start")).select("book", (F.col("start") - 300).alias("start"), (F.col("start") + 100).alias("end"), F.when(F.col("start") % 2 == 0, "m").otherwise(" ").alias("title"))
     return intervals.span_titles(holes, marks, "book").select("book", "start", F.size("titles").alias("n"))
 
 
+@query
+def spans_described(spark, sf):
+    own = S.spans(spark, sf)
+    holes = intervals.gaps(own, S.totals(spark, sf), "book")
+    marks = own.where(F.col("end") > F.col("start")).select("book", (F.col("start") - 300).alias("start"), (F.col("start") + 100).alias("end"), F.format_string("t%.0f", "start").alias("title"))
+    return intervals.describe(intervals.span_titles(holes, marks, "book"), "book")
+
+
 @query
 def shift_runs(spark, sf):
     c = S.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("idx"), F.when(F.col("role") == "system", F.col("turn")).otherwise(F.col("turn") + 1).alias("chapter"))
@@ -620,8 +627,8 @@ def collected_chapters(spark, sf):
 
 @query
 def known_forms(spark, sf):
-    forms = spark.createDataFrame([("Rings",), ("bolt's",), ("BLUE",), ("gizmos",), ("smalls",)], "form string")
-    names = S.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("name"))
+    forms = spark.createDataFrame([("Rings",), ("ring",), ("bolt's",), ("BLUE",), ("gizmos",), ("smalls",), ("Blue ox",), ("Blue whale",)], "form string")
+    names = S.table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("folded"))
     return spelling.known_forms(forms, names)
 
 

@@ -57,6 +57,28 @@ def books(spark, sf) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("string").alias("series"), F.month("o_orderdate").cast("string").alias("series_pos"), F.col("o_orderstatus").alias("status"))
 
 
+#: Words that are no names, for the text operators.
+COMMON = ["the", "and", "for", "that", "with"]
+
+
+def forms(spark, sf) -> DataFrame:
+    """Words of documents with a capital, and in how many documents they are."""
+    words = spread(table(spark, sf, "documents")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)))).alias("w"))
+    return words.groupBy(F.concat(F.upper(F.substring("w", 1, 1)), F.lower(F.substring("w", 2, 100))).alias("form")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def names(spark, sf) -> DataFrame:
+    """Part names as reference names; those of types that begin with S are an earlier volume's."""
+    p = table(spark, sf, "part").groupBy("p_name").agg(F.min_by("p_type", "p_partkey").alias("t"), F.min("p_partkey").alias("pos"))
+    return p.select(F.col("p_name").alias("name"), F.when(F.startswith("t", F.lit("S")), "carryover").otherwise("verified").alias("authority"), "pos")
+
+
+def totals(spark, sf) -> DataFrame:
+    """Books with their durations; customers that no event names are books without coverage."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("book"))
+    return c.select("book", F.when(F.col("book") % 7 == 0, 0.0).otherwise(3_000_000.0).alias("duration"))
+
+
 def spans(spark, sf) -> DataFrame:
     """events as spans of a user: from the event's second, 10 minutes for each unit of value."""
     e = table(spark, sf, "events")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as C
+from ..sources.shared import shared_path
 
 
 def read_events(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -102,12 +103,8 @@ def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs the stream over what is there and returns the rows of its micro-batches, with `batch`. Offsets, state and rows are
     kept in the session's shared folder."""
-    import tempfile
-    import uuid
-
     spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lectern-")
-    path = f"{root.rstrip('/')}/lectern/stream-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stream")
     to_table(stream, f"{path}/rows", f"{path}/state", mode).awaitTermination()
     own = T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())]) if mode != "append" else stream.schema
     return spark.read.schema(own).parquet(f"{path}/rows")

@@ -31,8 +31,26 @@ def test_labels(spark):
 
 
 def test_runs_skip_empty_segments(spark):
-    seg = spark.createDataFrame([(1, 0, "Hi there"), (1, 1, ""), (1, 2, "hi, there!"), (1, 3, "HI THERE"), (1, 4, "bye"), (0, 0, "x"), (0, 1, "x"), (0, 2, "x"), (2, 0, "a"), (2, 1, "a")], "chapter int, pos int, text string")
-    assert rows(qa.repeat_runs(seg), "chapter", "first_pos", "last_pos", "n", "text", "kind") == [(1, 0, 3, 3, "Hi there", "mid")]
+    texts = [(1, "Hi there"), (1, ""), (1, "hi, there!"), (1, "HI THERE"), (1, "bye"), (0, "x"), (0, "x"), (0, "x"), (2, "a"), (2, "a"), (3, "Amen."), (3, "amen"), (3, "Amen")]
+    seg = spark.createDataFrame([(c, i, 10.0 * i, t) for i, (c, t) in enumerate(texts)], "chapter int, pos int, start double, text string")
+    whole = spark.createDataFrame([(1, 100.0), (3, 115.0)], "chapter int, duration double")
+    assert rows(qa.repeat_runs(seg, whole), "chapter", "first_pos", "last_pos", "n", "text", "kind") == [(1, 0, 3, 3, "Hi there", "mid"), (3, 10, 12, 3, "Amen.", "end_fade")]
+    assert rows(qa.repeat_runs(seg, whole.where("chapter = 1")), "chapter", "kind") == [(1, "mid"), (3, "mid")]
+
+
+def test_a_chapter_without_a_duration_counts_as_rate_0(spark):
+    df = spark.createDataFrame([(i, "a b c", 60.0 if i < 12 else 0.0) for i in range(1, 13)], "chapter int, text string, duration double")
+    assert rows(qa.rate_outliers(df), "chapter", "rate", "z") == [(12, 0.0, -3.18)]
+    # Exactly at the bound is no outlier: eleven values, ten equal, lie 3.0151 deviations off.
+    df = df.where("chapter > 1")
+    z = abs(qa.rate_outliers(df, 0.0).where("chapter = 12").first().z)
+    assert round(z, 2) == 3.02 and qa.rate_outliers(df, 10 / 11**0.5).count() in (0, 1)
+
+
+def test_blank_words_are_not_in_the_tail(spark):
+    words = [(1, i, " " if i % 2 else f"x{i}", i / 20, i / 20) for i in range(40)] + [(2, i, "slow", float(i), float(i)) for i in range(40)] + [(3, i, "few", 0.0, 0.0) for i in range(16)]
+    df = spark.createDataFrame(words, "chapter int, pos int, word string, start double, end double")
+    assert rows(qa.tail_rates(df), "chapter", "words", "span", "rate", "tail") == [(1, 12, 1.1, 10.9, " ".join(f"x{i}" for i in range(16, 40, 2))[:52])]
 
 
 def test_constant_rates_have_no_outliers(spark):
@@ -101,13 +119,15 @@ def test_incidents(spark):
 
 def test_gaps_of_a_book_without_spans(spark):
     spans = spark.createDataFrame([("a", 10.0, 50.0), ("a", 40.0, 60.0), ("a", 200.0, 300.0)], "book string, start double, end double")
-    totals = spark.createDataFrame([("a", 600.0), ("b", 100.0)], "book string, duration double")
+    totals = spark.createDataFrame([("a", 600.0), ("b", 100.0), ("c", 0.0)], "book string, duration double")
     got = intervals.gaps(spans, totals, "book")
-    assert rows(got, "book", "start", "end", "place") == [("a", 0.0, 10.0, "leading"), ("a", 300.0, 600.0, "trailing"), ("a", 60.0, 200.0, "interior"), ("b", 0.0, 100.0, "leading")]
-    assert rows(intervals.complete_maps(got, totals, "book"), "book", "complete") == [("a", False), ("b", True)]
-    markers = spark.createDataFrame([("a", 70.0, 90.0, "m"), ("a", 190.0, 260.0, "n")], "book string, start double, end double, title string")
-    assert [r.titles for r in intervals.span_titles(got.where("place = 'interior'"), markers, "book").collect()] == [["m"]]
-    assert "interior 60.0-200.0 s" in rows(intervals.describe(got, "book"), "text")[0][0]
+    assert rows(got, "book", "start", "end", "place") == [("a", 0.0, 10.0, "leading"), ("a", 300.0, 600.0, "trailing"), ("a", 60.0, 200.0, "interior"), ("b", 0.0, 100.0, "interior")]
+    assert rows(intervals.complete_maps(got, totals, "book"), "book", "complete") == [("a", False), ("b", False), ("c", True)]
+    short = intervals.gaps(spans.limit(0), spark.createDataFrame([("d", 0.5), ("e", 59.0), ("f", 61.0)], "book string, duration double"), "book")
+    assert rows(intervals.complete_maps(short, short.select("book"), "book"), "book", "complete") == [("d", True), ("e", True), ("f", False)]
+    markers = spark.createDataFrame([("a", 70.0, 90.0, "m"), ("a", 190.0, 260.0, "n"), ("a", 95.0, 99.0, " ")], "book string, start double, end double, title string")
+    assert [r.titles for r in intervals.span_titles(got.where("place = 'interior' AND book = 'a'"), markers, "book").collect()] == [["m"]]
+    assert rows(intervals.describe(intervals.span_titles(got, markers, "book"), "book"), "book", "text") == [("a", "2.3 min at 60-200s (interior; m); 5.0 min at 300-600s (trailing)"), ("b", "1.7 min at 0-100s (interior)")]
 
 
 def test_half_even_and_repr(spark):
@@ -222,8 +242,11 @@ def test_sets_and_fronts(spark):
     df = spark.createDataFrame([([], []), (["a"], []), (["a", "b"], ["b", "c"])], "a array<string>, b array<string>")
     got = df.select(experiments.jaccard(F.col("a"), F.col("b")).alias("j"), experiments.recall(F.col("a"), F.col("b")).alias("r")).collect()
     assert [(r.j, r.r) for r in got] == [(1.0, 0.0), (0.0, 0.0), (1 / 3, 0.5)]
-    p = spark.createDataFrame([("a", 1.0, 5.0), ("b", 2.0, 9.0), ("c", 3.0, 9.0), ("d", None, 99.0), ("e", 1.0, 5.0)], "k string, cost double, quality double")
-    assert rows(experiments.pareto(p, "k", ["cost"], ["quality"]), "k") == [("a",), ("b",), ("e",)]
+    p = spark.createDataFrame([("a", 1.0, 5.0, True), ("b", 2.0, 9.0, True), ("c", 3.0, 9.0, True), ("d", None, 8.0, True), ("e", 1.0, 5.0, True), ("f", 0.1, 99.0, False), ("g", None, 9.5, True)], "k string, cost double, quality double, ok boolean")
+    # What costs nobody knows is dominated by any better one, but dominates none whose cost is known; what fails the gate counts for nothing.
+    assert rows(experiments.pareto(p, ["cost"], ["quality"], gate=F.col("ok"), unknown="cost"), "k") == [("a",), ("b",), ("e",), ("g",)]
+    assert rows(experiments.pareto(p, ["cost"], ["quality"]), "k") == [("f",)]
+    assert experiments.pareto(p.limit(0), ["cost"], ["quality"]).count() == 0
 
 
 def test_experiment_plan_is_reproducible(spark):
@@ -296,3 +319,18 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "h")).where("key = 'a'").count() == 10
     batch = spark.read.parquet(str(tmp_path / "in"))
     assert stream.cursor(batch).first().cursor == 20 and stream.replay(batch, 18).count() == 2
+
+
+def test_two_settled_names_are_no_slips_of_each_other(spark):
+    names = [("Tersa", "verified", 1), ("Terra", "verified", 2), ("Torrin", "carryover", 3), ("Toren", "verified", 4), ("Laken Godart", "verified", 5), ("Flos", "verified", 6), ("the Ana", "verified", 7)]
+    said = [("Tersa", 9), ("Tersas", 2), ("Torrin", 40), ("Goddard", 3), ("Floss", 5), ("Laken", 2), ("Godarts", 1), ("Godart", 1), ("Terra's", 1), ("Flos I", 1), ("floss", 7), ("Lakem", 3)]
+    got = spelling.reference_matches(spark.createDataFrame(said, "form string, count int"), spark.createDataFrame(names, "name string, authority string, pos int"), ["the"])
+    assert [(r.form, r.name, r.distance, r.truncated) for r in got.collect()] == [("Torrin", "Toren", 2, 0), ("Floss", "Flos", 1, 0), ("Goddard", "Godart", 2, 0), ("Lakem", "Laken", 1, 0)]
+    cut = spelling.reference_matches(spark.createDataFrame(said, "form string, count int"), spark.createDataFrame(names, "name string, authority string, pos int"), ["the"], cap=2)
+    assert [(r.form, r.truncated) for r in cut.collect()] == [("Torrin", 2), ("Floss", 2)]
+
+
+def test_rounds_are_accepted_on_few_last_fixes(spark):
+    cases = [(1, 5, 0, True, 0), (2, 3, 0, True, 0), (3, 3, 1, True, 0), (4, 0, 0, True, 0), (5, 2, 0, False, 0), (6, 2, 0, True, 4), (7, 2, 0, True, 3), (8, 3, 0, True, 0), (9, 4, 0, True, 0)]
+    rounds = spark.createDataFrame([("b", *c) for c in cases], "book_id string, round int, fixes int, blockers int, clean boolean, fixes_done int")
+    assert [r.accepted for r in ranking.audit_accepted(rounds).orderBy("round").collect()] == [False, True, False, False, False, False, True, False, False]
