@@ -144,7 +144,7 @@ def incident_family(runs: DataFrame, prefix: str, suffix: str) -> DataFrame:
 
 
 def since(df: DataFrame, ts: str, cutoff) -> DataFrame:
-    return df.where(F.col(ts) >= F.lit(cutoff))
+    return df.where(F.col(ts) >= (cutoff if isinstance(cutoff, Column) else F.lit(cutoff)))
 
 
 def batch_costs(books: DataFrame, runs: DataFrame, supervisor: DataFrame) -> DataFrame:

@@ -22,6 +22,11 @@ def wall(ts):
     return F.from_utc_timestamp((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"), F.current_timezone())
 
 
+def at(text: str):
+    """The instant at which UTC's clocks show the text."""
+    return wall(F.lit(text))
+
+
 def now():
     return wall(F.lit(NOW))
 
