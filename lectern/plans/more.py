@@ -408,3 +408,343 @@ def halves_even(spark, sf):
 @query("SELECT event_id, CASE WHEN contains(value::VARCHAR, '.') THEN value::VARCHAR ELSE value::VARCHAR || '.0' END AS text FROM events")
 def floats_as_text(spark, sf):
     return events(spark, sf).select("event_id", intervals.float_text(F.col("value")).alias("text"))
+
+
+# Numbering ---------------------------------------------------------------------------------------
+
+_WORDS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
+
+
+def labels(spark, sf):
+    """Nations as markers: label by place in five styles."""
+    k, n = F.col("n_nationkey"), F.col("n_name")
+    words = F.element_at(F.array(*map(F.lit, _WORDS)), (k % 11 + 1).cast("int"))
+    label = F.when(k % 5 == 0, F.concat(F.lit("Chapter "), k.cast("string"), F.lit(": "), n)).when(k % 5 == 1, F.concat(k.cast("string"), F.lit(". "), n)).when(k % 5 == 2, F.concat(F.lit("Chapter "), words)).when(k % 5 == 3, k.cast("string")).otherwise(n)
+    return S.table(spark, sf, "nation").select(F.col("n_regionkey").alias("book"), k.alias("idx"), label.alias("title"), (k * 100.0).alias("start"), (k * 100.0 + 90).alias("end"))
+
+
+_LABELS = f"""mk AS (SELECT n_regionkey AS book, n_nationkey AS k, CASE n_nationkey % 5 WHEN 0 THEN 'Chapter ' || n_nationkey || ': ' || n_name WHEN 1 THEN n_nationkey || '. ' || n_name WHEN 2 THEN 'Chapter ' || {_WORDS}[n_nationkey % 11 + 1] WHEN 3 THEN n_nationkey::VARCHAR ELSE n_name END AS title,
+  CASE n_nationkey % 5 WHEN 2 THEN n_nationkey % 11 WHEN 4 THEN NULL ELSE n_nationkey END AS n FROM nation)"""
+
+
+@query(f"WITH {_LABELS} SELECT k AS idx, n AS number FROM mk")
+def markers_numbered(spark, sf):
+    return labels(spark, sf).select("idx", T.label_number(F.col("title")).alias("number"))
+
+
+@query(f"WITH {_LABELS} SELECT k AS idx, trim(regexp_extract(title, '^(.*?)(?:[:—–]| - |\\. |$)', 1)) AS head, trim(regexp_extract(title, '^.*?(?:[:—–]| - |\\. )(.*)$', 1)) AS rest FROM mk")
+def titles_split(spark, sf):
+    t = T.split_title(F.col("title"))
+    return labels(spark, sf).select("idx", t["head"].alias("head"), t["title"].alias("rest"))
+
+
+@query(f"WITH {_LABELS} SELECT book, n AS chapter, trim(regexp_extract(title, '^.*?(?:[:—–]| - |\\. )(.*)$', 1)) AS title, k * 100.0::DOUBLE AS start, 90.0::DOUBLE AS duration FROM mk WHERE n IS NOT NULL")
+def markers_manifest(spark, sf):
+    return numbering.manifest(labels(spark, sf), "book").select("book", "chapter", "title", "start", "duration")
+
+
+_TENS = ["", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety"]
+_TEENS = ["ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen"]
+
+
+def spelled(n):
+    """A number below 1000 in words, as the text functions read them."""
+    ten, unit, at = F.floor(n / 10) % 10, n % 10, lambda words, i: F.element_at(F.array(*map(F.lit, words)), (i + 1).cast("int"))
+    below = F.when(ten == 1, at(_TEENS, unit)).when((ten > 1) & (unit == 0), at(_TENS, ten)).when(ten > 1, F.concat(at(_TENS, ten), F.lit("-"), at(_WORDS, unit))).otherwise(at(_WORDS, unit))
+    hundreds = F.floor(n / 100)
+    return F.when(hundreds == 0, below).when(n % 100 == 0, F.concat(at(_WORDS, hundreds), F.lit(" hundred"))).otherwise(F.concat(at(_WORDS, hundreds), F.lit(" hundred and "), below))
+
+
+@query("SELECT p_partkey, p_partkey % 1000 AS number, CASE WHEN p_partkey % 1000 <= 100 OR p_partkey % 100 < 21 OR p_partkey % 10 = 0 THEN p_partkey % 1000 END AS spoken FROM part")
+def numbers_spelled(spark, sf):
+    """Numbers in words and back; a chapter is announced in four words at most."""
+    p = S.table(spark, sf, "part").select("p_partkey", spelled(F.col("p_partkey") % 1000).alias("w"))
+    spoken = T.spoken_chapter(F.concat(F.lit("Chapter "), F.regexp_replace("w", "-", " "), F.lit(". And so on.")))
+    return p.select("p_partkey", T.number_words(F.col("w")).alias("number"), spoken.alias("spoken"))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS book, l_shipdate AS s, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey) AS r FROM lineitem),
+  p AS (SELECT book, r, r * 100.0 + (l_partkey % 3) * 20 AS a, r * 100.0 + 60 AS b FROM m), g AS (SELECT *, coalesce(a - lag(b) OVER (PARTITION BY book ORDER BY a), 0) AS gap FROM p)
+  SELECT book, r AS chapter, a AS start FROM g QUALIFY max(gap) OVER (PARTITION BY book) < 60""")
+def markers_positional(spark, sf):
+    from pyspark.sql.window import Window
+
+    r = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber", "l_suppkey"))
+    m = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book"), "l_partkey", r.alias("r"))
+    m = m.select("book", (F.col("r") * 100.0 + (F.col("l_partkey") % 3) * 20).alias("start"), (F.col("r") * 100.0 + 60).alias("end"))
+    return numbering.positional(m, "book").select("book", "chapter", "start")
+
+
+def talk(spark, sf):
+    """Turns as sections: users' are labelled, assistants' numbered."""
+    return S.table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("idx"), F.when(F.col("role") == "user", F.concat(F.lit("Part "), F.col("turn").cast("string"))).otherwise("").alias("label"), F.when(F.col("role") == "assistant", F.col("turn")).alias("number"), (F.col("turn") / 3).cast("int").alias("spine"), F.size(T.tokens(F.col("text"))).alias("words"))
+
+
+_TALK = "c AS (SELECT conv_id, turn AS idx, role, CASE WHEN role = 'user' THEN 'Part ' || turn ELSE '' END AS label, CASE WHEN role = 'assistant' THEN turn END AS number, turn // 3 AS spine FROM conversations)"
+
+
+@query(f"""WITH {_TALK}, o AS (SELECT conv_id, min(idx) FILTER (WHERE number IS NOT NULL) AS first, max(idx) FILTER (WHERE number IS NOT NULL) AS last, arg_max(spine, idx) FILTER (WHERE number IS NOT NULL) AS sp FROM c GROUP BY 1),
+  a AS (SELECT c.conv_id, idx, last, sum((spine <> sp OR label <> '')::INT) OVER (PARTITION BY c.conv_id ORDER BY idx) AS b FROM c JOIN o USING (conv_id) WHERE idx > last)
+  SELECT o.conv_id, first, coalesce((SELECT max(idx) FROM a WHERE a.conv_id = o.conv_id AND b = 0), last) AS last FROM o""")
+def story_spans(spark, sf):
+    return numbering.story_span(talk(spark, sf), "conv_id")
+
+
+@query(f"WITH {_TALK} SELECT conv_id, min(idx) FILTER (WHERE label NOT IN ('Part 0', 'Part 2')) AS first, max(idx) FILTER (WHERE label NOT IN ('Part 0', 'Part 2')) AS last FROM c GROUP BY 1")
+def titled_spans(spark, sf):
+    return numbering.titled_span(talk(spark, sf), "conv_id", numbering.apparatus(F.col("label"), ["part 0"], ["rt 2"]))
+
+
+@query("SELECT p_partkey, p_name = 'small ring' OR contains(p_name, 'ax') OR contains(p_name, 'red') AS apparatus FROM part")
+def labels_apparatus(spark, sf):
+    return S.table(spark, sf, "part").select("p_partkey", numbering.apparatus(F.upper("p_name"), ["small ring"], ["ax", "red"]).alias("apparatus"))
+
+
+@query("SELECT p_partkey, contains(p_name, 'blue') OR (p_size * 100 >= 2000 AND p_type <> 'PROMO') AS excerpt FROM part")
+def labels_excerpt(spark, sf):
+    return S.table(spark, sf, "part").select("p_partkey", numbering.excerpt(F.col("p_name"), F.col("p_size") * 100, ["blue"], F.col("p_type") == "PROMO").alias("excerpt"))
+
+
+@query(f"""WITH {_TALK}, o AS (SELECT conv_id, min(idx) FILTER (WHERE label <> '') AS first, max(idx) FILTER (WHERE label <> '') AS last FROM c GROUP BY 1)
+  SELECT c.conv_id, idx, CASE WHEN idx < first THEN 'front' WHEN idx > last THEN 'back' ELSE 'story' END AS place FROM c JOIN o USING (conv_id)""")
+def sections_quarantined(spark, sf):
+    own = talk(spark, sf)
+    return numbering.quarantine(own, numbering.titled_span(own, "conv_id", F.col("label") == ""), "conv_id").select("conv_id", "idx", "place")
+
+
+@query(f"WITH {_TALK} SELECT conv_id, idx, CASE WHEN bool_or(coalesce(number = 1, false)) OVER (PARTITION BY conv_id) THEN number ELSE number - 1 END AS number FROM c")
+def numbers_shifted(spark, sf):
+    return numbering.shift_zero(talk(spark, sf).withColumn("number", F.col("number") - 1), "conv_id").select("conv_id", "idx", "number")
+
+
+@query("SELECT l_orderkey AS book, l_partkey AS file, CASE WHEN l_linenumber < 4 THEN l_linenumber * 10 ELSE l_linenumber END AS chapter FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)")
+def maps_applied(spark, sf):
+    own = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book"), (F.col("l_partkey") * 100 + F.col("l_linenumber")).alias("file"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("chapter")).distinct()
+    chosen = own.where("chapter < 4").select("book", "file", (F.col("chapter") * 10).alias("chapter"))
+    return numbering.apply_map(own, chosen, "book").select("book", F.col("part").alias("file"), "chapter")
+
+
+@query("SELECT l_orderkey, min(l_linenumber) = 1 AND max(l_linenumber) = count(DISTINCT l_linenumber) AS contiguous FROM lineitem GROUP BY 1")
+def maps_contiguous(spark, sf):
+    return numbering.contiguous_from_one(S.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT conv_id, turn AS idx, CASE WHEN role = 'assistant' THEN turn * 2 ELSE turn + s END AS chapter FROM conversations JOIN (SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN 1 END AS s FROM (SELECT DISTINCT conv_id FROM conversations)) USING (conv_id)")
+def positions_found(spark, sf):
+    own = talk(spark, sf)
+    shifts = own.select("conv_id").distinct().withColumn("shift", F.when(F.col("conv_id") % 2 == 0, 1))
+    return numbering.position_of(own.select("conv_id", "idx"), own.where("number IS NOT NULL").select("conv_id", "idx", (F.col("number") * 2).alias("chapter")), shifts, "conv_id")
+
+
+# Text and names ----------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id AS chapter, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), '.', '')))::INT AS dots FROM documents")
+def matches_counted(spark, sf):
+    fired = spelling.apply_rules(S.chapters(spark, sf), [{"pattern": "[.]", "replacement": "."}])
+    return fired.select("chapter", F.element_at("fired", 1).alias("dots"))
+
+
+@query("SELECT 'the ([a-z]+ing)' AS pattern, sum(len(regexp_extract_all(text, 'the [a-z]+ing')))::BIGINT AS count FROM documents UNION ALL SELECT 'zzqx+', 0")
+def rules_totalled(spark, sf):
+    rules = [{"pattern": "the ([a-z]+ing)", "replacement": "the $1"}, {"pattern": "zzqx+", "replacement": "z"}, {"pattern": "zzqx+", "replacement": "y"}]
+    return spelling.rule_totals(spelling.apply_rules(S.chapters(spark, sf), rules), rules)
+
+
+@query("SELECT i, problem FROM (VALUES (0, 'empty pattern'), (1, 'reference in replacement')) v(i, problem)")
+def rules_checked(spark, sf):
+    found = spelling.check_rules([{"pattern": "", "replacement": "x"}, {"pattern": "a(b)", "replacement": "c $1"}, {"pattern": "a(b)", "replacement": "$1 c"}])
+    return spark.createDataFrame([(int(x.split()[1].rstrip(":")), x.split(": ")[1]) for x in found], "i int, problem string")
+
+
+@query(r"SELECT doc_id AS chapter, len(regexp_extract_all(' ' || regexp_replace(text, '([^A-Za-z])', '\1\1', 'g') || ' ', '[^A-Za-z]the[^A-Za-z]')) AS uses FROM documents")
+def forms_bounded(spark, sf):
+    return S.chapters(spark, sf).select("chapter", T.occurrences(F.col("text"), "the").alias("uses"))
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '''s ') || '''s' AS folded, lower(p_name) AS form FROM part")
+def apostrophes_folded(spark, sf):
+    own = F.concat(F.regexp_replace("p_name", " ", "’s "), F.lit("’s"))
+    return S.table(spark, sf, "part").select("p_partkey", T.fold_apostrophe(own).alias("folded"), T.fold_form(F.concat(F.lit("  "), F.upper(F.regexp_replace("p_name", " ", "   ")))).alias("form"))
+
+
+@query(r"""WITH t AS (SELECT string_agg(text, chr(10)) AS t FROM documents), r(p, b) AS (VALUES ('the ([a-z]+ing)', 'a'), ('zzqx+', 'qqzz')),
+  c AS (SELECT p, b, (SELECT sum(len(regexp_extract_all(text, p))) FROM documents) AS l, (SELECT count(*) FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z])' || b || '($|[^A-Za-z])')) AS u, (SELECT count(*) FROM benchmark WHERE regexp_matches(text, '(^|[^A-Za-z])' || b || '($|[^A-Za-z])')) AS a FROM r)
+  SELECT p AS pattern, 'left_remains' AS problem FROM c WHERE l > 0 UNION ALL SELECT p, 'right_missing' FROM c WHERE u = 0 UNION ALL SELECT p, 'right_unattested' FROM c WHERE a = 0""")
+def rule_gates(spark, sf):
+    rules = [{"pattern": "the ([a-z]+ing)", "replacement": "a's"}, {"pattern": "zzqx+", "replacement": "$1 qqzz"}]
+    return spelling.gates(S.chapters(spark, sf), S.table(spark, sf, "benchmark"), rules)
+
+
+@query("SELECT p_partkey, p_name AS base FROM part")
+def bases_derived(spark, sf):
+    own = F.concat(F.lit("$1 "), F.col("p_name"), F.when(F.col("p_partkey") % 2 == 0, "'s").otherwise(""))
+    return S.table(spark, sf, "part").select("p_partkey", spelling.derive_base(own).alias("base"))
+
+
+def heard(spark, sf):
+    """Part names with the first size they come in as the chapter where they are heard."""
+    return S.table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.min(F.col("p_partkey") % 20).alias("first"))
+
+
+_HEARD = "heard AS (SELECT p_name AS name, min(p_partkey % 20) AS first FROM part GROUP BY 1)"
+_CLAIMS = "claims AS (SELECT p_name || CASE WHEN min(p_partkey) % 6 = 5 THEN ' x' ELSE '' END AS name, CASE WHEN min(p_partkey) % 4 <> 0 THEN min(p_size) END AS claimed FROM part GROUP BY p_name)"
+
+
+@query(f"WITH {_HEARD}, {_CLAIMS} SELECT c.name, claimed, first, CASE WHEN claimed IS NULL THEN 'unknown' WHEN first IS NULL THEN 'unheard' WHEN claimed < first THEN 'early' WHEN claimed > first THEN 'late' ELSE 'ok' END AS verdict FROM claims c LEFT JOIN heard USING (name)")
+def first_uses_checked(spark, sf):
+    p = S.table(spark, sf, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_size").alias("s"))
+    claims = p.select(F.concat("p_name", F.when(F.col("k") % 6 == 5, " x").otherwise("")).alias("name"), F.when(F.col("k") % 4 != 0, F.col("s")).alias("claimed"))
+    return spelling.first_use_claims(claims, heard(spark, sf))
+
+
+_ENDS = "ends(\"end\") AS (VALUES (2), (5), (9))"
+
+
+def ends(spark):
+    return spark.createDataFrame([(2,), (5,), (9,)], "end int")
+
+
+@query(f"WITH {_HEARD}, {_ENDS} SELECT \"end\", name FROM heard, ends WHERE first <= \"end\" OR first = 0")
+def sheets_rendered(spark, sf):
+    return spelling.sheet_rows(heard(spark, sf).select("name"), ends(spark), heard(spark, sf))
+
+
+_NOTES = "ledger AS (SELECT p_name AS name, 'kin of ' || arg_max(p_type, p_partkey) || ' and ' || lag(p_name, 1, 'none') OVER (ORDER BY p_name) AS note, min(p_partkey) % 3 = 0 AS carryover FROM part GROUP BY p_name)"
+
+
+def notes(spark, sf):
+    from pyspark.sql.window import Window
+
+    p = S.table(spark, sf, "part").groupBy(F.col("p_name").alias("name")).agg(F.max_by("p_type", "p_partkey").alias("t"), F.min("p_partkey").alias("k"))
+    note = F.concat(F.lit("kin of "), F.col("t"), F.lit(" and "), F.lag("name", 1, "none").over(Window.orderBy("name")))  # some dozens of names
+    return p.select("name", note.alias("note"), (F.col("k") % 3 == 0).alias("carryover"))
+
+
+_GATE2 = 'SELECT l.name, o.name AS other, min(e."end") AS "end" FROM ledger l JOIN heard h ON h.name = l.name JOIN heard o ON o.name <> l.name AND contains(l.note, o.name) AND o.first > 0 JOIN ends e ON h.first <= e."end" AND o.first > e."end" GROUP BY 1, 2'
+
+
+@query(f"WITH {_HEARD}, {_NOTES}, {_ENDS} {_GATE2}")
+def sheet_gates(spark, sf):
+    return spelling.sheet_gates(notes(spark, sf), ends(spark), heard(spark, sf))
+
+
+@query(f"WITH {_NOTES} SELECT name FROM ledger WHERE carryover AND name NOT IN (SELECT p_name FROM part WHERE p_type = 'PROMO')")
+def carryovers_gated(spark, sf):
+    prior = S.table(spark, sf, "part").where("p_type = 'PROMO'").select(F.col("p_name").alias("canonical"))
+    return spelling.carryover_gate(notes(spark, sf), prior).select("name")
+
+
+def preamble(spark, sf):
+    return S.table(spark, sf, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("On the "), F.col("p_name"), F.lit(" of old")).alias("line"))
+
+
+_PREAMBLE = "preamble AS (SELECT p_partkey AS pos, 'On the ' || p_name || ' of old' AS line FROM part WHERE p_partkey < 40)"
+
+
+@query(f"WITH {_HEARD}, {_PREAMBLE} SELECT line, name FROM preamble JOIN heard ON contains(line, name) WHERE first > 2")
+def preambles_gated(spark, sf):
+    return spelling.preamble_leaks(preamble(spark, sf), heard(spark, sf), 2)
+
+
+@query(f"""WITH {_HEARD}, {_NOTES}, {_ENDS}, {_PREAMBLE} SELECT 'note' AS gate, name, other FROM ({_GATE2}) UNION ALL SELECT 'carryover', name, '' FROM ledger WHERE carryover AND name NOT IN (SELECT p_name FROM part WHERE p_type = 'PROMO')
+  UNION ALL SELECT 'preamble', name, line FROM preamble JOIN heard ON contains(line, name) WHERE first > 2""")
+def sheets_audited(spark, sf):
+    prior = S.table(spark, sf, "part").where("p_type = 'PROMO'").select(F.col("p_name").alias("canonical"))
+    return spelling.sheet_audit(notes(spark, sf), ends(spark), heard(spark, sf), prior, preamble(spark, sf))
+
+
+@query("SELECT form, shaped FROM (VALUES ('Anna', true), ('anna', false), ('d''Aston', true), ('He''d', false), ('The''x', true), ('Éva', true)) v(form, shaped)")
+def shapes_proper(spark, sf):
+    forms = spark.createDataFrame([("Anna",), ("anna",), ("d'Aston",), ("He'd",), ("The'x",), ("Éva",)], "form string")
+    return forms.select("form", spelling.proper_shape(F.col("form"), ["he"]).alias("shaped"))
+
+
+@query("SELECT name, ok FROM (VALUES ('Anna of Green', true), ('Ann', false), ('Anna green', false), ('anna Green', false), ('Anna', true)) v(name, ok)")
+def glossary_names(spark, sf):
+    names = spark.createDataFrame([("Anna of Green",), ("Ann",), ("Anna green",), ("anna Green",), ("Anna",)], "name string")
+    return names.select("name", spelling.glossary_name(F.col("name")).alias("ok"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'timeout' WHEN 'view' THEN 'rate_limit' WHEN 'click' THEN 'auth' ELSE 'unknown' END AS class FROM events")
+def errors_classed(spark, sf):
+    message = F.when(F.col("event_type") == "error", "Request TIMED OUT").when(F.col("event_type") == "view", "HTTP 429: timeout").when(F.col("event_type") == "click", "Unauthorized").otherwise("fine")
+    return events(spark, sf).select("event_id", spelling.error_class(message).alias("class"))
+
+
+@query("SELECT event_id, epoch_us(CASE WHEN user_id % 2 = 0 THEN date_trunc('day', ts) + INTERVAL 15 HOURS + INTERVAL 30 MINUTES + CASE WHEN date_trunc('day', ts) + INTERVAL 15 HOURS + INTERVAL 30 MINUTES <= ts THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END ELSE to_timestamp(floor(epoch(ts)) + 3600)::TIMESTAMP END) AS until FROM events")
+def limits_reset(spark, sf):
+    e = events(spark, sf)
+    message = F.when(F.col("user_id") % 2 == 0, "limit hit, resets 3:30pm").otherwise(F.concat(F.lit("limit|"), (F.floor(F.unix_micros("ts") / 1e6) + 3600).cast("string")))
+    return e.select("event_id", F.unix_micros(spelling.reset_time(message, F.col("ts"))).alias("until"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN (p_size || '.5')::DOUBLE WHEN 1 THEN NULL ELSE p_size::DOUBLE END AS sequence, CASE p_partkey % 3 WHEN 0 THEN (p_size || '.5')::DOUBLE ELSE p_size::DOUBLE END AS position FROM part")
+def sequences_parsed(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.when(k % 3 == 0, F.concat(size, F.lit(".5"))).when(k % 3 == 1, F.concat(size, F.lit("-"), size)).otherwise(F.concat(F.lit(" "), size))
+    return S.table(spark, sf, "part").select("p_partkey", T.sequence_number(text).alias("sequence"), T.leading_number(text, 1e18).alias("position"))
+
+
+@query("SELECT doc_id AS chapter, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words FROM documents")
+def words_counted(spark, sf):
+    return S.chapters(spark, sf).select("chapter", F.size(T.tokens(F.col("text"))).alias("words"))
+
+
+# Identity ----------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey AS path, 'w' || p_size AS work_id, CASE WHEN p_size % 2 = 0 THEN 'matched' ELSE 'not_found' END AS status FROM part WHERE p_partkey % 10 = 0")
+def manual_matches(spark, sf):
+    p = S.table(spark, sf, "part").select(F.col("p_partkey").alias("path"), F.col("p_partkey").alias("source_path"), "p_size")
+    overrides = p.where("path % 10 = 0").select("source_path", F.concat(F.lit("w"), F.col("p_size").cast("string")).alias("work_id"))
+    works = p.where("p_size % 2 = 0").select(F.concat(F.lit("w"), F.col("p_size").cast("string")).alias("work_id")).distinct()
+    return identity.manual(p.select("path", "source_path"), overrides, works)
+
+
+@query("SELECT n_regionkey AS work_id, string_agg(DISTINCT lower(n_name), ',' ORDER BY lower(n_name)) AS names FROM nation GROUP BY 1")
+def works_detailed(spark, sf):
+    c = S.table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("work_id")).agg(F.collect_list(F.struct(F.concat(F.lit(" "), F.upper("n_name")).alias("name"), F.array(F.lower("n_name")).alias("aliases"))).alias("characters"), F.count(F.lit(1)).alias("recordings"))
+    return identity.work_details(c).select("work_id", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 20 THEN p_type ELSE p_name END AS title FROM part")
+def metadata_preferred(spark, sf):
+    return S.table(spark, sf, "part").select("p_partkey", identity.prefer_known(F.when(F.col("p_size") > 20, F.col("p_type")).otherwise("  "), F.col("p_name")).alias("title"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 20 THEN 'tag' END AS title, 'scan' AS author, NULL::VARCHAR AS year FROM part")
+def provenance_mapped(spark, sf):
+    m = identity.provenance({"title": F.when(F.col("p_size") > 20, "tag"), "author": F.lit("scan"), "year": F.lit(None).cast("string")})
+    return S.table(spark, sf, "part").select("p_partkey", m.alias("m")).select("p_partkey", *[F.col("m")[k].alias(k) for k in ("title", "author", "year")])
+
+
+@query("""WITH e AS (SELECT s_nationkey AS dir, s_suppkey AS path, s_acctbal > 5000 AS ok FROM supplier), c AS (SELECT dir, min(path) FILTER (WHERE ok) AS p FROM e GROUP BY 1 HAVING count(*) FILTER (WHERE ok) = 1)
+  SELECT path FROM e WHERE path NOT IN (SELECT p FROM c JOIN nation ON n_nationkey = dir)""")
+def epubs_unclaimed(spark, sf):
+    books = S.table(spark, sf, "nation").select(F.col("n_nationkey").alias("dir"))
+    epubs = S.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("dir"), F.col("s_suppkey").alias("path"), (F.col("s_acctbal") > 5000).alias("readable"))
+    return identity.unclaimed(epubs, identity.pair_epubs(books, epubs)).select("path")
+
+
+@query("""WITH c AS (SELECT DISTINCT l_orderkey AS path, l_partkey AS r, l_linenumber AS n, l_quantity AS q FROM lineitem), s AS (SELECT *, 10 * (n = 1)::INT + CASE WHEN abs(q - 25) <= 0.05 * 25 THEN 5 ELSE 0 END AS s FROM c),
+  t AS (SELECT *, count(*) OVER (PARTITION BY path) AS k, max(s) OVER (PARTITION BY path) AS top FROM s)
+  SELECT path, min(r) AS recording_id FROM t WHERE k = 1 OR (s = top AND s > 0) GROUP BY 1 HAVING count(*) = 1""")
+def recordings_chosen(spark, sf):
+    c = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("recording_id"), F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("runtime")).distinct()
+    return identity.best_recording(c.withColumn("narrators", F.array(F.col("n").cast("string"))).withColumn("own_narrators", F.array(F.lit("1"))).withColumn("own_runtime", F.lit(25.0)))
+
+
+@query("SELECT c_custkey AS id, c_mktsegment AS status, n AS active, t AS cost FROM customer LEFT JOIN (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) ON user_id = c_custkey LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+def book_views(spark, sf):
+    books = S.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"))
+    active = S.runs(spark, sf).where("NOT ok").groupBy("book_id").agg(F.count(F.lit(1)).alias("active"))
+    cost = orders(spark, sf).groupBy(F.col("owner").alias("book_id")).agg(F.round(F.sum("price"), 2).alias("cost"))
+    return identity.book_view(books, active=active, cost=cost)
+
+
+@query("SELECT p_partkey::VARCHAR || '/' || p_name AS path, CASE WHEN p_size > 5 THEN p_name ELSE p_name END AS title, CASE WHEN p_partkey % 4 = 0 THEN 'asked' ELSE p_brand END AS work_id, p_partkey % 8 = 0 AS hidden FROM part")
+def books_converted(spark, sf):
+    p = S.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("/books/"), F.col("p_partkey").cast("string"), F.lit("/"), F.col("p_name")).alias("source_path"), F.when(F.col("p_size") > 5, F.col("p_name")).otherwise(" ").alias("title"), F.col("p_brand").alias("work_id"))
+    o = p.where("p_partkey % 4 = 0").select("source_path", F.lit("asked").alias("work_id"), (F.col("p_partkey") % 8 == 0).alias("hidden"), F.lit(False).alias("force_audio"))
+    return identity.converted(p, o, "/books").select("path", "title", "work_id", "hidden")
