@@ -171,6 +171,12 @@ def coverage_state(work: Column, covered: Column, failed: Column) -> Column:
     return F.when(failed, "unknown").when(work.isNull(), "unmatched").when(covered, "covered").otherwise("missing")
 
 
+def coverage_filter(books: DataFrame, exclude_covered: bool, include_hidden: bool = False) -> DataFrame:
+    """Books to choose from (hidden, state): hidden ones only if asked for, covered ones unless they are not."""
+    own = books if include_hidden else books.where("NOT coalesce(hidden, false)")
+    return own.where("state <> 'covered'") if exclude_covered else own
+
+
 def series_sort(books: DataFrame) -> DataFrame:
     return books.orderBy(F.coalesce("series", F.lit("")) == "", F.lower("series"), F.asc_nulls_last("pos"), F.lower("title"), "path")
 
@@ -227,18 +233,69 @@ def verified_rows(ledger: DataFrame) -> DataFrame:
     return ledger.where("status = 'verified'").select("pos", "canonical", "type", "variants").orderBy("pos")
 
 
-# Caps of sidecar texts, in code points.
+# What sidecar files must hold. Caps are in code points.
 DESCRIPTION_CAP, RECAP_CAP, SHORT_CAP, ENDING_CAP = 1500, 3000, 1500, 2000
+SIDECAR_LICENSE, SIDECAR_SOURCES = "CC-BY-SA-3.0", ["community"]
+ROLES, SCOPES = ["protagonist", "antagonist", "supporting", "minor"], ["book", "series"]
+DASH = "\u2014"
+
+
+def is_slug(column: Column) -> Column:
+    """Lower-case words and digits with single hyphens between."""
+    return F.coalesce(column, F.lit("")).rlike("^[a-z0-9]+(-[a-z0-9]+)*$")
+
+
+def _blank(column: str) -> Column:
+    return F.trim(F.coalesce(column, F.lit(""))) == ""
+
+
+def _later(rows: DataFrame, column: str, name: str, key: str, where: Column) -> DataFrame:
+    """(key, rule) of rows that repeat the value of one before them."""
+    again = F.row_number().over(Window.partitionBy(column).orderBy(key)) > 1
+    return rows.where(where).withColumn("_again", again).where("_again").select(key, F.lit(name).alias("rule"))
+
+
+def character_problems(characters: DataFrame, chapters: int, key: str = "pos") -> DataFrame:
+    """(key, rule) of a file's characters (id, name, role, description, reveal, aliases, wikidata)."""
+    rules = {
+        "id_slug": ~is_slug(F.col("id")),
+        "name_blank": _blank("name"),
+        "role_unknown": (F.col("role") != "") & ~F.col("role").isin(*ROLES),
+        "reveal_range": ~chapter_in_range(F.col("reveal"), F.lit(chapters)),
+        "description_blank": _blank("description"),
+        "description_long": F.length("description") > DESCRIPTION_CAP,
+        "description_dash": F.contains(F.col("description"), F.lit(DASH)),
+        "alias_blank": F.exists("aliases", lambda a: F.trim(a) == ""),
+        "wikidata_id": (F.col("wikidata") != "") & ~F.col("wikidata").rlike("^Q[0-9]+$"),
+    }
+    return violations(characters, rules, [key]).unionByName(_later(characters, "id", "id_repeated", key, is_slug(F.col("id"))))
+
+
+def recap_problems(recaps: DataFrame, chapters: int, key: str = "pos") -> DataFrame:
+    """(key, rule) of a file's recaps (through, text, scope)."""
+    rules = {
+        "through_range": ~chapter_in_range(F.col("through"), F.lit(chapters)),
+        "text_blank": _blank("text"),
+        "text_long": F.length("text") > RECAP_CAP,
+        "text_dash": F.contains(F.col("text"), F.lit(DASH)),
+        "scope_unknown": (F.col("scope") != "") & ~F.col("scope").isin(*SCOPES),
+    }
+    return violations(recaps, rules, [key]).unionByName(_later(recaps, "through", "through_repeated", key, F.lit(True)))
 
 
-def sidecar_problems(characters: DataFrame, chapters: int) -> DataFrame:
-    """(id, rule) of character rows (id, name, role, description, reveal): blanks, caps, unknown roles, range, repeated ids."""
+def sidecar_file_problems(files: DataFrame, key: str = "pos") -> DataFrame:
+    """(key, rule) of files (work, license, sources, entries, in_short, ending, opener, series_recap): what holds for a file as a
+    whole. series_recap_missing is a warning, the others are errors."""
     rules = {
-        "id_blank": F.trim(F.coalesce("id", F.lit(""))) == "",
-        "name_blank": F.trim(F.coalesce("name", F.lit(""))) == "",
-        "description_too_long": F.length("description") > DESCRIPTION_CAP,
-        "role_unknown": ~F.col("role").isin("main", "supporting", "minor"),
-        "reveal_out_of_range": ~chapter_in_range(F.col("reveal"), F.lit(chapters)),
+        "work_slug": ~is_slug(F.col("work")),
+        "license": ~F.col("license").eqNullSafe(F.lit(SIDECAR_LICENSE)),
+        "sources": ~F.col("sources").eqNullSafe(F.array(*map(F.lit, SIDECAR_SOURCES))),
+        "empty": F.col("entries") == 0,
+        "in_short_long": F.length("in_short") > SHORT_CAP,
+        "in_short_dash": F.contains(F.col("in_short"), F.lit(DASH)),
+        "ending_long": F.length("ending") > ENDING_CAP,
+        "ending_dash": F.contains(F.col("ending"), F.lit(DASH)),
+        "opener_has_series_recap": F.col("opener") & F.col("series_recap"),
+        "series_recap_missing": ~F.col("opener") & ~F.col("series_recap"),
     }
-    twice = repeated_ids(characters, "id").select("id", F.lit("id_repeated").alias("rule"))
-    return violations(characters, rules, ["id"]).unionByName(twice)
+    return violations(files, rules, [key])

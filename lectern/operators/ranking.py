@@ -211,11 +211,11 @@ def classify_incidents(books: DataFrame, runs: DataFrame, now, repeats: int = 3,
     return out.withColumn("pos", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("priority"), "kind")))
 
 
-def decide(incidents: DataFrame, table: DataFrame, recoveries: DataFrame, cap: int) -> DataFrame:
+def decide(incidents: DataFrame, table: DataFrame, recoveries: DataFrame, cap: int, *keep: str) -> DataFrame:
     """(book_id, kind, action): the table's action for the kind, or "escalate" where the book's recoveries reach the cap."""
     own = incidents.join(F.broadcast(table), "kind", "left").join(recoveries, "book_id", "left")
     action = F.when(F.coalesce("recoveries", F.lit(0)) >= cap, F.lit("escalate")).otherwise(F.coalesce("action", F.lit("observe")))
-    return own.select("book_id", "kind", action.alias("action"))
+    return own.select(*keep, "book_id", "kind", action.alias("action"))
 
 
 def finding_counts(findings: DataFrame, key: str = "book_id") -> DataFrame:

@@ -748,3 +748,264 @@ def books_converted(spark, sf):
     p = S.table(spark, sf, "part").select("p_partkey", F.concat(F.lit("/books/"), F.col("p_partkey").cast("string"), F.lit("/"), F.col("p_name")).alias("source_path"), F.when(F.col("p_size") > 5, F.col("p_name")).otherwise(" ").alias("title"), F.col("p_brand").alias("work_id"))
     o = p.where("p_partkey % 4 = 0").select("source_path", F.lit("asked").alias("work_id"), (F.col("p_partkey") % 8 == 0).alias("hidden"), F.lit(False).alias("force_audio"))
     return identity.converted(p, o, "/books").select("path", "title", "work_id", "hidden")
+
+
+# Schedules ---------------------------------------------------------------------------------------
+
+_SERIES = "books AS (SELECT o_orderkey AS id, o_custkey::VARCHAR AS series, month(o_orderdate) AS pos, o_orderstatus AS status, o_orderpriority AS prio FROM orders), ranked AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY pos, id) - 1 AS rank FROM books)"
+
+
+def waiting(spark, sf):
+    o = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("prio"))
+    return S.books(spark, sf).join(o, "id").withColumn("state", F.when(F.col("prio") == "5-LOW", "retranscribing").otherwise("transcribing"))
+
+
+@query(f"WITH {_SERIES} SELECT id, rank, row_number() OVER (ORDER BY prio <> '5-LOW', rank, id) AS turn FROM ranked QUALIFY turn <= 40")
+def asr_turns(spark, sf):
+    """The first forty of the waiting, a top-k, with their turn."""
+    from pyspark.sql.window import Window
+
+    top = ranking.asr_order(waiting(spark, sf)).select("id", "rank", "state").limit(40)
+    return top.withColumn("turn", F.row_number().over(Window.orderBy(F.col("state") != "retranscribing", "rank", "id"))).drop("state")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'again' ELSE 'first' END AS part FROM orders")
+def asr_parts(spark, sf):
+    again, first = ranking.asr_partition(waiting(spark, sf))
+    return again.select("id", F.lit("again").alias("part")).unionByName(first.select("id", F.lit("first").alias("part")))
+
+
+@query(f"WITH {_SERIES} SELECT status AS bucket, prio AS lane, id FROM books")
+def queue_payloads(spark, sf):
+    return ranking.queue_payload(waiting(spark, sf).select(F.col("status").alias("bucket"), F.col("id").alias("place"), F.col("prio").alias("lane"), "id"), ["O", "P", "F"]).select("bucket", "lane", "id")
+
+
+@query("SELECT event_id, event_type IN ('error', 'click') OR contains(lower('Net ' || event_type), 'view') AS recoverable FROM events")
+def parks_recoverable(spark, sf):
+    return events(spark, sf).select("event_id", ranking.restart_recoverable(F.col("event_type"), F.concat(F.lit("Net "), F.col("event_type")), ["error", "click"], ["view"]).alias("recoverable"))
+
+
+_RATES = "r(stage, rate, seed) AS (VALUES ('view', 2.5, 9.0), ('click', 0.0, 4.0), ('purchase', NULL, 7.0), ('signup', 1.25, 3.0), ('error', 30.0, 1.0))"
+
+
+def rates(spark):
+    return spark.createDataFrame([("view", 2.5, 9.0), ("click", 0.0, 4.0), ("purchase", None, 7.0), ("signup", 1.25, 3.0), ("error", 30.0, 1.0)], "stage string, rate double, seed double")
+
+
+@query(f"WITH {_RATES} SELECT user_id AS book_id, greatest(round(sum(ceil(floor(value) / 2) * CASE WHEN rate > 0 THEN rate ELSE seed END) / 10) * 10, 0)::DOUBLE AS eta_s FROM events JOIN r ON stage = event_type GROUP BY 1")
+def book_etas(spark, sf):
+    paths = events(spark, sf).select(F.col("user_id").alias("book_id"), F.col("event_type").alias("stage"), F.floor("value").alias("units"))
+    return ranking.book_eta(paths, rates(spark), F.lit(2))
+
+
+@query("SELECT l_orderkey AS book_id, max(l_quantity) AS chapters FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1")
+def chapters_by_progress(spark, sf):
+    p = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").cast("string").alias("stage"), F.col("l_quantity").alias("total"))
+    return ranking.chapters_of(p, ["1", "2"])
+
+
+@query("SELECT event_id, CASE WHEN value > 200 THEN floor(value) WHEN event_type = 'view' THEN CASE WHEN user_id > 20 THEN user_id ELSE 60 END WHEN event_type = 'click' THEN 8 WHEN event_type = 'signup' THEN round(value, 2) ELSE 1 END::DOUBLE AS units, greatest(round(floor(value) * 0.04), 1)::DOUBLE AS redo FROM events")
+def units_estimated(spark, sf):
+    kind = F.when(F.col("event_type") == "view", "chapter").when(F.col("event_type") == "click", "chunk").when(F.col("event_type") == "signup", "hour").otherwise("book")
+    e = events(spark, sf)
+    total = F.when(F.col("value") > 200, F.floor("value")).otherwise(0)
+    return e.select("event_id", ranking.total_units(kind, total, F.when(F.col("user_id") > 20, F.col("user_id")), F.round("value", 2)).alias("units"), ranking.redo_units(F.floor("value").cast("double")).alias("redo"))
+
+
+_STATES = "t(state, outcome, next, pos) AS (VALUES ('view', 'low', 'click', 1), ('view', 'high', 'purchase', 2), ('click', 'low', 'purchase', 1), ('signup', 'low', 'view', 1))"
+
+
+def transitions(spark):
+    return spark.createDataFrame([("view", "low", "click", 1), ("view", "high", "purchase", 2), ("click", "low", "purchase", 1), ("signup", "low", "view", 1)], "state string, outcome string, next string, pos int")
+
+
+@query(f"WITH {_STATES} SELECT event_id, next FROM events LEFT JOIN t ON state = event_type AND outcome = CASE WHEN value > 50 THEN 'high' ELSE 'low' END")
+def states_next(spark, sf):
+    e = events(spark, sf).select("event_id", F.col("event_type").alias("state"), F.when(F.col("value") > 50, "high").otherwise("low").alias("outcome"))
+    return ranking.next_states(e, transitions(spark).drop("pos")).select("event_id", "next")
+
+
+@query(f"WITH {_STATES} SELECT state, arg_max(next, pos) AS next FROM t WHERE EXISTS (SELECT 1 FROM events WHERE event_type = state) GROUP BY 1")
+def states_mainline(spark, sf):
+    live = events(spark, sf).select(F.col("event_type").alias("state")).distinct()
+    return ranking.mainline(transitions(spark).join(live, "state", "left_semi"))
+
+
+@query("SELECT event_id, event_type = 'view' AND user_id % 2 = 0 AND value > 20 AS start FROM events")
+def starts_allowed(spark, sf):
+    status = F.when(F.col("event_type") == "view", "queued").otherwise("running")
+    return events(spark, sf).select("event_id", ranking.can_start(status, F.col("user_id") % 2 == 0, F.floor(F.col("value") - 20) + F.when(F.col("value") > 20, 1).otherwise(0)).alias("start"))
+
+
+@query("SELECT user_id AS book_id, arg_max(event_type, [len(event_type), -event_id]) AS kind FROM events GROUP BY 1")
+def incidents_primary(spark, sf):
+    i = events(spark, sf).select(F.col("user_id").alias("book_id"), F.col("event_type").alias("kind"), F.length("event_type").alias("priority"), F.col("event_id").alias("pos"))
+    return ranking.primary_incident(i)
+
+
+@query("SELECT event_id, step, stage FROM events JOIN (VALUES ('view', 'a', 1), ('view', 'b', 2), ('click', 'b', 1)) p(state, stage, step) ON state = event_type")
+def paths_remaining(spark, sf):
+    paths = spark.createDataFrame([("view", "a", 1), ("view", "b", 2), ("click", "b", 1)], "state string, stage string, step int")
+    return ranking.remaining_path(events(spark, sf).select(F.col("event_id").alias("id"), F.col("event_type").alias("state")), paths).select(F.col("id").alias("event_id"), "step", "stage")
+
+
+@query("SELECT event_type AS lane, min(value) AS finish_at FROM events GROUP BY 1")
+def finishes_earliest(spark, sf):
+    return ranking.earliest_finish(events(spark, sf).select(F.col("event_type").alias("lane"), F.col("value").alias("finish_at")))
+
+
+@query("""WITH i AS (SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 = 0), n AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
+  SELECT event_id, CASE WHEN coalesce(n, 0) >= 12 THEN 'escalate' WHEN event_type = 'error' THEN 'retry' WHEN event_type = 'view' THEN 'wait' ELSE 'observe' END AS action FROM i LEFT JOIN n USING (user_id)""")
+def incidents_decided(spark, sf):
+    e = events(spark, sf)
+    i = e.where("event_id % 3 = 0").select(F.col("event_id").alias("kind_id"), F.col("user_id").alias("book_id"), F.col("event_type").alias("kind"))
+    table = spark.createDataFrame([("error", "retry"), ("view", "wait")], "kind string, action string")
+    past = e.where("event_type = 'error'").groupBy(F.col("user_id").alias("book_id")).agg(F.count(F.lit(1)).alias("recoveries"))
+    return ranking.decide(i, table, past, 12, "kind_id").select(F.col("kind_id").alias("event_id"), "action")
+
+
+# Experiments and views -----------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN 0 ELSE greatest(round(value - 100, 3), 0) END::DOUBLE AS seconds FROM events")
+def spans_elapsed(spark, sf):
+    e = events(spark, sf)
+    start = F.lit("2024-01-01T00:01:40Z")
+    ms = F.round(F.col("value") * 1000).cast("int")
+    clock = F.format_string("2024-01-01T00:%02d:%02d.%03dZ", (ms / 60_000).cast("int"), (ms / 1000).cast("int") % 60, ms % 1000)
+    end = F.when(F.col("event_type") == "error", "never").otherwise(clock)
+    return e.select("event_id", F.round(X.elapsed(start, end), 3).alias("seconds"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name || ' ' || p_type || ' ' || p_name, ' '))), ',') AS words FROM part")
+def words_unique(spark, sf):
+    return S.table(spark, sf, "part").select("p_partkey", F.array_join(X.unique_sorted(F.split(F.concat_ws(" ", "p_name", "p_type", "p_name"), " ")), ",").alias("words"))
+
+
+@query("""WITH a AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS x, list_distinct(['small', lower(p_type)]) AS y FROM part), b AS (SELECT *, len(list_intersect(x, y)) AS i FROM a)
+  SELECT p_partkey, len(x) AS names, i / len(y) AS recall, i / (len(x) + len(y) - i) AS jaccard, 1.0::DOUBLE AS recap_jaccard FROM b""")
+def qualities(spark, sf):
+    none = F.array().cast("array<int>")
+    q = X.quality(F.split("p_name", " "), F.array(F.lit("small"), F.lower("p_type")), none, none)
+    return S.table(spark, sf, "part").select("p_partkey", q.alias("q")).select("p_partkey", "q.*")
+
+
+@query("SELECT r_name AS profile, n_nationkey AS \"case\", i AS repeat FROM region, nation, range(1, 4) t(i)")
+def experiments_planned(spark, sf):
+    profiles = S.table(spark, sf, "region").select(F.col("r_name").alias("profile"))
+    plan = X.experiment_plan(profiles, S.table(spark, sf, "nation").select(F.col("n_nationkey").alias("case")), 3, seed=5)
+    return plan.where("place >= 1").select("profile", "case", "repeat")
+
+
+@query(r"SELECT sha256(string_agg('n' || n_nationkey || chr(0) || sha256(n_name), chr(10) ORDER BY 'n' || n_nationkey)) AS digest FROM nation")
+def trees_digested(spark, sf):
+    return X.tree_digest(S.table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("path"), F.col("n_name").alias("content")))
+
+
+@query("SELECT s_suppkey AS pos, s_name AS canonical FROM supplier WHERE s_acctbal > 0")
+def ledger_verified(spark, sf):
+    s = S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("pos"), F.col("s_name").alias("canonical"), F.lit("t").alias("type"), F.lit("v").alias("variants"), F.when(F.col("s_acctbal") > 0, "verified").otherwise("guess").alias("status"))
+    return X.verified_rows(s).select("pos", "canonical")
+
+
+@query("SELECT coalesce(s_suppkey, c_custkey) AS id, s_name AS a, c_name AS b FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON s_suppkey = c_custkey")
+def sidecars_viewed(spark, sf):
+    a = S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("a"))
+    return X.merge_views(a, S.table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("b")), "id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'unknown' WHEN p_size < 10 THEN 'unmatched' WHEN p_type = 'PROMO' THEN 'covered' ELSE 'missing' END AS state FROM part")
+def coverage_states(spark, sf):
+    state = X.coverage_state(F.when(F.col("p_size") >= 10, F.col("p_brand")), F.col("p_type") == "PROMO", F.col("p_partkey") % 7 == 0)
+    return S.table(spark, sf, "part").select("p_partkey", state.alias("state"))
+
+
+@query("SELECT p_partkey FROM part WHERE p_size >= 5 AND NOT (p_type = 'PROMO' AND p_size >= 10)")
+def coverage_filtered(spark, sf):
+    p = S.table(spark, sf, "part").withColumn("hidden", F.col("p_size") < 5).withColumn("state", X.coverage_state(F.when(F.col("p_size") >= 10, F.col("p_brand")), F.col("p_type") == "PROMO", F.lit(False)))
+    return X.coverage_filter(p, exclude_covered=True).select("p_partkey")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY p_type = 'PROMO', lower(CASE WHEN p_type <> 'PROMO' THEN p_brand ELSE '' END), p_size, lower(p_name), p_partkey) AS place FROM part QUALIFY place <= 50")
+def series_sorted(spark, sf):
+    """The first fifty in the order of series."""
+    p = S.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_type") != "PROMO", F.col("p_brand")).otherwise("").alias("series"), F.col("p_size").alias("pos"), F.col("p_name").alias("title"), F.col("p_partkey").alias("path"))
+    top = X.series_sort(p).limit(50).select(F.collect_list("p_partkey").alias("l"))
+    return top.select(F.posexplode("l").alias("place", "p_partkey")).select("p_partkey", (F.col("place") + 1).alias("place"))
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders WHERE o_orderstatus = 'F' QUALIFY place <= 30")
+def books_done(spark, sf):
+    """The last thirty finished."""
+    done = X.done_books(orders(spark, sf).select("id", F.when(F.col("status") == "F", "done").otherwise("open").alias("status"), F.col("at").alias("finished_at"))).limit(30)
+    return done.select(F.collect_list("id").alias("l")).select(F.posexplode("l").alias("place", "id")).select("id", (F.col("place") + 1).alias("place"))
+
+
+@query("SELECT o_orderstatus AS section, count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1")
+def books_sectioned(spark, sf):
+    s = X.sections(orders(spark, sf).select("id", F.col("status").alias("section")), ["P", "O"])
+    return s.select("section", F.size("ids").alias("n"), F.element_at("ids", 1).alias("first"))
+
+
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_custkey::VARCHAR, month(o_orderdate), o_orderkey) AS place FROM orders QUALIFY place <= 60")
+def board_sorted(spark, sf):
+    """The first sixty of the board."""
+    b = S.books(spark, sf).withColumn("pos", F.col("series_pos").cast("int"))
+    top = X.board_sort(b, ["P", "O", "F"]).limit(60).select(F.collect_list("id").alias("l"))
+    return top.select(F.posexplode("l").alias("place", "id")).select("id", (F.col("place") + 1).alias("place"))
+
+
+@query("SELECT 0 AS place, NULL::INT AS chapter, 'sum' AS text UNION ALL SELECT 1, n_nationkey::INT, n_name FROM nation UNION ALL SELECT 2, NULL, 'end'")
+def stories_told(spark, sf):
+    one = lambda t: S.table(spark, sf, "region").limit(1).select(F.lit(t).alias("text"))
+    recaps = S.table(spark, sf, "nation").select(F.col("n_nationkey").alias("chapter"), F.col("n_name").alias("text"))
+    return X.story_rows(recaps, one("sum"), one("end"))
+
+
+@query("SELECT user_id AS book_id, round(sum(value), 4) AS cost FROM events GROUP BY 1")
+def costs_total(spark, sf):
+    return X.total_cost(S.runs(spark, sf)).withColumn("cost", F.round("cost", 4))
+
+
+_CHARS = """c AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 11 = 0 THEN 'Bad Slug' WHEN p_partkey % 13 = 0 THEN 'twin' ELSE 'id-' || p_partkey END AS id, CASE WHEN p_partkey % 17 = 0 THEN ' ' ELSE p_name END AS name, CASE WHEN p_partkey % 5 = 0 THEN 'villain' WHEN p_partkey % 5 = 1 THEN '' ELSE 'minor' END AS role,
+  CASE WHEN p_partkey % 7 = 0 THEN repeat('x', 1501) WHEN p_partkey % 7 = 1 THEN 'a — b' WHEN p_partkey % 7 = 2 THEN '' ELSE p_type END AS d, p_size - 2 AS reveal, CASE WHEN p_partkey % 19 = 0 THEN ['a', ' '] ELSE ['a'] END AS aliases, CASE WHEN p_partkey % 23 = 0 THEN 'P12' WHEN p_partkey % 23 = 1 THEN 'Q12' ELSE '' END AS wd FROM part)"""
+
+
+def characters(spark, sf):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    d = F.when(k % 7 == 0, F.repeat(F.lit("x"), 1501)).when(k % 7 == 1, "a — b").when(k % 7 == 2, "").otherwise(F.col("p_type"))
+    return S.table(spark, sf, "part").select(
+        k.alias("pos"), F.when(k % 11 == 0, "Bad Slug").when(k % 13 == 0, "twin").otherwise(F.concat(F.lit("id-"), k.cast("string"))).alias("id"), F.when(k % 17 == 0, " ").otherwise(F.col("p_name")).alias("name"),
+        F.when(k % 5 == 0, "villain").when(k % 5 == 1, "").otherwise("minor").alias("role"), d.alias("description"), (size - 2).alias("reveal"), F.when(k % 19 == 0, F.array(F.lit("a"), F.lit(" "))).otherwise(F.array(F.lit("a"))).alias("aliases"),
+        F.when(k % 23 == 0, "P12").when(k % 23 == 1, "Q12").otherwise("").alias("wikidata"),
+    )
+
+
+@query(f"""WITH {_CHARS} SELECT pos, 'id_slug' AS rule FROM c WHERE id = 'Bad Slug' UNION ALL SELECT pos, 'id_repeated' FROM (SELECT pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS r FROM c WHERE id = 'twin') WHERE r > 1 UNION ALL SELECT pos, 'name_blank' FROM c WHERE trim(name) = ''
+  UNION ALL SELECT pos, 'role_unknown' FROM c WHERE role = 'villain' UNION ALL SELECT pos, 'reveal_range' FROM c WHERE reveal NOT BETWEEN 0 AND 40 UNION ALL SELECT pos, 'description_blank' FROM c WHERE d = '' UNION ALL SELECT pos, 'description_long' FROM c WHERE length(d) > 1500
+  UNION ALL SELECT pos, 'description_dash' FROM c WHERE contains(d, '—') UNION ALL SELECT pos, 'alias_blank' FROM c WHERE len(aliases) = 2 UNION ALL SELECT pos, 'wikidata_id' FROM c WHERE wd = 'P12'""")
+def characters_validated(spark, sf):
+    return X.character_problems(characters(spark, sf), 40)
+
+
+_RECAPS = """r AS (SELECT n_nationkey AS pos, CASE WHEN n_nationkey % 6 = 5 THEN 3 ELSE n_nationkey END AS through, CASE n_nationkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN repeat('y', 3001) WHEN 2 THEN 'a—b' ELSE n_name END AS t, CASE n_nationkey % 3 WHEN 0 THEN 'series' WHEN 1 THEN 'world' ELSE '' END AS scope FROM nation)"""
+
+
+@query(f"""WITH {_RECAPS} SELECT pos, 'through_range' AS rule FROM r WHERE through NOT BETWEEN 0 AND 20 UNION ALL SELECT pos, 'through_repeated' FROM (SELECT pos, row_number() OVER (PARTITION BY through ORDER BY pos) AS k FROM r) WHERE k > 1 UNION ALL SELECT pos, 'text_blank' FROM r WHERE trim(t) = ''
+  UNION ALL SELECT pos, 'text_long' FROM r WHERE length(t) > 3000 UNION ALL SELECT pos, 'text_dash' FROM r WHERE contains(t, '—') UNION ALL SELECT pos, 'scope_unknown' FROM r WHERE scope = 'world'""")
+def recaps_validated(spark, sf):
+    k = F.col("n_nationkey")
+    text = F.when(k % 4 == 0, " ").when(k % 4 == 1, F.repeat(F.lit("y"), 3001)).when(k % 4 == 2, "a—b").otherwise(F.col("n_name"))
+    r = S.table(spark, sf, "nation").select(k.alias("pos"), F.when(k % 6 == 5, 3).otherwise(k).alias("through"), text.alias("text"), F.when(k % 3 == 0, "series").when(k % 3 == 1, "world").otherwise("").alias("scope"))
+    return X.recap_problems(r, 20)
+
+
+@query("""SELECT r_regionkey AS pos, rule FROM region, (VALUES (0, 'work_slug'), (1, 'license'), (2, 'sources'), (3, 'empty'), (4, 'in_short_long'), (4, 'ending_dash'), (0, 'opener_has_series_recap'), (2, 'series_recap_missing')) v(k, rule) WHERE r_regionkey = k""")
+def sidecars_validated(spark, sf):
+    k = F.col("r_regionkey")
+    files = S.table(spark, sf, "region").select(
+        k.alias("pos"), F.when(k == 0, "Bad Work").otherwise("good-work").alias("work"), F.when(k == 1, "MIT").otherwise(X.SIDECAR_LICENSE).alias("license"), F.when(k == 2, F.array(F.lit("wiki"))).otherwise(F.array(F.lit("community"))).alias("sources"),
+        F.when(k == 3, 0).otherwise(4).alias("entries"), F.when(k == 4, F.repeat(F.lit("z"), 1501)).otherwise("short").alias("in_short"), F.when(k == 4, "a—b").otherwise("").alias("ending"),
+        (k == 0).alias("opener"), (k != 2).alias("series_recap"),  # region 0 opens a series and has a recap of it; region 2 opens none and has none
+    )
+    return X.sidecar_file_problems(files)

@@ -36,13 +36,14 @@ def test_names(spark):
     assert [r.ok for r in tok.select(spelling.proper_shape(F.col("t"), ["i"]).alias("ok")).collect()] == [True, False, False]
 
 
-def test_sidecars(spark):
-    chars = spark.createDataFrame([("a", "Ann", "main", "x", 3), ("a", "", "main", "x" * 1501, 99), ("b", "Bob", "king", None, 0)], "id string, name string, role string, description string, reveal int")
-    assert rows(experiments.sidecar_problems(chars, 10), "id", "rule") == [("a", "description_too_long"), ("a", "id_repeated"), ("a", "name_blank"), ("a", "reveal_out_of_range"), ("b", "role_unknown")]
-    c = spark.createDataFrame([("w", [(" Ann ", ["Annie"]), ("ann", None)])], "work string, characters array<struct<name:string,aliases:array<string>>>")
-    r = spark.createDataFrame([("w", [((2,),), ((1,),)])], "work string, recaps array<struct<through:struct<chapter:int>>>")
-    assert rows(transcripts.sidecar_shape(c, r), "names", "chapters") == [(["ann", "annie"], [1, 2])]
-    assert transcripts.prior_canonicals(spark, None)[1] is False
+def test_sidecar_rules(spark):
+    good = ("ann", "Ann", "minor", "kind", 3, ["A"], "Q1")
+    bad = [("Ann", "x", "minor", "d", 0, [], ""), ("ann", " ", "boss", "", 11, ["A", " "], "P1"), ("bob", "Bob", "", "x" * 1501, 10, [], ""), ("cid", "Cid", None, "a — b", -1, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate([good, *bad])], "pos int, id string, name string, role string, description string, reveal int, aliases array<string>, wikidata string")
+    want = [(1, "id_slug"), (2, "alias_blank"), (2, "description_blank"), (2, "id_repeated"), (2, "name_blank"), (2, "reveal_range"), (2, "role_unknown"), (2, "wikidata_id"), (3, "description_long"), (4, "description_dash"), (4, "reveal_range")]
+    assert rows(experiments.character_problems(df, 10), "pos", "rule") == want
+    recaps = spark.createDataFrame([(0, 1, "fine", "book"), (1, 1, "", "world"), (2, 99, "a — b", ""), (3, 2, "y" * 3001, "series")], "pos int, through int, text string, scope string")
+    assert rows(experiments.recap_problems(recaps, 10), "pos", "rule") == [(1, "scope_unknown"), (1, "text_blank"), (1, "through_repeated"), (2, "text_dash"), (2, "through_range"), (3, "text_long")]
 
 
 def test_suites(spark, tmp_path):
