@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import constants as C
-from ..functions.text import leading_number
+from ..functions.text import error_fingerprint, first_class, leading_number
 
 _PLACE = ("pos", "id")
 
@@ -196,19 +196,135 @@ def audit_accepted(rounds: DataFrame, max_fixes: int = 4) -> DataFrame:
     return own.withColumn("accepted", few & (F.col("round") >= 2) & F.col("clean") & (F.col("fixes_done") < max_fixes)).drop("_found")
 
 
-def classify_incidents(books: DataFrame, runs: DataFrame, now, repeats: int = 3, growth_minutes: int = 20) -> DataFrame:
-    """(book_id, kind, priority, pos): a union of rules over the latest runs: repeated failure, stalled, parked, slow."""
-    failed = trailing_run(runs.where("finished_at IS NOT NULL").withColumn("_f", F.when(~F.col("ok"), F.coalesce("fingerprint", F.lit("")))), "book_id", "id", "_f")
-    repeated = failed.where(F.col("_f").isNotNull() & (F.col("n") >= repeats)).select("book_id", F.lit("repeated_failure").alias("kind"), F.lit(3).alias("priority"))
-    quiet = runs.where("finished_at IS NULL").where(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("heartbeat_at") > growth_minutes * 60_000_000)
-    stalled = quiet.select("book_id", F.lit("stalled").alias("kind"), F.lit(2).alias("priority")).distinct()
-    parked = books.where("status = 'parked'").select(F.col("id").alias("book_id"), F.lit("parked").alias("kind"), F.lit(1).alias("priority"))
-    seconds = (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6
-    base = runs.where("ok AND NOT superseded").groupBy("stage").agg(F.max(seconds).alias("base"))
-    slow = runs.where("finished_at IS NULL").join(F.broadcast(base), "stage").where((F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("started_at")) / 1e6 > 2 * F.col("base"))
-    slow = slow.select("book_id", F.lit("slow").alias("kind"), F.lit(0).alias("priority")).distinct()
-    out = repeated.unionByName(stalled).unionByName(parked).unionByName(slow)
-    return out.withColumn("pos", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("priority"), "kind")))
+# What error messages say of their class, in order, and the states that an incident speaks of.
+ERROR_CUES = [
+    ("authentication_failure", ["not logged in", "authentication", "unauthorized", "invalid api key", "401"]),
+    ("rate_limit", ["rate limit", "rate_limit", "too many requests", "429", "overloaded", "usage limit"]),
+    ("backend_unavailable", ["backend unavailable", "cli not found", "not found on path", "connection refused", "service unavailable", "503"]),
+]
+QA_STATES, AUDIT_STATES, SAFE_STATES = ["qa_sweep", "qa_adjudicating", "retranscribing"], ["auditing", "fixing"], ["ready", "contributing", "done"]
+GROWTH_FLOOR, GROWTH_LEAST = 20 * 60, 60
+
+#: Limits that classify_incidents takes; 0 sets no limit. Times are seconds.
+POLICY = {"stale_after": 900, "no_progress_after": 3600, "max_seconds": 14_400, "max_tokens": 0, "max_cost": 0.0, "growth": 0.0, "max_repeats": 3}
+
+
+def open_run_incidents(runs: DataFrame, books: DataFrame, now: Column, policy: dict) -> DataFrame:
+    """(book_id, kind, stage, run) of each book's first open run: no process, no heartbeat, no progress, or beyond a limit, be it a
+    fixed one or what the stage's successes ever needed, times the growth factor."""
+    p = POLICY | policy
+    seconds = lambda a, b: (F.unix_micros(b) - F.unix_micros(a)) / 1e6
+    cost = F.when(F.col("cost_reported"), F.struct(F.col("cost_usd").alias("cost"), F.lit("reported").alias("kind"))).when(F.col("estimate_complete") & F.col("estimated_cost").isNotNull(), F.struct(F.col("estimated_cost").alias("cost"), F.lit("estimated").alias("kind")))
+    own = runs.withColumn("_cost", cost)
+    first = own.where("finished_at IS NULL").groupBy("book_id").agg(F.min_by(F.struct("id", "stage", "started_at", "heartbeat_at", "progress_at", "tokens", "_cost"), "id").alias("o")).select("book_id", "o.*")
+    good = own.where("finished_at IS NOT NULL AND ok")
+    long, many = good.groupBy("book_id", "stage").agg(F.max(seconds(F.col("started_at"), F.col("finished_at"))).alias("s0"), F.max("tokens").alias("t0")), good.where("_cost IS NOT NULL").groupBy("book_id", "stage", F.col("_cost.kind").alias("kind0")).agg(F.max("_cost.cost").alias("c0"))
+    both = first.withColumn("kind0", F.col("_cost.kind")).join(long, ["book_id", "stage"], "left").join(many, ["book_id", "stage", "kind0"], "left")
+    both = both.join(books.select(F.col("id").alias("book_id"), "runtime_active", "process_alive"), "book_id")
+    elapsed, grown = seconds(F.col("started_at"), now), lambda x, base: F.lit(p["growth"] > 1) & (x > base * p["growth"])
+    late = lambda ts, limit: F.lit(limit > 0) & (seconds(F.col(ts), now) > limit)
+    rules = {
+        "missing_process": ~F.col("runtime_active") | (F.col("process_alive") == F.lit(False)),
+        "stale_heartbeat": late("heartbeat_at", p["stale_after"]),
+        "no_progress": late("progress_at", p["no_progress_after"]),
+        "duration_limit": late("started_at", p["max_seconds"]) | ((F.col("s0") >= GROWTH_LEAST) & (elapsed >= GROWTH_FLOOR) & grown(elapsed, F.col("s0"))),
+        "token_limit": (F.lit(p["max_tokens"] > 0) & (F.col("tokens") >= p["max_tokens"])) | ((F.col("t0") > 0) & grown(F.col("tokens"), F.col("t0"))),
+        "cost_limit": (F.lit(p["max_cost"] > 0) & (F.col("_cost.cost") >= p["max_cost"])) | ((F.col("c0") > 0) & grown(F.col("_cost.cost"), F.col("c0"))),
+    }
+    found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())
+    return both.select("book_id", F.explode(found).alias("kind"), "stage", F.col("id").alias("run"))
+
+
+def failure_incidents(runs: DataFrame, books: DataFrame, repeats: int) -> DataFrame:
+    """(book_id, kind, stage, run) where the last run of the book's stage failed with a message: its class, else a repeated error if
+    the runs before it failed with the same fingerprint, else unclassified."""
+    own = runs.where("NOT superseded").join(books.select(F.col("id").alias("book_id"), F.col("state").alias("stage")), ["book_id", "stage"])
+    own = own.withColumn("_f", F.when(F.coalesce("error", F.lit("")) != "", error_fingerprint(F.col("error"))))
+    last = own.groupBy("book_id").agg(F.max_by(F.struct("id", "stage", "error", "ok"), "id").alias("l")).where("l.ok = false AND coalesce(l.error, '') <> ''")
+    tail = trailing_run(own, "book_id", "id", "_f")
+    known = first_class(F.col("l.error"), ERROR_CUES, "")
+    kind = F.when(known != "", known).when(F.col("n") >= repeats, "repeated_error").otherwise("unclassified")
+    return last.join(tail, "book_id").select("book_id", kind.alias("kind"), F.col("l.stage").alias("stage"), F.col("l.id").alias("run"))
+
+
+def convergence_incidents(runs: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, kind, stage, run): sweeps whose last three findings are equal, and audits since the last pass whose last findings
+    are no fewer and no milder than those before."""
+    done = runs.where("NOT superseded AND ok").join(books.select(F.col("id").alias("book_id"), "state"), "book_id")
+    sweeps = done.where((F.col("stage") == "qa_sweep") & F.col("state").isin(*QA_STATES))
+    same = trailing_run(sweeps, "book_id", "id", "findings").where("n >= 3").join(sweeps.groupBy("book_id").agg(F.max("id").alias("run")), "book_id")
+    audits = done.where((F.col("stage") == "auditing") & F.col("state").isin(*AUDIT_STATES))
+    passed = audits.where("passed").groupBy("book_id").agg(F.max("id").alias("_p"))
+    since_pass = audits.where("NOT coalesce(passed, false) AND fix IS NOT NULL").join(passed, "book_id", "left").where("_p IS NULL OR id > _p")
+    w = Window.partitionBy("book_id").orderBy("id")
+    before = since_pass.withColumn("_b", F.lag(F.struct("blocker", "fix")).over(w)).withColumn("_r", F.row_number().over(Window.partitionBy("book_id").orderBy(F.desc("id")))).where("_r = 1 AND _b IS NOT NULL")
+    flat = before.where((F.col("blocker") >= F.col("_b.blocker")) & (F.col("blocker") + F.col("fix") >= F.col("_b.blocker") + F.col("_b.fix")))
+    return same.select("book_id", F.lit("qa_non_converging").alias("kind"), F.lit("qa_sweep").alias("stage"), "run").unionByName(flat.select("book_id", F.lit("audit_non_converging").alias("kind"), F.lit("auditing").alias("stage"), F.col("id").alias("run")))
+
+
+def parked_incidents(runs: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, kind, stage, run) of books that need attention for a known reason, with the last run of their stage, 0 if none."""
+    parked = books.where("status = 'needs_attention' AND coalesce(park_code, '') <> ''").select(F.col("id").alias("book_id"), F.col("state").alias("stage"))
+    last = runs.where("NOT superseded").groupBy("book_id", "stage").agg(F.max("id").alias("run"))
+    return parked.join(last, ["book_id", "stage"], "left").select("book_id", F.lit("parked_recovery").alias("kind"), "stage", F.coalesce("run", F.lit(0)).alias("run"))
+
+
+def idle_incidents(books: DataFrame) -> DataFrame:
+    """(book_id, kind, stage, run) of books beside which agents idle: fewer books than slots while others wait, or fewer calls than
+    the book may make while it has work for more."""
+    slots = (F.col("agent_capacity") > 0) & (F.col("agent_active") < F.col("agent_capacity")) & (F.col("eligible_books") > 0)
+    calls = F.col("fans_out") & F.col("runtime_active") & (F.col("book_calls") > 0) & (F.col("book_calls") < F.col("most_book_calls")) & (F.col("calls") < F.col("call_capacity")) & (F.col("remaining_units") > F.col("book_calls"))
+    return books.where(slots | calls).select(F.col("id").alias("book_id"), F.lit("slot_inefficiency").alias("kind"), F.lit("").alias("stage"), F.lit(0).cast("long").alias("run"))
+
+
+def classify_incidents(books: DataFrame, runs: DataFrame, artifacts: DataFrame, now: Column, policy: dict | None = None) -> DataFrame:
+    """(book_id, kind, stage, run, protected): all sixteen kinds, each once for a book, stage and run.
+
+    books: (id, state, status, park_code, runtime_active, process_alive, agent_active, agent_capacity, eligible_books, fans_out,
+    book_calls, most_book_calls, calls, call_capacity, remaining_units); runs: (id, book_id, stage, started_at, finished_at, ok,
+    superseded, error, heartbeat_at, progress_at, tokens, cost_usd, cost_reported, estimated_cost, estimate_complete, findings,
+    blocker, fix, passed); artifacts: (book_id, stage, run, valid). Incidents of paused books, and artifacts of finished ones, are
+    protected.
+    """
+    policy = POLICY | (policy or {})
+    found = open_run_incidents(runs, books, now, policy).unionByName(failure_incidents(runs, books, policy["max_repeats"])).unionByName(convergence_incidents(runs, books)).unionByName(parked_incidents(runs, books))
+    found = found.unionByName(artifacts.where("NOT valid").select("book_id", F.lit("artifact_invalid").alias("kind"), "stage", "run")).unionByName(idle_incidents(books))
+    own = found.distinct().join(books.select(F.col("id").alias("book_id"), "status", "state"), "book_id")
+    protected = (F.col("status") == "paused") | ((F.col("kind") == "artifact_invalid") & F.col("state").isin(*SAFE_STATES))
+    return own.select("book_id", "kind", "stage", "run", protected.alias("protected"))
+
+
+# What to do about a kind of incident, and about a parked book by the code it was parked with.
+ACTIONS = {
+    "missing_process": "terminate_requeue", "stale_heartbeat": "terminate_requeue", "duration_limit": "stop_budget", "token_limit": "stop_budget", "cost_limit": "stop_budget", "rate_limit": "readmit",
+    "slot_inefficiency": "reallocate", "qa_non_converging": "observe", "audit_non_converging": "observe", "authentication_failure": "park_escalate", "repeated_error": "park_escalate",
+}
+PARK_ACTIONS = {
+    "agent_unavailable": "readmit", "agent_rate_limited": "readmit", "qa_no_converge": "retry", "fix_loop_exhausted": "retry", "agent_validation_exhausted": "retry", "spelling_gate_failure": "retry", "supervisor_budget": "retry",
+}
+CAPPED, RECOVERIES = ["retry", "readmit", "requeue", "terminate_requeue", "supersede_rerun"], ["retry", "readmit", "supersede_rerun", "requeue", "fallback_backend"]
+
+
+def decisions(incidents: DataFrame, most: int, automatic: bool = True, model_assisted: bool = False, failover: bool = False) -> DataFrame:
+    """Adds action, approval and automatic to incidents (kind, stage, park_code, protected, attempts, recoveries).
+
+    After `most` attempts, and after as many recoveries of a book within the window, an action that would run paid work again gives
+    way to parking, which happens at once while readmission waits for a person.
+    """
+    kind, code, asked = F.col("kind"), F.col("park_code"), F.lit(model_assisted)
+    table = lambda d, c: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), c)
+    parked = kind == "parked_recovery"
+    ask = F.when(asked, "ask_model").otherwise("park_escalate")
+    of_park = F.coalesce(table(PARK_ACTIONS, code), F.when(code == "supervisor_escalated", F.when(asked, "ask_model").otherwise("retry")).when(code.isin("markers_not_confident", "manifest_changed"), ask).otherwise("observe"))
+    contained = (F.col("stage") == "contributing") | F.col("protected")
+    of_kind = F.coalesce(table(ACTIONS, kind), F.when(kind == "backend_unavailable", F.lit("fallback_backend" if failover else "park_escalate")).when(kind == "artifact_invalid", F.when(contained, "park_escalate").otherwise("supersede_rerun")).otherwise(ask))
+    out = incidents.withColumn("_a", F.when(parked, of_park).otherwise(of_kind))
+    approval = (F.col("_a") == "park_escalate") | (parked & (F.col("_a") == "observe"))
+    spent = (F.col("attempts") >= most) & F.when(parked, F.col("_a") != "observe").otherwise(F.col("_a").isin(*CAPPED))
+    capped = F.lit(most > 0 and automatic) & (F.col("recoveries") >= most) & F.col("_a").isin(*RECOVERIES) & ~F.col("protected")
+    out = out.withColumn("_s", spent | capped).withColumn("approval", approval | F.col("_s")).withColumn("action", F.when(F.col("_s"), "park_escalate").otherwise(F.col("_a")))
+    at_once = ~F.col("approval") | ((F.col("action") == "park_escalate") & (kind != "no_progress"))
+    return out.withColumn("automatic", F.lit(automatic) & ~F.col("protected") & ~F.col("action").isin("observe", "ask_model") & at_once).drop("_a", "_s")
 
 
 def decide(incidents: DataFrame, table: DataFrame, recoveries: DataFrame, cap: int, *keep: str) -> DataFrame:

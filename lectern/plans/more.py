@@ -1009,3 +1009,74 @@ def sidecars_validated(spark, sf):
         (k == 0).alias("opener"), (k != 2).alias("series_recap"),  # region 0 opens a series and has a recap of it; region 2 opens none and has none
     )
     return X.sidecar_file_problems(files)
+
+
+# Incidents ---------------------------------------------------------------------------------------
+
+_STAGE = "CASE event_type WHEN 'view' THEN 'qa_sweep' WHEN 'click' THEN 'auditing' WHEN 'error' THEN 'asr' WHEN 'purchase' THEN 'fixing' ELSE 'inspect' END"
+_MESSAGE = "CASE floor(value)::BIGINT % 4 WHEN 0 THEN 'HTTP 401' WHEN 1 THEN 'Rate Limit hit' WHEN 2 THEN 'boom ' || event_id ELSE '' END"
+_WATCHED = f"""runs AS (SELECT event_id AS id, user_id AS book_id, {_STAGE} AS stage, ts AS started, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS finished, event_type <> 'error' AS ok, event_id % 9 = 0 AS superseded,
+    CASE WHEN event_type = 'error' THEN {_MESSAGE} ELSE '' END AS error, floor(value)::BIGINT AS tokens, CASE WHEN event_type = 'view' THEN value WHEN event_type = 'click' THEN value / 2 END AS cost, CASE WHEN event_type = 'view' THEN 'r' WHEN event_type = 'click' THEN 'e' END AS ck,
+    'f' || floor(value / 100)::BIGINT AS findings, floor(value)::BIGINT % 2 AS blocker, floor(value)::BIGINT % 3 AS fix, value < 5 AS passed FROM events),
+  books AS (SELECT c_custkey AS id, ['asr', 'auditing', 'qa_sweep', 'fixing', 'ready'][c_custkey % 5 + 1] AS state, CASE WHEN c_custkey % 7 = 0 THEN 'needs_attention' WHEN c_custkey % 7 = 1 THEN 'paused' ELSE 'running' END AS status, CASE WHEN c_custkey % 2 = 0 THEN 'qa_no_converge' ELSE '' END AS code FROM customer)"""
+
+
+def watched(spark, sf):
+    e, v = events(spark, sf), F.floor("value")
+    from pyspark.sql.window import Window
+
+    kind, is_ = F.col("event_type"), lambda t: F.col("event_type") == t
+    message = F.when(v % 4 == 0, "HTTP 401").when(v % 4 == 1, "Rate Limit hit").when(v % 4 == 2, F.concat(F.lit("boom "), F.col("event_id").cast("string"))).otherwise("")
+    runs = e.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("book_id"), F.when(is_("view"), "qa_sweep").when(is_("click"), "auditing").when(is_("error"), "asr").when(is_("purchase"), "fixing").otherwise("inspect").alias("stage"),
+        F.col("ts").alias("started_at"), F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("finished_at"), (kind != "error").alias("ok"), (F.col("event_id") % 9 == 0).alias("superseded"), F.when(is_("error"), message).otherwise("").alias("error"),
+        F.col("ts").alias("heartbeat_at"), F.col("ts").alias("progress_at"), v.alias("tokens"), F.col("value").alias("cost_usd"), is_("view").alias("cost_reported"), (F.col("value") / 2).alias("estimated_cost"), is_("click").alias("estimate_complete"),
+        F.concat(F.lit("f"), F.floor(F.col("value") / 100).cast("string")).alias("findings"), (v % 2).alias("blocker"), (v % 3).alias("fix"), (F.col("value") < 5).alias("passed"),
+    )
+    k = F.col("c_custkey")
+    books = S.table(spark, sf, "customer").select(
+        k.alias("id"), F.element_at(F.array(*map(F.lit, ["asr", "auditing", "qa_sweep", "fixing", "ready"])), (k % 5 + 1).cast("int")).alias("state"), F.when(k % 7 == 0, "needs_attention").when(k % 7 == 1, "paused").otherwise("running").alias("status"),
+        F.when(k % 2 == 0, "qa_no_converge").otherwise("").alias("park_code"), (k % 10 != 0).alias("runtime_active"), F.when(k % 4 == 0, k % 8 == 0).alias("process_alive"), F.lit(1).alias("agent_active"), F.when(k % 50 == 3, 2).otherwise(1).alias("agent_capacity"), F.lit(5).alias("eligible_books"),
+        (k % 5 == 3).alias("fans_out"), (k % 3).alias("book_calls"), F.lit(2).alias("most_book_calls"), F.lit(3).alias("calls"), F.lit(4).alias("call_capacity"), (k % 6).alias("remaining_units"),
+    )
+    artifacts = S.table(spark, sf, "customer").where("c_custkey % 6 = 5").select(F.col("c_custkey").alias("book_id"), F.lit("splitting").alias("stage"), F.lit(0).cast("long").alias("run"), (F.col("c_custkey") % 12 == 5).alias("valid"))
+    return books, runs, artifacts
+
+
+_CLASSIFIED = """open_ AS (SELECT * FROM runs WHERE finished IS NULL QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY id) = 1),
+  s AS (SELECT o.*, epoch(TIMESTAMP '2024-02-01') - epoch(started) AS age, (SELECT max(epoch(finished) - epoch(started)) FROM runs r WHERE r.book_id = o.book_id AND r.stage = o.stage AND r.ok AND finished IS NOT NULL) AS s0,
+    (SELECT max(tokens) FROM runs r WHERE r.book_id = o.book_id AND r.stage = o.stage AND r.ok AND finished IS NOT NULL) AS t0, (SELECT max(cost) FROM runs r WHERE r.book_id = o.book_id AND r.stage = o.stage AND r.ok AND finished IS NOT NULL AND r.ck = o.ck) AS c0 FROM open_ o JOIN books b ON b.id = o.book_id),
+  staged AS (SELECT r.* FROM runs r JOIN books b ON b.id = r.book_id AND b.state = r.stage WHERE NOT superseded), l AS (SELECT * FROM staged QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY id DESC) = 1),
+  f AS (SELECT l.*, CASE WHEN l.error LIKE 'boom%' THEN 'boom' ELSE l.error END AS fp FROM l WHERE NOT ok AND error <> ''),
+  rep AS (SELECT f.book_id, count(*) FILTER (WHERE s.id > coalesce((SELECT max(x.id) FROM staged x WHERE x.book_id = f.book_id AND CASE WHEN x.error LIKE 'boom%' THEN 'boom' ELSE x.error END <> f.fp), -1)) AS n FROM f JOIN staged s USING (book_id) GROUP BY 1),
+  good AS (SELECT r.*, b.state FROM runs r JOIN books b ON b.id = r.book_id WHERE NOT superseded AND ok),
+  q AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY id DESC) AS k, lag(findings) OVER w AS a, lag(findings, 2) OVER w AS b FROM good WHERE stage = 'qa_sweep' AND state = 'qa_sweep' WINDOW w AS (PARTITION BY book_id ORDER BY id)),
+  au AS (SELECT * FROM good g WHERE stage = 'auditing' AND state IN ('auditing', 'fixing') AND NOT passed AND id > coalesce((SELECT max(id) FROM good p WHERE p.book_id = g.book_id AND p.stage = 'auditing' AND p.passed), -1)),
+  ap AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY id DESC) AS k, lag(blocker) OVER w AS b0, lag(fix) OVER w AS f0 FROM au WINDOW w AS (PARTITION BY book_id ORDER BY id)),
+  found AS (SELECT book_id, 'missing_process' AS kind, stage, id AS run FROM s WHERE book_id % 10 = 0 OR (book_id % 4 = 0 AND book_id % 8 <> 0)
+    UNION ALL SELECT book_id, 'stale_heartbeat', stage, id FROM s WHERE age > 900 UNION ALL SELECT book_id, 'no_progress', stage, id FROM s WHERE age > 200000 UNION ALL SELECT book_id, 'duration_limit', stage, id FROM s WHERE age > 400000 OR (s0 >= 60 AND age >= 1200 AND age > s0 * 1.5)
+    UNION ALL SELECT book_id, 'token_limit', stage, id FROM s WHERE tokens >= 120 OR (t0 > 0 AND tokens > t0 * 1.5) UNION ALL SELECT book_id, 'cost_limit', stage, id FROM s WHERE cost >= 90 OR (c0 > 0 AND cost > c0 * 1.5)
+    UNION ALL SELECT book_id, CASE error WHEN 'HTTP 401' THEN 'authentication_failure' WHEN 'Rate Limit hit' THEN 'rate_limit' ELSE CASE WHEN n >= 2 THEN 'repeated_error' ELSE 'unclassified' END END, stage, id FROM f JOIN rep USING (book_id)
+    UNION ALL SELECT book_id, 'qa_non_converging', 'qa_sweep', id FROM q WHERE k = 1 AND findings = a AND findings = b UNION ALL SELECT book_id, 'audit_non_converging', 'auditing', id FROM ap WHERE k = 1 AND blocker >= b0 AND blocker + fix >= b0 + f0
+    UNION ALL SELECT b.id, 'parked_recovery', state, coalesce((SELECT max(r.id) FROM runs r WHERE r.book_id = b.id AND r.stage = state AND NOT superseded), 0) FROM books b WHERE status = 'needs_attention' AND code <> ''
+    UNION ALL SELECT id, 'artifact_invalid', 'splitting', 0 FROM books WHERE id % 6 = 5 AND id % 12 <> 5
+    UNION ALL SELECT id, 'slot_inefficiency', '', 0 FROM books WHERE id % 50 = 3 OR (id % 5 = 3 AND id % 10 <> 0 AND id % 3 = 1 AND id % 6 > 1)),
+  incidents AS (SELECT book_id, kind, stage, run, status = 'paused' OR (kind = 'artifact_invalid' AND state = 'ready') AS protected FROM found JOIN books ON id = book_id)"""
+_POLICY = {"no_progress_after": 200_000, "max_seconds": 400_000, "max_tokens": 120, "max_cost": 90.0, "growth": 1.5, "max_repeats": 2}
+
+
+@query(f"WITH {_WATCHED}, {_CLASSIFIED} SELECT * FROM incidents")
+def incidents_classified(spark, sf):
+    return ranking.classify_incidents(*watched(spark, sf), S.now(), _POLICY)
+
+
+@query(f"""WITH {_WATCHED}, {_CLASSIFIED}, d AS (SELECT *, CASE WHEN kind = 'parked_recovery' THEN 'retry' WHEN kind IN ('missing_process', 'stale_heartbeat') THEN 'terminate_requeue' WHEN kind IN ('duration_limit', 'token_limit', 'cost_limit') THEN 'stop_budget' WHEN kind = 'rate_limit' THEN 'readmit'
+    WHEN kind = 'artifact_invalid' AND NOT protected THEN 'supersede_rerun' WHEN kind = 'slot_inefficiency' THEN 'reallocate' WHEN kind LIKE '%non_converging' THEN 'observe' ELSE 'park_escalate' END AS a FROM incidents),
+  e AS (SELECT *, (book_id % 4 >= 2 AND a IN ('retry', 'readmit', 'terminate_requeue', 'supersede_rerun')) OR (book_id % 5 >= 2 AND a IN ('retry', 'readmit', 'supersede_rerun') AND NOT protected) AS spent FROM d),
+  g AS (SELECT *, CASE WHEN spent THEN 'park_escalate' ELSE a END AS action, spent OR a = 'park_escalate' AS approval FROM e)
+  SELECT book_id, kind, run, action, approval, NOT protected AND action <> 'observe' AND (NOT approval OR (action = 'park_escalate' AND kind <> 'no_progress')) AS automatic FROM g""")
+def incidents_handled(spark, sf):
+    books, runs, artifacts = watched(spark, sf)
+    found = ranking.classify_incidents(books, runs, artifacts, S.now(), _POLICY).join(books.select(F.col("id").alias("book_id"), "park_code"), "book_id")
+    asked = found.withColumn("attempts", F.col("book_id") % 4).withColumn("recoveries", F.col("book_id") % 5)
+    return ranking.decisions(asked, 2).select("book_id", "kind", "run", "action", "approval", "automatic")

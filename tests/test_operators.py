@@ -106,15 +106,39 @@ def test_makespan(spark):
     assert rows(ranking.makespan(jobs), "id", "start", "finish") == [(1, 0.0, 15.0), (2, 10.0, 25.0), (3, 0.0, 1.0)]
 
 
+RUN = "id long, book_id long, stage string, started_at timestamp, finished_at timestamp, ok boolean, superseded boolean, error string, heartbeat_at timestamp, progress_at timestamp, tokens long, cost_usd double, cost_reported boolean, estimated_cost double, estimate_complete boolean, findings string, blocker int, fix int, passed boolean"
+BOOK = "id long, state string, status string, park_code string, runtime_active boolean, process_alive boolean, agent_active int, agent_capacity int, eligible_books int, fans_out boolean, book_calls int, most_book_calls int, calls int, call_capacity int, remaining_units int"
+
+
 def test_incidents(spark):
-    t = dt.datetime(2024, 1, 1)
-    runs = spark.createDataFrame([(1, 1, "s", t, t, False, False, "x", None), (2, 1, "s", t, t, False, False, "x", None), (3, 1, "s", t, t, False, False, "x", None), (4, 2, "s", t, None, None, False, None, t)], "id int, book_id int, stage string, started_at timestamp, finished_at timestamp, ok boolean, superseded boolean, fingerprint string, heartbeat_at timestamp")
-    books = spark.createDataFrame([(3, "parked")], "id int, status string")
-    got = ranking.classify_incidents(books, runs, "2024-01-01 01:00:00")
-    assert rows(got, "book_id", "kind") == [(1, "repeated_failure"), (2, "stalled"), (3, "parked")]
-    table = spark.createDataFrame([("parked", "resume"), ("stalled", "restart")], "kind string, action string")
-    recoveries = spark.createDataFrame([(2, 5)], "book_id int, recoveries int")
-    assert rows(ranking.decide(got, table, recoveries, 3), "book_id", "action") == [(1, "observe"), (2, "escalate"), (3, "resume")]
+    at = lambda minutes: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minutes)
+
+    def run(i, book, stage, begin, end=None, ok=None, error="", gone=False, tokens=0, cost=None, **more):
+        m = {"findings": None, "blocker": None, "fix": None, "passed": None} | more
+        return (i, book, stage, at(begin), None if end is None else at(end), ok, gone, error, at(begin), at(begin), tokens, cost, cost is not None, None, False, m["findings"], m["blocker"], m["fix"], m["passed"])
+
+    book = lambda i, state, status="running", code="", active=True, alive=None: (i, state, status, code, active, alive, 1, 1, 0, False, 0, 1, 0, 1, 0)
+    runs = [
+        run(1, 1, "fixing", 0, 10, True, tokens=100, cost=1.0), run(2, 1, "fixing", 100, None, tokens=301, cost=3.5),  # three times what it ever needed
+        run(3, 2, "asr", 0, 5, False, "disk 17 full"), run(4, 2, "asr", 6, 7, False, "disk 18 full"), run(5, 2, "asr", 8, 9, False, "disk 19 full"),
+        run(6, 3, "asr", 0, 5, False, "disk full"), run(7, 3, "asr", 6, 7, False, "HTTP 429"),
+        *[run(8 + i, 4, "qa_sweep", i, i + 1, True, findings="same") for i in range(3)],
+        run(11, 5, "auditing", 0, 1, True, blocker=1, fix=2), run(12, 5, "auditing", 2, 3, True, passed=True), run(13, 5, "auditing", 4, 5, True, blocker=0, fix=2), run(14, 5, "auditing", 6, 7, True, blocker=0, fix=2),
+        run(15, 6, "auditing", 0, 1, True, blocker=1, fix=2), run(16, 6, "auditing", 2, 3, True, blocker=0, fix=3),  # milder, so no incident
+        run(17, 7, "asr", 139, None), run(18, 8, "asr", 0, 5, False, "odd"), run(19, 8, "asr", 6, 7, True, gone=True),
+    ]
+    books = [book(1, "fixing"), book(2, "asr"), book(3, "asr", "paused"), book(4, "qa_sweep"), book(5, "fixing"), book(6, "auditing"), book(7, "asr", active=False), book(8, "asr"), book(9, "done", "needs_attention", "supervisor_budget")]
+    artifacts = spark.createDataFrame([(9, "splitting", 0, False), (8, "splitting", 0, True)], "book_id long, stage string, run long, valid boolean")
+    got = ranking.classify_incidents(spark.createDataFrame(books, BOOK), spark.createDataFrame(runs, RUN), artifacts, F.lit("2024-01-01 02:20:00").cast("timestamp"), {"growth": 3.0, "max_seconds": 0})
+    want = [(1, "cost_limit", 2, False), (1, "duration_limit", 2, False), (1, "stale_heartbeat", 2, False), (1, "token_limit", 2, False), (2, "repeated_error", 5, False), (3, "rate_limit", 7, True), (4, "qa_non_converging", 10, False), (5, "audit_non_converging", 14, False), (7, "missing_process", 17, False), (8, "unclassified", 18, False), (9, "artifact_invalid", 0, True), (9, "parked_recovery", 0, False)]
+    assert rows(got, "book_id", "kind", "run", "protected") == want
+    asked = got.withColumn("park_code", F.lit("supervisor_budget")).withColumn("attempts", F.lit(0)).withColumn("recoveries", F.when(F.col("book_id") == 9, 3).otherwise(0))
+    done = {(r.book_id, r.kind): (r.action, r.approval, r.automatic) for r in ranking.decisions(asked, 3).collect()}
+    assert done[1, "cost_limit"] == ("stop_budget", False, True) and done[2, "repeated_error"] == ("park_escalate", True, True) and done[3, "rate_limit"] == ("readmit", False, False)
+    assert done[9, "parked_recovery"] == ("park_escalate", True, True) and done[9, "artifact_invalid"] == ("park_escalate", True, False) and done[4, "qa_non_converging"] == ("observe", False, False)
+    table = spark.createDataFrame([("rate_limit", "resume"), ("missing_process", "restart")], "kind string, action string")
+    recoveries = spark.createDataFrame([(7, 5)], "book_id long, recoveries int")
+    assert rows(ranking.decide(got.where("book_id IN (3, 4, 7)"), table, recoveries, 3), "book_id", "action") == [(3, "resume"), (4, "observe"), (7, "escalate")]
 
 
 def test_gaps_of_a_book_without_spans(spark):
