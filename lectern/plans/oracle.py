@@ -183,3 +183,6 @@ SQL["stream_last_write"] = SQL["latest_per_key"]
 SQL["stream_moving_average"] = SQL["ewma_rate"]
 SQL["stream_counts"] = "SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2"
 SQL["stream_deduplicated"] = "SELECT DISTINCT event_id, user_id FROM events"
+SQL["stream_changes"] = SQL["state_changes"]
+SQL["stream_rolling"] = "SELECT strftime(ts, '%Y-%m-%d') AS day, user_id, count(*) AS n FROM events GROUP BY 1, 2"
+SQL["stream_replayed"] = "SELECT event_id FROM events WHERE event_id > 400"

@@ -695,15 +695,17 @@ def run_seconds(spark, sf):
 # Streams: each runs over the events table to its end, and what it has then is what the batch form has ------------
 
 
-def _stream(spark, sf):
+def _stream(spark, sf, again: bool = False):
+    """The events as a stream of six files, two a micro-batch, so that state is carried; with `again`, a few events come twice."""
+    from ..sources.shared import shared_path
     from ..streaming import events as stream
 
-    S.ship(spark)
-    batch = S.table(spark, sf, "events")
-    source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
-    found = source.parquet(f"{sf}/events.parquet") if len(batch.inputFiles()) > 1 else source.option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", False).parquet(sf)
-    own = found.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.col("event_type").alias("type"), "value")
-    return stream, own
+    batch = S.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.col("event_type").alias("type"), "value")
+    if again:
+        batch = batch.unionByName(batch.where("event_id % 10 = 0"))
+    path = shared_path(spark, "events")
+    batch.repartition(6, F.col("event_id") % 6).write.parquet(path)
+    return stream, spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
 @query
@@ -725,11 +727,45 @@ def stream_counts(spark, sf):
 @query
 def stream_moving_average(spark, sf):
     stream, own = _stream(spark, sf)
+    # Averages depend on the order of samples: micro-batches follow each other by event id.
+    from ..sources.shared import shared_path
+
+    path = shared_path(spark, "in-order")
+    for part in range(3):
+        S.table(spark, sf, "events").where(F.pmod(F.xxhash64("user_id"), F.lit(3)) == part).select("event_id", F.col("user_id").alias("key"), "value").coalesce(1).write.mode("append").parquet(path)
+    own = spark.readStream.schema("event_id long, key long, value double").option("maxFilesPerTrigger", 1).parquet(path)
     out = stream.run_to_end(stream.moving_average(own), "update")
     return out.groupBy(F.col("key").alias("user_id")).agg(F.round(F.max_by("rate", "n"), 4).alias("rate"))
 
 
 @query
 def stream_deduplicated(spark, sf):
+    stream, own = _stream(spark, sf, again=True)
+    return stream.run_to_end(stream.dedupe(own, "400 days"), "append").select("event_id", F.col("key").alias("user_id"))
+
+
+@query
+def stream_changes(spark, sf):
+    """Values that differ from the user's last; samples of one micro-batch are taken in order, batches as they come."""
+    stream, own = _stream(spark, sf)
+    from ..sources.shared import shared_path
+
+    path = shared_path(spark, "ordered")
+    S.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.col("event_type").alias("value")).coalesce(1).write.parquet(path)
+    ordered = spark.readStream.schema("event_id long, ts timestamp, key long, value string").parquet(path)
+    return stream.run_to_end(stream.changed(ordered), "append").select("event_id", F.col("key").alias("user_id"), F.col("value").alias("event_type"))
+
+
+@query
+def stream_rolling(spark, sf):
+    stream, own = _stream(spark, sf)
+    out = stream.run_to_end(stream.rolling(own, "key", "1 day", "1 day", "400 days"))
+    last = out.agg(F.max("batch").alias("batch"))
+    # Days of the session's clock, which shows the events' own.
+    return out.join(F.broadcast(last), "batch").select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("key").alias("user_id"), "n")
+
+
+@query
+def stream_replayed(spark, sf):
     stream, own = _stream(spark, sf)
-    return stream.run_to_end(stream.dedupe(own), "append").select("event_id", F.col("key").alias("user_id"))
+    return stream.run_to_end(stream.replay(own, 400), "append").select("event_id")

@@ -23,6 +23,31 @@ def write_texts(texts: DataFrame, path: str) -> None:
     texts.select("chapter", F.col("text").alias("value")).write.mode("overwrite").partitionBy("chapter").text(guard(path))
 
 
+def write_atomic(spark, path: str, data: bytes) -> None:
+    """A small file from the driver, in any store that Spark reads: written beside its place and renamed, so that nobody sees half
+    of it. Tables are written by Spark's own committer."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    final, part = hadoop.Path(guard(path)), hadoop.Path(path + ".tmp")
+    fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    out.write(data)
+    out.close()
+    fs.delete(final, False)
+    if not fs.rename(part, final):
+        raise OSError(f"could not publish {path}")
+
+
+def write_plan(plan, path: str) -> None:
+    """The entries of a repair plan (chapter, action, start, end, ...) as JSON."""
+    plan.write.mode("overwrite").json(guard(path))
+
+
+def write_history(groups, path: str) -> None:
+    """A report of past runs: its rows as JSON and, beside them, a table to read."""
+    groups.write.mode("overwrite").json(f"{guard(path)}/history")
+    markdown_table(groups, *groups.columns[:3]).write.mode("overwrite").text(f"{path}/history.md")
+
+
 def append_log(lines: DataFrame, path: str) -> None:
     lines.write.mode("append").text(path)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.text import quote
 
 WORD = "struct<w:string,start:double,end:double,p:double>"
 SEGMENTS = f"array<struct<id:int,start:double,end:double,text:string,words:array<{WORD}>>>"
@@ -52,16 +55,17 @@ def normalise(raw: DataFrame, schema_tag: str = C.TRANSCRIPT_SCHEMA, backend: st
     return raw.where(is_complete()).select(F.lit(schema_tag).alias("schema"), "chapter", F.lit(backend).alias("backend"), F.lit(model).alias("model"), language.alias("language"), segments.alias("segments"))
 
 
-def read_normalised(spark: SparkSession, path: str, schema_tag: str = C.TRANSCRIPT_SCHEMA) -> DataFrame:
-    """Normalised documents; a wrong schema tag is an error of the row that is read."""
-    own = spark.read.schema(NORMALISED).option("multiLine", True).json(path)
+def read_normalised(spark: SparkSession, path: str, schema_tag: str = C.TRANSCRIPT_SCHEMA, lines: bool = False) -> DataFrame:
+    """Normalised documents, one a file or, as write_normalised leaves them, one a line; a wrong schema tag is an error of the row
+    that is read."""
+    own = spark.read.schema(NORMALISED).option("multiLine", not lines).json(path)
     bad = F.raise_error(F.concat(F.lit("schema tag "), F.coalesce("schema", F.lit("null"))))
     return own.withColumn("schema", F.when(F.col("schema") == schema_tag, F.col("schema")).otherwise(bad))
 
 
-def load_chapters(spark: SparkSession, path: str, manifest: DataFrame, schema_tag: str = C.TRANSCRIPT_SCHEMA) -> DataFrame:
+def load_chapters(spark: SparkSession, path: str, manifest: DataFrame, schema_tag: str = C.TRANSCRIPT_SCHEMA, lines: bool = False) -> DataFrame:
     """Transcripts with their durations from a manifest's chapters; a transcript without one stops the sweep."""
-    own = read_normalised(spark, path, schema_tag).join(manifest.select("chapter", "duration"), "chapter", "left")
+    own = read_normalised(spark, path, schema_tag, lines).join(manifest.select("chapter", "duration"), "chapter", "left")
     return own.withColumn("duration", F.coalesce("duration", F.raise_error(F.concat(F.lit("no duration for chapter "), F.col("chapter").cast("string"))).cast("double")))
 
 
@@ -112,7 +116,8 @@ def read_markers(spark: SparkSession, path: str) -> DataFrame:
 def list_files(spark: SparkSession, root: str, glob: str, depth: int = 6) -> DataFrame:
     """(path, dir, length) of files below root, not under dot folders and at most `depth` folders down."""
     own = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root).select("path", "length")
-    rest = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("^" + root.rstrip("/") + "/"), F.lit(""))
+    base = quote(re.sub("^file:/+", "/", root.rstrip("/")) + "/")
+    rest = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), F.lit("^" + base), F.lit(""))
     return own.where(~rest.rlike(r"(^|/)\.") & (F.size(F.split(rest, "/")) <= depth)).withColumn("dir", F.regexp_replace("path", "/[^/]*$", ""))
 
 
@@ -207,6 +212,17 @@ def prior_canonicals(spark: SparkSession, path: str | None, schema: str = "canon
     return spark.read.schema(schema).json(path).select(F.trim("canonical").alias("canonical")).where("canonical <> ''").distinct(), True
 
 
+VERDICTS = "chapter int, pos int, verdict string, text string"
+
+
+def load_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger of tail verdicts, a JSON array; without a file it is empty."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found):
+        return spark.createDataFrame([], VERDICTS)
+    return spark.read.schema(VERDICTS).option("multiLine", True).json(path)
+
+
 def verdicts_by_chapter(verdicts: DataFrame) -> DataFrame:
     """The last verdict of each chapter, by pos."""
     rest = [c for c in verdicts.columns if c != "chapter"]
@@ -219,8 +235,6 @@ def folder_sizes(files: DataFrame) -> DataFrame:
 
 def check_suite(suite: dict, stages: list[str]) -> list[str]:
     """Problems of an experiment suite {cases: [{name, path, digest}], profiles: [{name, stages: {...}}]}."""
-    import re
-
     out = [f"unknown field: {k}" for k in suite if k not in ("cases", "profiles", "repeats", "seed")]
     for c in suite.get("cases", []):
         if ".." in c.get("path", "").split("/") or c.get("path", "").startswith("/"):

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,12 +84,16 @@ def changed(events: DataFrame, key: str = "key") -> DataFrame:
     return events.select(key, "event_id", "value").groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, event_id long, value {value}", f"value {value}", "append", GroupStateTimeout.NoTimeout)
 
 
+def _instant(now) -> Column:
+    return now if isinstance(now, Column) else F.lit(now).cast("timestamp")
+
+
 def due(parked: DataFrame, now) -> DataFrame:
-    return parked.where(F.col("retry_at").isNotNull() & (F.col("retry_at") <= F.lit(now).cast("timestamp")))
+    return parked.where(F.col("retry_at").isNotNull() & (F.col("retry_at") <= _instant(now)))
 
 
 def stale(rows: DataFrame, now, grace: str = "INTERVAL 7 DAYS") -> DataFrame:
-    return rows.where(F.lit(now).cast("timestamp") >= F.col("updated_at") + F.expr(grace))
+    return rows.where(_instant(now) >= F.col("updated_at") + F.expr(grace))
 
 
 def to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):

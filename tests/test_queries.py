@@ -7,10 +7,11 @@ import os
 import pandas as pd
 import pytest
 
-from lectern.plans import more, oracle
+from lectern.plans import files, more, oracle
 from lectern.plans.queries import QUERIES
 
 DIR = "/root/testdata/sf0.001"
+assert files  # registers its queries on import
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.exists(DIR), reason="no test tables")
 
