@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Words, and pairs of pieces, that a worker remembers; beyond it starts anew.
-REMEMBERED, PAIRS = 300_000, 500_000
+#: Words, and parts of words, that a worker remembers in each of two generations: when the younger is full it becomes the older,
+#: so that what is used again stays. Pairs of pieces that it remembers; beyond it starts anew.
+REMEMBERED, PAIRS = 400_000, 500_000
 #: Characters that a text is streamed in, if its words can't be told apart beforehand.
 CHUNK = 4096
 _models: dict[str, Model] = {}
@@ -121,25 +122,37 @@ class Words(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.parts = model, {}
+        self.model, self.parts, self.old, self.old_parts = model, {}, {}, {}
 
     def __missing__(self, key: str) -> bytes:
-        found = self[key] = self.of(key if key.startswith("\n") else MARK + key)
+        found = self.old.get(key)
+        if found is None:
+            found = self.of(key if key.startswith("\n") else MARK + key)
+        self[key] = found
         return found
 
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts, self.old_parts = {}, self.parts
+
     def of(self, text: str) -> bytes:
         """Ids of a few characters: those between boundaries that no piece crosses are remembered on their own."""
-        joined, cuts = self.model.joined, [0]
-        cuts += [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in joined]
-        out = b""
-        for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True):
-            part = text[a:b]
-            found = self.parts.get(part)
-            if found is None:
-                ids = list(stream(self.model, [part]))
-                found = self.parts[part] = struct.pack(f"<{len(ids)}i", *ids)
-            out += found
-        return out
+        joined, parts, out, at = self.model.joined, self.parts, [], 0
+        for i in range(1, len(text) + 1):
+            if i == len(text) or text[i - 1 : i + 1] not in joined:
+                part, at = text[at:i], i
+                found = parts.get(part)
+                if found is None:
+                    found = self.old_parts.get(part)
+                    if found is None:
+                        ids = list(stream(self.model, (part,)))
+                        found = struct.pack(f"<{len(ids)}i", *ids)
+                    parts[part] = found
+                out.append(found)
+        return b"".join(out)
 
 
 def stream(model: Model, chunks: Iterable[str], committed: list[int] | None = None) -> Iterator[int]:
@@ -220,9 +233,7 @@ def encode_bytes(model: Model, text: str) -> bytes:
         ids = list(stream(model, (own[i : i + CHUNK] for i in range(0, len(own), CHUNK))))
         return struct.pack(f"<{len(ids)}i", *ids)
     known = model.words
-    if len(known) > REMEMBERED or len(known.parts) > REMEMBERED:
-        known.clear()
-        known.parts.clear()
+    known.age()
     words = text.replace("\n", " \n").split(" ")
     if "" in words or MARK in text:  # runs of spaces are pieces too
         return b"".join(map(known.of, _WORD.findall(normalise(text))))
