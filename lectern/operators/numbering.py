@@ -206,3 +206,43 @@ def position_of(rows: DataFrame, mapping: DataFrame, shifts: DataFrame, key: str
     """Adds chapter: from the map (key, idx, chapter), else idx and the book's constant shift."""
     own = rows.join(mapping.select(key, "idx", F.col("chapter").alias("_m")), [key, "idx"], "left").join(shifts, key, "left")
     return own.withColumn("chapter", F.coalesce("_m", F.col("idx") + F.col("shift"))).drop("_m", "shift")
+
+
+def contiguous_run(sections: DataFrame, key: str, number: str, least: int = C.MIN_CHAPTERS) -> DataFrame:
+    """(key, n, contiguous): how many sections have a number, and whether those are `least` or more that run without gap or repeat
+    from 0 or 1."""
+    own = sections.groupBy(key).agg(F.min(number).alias("a"), F.max(number).alias("b"), F.count_distinct(number).alias("d"), F.count(number).alias("n"))
+    fine = F.col("a").isin(0, 1) & (F.col("b") - F.col("a") + 1 == F.col("d")) & (F.col("d") == F.col("n")) & (F.col("n") >= least)
+    return own.select(key, "n", F.coalesce(fine, F.lit(False)).alias("contiguous"))
+
+
+def build_universe(sections: DataFrame, key: str, apparatus_exact: list[str], apparatus_parts: list[str]) -> DataFrame:
+    """(key, idx, chapter, place, contiguous, source) of a book's sections (key, idx, label, spine, words, strict, loose): strict is
+    the number that a label states beyond doubt, loose the one that it may state.
+
+    Loose numbers count if with them more sections are numbered and all of a book's numbers make one run; otherwise strict ones
+    alone. A run from 0 moves up by one. What lies before the first numbered section or after the last and its continuations is
+    front and back matter; in a book without numbers, what lies outside the first and last label that is no apparatus. Its labelled
+    story sections are then numbered in order, unless the first is so short beside the others that it is no chapter. Sections
+    between take the number of the next labelled or the last numbered one.
+    """
+    runs = contiguous_run(sections, key, "strict").select(key, F.col("n").alias("_ns"), F.col("contiguous").alias("_cs"))
+    either = sections.withColumn("_either", F.coalesce("strict", "loose"))
+    runs = runs.join(contiguous_run(either, key, "_either").select(key, F.col("n").alias("_nl"), F.col("contiguous").alias("_cl")), key)
+    runs = runs.select(key, (F.col("_cl") & (F.col("_nl") > F.col("_ns"))).alias("_loose"), (F.col("_cl") & (F.col("_nl") > F.col("_ns")) | F.col("_cs")).alias("_run"))
+    own = either.join(runs, key).withColumn("number", F.when(F.col("_loose"), F.col("_either")).otherwise(F.col("strict"))).withColumn("source", F.when(F.col("number").isNull(), F.lit("")).when(F.col("strict").isNotNull(), "strict").otherwise("loose"))
+    shifted = shift_zero(own, key).withColumn("number", F.col("number").cast("long"))
+    own = own.drop("number").join(shifted.select(key, "idx", F.col("number").alias("_up")), [key, "idx"]).withColumn("number", F.when(F.col("_run"), F.col("_up")).otherwise(F.coalesce(F.when(F.col("_loose"), F.col("_either")), F.col("strict")).cast("long"))).drop("_up")
+    named = F.coalesce(F.trim("label"), F.lit("")) != ""
+    by_number, by_title = story_span(own, key), titled_span(own, key, ~named | apparatus(F.col("label"), apparatus_exact, apparatus_parts))
+    span = by_number.join(by_title.select(key, F.col("first").alias("_f"), F.col("last").alias("_l")), key).select(key, F.col("first").isNotNull().alias("_numbered"), F.coalesce("first", "_f").alias("first"), F.when(F.col("first").isNotNull(), F.col("last")).otherwise(F.col("_l")).alias("last"))
+    placed = quarantine(own, span.select(key, "first", "last"), key).join(span.select(key, "_numbered"), key)
+    story = placed.where("place = 'story'")
+    counted = ordinals(story, key).withColumn("number", F.when(F.col("_numbered"), F.col("number")).otherwise(F.col("ordinal").cast("long")))
+    counted = counted.withColumn("source", F.when(~F.col("_numbered") & F.col("number").isNotNull(), "ordinal").otherwise(F.col("source")))
+    filled = fill_numbers(counted, key)
+    sizes = filled.where("chapter IS NOT NULL").groupBy(key, F.col("chapter").alias("idx")).agg(F.sum("words").alias("words"))
+    sound = sizes.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(size_outlier(sizes, key), key)
+    out = filled.select(key, "idx", "chapter", "source").join(placed.select(key, "idx", "place", "_numbered", "_run"), [key, "idx"], "right").join(sound, key, "left")
+    contiguous = (F.coalesce("_n", F.lit(0)) >= C.MIN_CHAPTERS) & F.when(F.col("_numbered"), F.col("_run")).otherwise(~F.coalesce("outlier", F.lit(False)))
+    return out.select(key, "idx", "chapter", "place", contiguous.alias("contiguous"), F.coalesce("source", F.lit("")).alias("source"))

@@ -1080,3 +1080,74 @@ def incidents_handled(spark, sf):
     found = ranking.classify_incidents(books, runs, artifacts, S.now(), _POLICY).join(books.select(F.col("id").alias("book_id"), "park_code"), "book_id")
     asked = found.withColumn("attempts", F.col("book_id") % 4).withColumn("recoveries", F.col("book_id") % 5)
     return ranking.decisions(asked, 2).select("book_id", "kind", "run", "action", "approval", "automatic")
+
+
+# Operators that were held against models only ------------------------------------------------------
+
+
+SQL["narrated_numbering"] = """
+WITH RECURSIVE e AS (SELECT user_id AS book, event_id AS idx, CASE WHEN event_type <> 'view' THEN (floor(value / 50) + 1)::BIGINT END AS said, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+k AS (SELECT *, CASE WHEN said = lag(said) OVER w + 1 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY book ORDER BY r)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY book ORDER BY r) AS island FROM k),
+best AS (SELECT book, a, b, lo, hi FROM (SELECT book, min(r) AS a, max(r) AS b, min(said) AS lo, max(said) AS hi, row_number() OVER (PARTITION BY book ORDER BY count(*) DESC, min(r)) AS n FROM i WHERE said IS NOT NULL GROUP BY book, island HAVING count(*) >= 3) WHERE n = 1),
+front(book, r, low, kept) AS (SELECT book, a, lo, lo FROM best UNION ALL SELECT f.book, f.r - 1, CASE WHEN e.said < f.low THEN e.said ELSE f.low END, CASE WHEN e.said < f.low THEN e.said END FROM front f JOIN e ON e.book = f.book AND e.r = f.r - 1),
+behind(book, r, high, kept) AS (SELECT book, b, hi, hi FROM best UNION ALL SELECT f.book, f.r + 1, CASE WHEN e.said > f.high THEN e.said ELSE f.high END, CASE WHEN e.said > f.high THEN e.said END FROM behind f JOIN e ON e.book = f.book AND e.r = f.r + 1),
+kept AS (SELECT e.book, e.idx, e.r, CASE WHEN e.r BETWEEN b.a AND b.b THEN e.said WHEN e.r < b.a THEN f.kept ELSE h.kept END AS c FROM e LEFT JOIN best b USING (book) LEFT JOIN front f ON f.book = e.book AND f.r = e.r LEFT JOIN behind h ON h.book = e.book AND h.r = e.r)
+SELECT book, idx, first_value(c IGNORE NULLS) OVER (PARTITION BY book ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS chapter FROM kept
+"""
+
+_TAIL = r"""t AS (SELECT doc_id AS chapter, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS t FROM documents),
+g AS (SELECT chapter, len(t) AS total, i - 1 AS p, array_to_string(t[i:i + 5], ' ') AS g FROM (SELECT chapter, t, unnest(range(1, len(t) - 4)) AS i FROM t)),
+top AS (SELECT chapter, g AS phrase FROM (SELECT chapter, g, count(*) AS n, min(p) AS f, row_number() OVER (PARTITION BY chapter ORDER BY count(*) DESC, min(p)) AS r FROM g GROUP BY 1, 2 HAVING count(*) >= 3) WHERE r = 1),
+spots AS (SELECT g.chapter, phrase, total, p, coalesce(lead(p) OVER w, total) - (p + 6) > 12 AS far FROM g JOIN top ON top.chapter = g.chapter AND phrase = g WINDOW w AS (PARTITION BY g.chapter ORDER BY p)),
+run AS (SELECT *, sum(far::INT) OVER (PARTITION BY chapter ORDER BY p DESC) AS k FROM spots)"""
+
+SQL["tail_run_located"] = f"WITH {_TAIL} SELECT chapter, phrase, min(p) AS first_pos, count(*) AS uses FROM run WHERE k = 0 GROUP BY 1, 2"
+
+
+_PLAIN = "list_filter(string_split(regexp_replace(lower({t}), '[^a-z0-9 ]', '', 'g'), ' '), lambda x: x <> '')"
+_USES = "(length(fresh) - length(replace(fresh, {u}, ''))) // length({u})"
+SQL["adjudicate"] = f"""WITH {_TAIL}, l AS (SELECT chapter, any_value(phrase) AS phrase, min(p) AS first FROM run WHERE k = 0 GROUP BY chapter),
+a AS (SELECT chapter, {_PLAIN.format(t="array_to_string(t[first + 1:], ' ')")} AS words, {_PLAIN.format(t="phrase")}[1:3] AS short, array_to_string(list_transform({_PLAIN.format(t="array_to_string(t, ' ')")}, lambda x: '|' || x || '|'), '') AS fresh FROM l JOIN t USING (chapter)),
+b AS (SELECT *, coalesce(list_min(list_filter(range(1, least(15, len(words) - 1) + 1), lambda p: len(list_filter(range(1, len(words) - p + 1), lambda i: words[i] = words[i + p])) >= 0.9 * (len(words) - p))), 0) AS period FROM a),
+u AS (SELECT *, list_transform(CASE WHEN period > 0 THEN words[1:period] ELSE short END, lambda x: '|' || x || '|') AS unit FROM b),
+r AS (SELECT chapter, period, fresh, unit, array_to_string(unit[1:greatest(1, (len(unit) * 6 + 9) // 10)], '') AS part, unnest(range(0, greatest(len(unit), 1))) AS i FROM u),
+c AS (SELECT chapter, period, coalesce(max(CASE WHEN len(unit) > 0 THEN {_USES.format(u="array_to_string(list_concat(unit[i + 1:], unit[1:i]), '')")} END), 0) AS uses, any_value(CASE WHEN part <> '' THEN {_USES.format(u="part")} ELSE 0 END) AS parts FROM r GROUP BY 1, 2)
+SELECT chapter, period::INT AS period, uses::INT AS uses, CASE WHEN uses >= 2 THEN 'real' WHEN uses = 1 THEN 'reduced' WHEN parts > 0 THEN 'fragment' ELSE 'gone' END AS verdict FROM c"""
+
+
+_CAND = r"""d AS (SELECT doc_id AS k, replace(coalesce(text, ''), '’', '''') AS t FROM documents),
+w AS (SELECT k, regexp_extract_all(t, '\p{L}+(?:[''’]\p{L}+)*') AS ws, regexp_split_to_array(t, '\p{L}+(?:[''’]\p{L}+)*') AS gs FROM d),
+tok AS (SELECT k, unnest(ws) AS token, unnest(gs[1:len(ws)]) AS gap, generate_subscripts(ws, 1) - 1 AS i FROM w),
+f AS (SELECT k, i, token, regexp_matches(token, '^\p{Lu}|''\p{Lu}') AS capital, i = 0 OR regexp_matches(gap, '[.!?\n]') AS initial, i > 0 AND regexp_matches(gap, '^ *$') AS joined, lower(token) NOT IN ('the', 'and', 'of') AS novel FROM tok),
+each_ AS (SELECT token AS form, count(*) AS count, count(*) FILTER (WHERE NOT initial) AS non_initial, count(DISTINCT k) AS chapters, any_value(novel) AS novel, any_value(capital) AS capital, lower(token) AS lf FROM f GROUP BY token),
+up AS (SELECT * FROM each_ WHERE capital AND (non_initial >= 2 OR (novel AND count >= 3))),
+low AS (SELECT form, count, count AS non_initial, chapters, novel FROM each_ WHERE NOT capital AND ((novel AND count >= 3) OR lf IN (SELECT lf FROM up))),
+c AS (SELECT *, (initial OR NOT joined OR coalesce(i <> lag(i) OVER v + 1, true))::INT AS n FROM f WHERE capital WINDOW v AS (PARTITION BY k ORDER BY i)),
+r AS (SELECT *, sum(n) OVER (PARTITION BY k ORDER BY i) AS run FROM c),
+runs AS (SELECT k, list(token ORDER BY i) AS ws FROM r WHERE NOT (n = 1 AND initial AND NOT novel) GROUP BY k, run),
+uses AS (SELECT k, unnest(list_concat(list_transform(range(1, len(ws)), lambda j: ws[j] || ' ' || ws[j + 1]), CASE WHEN len(ws) = 3 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS form FROM runs),
+ph AS (SELECT form, count(*) AS count, count(DISTINCT k) AS chapters, lower(form) AS lf FROM uses GROUP BY form),
+nx AS (SELECT k, i, token, capital, lead(token) OVER v AS t1, lead(NOT capital AND joined) OVER v AS o1, lead(token, 2) OVER v AS t2, lead(NOT capital AND joined, 2) OVER v AS o2 FROM f WINDOW v AS (PARTITION BY k ORDER BY i)),
+wins AS (SELECT k, token || ' ' || t1 AS form FROM nx WHERE NOT capital AND o1 UNION ALL SELECT k, token || ' ' || t1 || ' ' || t2 FROM nx WHERE NOT capital AND o1 AND o2),
+sp AS (SELECT form, count(*) AS count, count(DISTINCT k) AS chapters FROM wins GROUP BY form HAVING lower(form) IN (SELECT lf FROM ph) OR replace(lower(form), ' ', '') IN (SELECT lf FROM up)),
+alls AS (SELECT 'phrase' AS kind, form, count, count AS non_initial, chapters, true AS novel FROM ph UNION ALL SELECT 'phrase', form, count, count, chapters, true FROM sp UNION ALL SELECT 'single', form, count, non_initial, chapters, novel FROM up UNION ALL SELECT 'single', form, count, non_initial, chapters, novel FROM low),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY novel DESC, count DESC, form) AS rank, CASE kind WHEN 'phrase' THEN 500 ELSE 300 END AS cap FROM alls)"""
+
+SQL["candidates"] = f"WITH {_CAND} SELECT form, count, non_initial, chapters, kind, rank, (SELECT count(*) FROM ranked WHERE rank > cap) AS truncated FROM ranked WHERE rank <= cap"
+
+
+@query(rf"""WITH {_TALK}, n AS (SELECT c.*, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words, CASE WHEN label <> '' AND idx % 4 = 2 THEN NULL WHEN label <> '' THEN idx // 2 + 1 END AS strict FROM c JOIN conversations v ON v.conv_id = c.conv_id AND v.turn = c.idx),
+  g AS (SELECT conv_id, count(strict) > 0 AND min(strict) IN (0, 1) AND max(strict) - min(strict) + 1 = count(strict) AND count(DISTINCT strict) = count(strict) AND count(strict) >= 3 AS ok, count(strict) > 0 AS numbered,
+    min(idx) FILTER (WHERE strict IS NOT NULL) AS f1, max(idx) FILTER (WHERE strict IS NOT NULL) AS l1, min(idx) FILTER (WHERE label <> '') AS f2, max(idx) FILTER (WHERE label <> '') AS l2 FROM n GROUP BY 1)
+  SELECT conv_id, ok AS strict_contiguous FROM g""")
+def universes_contiguous(spark, sf):
+    own = talk(spark, sf).withColumn("strict", F.when((F.col("label") != "") & (F.col("idx") % 4 != 2), F.floor(F.col("idx") / 2) + 1))
+    return numbering.contiguous_run(own, "conv_id", "strict").select("conv_id", F.col("contiguous").alias("strict_contiguous"))
+
+
+@query()
+def universes_built(spark, sf):
+    """Conversations as books: users' turns are labelled, some of them with numbers. A test holds the operator against worked cases."""
+    own = talk(spark, sf).drop("number").withColumn("strict", F.when((F.col("label") != "") & (F.col("conv_id") % 2 == 0), (F.floor(F.col("idx") / 2) + 1).cast("int"))).withColumn("loose", F.lit(None).cast("int"))
+    return numbering.build_universe(own, "conv_id", ["part 0"], [])

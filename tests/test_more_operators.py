@@ -181,3 +181,26 @@ def test_names_of_any_shape_are_found(spark):
     assert rows(spelling.preamble_leaks(lines, heard, 2), "line", "name") == sorted([("By Renée and D'Aston", "Renée"), ("By Renée and D'Aston", "D'Aston"), (long, long)], key=str)
     texts = spark.createDataFrame([(1, "Ann"), (2, "Rene Ann Lee Renées"), (3, f"D’Aston, Renée; {long}.")], "chapter int, text string")
     assert rows(spelling.first_use(texts, heard.select("name"), "chapter"), "name", "first") == sorted([("Ann", 1), ("Ann Lee", 2), ("D'Aston", 3), ("Renée", 3), (long, 3)], key=str)
+
+
+def test_universe(spark):
+    """A book with numbers and an excerpt behind, one of ambiguous numbers that agree, one that counts from 0, one of titles only,
+    one of titles with a divider in front, and one too short."""
+    def book(key, *rows):
+        return [(key, i, label, spine, words, strict, loose) for i, (label, spine, words, strict, loose) in enumerate(rows)]
+
+    data = book("numbers", ("Title", 0, 9, None, None), ("1", 1, 900, 1, None), ("", 1, 50, None, None), ("2", 2, 900, 2, None), ("3", 3, 900, 3, None), ("", 3, 10, None, None), ("Bonus", 4, 800, None, None))
+    data += book("loose", ("I Start", 0, 900, None, 1), ("2", 1, 900, 2, None), ("III End", 2, 900, None, 3))
+    data += book("gap", ("1", 0, 900, 1, None), ("2", 1, 900, 2, None), ("V Five", 2, 900, None, 5), ("3", 3, 900, 3, None))
+    data += book("zero", ("0", 0, 900, 0, None), ("1", 1, 900, 1, None), ("2", 2, 900, 2, None))
+    data += book("titles", ("Copyright", 0, 90, None, None), ("Dawn", 1, 900, None, None), ("", 1, 40, None, None), ("Noon", 2, 950, None, None), ("Dusk", 3, 990, None, None), ("Copyright", 4, 9, None, None))
+    data += book("divider", ("Part", 0, 3, None, None), ("Dawn", 1, 900, None, None), ("Noon", 2, 950, None, None), ("Dusk", 3, 990, None, None))
+    data += book("short", ("1", 0, 900, 1, None), ("2", 1, 900, 2, None))
+    df = spark.createDataFrame(data, "book string, idx int, label string, spine int, words int, strict int, loose int")
+    got: dict = {}
+    for r in numbering.build_universe(df, "book", ["copyright"], []).orderBy("book", "idx").collect():
+        got.setdefault(r.book, []).append((r.chapter, r.place[0], r.source, r.contiguous))
+    chapters = {k: [x[0] for x in v] for k, v in got.items()}
+    assert chapters == {"numbers": [None, 1, 1, 2, 3, 3, None], "loose": [1, 2, 3], "gap": [1, 2, 3, 3], "zero": [1, 2, 3], "titles": [None, 1, 1, 2, 3, None], "divider": [1, 2, 3, 4], "short": [1, 2]}
+    assert {k: v[0][3] for k, v in got.items()} == {"numbers": True, "loose": True, "gap": True, "zero": True, "titles": True, "divider": False, "short": False}
+    assert "".join(x[1] for x in got["numbers"]) == "fsssssb" and [x[2] for x in got["titles"]] == ["", "ordinal", "", "ordinal", "ordinal", ""]
