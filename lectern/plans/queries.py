@@ -724,16 +724,22 @@ def stream_counts(spark, sf):
     return out.join(F.broadcast(last), "batch").select(F.col("key").alias("user_id"), F.col("type").alias("event_type"), "n")
 
 
-@query
-def stream_moving_average(spark, sf):
-    stream, own = _stream(spark, sf)
-    # Averages depend on the order of samples: micro-batches follow each other by event id.
+def _ordered(spark, sf, value: str):
+    """The events as a stream of three files that follow each other by event id, one a micro-batch: folds that depend on order
+    carry each user's state from one to the next."""
     from ..sources.shared import shared_path
+    from ..streaming import events as stream
 
-    path = shared_path(spark, "in-order")
+    batch = S.table(spark, sf, "events").select("event_id", F.col("user_id").alias("key"), F.col(value).alias("value"))
+    last, path = batch.agg(F.max("event_id")).first()[0] or 0, shared_path(spark, "in-order")
     for part in range(3):
-        S.table(spark, sf, "events").where(F.pmod(F.xxhash64("user_id"), F.lit(3)) == part).select("event_id", F.col("user_id").alias("key"), "value").coalesce(1).write.mode("append").parquet(path)
-    own = spark.readStream.schema("event_id long, key long, value double").option("maxFilesPerTrigger", 1).parquet(path)
+        batch.where(F.floor(F.col("event_id") * 3 / (last + 1)) == part).coalesce(1).write.mode("append").parquet(path)
+    return stream, spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query
+def stream_moving_average(spark, sf):
+    stream, own = _ordered(spark, sf, "value")
     out = stream.run_to_end(stream.moving_average(own), "update")
     return out.groupBy(F.col("key").alias("user_id")).agg(F.round(F.max_by("rate", "n"), 4).alias("rate"))
 
@@ -746,14 +752,8 @@ def stream_deduplicated(spark, sf):
 
 @query
 def stream_changes(spark, sf):
-    """Values that differ from the user's last; samples of one micro-batch are taken in order, batches as they come."""
-    stream, own = _stream(spark, sf)
-    from ..sources.shared import shared_path
-
-    path = shared_path(spark, "ordered")
-    S.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("key"), F.col("event_type").alias("value")).coalesce(1).write.parquet(path)
-    ordered = spark.readStream.schema("event_id long, ts timestamp, key long, value string").parquet(path)
-    return stream.run_to_end(stream.changed(ordered), "append").select("event_id", F.col("key").alias("user_id"), F.col("value").alias("event_type"))
+    stream, own = _ordered(spark, sf, "event_type")
+    return stream.run_to_end(stream.changed(own), "append").select("event_id", F.col("key").alias("user_id"), F.col("value").alias("event_type"))
 
 
 @query
