@@ -225,8 +225,8 @@ def classify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """id_col, the columns in `carry`, votes, weak_label, score and kept for every row: the vote pattern, its posterior, the
     scorer's probability of "good" and whether it reaches KEEP_AT.
 
-    Null, empty and blank texts are scored by the bias alone and never kept. Rows that repeat a text fare alike, ids may be
-    null or repeat, and other columns are not read.
+    Null, empty and blank texts are scored by the bias alone and never kept. Rows that repeat a text fare alike, a score of exactly
+    KEEP_AT is kept, a text of any length is scored whole, ids may be null or repeat, and other columns are not read.
     """
     own = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry, 1)])
     schema = T.StructType([f for f in own.schema if f.name != "text"] + [T.StructField("votes", T.LongType()), T.StructField("weak_label", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
