@@ -14,7 +14,7 @@ def price(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """
     p = prices.select("backend", "model", F.struct("input", "output", "cached").alias("p"))
     exact, any_ = p.withColumnRenamed("p", "p1"), p.where("model = '*'").select("backend", F.col("p").alias("p2"))
-    own = usage.join(F.broadcast(exact), ["backend", "model"], "left").join(F.broadcast(any_), "backend", "left").withColumn("_p", F.coalesce("p1", "p2"))
+    own = usage.join(exact, ["backend", "model"], "left").join(any_, "backend", "left").withColumn("_p", F.coalesce("p1", "p2"))
     cost = (F.col("tokens_in") * F.col("_p.input") + F.col("tokens_out") * F.col("_p.output") + F.col("tokens_cached") * F.col("_p.cached")) / 1e6
     return own.withColumn("cost", cost).withColumn("known", F.col("_p").isNotNull()).drop("p1", "p2", "_p")
 

@@ -67,7 +67,7 @@ def fill_lanes(waiting: DataFrame, free: dict[str, int], *order) -> DataFrame:
 
 def rewind_to(stages: DataFrame, done: DataFrame, present: DataFrame) -> DataFrame:
     """(book_id, stage_order): the earliest completed stage whose evidence is missing. stages: (stage, stage_order)."""
-    return done.join(present, ["book_id", "stage"], "left_anti").join(F.broadcast(stages), "stage").groupBy("book_id").agg(F.min("stage_order").alias("stage_order"))
+    return done.join(present, ["book_id", "stage"], "left_anti").join(stages, "stage").groupBy("book_id").agg(F.min("stage_order").alias("stage_order"))
 
 
 def ewma(samples: DataFrame, key: str, value: str, order: str, alpha: float = C.EWMA_ALPHA, seed: Column | None = None) -> DataFrame:
@@ -95,7 +95,7 @@ def redo_units(units: Column) -> Column:
 def book_eta(paths: DataFrame, rates: DataFrame, lanes: Column) -> DataFrame:
     """(book_id, eta_s): waves of the remaining stages times their rates. paths: (book_id, stage, units); rates: (stage, rate, seed)."""
     rate = F.coalesce(F.when(F.col("rate") > 0, F.col("rate")), F.col("seed"))
-    own = paths.join(F.broadcast(rates), "stage").withColumn("s", F.ceil(F.col("units") / lanes) * rate)
+    own = paths.join(rates, "stage").withColumn("s", F.ceil(F.col("units") / lanes) * rate)
     return own.groupBy("book_id").agg(F.greatest(F.round(F.sum("s") / 10) * 10, F.lit(0.0)).alias("eta_s"))
 
 
@@ -152,7 +152,7 @@ def changes(df: DataFrame, key: str, order: str, *values: str) -> DataFrame:
 
 def next_states(books: DataFrame, transitions: DataFrame) -> DataFrame:
     """books with `next` by (state, outcome); a table of the states' few edges."""
-    return books.join(F.broadcast(transitions), ["state", "outcome"], "left")
+    return books.join(transitions, ["state", "outcome"], "left")
 
 
 def primary_incident(incidents: DataFrame) -> DataFrame:
@@ -329,7 +329,7 @@ def decisions(incidents: DataFrame, most: int, automatic: bool = True, model_ass
 
 def decide(incidents: DataFrame, table: DataFrame, recoveries: DataFrame, cap: int, *keep: str) -> DataFrame:
     """(book_id, kind, action): the table's action for the kind, or "escalate" where the book's recoveries reach the cap."""
-    own = incidents.join(F.broadcast(table), "kind", "left").join(recoveries, "book_id", "left")
+    own = incidents.join(table, "kind", "left").join(recoveries, "book_id", "left")
     action = F.when(F.coalesce("recoveries", F.lit(0)) >= cap, F.lit("escalate")).otherwise(F.coalesce("action", F.lit("observe")))
     return own.select(*keep, "book_id", "kind", action.alias("action"))
 
@@ -389,7 +389,7 @@ def can_start(status: Column, owns_lock: Column, lane_free: Column) -> Column:
 
 def remaining_path(books: DataFrame, paths: DataFrame) -> DataFrame:
     """(id, stage, step): the stages ahead of each book's state. paths: (state, stage, step), a walk of the state table done once."""
-    return books.select("id", "state").join(F.broadcast(paths), "state").select("id", "stage", "step")
+    return books.select("id", "state").join(paths, "state").select("id", "stage", "step")
 
 
 def mainline(transitions: DataFrame) -> DataFrame:
