@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: Words, and parts of words, that a worker remembers in each of two generations: when the younger is full it becomes the older,
 #: so that what is used again stays. Pairs of pieces that it remembers; beyond it starts anew.
-REMEMBERED, PAIRS = 400_000, 500_000
+REMEMBERED, PAIRS = 250_000, 500_000
 #: Characters that a text is streamed in, if its words can't be told apart beforehand.
 CHUNK = 4096
 _models: dict[str, Model] = {}
