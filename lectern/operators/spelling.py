@@ -228,6 +228,10 @@ def sheet_rows(ledger: DataFrame, ends: DataFrame, heard: DataFrame) -> DataFram
     return own.join(F.broadcast(ends), (F.col("first") <= F.col("end")) | (F.col("first") == 0)).select("end", "name")
 
 
+#: Names that a form's block may hold without more ado.
+FEW_NAMES = 5_000
+
+
 def vocabulary(sources: DataFrame, common: list[str]) -> DataFrame:
     """(name, authority, pos, part, folded) of reference names (name, authority, pos) and of the parts of those of several words,
     common words left out. Shorter ones than MATCH_MIN_LENGTH are no names."""
@@ -265,14 +269,19 @@ def best_references(forms: DataFrame, names: DataFrame, most: int = C.MATCH_MAX_
     that begins with the form's letter; a verified one among equals, then the earlier. names: as vocabulary() gives them.
 
     Two texts so near have a form in common that either gets by taking out as many characters, so they meet on those forms, by
-    hash, and no block of similar length is paired off.
+    hash, and no block of similar length is paired off. A vocabulary of FEW_NAMES at most is met by length and first letter.
     """
     f = forms.select("form", T.fold_form(F.col("form")).alias("_f")).distinct().withColumn("_d", F.least(F.lit(most), F.floor(F.length("_f") / C.MATCH_DIVISOR).cast("int"))).where("_d >= 1")
-    f = f.select("form", "_f", "_d", F.explode(F.expr(_shortened("_f", "_d", most))).alias("_s")).select("form", "_f", "_d", F.xxhash64("_s").alias("_s"))
-    v = names.where("folded <> ''").select("name", "authority", "pos", "part", "folded", F.explode(F.expr(_shortened("folded", str(most), most))).alias("_s"))
-    v = v.select("name", "authority", "pos", "part", "folded", F.xxhash64("_s").alias("_s"))
-    v = F.broadcast(v) if names.count() * 100 <= C.BROADCAST_ROWS else v
-    near = f.join(v, "_s").where(F.substring("_f", 1, 1) == F.substring("folded", 1, 1)).withColumn("distance", F.levenshtein("_f", "folded", most)).where((F.col("distance") > 0) & (F.col("distance") <= F.col("_d")))
+    v = names.where("folded <> ''").select("name", "authority", "pos", "part", "folded")
+    if v.count() <= FEW_NAMES:  # a block of so few is looked through sooner than forms are shortened
+        f = f.withColumn("_s", F.explode(F.sequence(F.length("_f") - F.col("_d"), F.length("_f") + F.col("_d"))))
+        v = F.broadcast(v.withColumn("_s", F.length("folded")))
+        near = f.join(v, (f["_s"] == v["_s"]) & (F.substring("_f", 1, 1) == F.substring("folded", 1, 1)))
+    else:
+        f = f.select("form", "_f", "_d", F.explode(F.expr(_shortened("_f", "_d", most))).alias("_s")).withColumn("_s", F.xxhash64("_s"))
+        v = v.withColumn("_s", F.explode(F.expr(_shortened("folded", str(most), most)))).withColumn("_s", F.xxhash64("_s"))
+        near = f.join(v, "_s").where(F.substring("_f", 1, 1) == F.substring("folded", 1, 1))
+    near = near.withColumn("distance", F.levenshtein("_f", "folded", most)).where((F.col("distance") > 0) & (F.col("distance") <= F.col("_d")))
     order = F.struct("distance", (F.col("authority") != "verified").alias("a"), "pos", "part")
     return near.groupBy("form").agg(F.min_by(F.struct("name", "authority", "distance"), order).alias("_x")).select("form", "_x.*")
 

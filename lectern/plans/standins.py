@@ -67,9 +67,13 @@ COMMON = ["the", "and", "for", "that", "with"]
 
 
 def forms(spark, sf) -> DataFrame:
-    """Words of documents with a capital, and in how many documents they are."""
+    """Words of documents with a capital, and in how many documents they are: a list on disk, as what collects candidates leaves it."""
+    from ..sources.shared import shared_path
+
     words = spread(table(spark, sf, "documents")).select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1)))).alias("w"))
-    return words.groupBy(F.concat(F.upper(F.substring("w", 1, 1)), F.lower(F.substring("w", 2, 100))).alias("form")).agg(F.count(F.lit(1)).alias("count"))
+    path = shared_path(spark, "forms")
+    words.groupBy(F.concat(F.upper(F.substring("w", 1, 1)), F.lower(F.substring("w", 2, 100))).alias("form")).agg(F.count(F.lit(1)).alias("count")).write.parquet(path)
+    return spark.read.schema("form string, count long").parquet(path)
 
 
 def names(spark, sf) -> DataFrame:

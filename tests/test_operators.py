@@ -345,7 +345,9 @@ def test_streams(spark, tmp_path):
     assert stream.cursor(batch).first().cursor == 20 and stream.replay(batch, 18).count() == 2
 
 
-def test_two_settled_names_are_no_slips_of_each_other(spark):
+@pytest.mark.parametrize("few", [0, 5000])
+def test_two_settled_names_are_no_slips_of_each_other(spark, monkeypatch, few):
+    monkeypatch.setattr(spelling, "FEW_NAMES", few)
     names = [("Tersa", "verified", 1), ("Terra", "verified", 2), ("Torrin", "carryover", 3), ("Toren", "verified", 4), ("Laken Godart", "verified", 5), ("Flos", "verified", 6), ("the Ana", "verified", 7)]
     said = [("Tersa", 9), ("Tersas", 2), ("Torrin", 40), ("Goddard", 3), ("Floss", 5), ("Laken", 2), ("Godarts", 1), ("Godart", 1), ("Terra's", 1), ("Flos I", 1), ("floss", 7), ("Lakem", 3)]
     got = spelling.reference_matches(spark.createDataFrame(said, "form string, count int"), spark.createDataFrame(names, "name string, authority string, pos int"), ["the"])
