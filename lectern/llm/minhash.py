@@ -145,7 +145,8 @@ def _cut(threshold: float) -> float:
 
 
 def _compare_cell(percent: int):
-    """Links between the two sides of a cell: those of a bucket's smaller components, and all its members."""
+    """Links between the two sides of a cell: those of a bucket's smaller components, and all its members. What links given so far
+    connect isn't compared again, so a cell gives fewer links than it has members, however many of its pairs are alike."""
     cut = _cut(percent / 100)
     least = (1 - 2.0**-BITS) * (cut + 2.0**-BITS / (1 - 2.0**-BITS))
 
@@ -158,10 +159,10 @@ def _compare_cell(percent: int):
         flat = lambda c: (table.column(c).combine_chunks().flatten().to_numpy(), np.concatenate([[0], np.cumsum(table.column(c).combine_chunks().value_lengths().to_numpy())]))
         (bands, _), (items, at) = flat("bands"), flat("items")
         bands, items = bands.reshape(-1, BANDS), items.view(np.uint64)
-        n, per, links = np.diff(at), N // 64, []
+        n, per, links, label = np.diff(at), N // 64, [], col["component"].copy()
         other = np.flatnonzero(col["side"] == 1)
         for a in np.flatnonzero(col["side"] == 0):
-            b = other[(col["component"][other] != col["component"][a]) & ((col["component"][other] == col["top"][other]) | (col["node"][other] > col["node"][a]))]
+            b = other[(label[other] != label[a]) & ((col["component"][other] == col["top"][other]) | (col["node"][other] > col["node"][a]))]
             b = b[(100 * n[b] >= percent * n[a]) & (100 * n[a] >= percent * n[b])]
             differ = planes[b] ^ planes[a]
             off = sum(np.bitwise_count(np.bitwise_or.reduce(differ[:, w::per], axis=1)).astype(np.int64) for w in range(per))
@@ -176,8 +177,10 @@ def _compare_cell(percent: int):
             place = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
             both = np.add.reduceat((own[place] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(n[b])[:-1]]))
             hit = b[100 * both >= percent * (n[a] + n[b] - both)]
-            if len(hit):  # one link to each component is enough
-                links += [(col["node"][a], col["node"][x]) for x in hit[np.unique(col["component"][hit], return_index=True)[1]]]
+            for x in hit:
+                if label[x] != label[a]:
+                    links.append((col["node"][a], col["node"][x]))
+                    label[label == label[x]] = label[a]
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
     return run

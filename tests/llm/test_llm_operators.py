@@ -566,3 +566,21 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
 
     with pytest.raises(ValueError):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://x:7077")))
+
+
+def test_words_of_every_code_point_have_the_library_s_ids():
+    """Each code point before and after letters, full stops and commas, and strings of random ones."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, rng = Tokenizer.from_file(path), random.Random(9)
+    chars = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [" ".join(f"a{c}. {c}, {c}B." for c in chars[i : i + 64]) for i in range(0, len(chars), 64)]
+    small = [chr(i) for i in range(1, 0x250)] + list("  ..,,'\"\n\t") * 20
+    texts += ["".join(rng.choice(small if k % 2 else chars) for _ in range(rng.randrange(1, 40))) for k in range(6000)]
+    encode = token_output.encoder(path)
+    for at in range(0, len(texts), 1000):
+        part = texts[at : at + 1000]
+        want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)]
+        assert encode(part) == want, next(t for t, a, b in zip(part, encode(part), want, strict=True) if a != b)
