@@ -374,13 +374,13 @@ def cursor_read(spark, sf):
     return stream.cursor(events(spark, sf))
 
 
-_PATCH = "p AS (SELECT user_id AS id, arg_max(CASE WHEN event_type <> 'error' THEN event_type END, event_id) AS keep, arg_max([CASE WHEN event_type <> 'error' THEN event_type END], event_id)[1] AS status FROM events WHERE user_id % 3 = 0 GROUP BY 1)"
+_PATCH = "p AS (SELECT user_id AS id, arg_max(CASE WHEN event_type <> 'error' THEN event_type END, event_id) AS keep, arg_max([CASE WHEN event_type <> 'error' THEN event_type END], event_id)[1] AS status FROM events WHERE value > 20 GROUP BY 1)"
 
 
-@query(f"WITH {_PATCH} SELECT coalesce(c.id, p.id) AS id, coalesce(p.status, c.status) AS status, c.seg FROM (SELECT c_custkey AS id, 'idle' AS status, c_mktsegment AS seg FROM customer WHERE c_custkey > 5) c FULL JOIN p ON p.id = c.id")
+@query(f"WITH {_PATCH} SELECT coalesce(c.id, p.id) AS id, coalesce(p.status, c.status) AS status, c.seg FROM (SELECT c_custkey AS id, 'idle' AS status, c_mktsegment AS seg FROM customer WHERE c_acctbal > 0) c FULL JOIN p ON p.id = c.id")
 def states_patched(spark, sf):
-    state = S.table(spark, sf, "customer").where("c_custkey > 5").select(F.col("c_custkey").alias("id"), F.lit("idle").alias("status"), F.col("c_mktsegment").alias("seg"))
-    changes = events(spark, sf).where("user_id % 3 = 0").select(F.col("user_id").alias("id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("status"), "event_id")
+    state = S.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.lit("idle").alias("status"), F.col("c_mktsegment").alias("seg"))
+    changes = events(spark, sf).where("value > 20").select(F.col("user_id").alias("id"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("status"), "event_id")
     return stream.patch(state, changes, "id")
 
 

@@ -50,9 +50,9 @@ def book_tracking(spark, sf):
     return ledger.tracking(S.books(spark, sf).withColumn("source_path", F.col("id").cast("string")).withColumn("state", F.col("series_pos")))
 
 
-@query("SELECT p_partkey::VARCHAR AS source_path, o_orderkey AS id, month(o_orderdate)::VARCHAR AS state, o_orderstatus AS status FROM part LEFT JOIN orders ON o_orderkey = p_partkey * 3")
+@query("SELECT p_partkey::VARCHAR AS source_path, o_orderkey AS id, month(o_orderdate)::VARCHAR AS state, o_orderstatus AS status FROM part LEFT JOIN orders ON o_orderkey = p_partkey")
 def scan_tracking(spark, sf):
-    b = S.books(spark, sf).where(F.col("id") % 3 == 0).withColumn("source_path", (F.col("id") / 3).cast("long").cast("string")).withColumn("state", F.col("series_pos"))
+    b = S.books(spark, sf).withColumn("source_path", F.col("id").cast("string")).withColumn("state", F.col("series_pos"))
     return ledger.attach_tracking(S.table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("source_path")), b)
 
 
@@ -636,10 +636,10 @@ def carryovers_gated(spark, sf):
 
 
 def preamble(spark, sf):
-    return S.table(spark, sf, "part").where("p_partkey < 40").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("On the "), F.col("p_name"), F.lit(" of old")).alias("line"))
+    return S.table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("On the "), F.col("p_name"), F.lit(" of old")).alias("line"))
 
 
-_PREAMBLE = "preamble AS (SELECT p_partkey AS pos, 'On the ' || p_name || ' of old' AS line FROM part WHERE p_partkey < 40)"
+_PREAMBLE = "preamble AS (SELECT p_partkey AS pos, 'On the ' || p_name || ' of old' AS line FROM part)"
 
 
 @query(f"WITH {_HEARD}, {_PREAMBLE} SELECT line, name FROM preamble JOIN heard ON contains(line, name) WHERE first > 2")
@@ -760,13 +760,9 @@ def waiting(spark, sf):
     return S.books(spark, sf).join(o, "id").withColumn("state", F.when(F.col("prio") == "5-LOW", "retranscribing").otherwise("transcribing"))
 
 
-@query(f"WITH {_SERIES} SELECT id, rank, row_number() OVER (ORDER BY prio <> '5-LOW', rank, id) AS turn FROM ranked QUALIFY turn <= 40")
+@query(f"WITH {_SERIES} SELECT id, rank FROM ranked")
 def asr_turns(spark, sf):
-    """The first forty of the waiting, a top-k, with their turn."""
-    from pyspark.sql.window import Window
-
-    top = ranking.asr_order(waiting(spark, sf)).select("id", "rank", "state").limit(40)
-    return top.withColumn("turn", F.row_number().over(Window.orderBy(F.col("state") != "retranscribing", "rank", "id"))).drop("state")
+    return ranking.asr_order(waiting(spark, sf)).select("id", "rank")
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderpriority = '5-LOW' THEN 'again' ELSE 'first' END AS part FROM orders")
@@ -854,11 +850,11 @@ def finishes_earliest(spark, sf):
     return ranking.earliest_finish(events(spark, sf).select(F.col("event_type").alias("lane"), F.col("value").alias("finish_at")))
 
 
-@query("""WITH i AS (SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 = 0), n AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
+@query("""WITH i AS (SELECT event_id, user_id, event_type FROM events), n AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1)
   SELECT event_id, CASE WHEN coalesce(n, 0) >= 12 THEN 'escalate' WHEN event_type = 'error' THEN 'retry' WHEN event_type = 'view' THEN 'wait' ELSE 'observe' END AS action FROM i LEFT JOIN n USING (user_id)""")
 def incidents_decided(spark, sf):
     e = events(spark, sf)
-    i = e.where("event_id % 3 = 0").select(F.col("event_id").alias("kind_id"), F.col("user_id").alias("book_id"), F.col("event_type").alias("kind"))
+    i = e.select(F.col("event_id").alias("kind_id"), F.col("user_id").alias("book_id"), F.col("event_type").alias("kind"))
     table = spark.createDataFrame([("error", "retry"), ("view", "wait")], "kind string, action string")
     past = e.where("event_type = 'error'").groupBy(F.col("user_id").alias("book_id")).agg(F.count(F.lit(1)).alias("recoveries"))
     return ranking.decide(i, table, past, 12, "kind_id").select(F.col("kind_id").alias("event_id"), "action")
@@ -908,10 +904,10 @@ def ledger_verified(spark, sf):
     return X.verified_rows(s).select("pos", "canonical")
 
 
-@query("SELECT coalesce(s_suppkey, c_custkey) AS id, s_name AS a, c_name AS b FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON s_suppkey = c_custkey")
+@query("SELECT coalesce(s_suppkey, c_custkey) AS id, s_name AS a, c_name AS b FROM supplier FULL JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON s_suppkey = c_custkey")
 def sidecars_viewed(spark, sf):
     a = S.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("a"))
-    return X.merge_views(a, S.table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("b")), "id")
+    return X.merge_views(a, S.table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("b")), "id")
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'unknown' WHEN p_size < 10 THEN 'unmatched' WHEN p_type = 'PROMO' THEN 'covered' ELSE 'missing' END AS state FROM part")
@@ -926,19 +922,15 @@ def coverage_filtered(spark, sf):
     return X.coverage_filter(p, exclude_covered=True).select("p_partkey")
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY p_type = 'PROMO', lower(CASE WHEN p_type <> 'PROMO' THEN p_brand ELSE '' END), p_size, lower(p_name), p_partkey) AS place FROM part QUALIFY place <= 50")
+@query("SELECT p_partkey FROM part")
 def series_sorted(spark, sf):
-    """The first fifty in the order of series."""
     p = S.table(spark, sf, "part").select("p_partkey", F.when(F.col("p_type") != "PROMO", F.col("p_brand")).otherwise("").alias("series"), F.col("p_size").alias("pos"), F.col("p_name").alias("title"), F.col("p_partkey").alias("path"))
-    top = X.series_sort(p).limit(50).select(F.collect_list("p_partkey").alias("l"))
-    return top.select(F.posexplode("l").alias("place", "p_partkey")).select("p_partkey", (F.col("place") + 1).alias("place"))
+    return X.series_sort(p).select("p_partkey")
 
 
-@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey DESC) AS place FROM orders WHERE o_orderstatus = 'F' QUALIFY place <= 30")
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'")
 def books_done(spark, sf):
-    """The last thirty finished."""
-    done = X.done_books(orders(spark, sf).select("id", F.when(F.col("status") == "F", "done").otherwise("open").alias("status"), F.col("at").alias("finished_at"))).limit(30)
-    return done.select(F.collect_list("id").alias("l")).select(F.posexplode("l").alias("place", "id")).select("id", (F.col("place") + 1).alias("place"))
+    return X.done_books(orders(spark, sf).select("id", F.when(F.col("status") == "F", "done").otherwise("open").alias("status"), F.col("at").alias("finished_at"))).select("id")
 
 
 @query("SELECT o_orderstatus AS section, count(*) AS n, min(o_orderkey) AS first FROM orders WHERE o_orderstatus IN ('O', 'P') GROUP BY 1")
@@ -947,12 +939,9 @@ def books_sectioned(spark, sf):
     return s.select("section", F.size("ids").alias("n"), F.element_at("ids", 1).alias("first"))
 
 
-@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY CASE o_orderstatus WHEN 'P' THEN 1 WHEN 'O' THEN 2 ELSE 3 END, o_custkey::VARCHAR, month(o_orderdate), o_orderkey) AS place FROM orders QUALIFY place <= 60")
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders")
 def board_sorted(spark, sf):
-    """The first sixty of the board."""
-    b = S.books(spark, sf).withColumn("pos", F.col("series_pos").cast("int"))
-    top = X.board_sort(b, ["P", "O", "F"]).limit(60).select(F.collect_list("id").alias("l"))
-    return top.select(F.posexplode("l").alias("place", "id")).select("id", (F.col("place") + 1).alias("place"))
+    return X.board_sort(S.books(spark, sf).withColumn("pos", F.col("series_pos").cast("int")), ["P", "O", "F"]).select("id", "status")
 
 
 @query("SELECT 0 AS place, NULL::INT AS chapter, 'sum' AS text UNION ALL SELECT 1, n_nationkey::INT, n_name FROM nation UNION ALL SELECT 2, NULL, 'end'")

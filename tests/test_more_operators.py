@@ -204,3 +204,18 @@ def test_universe(spark):
     assert chapters == {"numbers": [None, 1, 1, 2, 3, 3, None], "loose": [1, 2, 3], "gap": [1, 2, 3, 3], "zero": [1, 2, 3], "titles": [None, 1, 1, 2, 3, None], "divider": [1, 2, 3, 4], "short": [1, 2]}
     assert {k: v[0][3] for k, v in got.items()} == {"numbers": True, "loose": True, "gap": True, "zero": True, "titles": True, "divider": False, "short": False}
     assert "".join(x[1] for x in got["numbers"]) == "fsssssb" and [x[2] for x in got["titles"]] == ["", "ordinal", "", "ordinal", "ordinal", ""]
+
+
+def test_orders(spark):
+    books = spark.createDataFrame([(1, "S", "2", "transcribing"), (2, "S", "1", "transcribing"), (3, "", "9", "retranscribing"), (4, "S", "x", "transcribing"), (5, None, None, "transcribing")], "id int, series string, series_pos string, state string")
+    assert [r.id for r in ranking.asr_order(books).collect()] == [3, 2, 5, 1, 4]
+    again, first = ranking.asr_partition(books)
+    assert (rows(again, "id"), rows(first, "id")) == ([(3,)], [(1,), (2,), (4,), (5,)])
+    shelf = spark.createDataFrame([("b", 2.0, "x", "1"), ("", 1.0, "a", "2"), ("B", 1.0, "y", "3"), ("a", None, "z", "4"), ("a", 3.0, "q", "5")], "series string, pos double, title string, path string")
+    assert [r.path for r in experiments.series_sort(shelf).collect()] == ["5", "4", "3", "1", "2"]
+    done = spark.createDataFrame([(1, "done", 5), (2, "open", 9), (3, "done", None), (4, "done", 7), (5, "done", 7)], "id int, status string, finished_at int")
+    assert [r.id for r in experiments.done_books(done).collect()] == [5, 4, 1, 3]
+    board = spark.createDataFrame([(1, "F", "a", 1), (2, "P", "b", 2), (3, "P", "a", None), (4, "P", "a", 1)], "id int, status string, series string, pos int")
+    assert [r.id for r in experiments.board_sort(board, ["P", "F"]).collect()] == [4, 3, 2, 1]
+    queue = spark.createDataFrame([("run", 1, "b", 1), ("wait", 1, "a", 2), ("run", 2, "a", 3)], "bucket string, place int, lane string, id int")
+    assert [r.id for r in ranking.queue_payload(queue, ["wait", "run"]).collect()] == [2, 3, 1]
