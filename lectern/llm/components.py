@@ -37,20 +37,3 @@ def connected_components(tables: Tables, links: DataFrame) -> DataFrame:
         edges, labels = shrunk, grown
     tables.drop(edges)
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component")).where("false")
-
-
-def extend_components(tables: Tables, labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, component) after further links: only these are contracted, between the components that they join."""
-    if links.isEmpty():
-        return labels
-    own = links
-    for end, other in ("ab", "ba"):
-        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
-        hot = hot_keys(tables, links.groupBy(end).agg(F.count(F.lit(1)).alias("n")), end)
-        own = split_join(own, named, [end], hot, [other], "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
-    joined = connected_components(tables, own.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
-    crowds = hot_keys(tables, labels.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
-    grown = split_join(labels, moved, ["component"], crowds, ["node"], "left").select("node", F.coalesce("to", "component").alias("component"))
-    new = joined.join(labels.select("node"), "node", "left_anti")
-    return tables.write(grown.unionByName(new), "labels")

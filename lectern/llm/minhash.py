@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import Tables, hot_keys, semi_join_ids, split_join
-from .components import connected_components, extend_components
+from .components import connected_components
 
 BANDS, ROWS, BITS = 32, 4, 4
 N = BANDS * ROWS
@@ -250,7 +250,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         hubs = now.groupBy("key").agg(F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(nth), "node")).alias("hub"))
         pairs = split_join(now, hubs, ["key"], crowded, ["node"]).where("component <> hub.component").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-        labels = extend_components(tables, labels, _confirm(tables, known, compared(pairs), width, percent))
+        more = _confirm(tables, known, compared(pairs), width, percent)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = connected_components(tables, links)
         tables.drop(left)
         left = tables.write(mixed(), "mixed")
 
@@ -269,7 +273,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = _confirm(tables, known, rest, width, percent)
     if not large.isEmpty():
         last = last.unionByName(_compare_in_cells(known, full.join(large, "key"), tables, width, percent))
-    labels = extend_components(tables, labels, last)
+    if not last.isEmpty():
+        labels = connected_components(tables, links.unionByName(last))
     tables.drop(left, full, large)
 
     groups = classes.join(labels, "node", "left").where("copies > 1 or component is not null").select("s1", "s2", "n", F.coalesce("component", "node").alias("component"))
