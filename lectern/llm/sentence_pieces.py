@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: Words, and parts of words, that a worker remembers in each of two generations: when the younger is full it becomes the older,
 #: so that what is used again stays. Pairs of pieces that it remembers; beyond it starts anew.
-REMEMBERED, PAIRS = 250_000, 500_000
+REMEMBERED, PAIRS = 200_000, 300_000
 #: Characters that a text is streamed in, if its words can't be told apart beforehand.
 CHUNK = 4096
 _models: dict[str, Model] = {}
@@ -165,12 +165,6 @@ def stream(model: Model, chunks: Iterable[str], committed: list[int] | None = No
     text, at = "", 0  # the window's characters, and the first position without arcs
     before: list[str | None] = [None]  # the surviving arc into each position of the window; None at the text's start
 
-    def commit(done):
-        if committed is not None:
-            committed.append(done)
-        for piece in _path(before, done):
-            yield from model.emit(piece)
-
     for chunk in chain(chunks, [None]):
         text += chunk or ""
         n = len(text)
@@ -189,10 +183,20 @@ def stream(model: Model, chunks: Iterable[str], committed: list[int] | None = No
                 before[at + 1] = text[at]
             at += 1
             if at >= 2 * longest and at < n and (done := _meet(before, at, longest)):
-                yield from commit(done)
+                if committed is not None:
+                    committed.append(done)
+                for piece in _path(before, done):
+                    yield from model.emit(piece)
                 text, before, at, ready, n = text[done:], before[done:], at - done, ready - done, n - done
     if text:
-        yield from commit(len(text))
+        if committed is not None:
+            committed.append(len(text))
+        for piece in _path(before, len(text)):
+            found = known.get(piece)
+            if found is None:
+                yield from model.emit(piece)
+            else:
+                yield found
 
 
 def _meet(before: list[str | None], at: int, longest: int) -> int:
