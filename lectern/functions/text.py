@@ -69,11 +69,18 @@ def error_fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(collapse(masked), 256), 1, 24)
 
 
+#: What a status code of three digits follows, and what it doesn't run on into; other numbers are ids and counts.
+STATUS = r"(?:^|[:(\[]|\b(?:https?(?:/[0-9.]+)?|status|code|errors?|response|returned|returns|got|received|with)\b[:=]?)\s*(?:{codes})(?![a-z0-9]|[.,][0-9])"
+
+
 def first_class(text: Column, ladder: list[tuple[str, list[str]]], default: str = "unknown") -> Column:
-    """The first class of the ladder that has a cue in the text."""
+    """The first class of the ladder that has a cue in the text. A cue of digits is a status code and counts only as one: 429 is
+    in "HTTP 429" but not in "job 382429" or "job 429"."""
     out = F.lit(None).cast("string")
     for name, cues in reversed(ladder):
-        hit = F.exists(F.array(*map(F.lit, cues)), lambda cue: F.contains(F.lower(text), cue))
+        codes, words = [c for c in cues if c.isdigit()], [c for c in cues if not c.isdigit()]
+        hit = F.exists(F.array(*map(F.lit, words)).cast("array<string>"), lambda cue: F.contains(F.lower(text), cue))
+        hit = hit | F.lower(text).rlike(STATUS.format(codes="|".join(codes))) if codes else hit
         out = F.when(hit, F.lit(name)).otherwise(out)
     return F.coalesce(out, F.lit(default))
 

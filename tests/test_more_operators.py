@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import experiments, intervals, numbering, qa, ranking, spelling
 from lectern.sources import sinks, transcripts
 
@@ -219,3 +220,11 @@ def test_orders(spark):
     assert [r.id for r in experiments.board_sort(board, ["P", "F"]).collect()] == [4, 3, 2, 1]
     queue = spark.createDataFrame([("run", 1, "b", 1), ("wait", 1, "a", 2), ("run", 2, "a", 3)], "bucket string, place int, lane string, id int")
     assert [r.id for r in ranking.queue_payload(queue, ["wait", "run"]).collect()] == [2, 3, 1]
+
+
+def test_status_codes(spark):
+    known = {"HTTP 401": "authentication_failure", "HTTP/1.1 429 slow down": "rate_limit", "open x failed: 503": "backend_unavailable", "status=429": "rate_limit", "401": "authentication_failure"}
+    other = ["boom 382429", "boom 429", "job 4011 gone", "503rd try", "error 401.5", "", None]
+    df = spark.createDataFrame([(m,) for m in [*known, *other]], "m string")
+    got = {r.m: r.c for r in df.select("m", T.first_class(F.col("m"), ranking.ERROR_CUES, "").alias("c")).collect()}
+    assert got == known | dict.fromkeys(other, "")
