@@ -228,3 +228,18 @@ def test_status_codes(spark):
     df = spark.createDataFrame([(m,) for m in [*known, *other]], "m string")
     got = {r.m: r.c for r in df.select("m", T.first_class(F.col("m"), ranking.ERROR_CUES, "").alias("c")).collect()}
     assert got == known | dict.fromkeys(other, "")
+
+
+def test_incidents_with_numbers_in_messages(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con, at = duckdb.connect(), "TIMESTAMP '2024-01-02'"
+    con.sql(f"CREATE TABLE events AS SELECT unnest([429, 382429, 14017, 7]) AS event_id, {at} AS ts, unnest([5, 20, 40, 60]) AS user_id, 'error' AS event_type, 2.5::DOUBLE AS value")
+    con.sql("CREATE TABLE customer AS SELECT unnest([5, 20, 40, 60])::BIGINT AS c_custkey")
+    for t in ("events", "customer"):
+        con.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    for name in ("incidents_classified", "incidents_handled"):
+        want = con.sql(entry.oracle_sql()[name])
+        assert rows(entry.queries()[name](spark, str(tmp_path)), *want.columns) == sorted(want.fetchall(), key=str)
