@@ -137,30 +137,50 @@ def name_candidates(texts: DataFrame, key: str, common: DataFrame, least_single:
     words that spell an included single, or that `common` lacks and that are used least_novel times. Lower-case windows of two
     or three words that spell an included phrase, or an included single without the spaces. Phrases are ranked by count, singles
     that `common` lacks first; each kind is cut at its report size, and truncated is the number of forms cut off in all.
+
+    Words, runs and windows are found inside each text's row, and only forms and their counts move. A text without a key counts
+    as no chapter.
     """
     known = F.broadcast(common.select(F.lower(F.col(common.columns[0])).alias("_c")).distinct())
-    toks = _flagged_tokens(texts, key).join(known, F.lower("token") == F.col("_c"), "left").withColumn("novel", F.col("_c").isNull()).drop("_c")
-    each = toks.groupBy("token", key).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("initial")).alias("m"), F.first("novel").alias("novel"))
-    each = each.groupBy(F.col("token").alias("form")).agg(F.sum("n").alias("count"), F.sum("m").alias("non_initial"), F.count(F.lit(1)).alias("chapters"), F.first("novel").alias("novel"))
-    each = each.withColumns({"capital": F.col("form").rlike(CAPITAL), "_f": F.lower("form")})
+    # The text's first word follows a line break too, so that it begins a sentence like others.
+    own = texts.select(key, F.concat(F.lit("\n"), T.fold_apostrophe(F.coalesce(F.col("text"), F.lit("")))).alias("_t"))
+    again = not texts.groupBy(key).count().where("count > 1").isEmpty()
+    found = lambda pattern, group=0: F.regexp_extract_all("_t", F.lit(pattern), F.lit(group))
+
+    # A word's uses (0), the chapters it is in (1) and its uses as a sentence's first word with a capital (2) are rows of one list,
+    # so that tasks add them up before they send anything.
+    words = own.select(key, found(_WORD).alias("_w"), found(_OPENING, 1).alias("_i"))
+    marked = lambda words, what: f"transform({words}, x -> named_struct('form', x, 'what', {what}))"
+    uses = words.select(key, F.explode(F.expr(f"concat({marked('_w', 0)}, {marked(f'IF(`{key}` IS NULL, slice(_w, 1, 0), array_distinct(_w))', 1)}, {marked('_i', 2)})")).alias("x")).select(key, "x.*")
+    chapters = F.count_distinct(F.when(F.col("what") == 1, F.col(key))) if again else F.count_if(F.col("what") == 1)
+    each = _written(uses.groupBy("form").agg(F.count_if(F.col("what") == 0).alias("count"), F.count_if(F.col("what") == 2).alias("_i"), chapters.alias("chapters")), "words")
+    each = each.withColumn("_f", F.lower("form")).join(known, F.col("_f") == F.col("_c"), "left")
+    each = each.select("form", "count", (F.col("count") - F.col("_i")).alias("non_initial"), "chapters", F.col("_c").isNull().alias("novel"), F.col("form").rlike(CAPITAL).alias("capital"), "_f")
     repeated = F.col("novel") & (F.col("count") >= least_novel)
     upper = each.where(F.col("capital") & ((F.col("non_initial") >= least_single) | repeated))
     single = upper.select("_f").distinct().withColumn("_s", F.lit(True))
     lower = each.where(~F.col("capital")).join(single, "_f", "left").where(F.col("_s") | repeated).drop("_s").withColumn("non_initial", F.col("count"))
 
-    w = Window.partitionBy(key).orderBy("i")
-    runs = toks.where("capital").withColumn("_n", F.coalesce((F.col("initial") | ~F.col("joined") | (F.col("i") != F.lag("i").over(w) + 1)).cast("int"), F.lit(1))).withColumn("_k", F.sum("_n").over(w))
-    runs = runs.where("NOT (_n = 1 AND initial AND NOT novel)").groupBy(key, "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "token"))), lambda x: x["token"]).alias("words"))
-
-    def counted(uses):
-        one = uses.groupBy("form", key).agg(F.count(F.lit(1)).alias("n")).groupBy("form").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("chapters"))
-        return one.withColumns({"non_initial": F.col("count"), "_f": F.lower("form"), "novel": F.lit(True)})
-
-    phrase = counted(phrases(runs, key))
-    nxt = lambda k: F.lead(F.struct("token", (~F.col("capital") & F.col("joined")).alias("ok")), k).over(w)
-    near = toks.select(key, "i", "token", "capital", "joined").withColumns({"_1": nxt(1), "_2": nxt(2)}).where("NOT capital AND _1.ok")
-    near = near.select(key, F.explode(F.expr("filter(array(concat(token, ' ', _1.token), IF(_2.ok, concat(token, ' ', _1.token, ' ', _2.token), NULL)), x -> x IS NOT NULL)")).alias("form"))
-    split = counted(near).withColumn("_j", F.regexp_replace("_f", " ", ""))
+    def counted(uses, name):
+        one = uses.groupBy("form", key).agg(F.count(F.lit(1)).alias("n")).groupBy("form").agg(F.sum("n").alias("count"), F.count(key).alias("chapters"))
+        return _written(one, name).withColumns({"non_initial": F.col("count"), "_f": F.lower("form"), "novel": F.lit(True)})
+
+    runs = own.select(key, F.explode(found(_RUN)).alias("_r")).select(key, F.col("_r").rlike(r"^\P{L}*[.!?\n]").alias("initial"), F.split(F.regexp_replace("_r", r"^\P{L}+", ""), " +").alias("words"))
+    runs = runs.join(known, F.lower(F.get("words", F.lit(0))) == F.col("_c"), "left")
+    phrase = counted(phrases(runs.select(key, F.when(F.col("initial") & F.col("_c").isNotNull(), F.expr("slice(words, 2, size(words))")).otherwise(F.col("words")).alias("words")), key), "phrases")
+
+    # Windows meet what they may spell by a hash of their letters, as many as are fit for a broadcast at a time; forms decide.
+    letters = lambda c: F.xxhash64(F.regexp_replace(c, " ", ""))
+    spelt = _written(phrase.select(letters("_f").alias("_h")).unionByName(single.select(letters("_f").alias("_h"))).distinct(), "spelt")
+    parts = -(-spelt.count() // C.BROADCAST_ROWS)
+    stretch = own.select(key, F.explode(found(_STRETCH)).alias("_r")).select(key, F.split("_r", " +").alias("_w"))
+    window = lambda n: "transform(sequence(0, size(_w) - {0}), i -> concat_ws(' ', {1}))".format(n, ", ".join(f"get(_w, i + {j})" for j in range(n)))
+    near = stretch.select(key, F.explode(F.expr(f"IF(size(_w) < 3, {window(2)}, concat({window(2)}, {window(3)}))")).alias("form")).withColumn("_h", letters(F.lower("form")))
+    split = None
+    for i in range(parts):
+        one = near.join(F.broadcast(spelt.where(F.pmod("_h", F.lit(parts)) == i)), "_h", "left_semi").select(key, "form")
+        split = one if split is None else split.unionByName(one)
+    split = counted(near.select(key, "form").limit(0) if split is None else split, "windows").withColumn("_j", F.regexp_replace("_f", " ", ""))
     split = split.join(phrase.select("_f").distinct().withColumn("_p", F.lit(True)), "_f", "left").join(single.withColumnRenamed("_f", "_j"), "_j", "left").where("_p OR _s")
 
     columns = ["form", "count", "non_initial", "chapters", "novel"]
@@ -176,13 +196,24 @@ def name_candidates(texts: DataFrame, key: str, common: DataFrame, least_single:
     return ranked.crossJoin(F.broadcast(cut.agg(F.sum("n").alias("truncated")))).select("form", "count", "non_initial", "chapters", "kind", "rank", "truncated")
 
 
-def _flagged_tokens(texts: DataFrame, key: str) -> DataFrame:
-    """(key, i, token, capital, initial, joined) of words: initial ones come first or after a gap with a full stop, exclamation or
-    question mark or line break; joined ones follow the one before after spaces only."""
-    own = texts.select(key, T.fold_apostrophe(F.coalesce(F.col("text"), F.lit(""))).alias("_t"))
-    own = own.select(key, F.regexp_extract_all("_t", F.lit(f"({TOKEN})"), F.lit(1)).alias("_w"), F.split("_t", TOKEN, -1).alias("_g"))
-    own = own.select(key, F.posexplode(F.expr("transform(_w, (x, i) -> named_struct('token', x, 'gap', get(_g, i)))")).alias("i", "x"))
-    return own.select(key, "i", "x.token", F.col("x.token").rlike(CAPITAL).alias("capital"), ((F.col("i") == 0) | F.col("x.gap").rlike(r"[.!?\n]")).alias("initial"), ((F.col("i") > 0) & F.col("x.gap").rlike(r"^ *\z")).alias("joined"))
+#: Words once apostrophes are alike, whole ones each: any; one with a capital; one without. What precedes a word is taken from the
+#: end of the word before it, so that no stretch without words is looked through more than once.
+_WORD = r"\p{L}++(?:'\p{L}++)*+"
+_UPPER = rf"(?=\p{{Lu}}|\p{{L}}++(?:'\p{{L}}++)*?'\p{{Lu}}){_WORD}"
+_LOWER = r"(?!\p{Lu})\p{L}++(?:'(?!\p{Lu})\p{L}++)*+(?!'\p{L})"
+_AFTER = r"(?:\A|(?<=\p{L})(?!'\p{L}))"
+_OPENING = rf"{_AFTER}[^\p{{L}}.!?\n]*+[.!?\n]\P{{L}}*+({_UPPER})"
+_RUN = rf"{_AFTER}\P{{L}}++{_UPPER}(?: ++{_UPPER})++"
+_STRETCH = rf"(?<!\p{{L}})(?<!\p{{L}}'){_LOWER}(?: ++{_LOWER})++"
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: what several plans read is made once."""
+    from ..sources.shared import shared_path
+
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def snippets(tokens: DataFrame, texts: DataFrame, key: str, n: int = C.SNIPPETS) -> DataFrame:

@@ -243,3 +243,10 @@ def test_incidents_with_numbers_in_messages(spark, tmp_path):
     for name in ("incidents_classified", "incidents_handled"):
         want = con.sql(entry.oracle_sql()[name])
         assert rows(entry.queries()[name](spark, str(tmp_path)), *want.columns) == sorted(want.fetchall(), key=str)
+
+
+def test_name_candidates_of_repeated_and_missing_keys(spark):
+    common = spark.createDataFrame([("the",)], "w string")
+    df = spark.createDataFrame([(None, "We saw Anna Bell. The Anna Bell saw x'Anna Bell, and anna bell  again."), (1, "…Zoë Zoë"), (1, "Zoë " + "— " * 9)], "chapter int, text string")
+    got = rows(spelling.name_candidates(df, "chapter", common, least_novel=2), "form", "count", "non_initial", "chapters")
+    assert got == sorted([("Anna", 2, 2, 0), ("Bell", 3, 3, 0), ("Zoë", 3, 1, 1), ("saw", 2, 2, 0), ("Anna Bell", 2, 2, 0), ("x'Anna Bell", 1, 1, 0), ("anna bell", 1, 1, 0), ("Zoë Zoë", 1, 1, 1), ("anna", 1, 1, 0), ("bell", 1, 1, 0)], key=str)
