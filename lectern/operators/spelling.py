@@ -413,12 +413,32 @@ def preamble_leaks(lines: DataFrame, heard: DataFrame, end: int) -> DataFrame:
     return _mentions(lines.select("pos", "line"), "line", late, "name").select("line", "name")
 
 
+def _if_few(df: DataFrame, rows: int, size: int | None) -> DataFrame:
+    """df to be broadcast, if that many rows and bytes of strings are fit for it."""
+    return F.broadcast(df) if rows <= C.BROADCAST_ROWS and (size or 0) <= 32 << 20 else df
+
+
+#: First characters of a name on which it meets texts, at most.
+MENTION_PREFIX = 16
+
+
 def _mentions(texts: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
-    """Rows of texts and names whose text contains the name; they meet on the name's first characters, three at most."""
-    own = names.where(F.length(name) > 0).withColumn("_b", F.substring(F.col(name), 1, 3))
-    starts = F.expr(f"flatten(transform(sequence(1, 3), l -> transform(sequence(1, greatest(length({column}), 1)), i -> substring({column}, i, l))))")
-    both = texts.where(F.length(column) > 0).withColumn("_b", F.explode(F.array_distinct(starts))).join(own, "_b")
-    return both.where(F.contains(F.col(column), F.col(name))).drop("_b")
+    """Rows of texts and names whose text contains the name.
+
+    Each different text is looked through once. It meets names on their first MENTION_PREFIX characters at most, by an equi-join
+    for the lengths that names have; what was found joins the texts again. Without names no text is read.
+    """
+    own = names.where(F.length(name) > 0).withColumn("_b", F.substring(F.col(name), 1, MENTION_PREFIX))
+    n, size, sizes = own.agg(F.count(F.lit(1)), F.sum(F.octet_length(name)), F.collect_set(F.length("_b"))).first()
+    if not n:
+        return texts.join(own.drop("_b"), F.lit(False))
+    starts = f"flatten(transform(array({', '.join(map(str, sorted(sizes)))}), l -> transform(sequence(1, greatest(length(_t) - l + 1, 1)), i -> substring(_t, i, l))))"
+    once = texts.where(F.length(column) > 0).select(F.col(column).alias("_t")).distinct()
+    each = once.select("_t", F.explode(F.array_distinct(F.expr(starts))).alias("_b"))
+    found = each.join(_if_few(own, n, size), "_b").where(F.contains("_t", F.col(name))).drop("_b")
+    found = _written(found, "mentions")
+    n, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("_t") + F.octet_length(name))).first()
+    return texts.join(_if_few(found, n, size), F.col(column) == F.col("_t")).drop("_t")
 
 
 def proper_shape(token: Column, common: list[str]) -> Column:

@@ -250,3 +250,14 @@ def test_name_candidates_of_repeated_and_missing_keys(spark):
     df = spark.createDataFrame([(None, "We saw Anna Bell. The Anna Bell saw x'Anna Bell, and anna bell  again."), (1, "…Zoë Zoë"), (1, "Zoë " + "— " * 9)], "chapter int, text string")
     got = rows(spelling.name_candidates(df, "chapter", common, least_novel=2), "form", "count", "non_initial", "chapters")
     assert got == sorted([("Anna", 2, 2, 0), ("Bell", 3, 3, 0), ("Zoë", 3, 1, 1), ("saw", 2, 2, 0), ("Anna Bell", 2, 2, 0), ("x'Anna Bell", 1, 1, 0), ("anna bell", 1, 1, 0), ("Zoë Zoë", 1, 1, 1), ("anna", 1, 1, 0), ("bell", 1, 1, 0)], key=str)
+
+
+def test_mentions_in_repeated_lines(spark):
+    heard = spark.createDataFrame([("Ann", 5), ("An", 6), ("a name of many words", 7), ("a name of many letters", 8), ("Cy", 0), ("", 9), (None, 9)], "name string, first int")
+    lines = spark.createDataFrame([(i, x) for i in range(3) for x in ("By Ann, a name of many words", "Cy", "", None)], "pos int, line string")
+    leaks = spelling.preamble_leaks(lines, heard, 2)
+    assert rows(leaks, "line", "name") == [("By Ann, a name of many words", n) for n in ("An", "Ann", "a name of many words") for _ in range(3)]
+    none = spelling.preamble_leaks(lines, heard, 9)
+    assert none.collect() == [] and none._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"  # lines aren't read
+    ledger = spark.createDataFrame([("Cy", "met Ann")] * 2, "name string, note string")
+    assert rows(spelling.sheet_gates(ledger, spark.createDataFrame([(2,)], "end int"), heard), "name", "other", "end") == [("Cy", "An", 2), ("Cy", "Ann", 2)]
