@@ -261,3 +261,14 @@ def test_mentions_in_repeated_lines(spark):
     assert none.collect() == [] and none._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"  # lines aren't read
     ledger = spark.createDataFrame([("Cy", "met Ann")] * 2, "name string, note string")
     assert rows(spelling.sheet_gates(ledger, spark.createDataFrame([(2,)], "end int"), heard), "name", "other", "end") == [("Cy", "An", 2), ("Cy", "Ann", 2)]
+
+
+def test_sheet_audit_reads_lines_once(spark):
+    heard = spark.createDataFrame([("Ann", 1), ("Bob", 5)], "name string, first int")
+    ends, prior = spark.createDataFrame([(2,), (6,)], "end int"), spark.createDataFrame([("Ann",)], "canonical string")
+    ledger = spark.createDataFrame([("Ann", "sister of Bob", True), ("Bob", "knows Ann", True)], "name string, note string, carryover boolean")
+    lines = spark.createDataFrame([(0, "by Bob"), (1, "by Bob"), (2, "by Ann")], "pos int, line string")
+    got = spelling.sheet_audit(ledger, ends, heard, prior, lines)
+    assert rows(got, "gate", "name", "other") == sorted([("note", "Ann", "Bob"), ("carryover", "Bob", ""), ("preamble", "Bob", "by Bob"), ("preamble", "Bob", "by Bob")], key=str)
+    early = spelling.sheet_audit(ledger, ends, heard.where("first < 2"), prior, lines)
+    assert rows(early, "gate", "name") == [("carryover", "Bob")] and "Generate" not in early._jdf.queryExecution().optimizedPlan().toString()
