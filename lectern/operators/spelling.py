@@ -147,11 +147,11 @@ def name_candidates(texts: DataFrame, key: str, common: DataFrame, least_single:
     again = not texts.groupBy(key).count().where("count > 1").isEmpty()
     found = lambda pattern, group=0: F.regexp_extract_all("_t", F.lit(pattern), F.lit(group))
 
-    # A word's uses (0), the chapters it is in (1) and its uses as a sentence's first word with a capital (2) are rows of one list,
-    # so that tasks add them up before they send anything.
-    words = own.select(key, found(_WORD).alias("_w"), found(_OPENING, 1).alias("_i"))
-    marked = lambda words, what: f"transform({words}, x -> named_struct('form', x, 'what', {what}))"
-    uses = words.select(key, F.explode(F.expr(f"concat({marked('_w', 0)}, {marked(f'IF(`{key}` IS NULL, slice(_w, 1, 0), array_distinct(_w))', 1)}, {marked('_i', 2)})")).alias("x")).select(key, "x.*")
+    # A word's uses (0), the chapters it is in (1) and its uses as a sentence's first word with a capital (2) are stretches of one
+    # list, so that tasks add them up before they send anything.
+    words = own.select(key, found(_WORD).alias("_w"), found(_OPENING, 1).alias("_i")).withColumn("_d", F.expr(f"IF(`{key}` IS NULL, slice(_w, 1, 0), array_distinct(_w))"))
+    uses = words.select(key, F.size("_w").alias("_a"), (F.size("_w") + F.size("_d")).alias("_b"), F.posexplode(F.concat("_w", "_d", "_i")).alias("_p", "form"))
+    uses = uses.select(key, "form", F.when(F.col("_p") < F.col("_a"), 0).when(F.col("_p") < F.col("_b"), 1).otherwise(2).alias("what"))
     chapters = F.count_distinct(F.when(F.col("what") == 1, F.col(key))) if again else F.count_if(F.col("what") == 1)
     each = _written(uses.groupBy("form").agg(F.count_if(F.col("what") == 0).alias("count"), F.count_if(F.col("what") == 2).alias("_i"), chapters.alias("chapters")), "words")
     each = each.withColumn("_f", F.lower("form")).join(known, F.col("_f") == F.col("_c"), "left")
@@ -170,12 +170,12 @@ def name_candidates(texts: DataFrame, key: str, common: DataFrame, least_single:
     phrase = counted(phrases(runs.select(key, F.when(F.col("initial") & F.col("_c").isNotNull(), F.expr("slice(words, 2, size(words))")).otherwise(F.col("words")).alias("words")), key), "phrases")
 
     # Windows meet what they may spell by a hash of their letters, as many as are fit for a broadcast at a time; forms decide.
-    letters = lambda c: F.xxhash64(F.regexp_replace(c, " ", ""))
+    letters = lambda c: F.xxhash64(F.replace(F.col(c) if isinstance(c, str) else c, F.lit(" "), F.lit("")))
     spelt = _written(phrase.select(letters("_f").alias("_h")).unionByName(single.select(letters("_f").alias("_h"))).distinct(), "spelt")
     parts = -(-spelt.count() // C.BROADCAST_ROWS)
     stretch = own.select(key, F.explode(found(_STRETCH)).alias("_r")).select(key, F.split("_r", " +").alias("_w"))
-    window = lambda n: "transform(sequence(0, size(_w) - {0}), i -> concat_ws(' ', {1}))".format(n, ", ".join(f"get(_w, i + {j})" for j in range(n)))
-    near = stretch.select(key, F.explode(F.expr(f"IF(size(_w) < 3, {window(2)}, concat({window(2)}, {window(3)}))")).alias("form")).withColumn("_h", letters(F.lower("form")))
+    window = lambda n: "transform(_w, (x, i) -> concat(x, {}))".format(", ".join(f"' ', get(_w, i + {j})" for j in range(1, n)))
+    near = stretch.select(key, F.explode(F.expr(f"IF(size(_w) < 3, {window(2)}, concat({window(2)}, {window(3)}))")).alias("form")).where("form IS NOT NULL").withColumn("_h", letters(F.lower("form")))
     split = None
     for i in range(parts):
         one = near.join(F.broadcast(spelt.where(F.pmod("_h", F.lit(parts)) == i)), "_h", "left_semi").select(key, "form")
