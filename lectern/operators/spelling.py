@@ -396,6 +396,7 @@ def sheet_audit(ledger: DataFrame, ends: DataFrame, heard: DataFrame, prior: Dat
     """(gate, name, other): what any of the sheets' gates finds: notes that name what is heard later, rows that claim to be carried
     over, preamble lines that name what is heard after the first sheet."""
     first = ends.agg(F.min("end")).first()[0]
+    ledger, heard = _written(ledger.select("name", "note", "carryover"), "ledger"), _written(heard.select("name", "first"), "heard")
     notes = sheet_gates(ledger, ends, heard).select(F.lit("note").alias("gate"), "name", "other")
     carried = carryover_gate(ledger, prior).select(F.lit("carryover").alias("gate"), "name", F.lit("").alias("other"))
     out = notes.unionByName(carried)
@@ -420,22 +421,30 @@ def _if_few(df: DataFrame, rows: int, size: int | None) -> DataFrame:
 
 #: First characters of a name on which it meets texts, at most.
 MENTION_PREFIX = 16
+#: Beginnings of names that any worker may hold, to tell where in a text no name can start.
+MENTION_HEADS = 50_000
 
 
 def _mentions(texts: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
     """Rows of texts and names whose text contains the name.
 
-    Each different text is looked through once. It meets names on their first MENTION_PREFIX characters at most, by an equi-join
-    for the lengths that names have; what was found joins the texts again. Without names no text is read.
+    Each different text is looked through once. Its places first meet the heads of names, which are as long as leaves about
+    MENTION_HEADS of them and are broadcast; only places that a head stands at meet names on their first MENTION_PREFIX characters
+    at most, by an equi-join. What was found joins the texts again. Without names no text is read.
     """
     own = names.where(F.length(name) > 0).withColumn("_b", F.substring(F.col(name), 1, MENTION_PREFIX))
-    n, size, sizes = own.agg(F.count(F.lit(1)), F.sum(F.octet_length(name)), F.collect_set(F.length("_b"))).first()
+    heads = [F.approx_count_distinct(F.substring("_b", 1, k)) for k in range(1, MENTION_PREFIX + 1)]
+    n, size, sizes, *heads = own.agg(F.count(F.lit(1)), F.sum(F.octet_length(name)), F.collect_set(F.length("_b")), *heads).first()
     if not n:
         return texts.join(own.drop("_b"), F.lit(False))
-    starts = f"flatten(transform(array({', '.join(map(str, sorted(sizes)))}), l -> transform(sequence(1, greatest(length(_t) - l + 1, 1)), i -> substring(_t, i, l))))"
+    k = max((k for k, found in enumerate(heads, 1) if found <= MENTION_HEADS), default=1)  # single characters are few anyway
+    lengths = F.array(*map(F.lit, sorted({min(x, k) for x in sizes})))
+    head = own.groupBy(F.substring("_b", 1, k).alias("_h")).agg(F.collect_set(F.length("_b")).alias("_l"))
     once = texts.where(F.length(column) > 0).select(F.col(column).alias("_t")).distinct()
-    each = once.select("_t", F.explode(F.array_distinct(F.expr(starts))).alias("_b"))
-    found = each.join(_if_few(own, n, size), "_b").where(F.contains("_t", F.col(name))).drop("_b")
+    each = once.select("_t", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(_t)), i -> substring(_t, i, {MENTION_PREFIX}))"))).alias("_w"))
+    each = each.select("_t", "_w", F.explode(lengths).alias("_n")).where("length(_w) >= _n").select("_t", "_w", F.expr("substring(_w, 1, _n)").alias("_h"))
+    each = each.join(F.broadcast(head), "_h").select("_t", "_w", F.explode("_l").alias("_n")).where("length(_w) >= _n").select("_t", F.expr("substring(_w, 1, _n)").alias("_b"))
+    found = each.join(_if_few(own, n, size), "_b").where(F.contains("_t", F.col(name))).drop("_b").distinct()
     found = _written(found, "mentions")
     n, size = found.agg(F.count(F.lit(1)), F.sum(F.octet_length("_t") + F.octet_length(name))).first()
     return texts.join(_if_few(found, n, size), F.col(column) == F.col("_t")).drop("_t")

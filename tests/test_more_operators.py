@@ -272,3 +272,23 @@ def test_sheet_audit_reads_lines_once(spark):
     assert rows(got, "gate", "name", "other") == sorted([("note", "Ann", "Bob"), ("carryover", "Bob", ""), ("preamble", "Bob", "by Bob"), ("preamble", "Bob", "by Bob")], key=str)
     early = spelling.sheet_audit(ledger, ends, heard.where("first < 2"), prior, lines)
     assert rows(early, "gate", "name") == [("carryover", "Bob")] and "Generate" not in early._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mentions_of_many_names_move_few_starts(spark, monkeypatch):
+    plans, kept = {}, spelling._written
+    monkeypatch.setattr(spelling, "_written", lambda df, name: plans.setdefault(name, df) and kept(df, name))
+    monkeypatch.setattr(spelling.C, "BROADCAST_ROWS", 0)
+    names = ["a", "ring 1", "ring 12", "large ring of gold 1", "large ring of gold 12", "ünder"]
+    heard = spark.createDataFrame([(n, 5) for n in names], "name string, first int")
+    texts = ["On the large ring of gold 12 of old", "ring 1, ring 1", "ünde", "xünder", "", None]
+    ledger = spark.createDataFrame([("ring 1", t, False) for t in texts], "name string, note string, carryover boolean")
+    lines = spark.createDataFrame(list(enumerate(texts)), "pos int, line string")
+    ends, prior = spark.createDataFrame([(2,), (6,)], "end int"), spark.createDataFrame([], "canonical string")
+    for heads in (2, 50_000):  # heads of names as short as can be, and whole prefixes
+        monkeypatch.setattr(spelling, "MENTION_HEADS", heads, raising=False)
+        assert rows(spelling.preamble_leaks(lines, heard, 2), "line", "name") == sorted([(t, n) for t in texts for n in names if t and n in t], key=str)
+    assert "strategy=broadcast" in plans["mentions"]._jdf.queryExecution().optimizedPlan().toString()  # heads come first
+    early = heard.withColumn("first", F.when(F.col("name") == "ring 1", 1).otherwise(F.col("first")))
+    audit = spelling.sheet_audit(ledger, ends, early, prior, lines)
+    want = [("note", "ring 1", n) for n in names[:1] + names[2:] if any(t and n in t for t in texts)] + [("preamble", n, t) for t in texts for n in names[:1] + names[2:] if t and n in t]
+    assert rows(audit, "gate", "name", "other") == sorted(want, key=str) and {"ledger", "heard"} <= set(plans)  # made once
