@@ -28,8 +28,11 @@ from pyspark.sql import types as T
 
 MARK = "▁"
 #: Words, and parts of words, that a worker remembers in each of two generations: when the younger is full it becomes the older,
-#: so that what is used again stays. Pairs of pieces that it remembers; beyond it starts anew.
-REMEMBERED, PAIRS = 200_000, 300_000
+#: so that what is used again stays. A dict of up to 2/3 of a power of two takes half the memory of one just beyond. Parts cost more
+#: to find than words of known parts. Pairs of pieces that it remembers; beyond it starts anew.
+REMEMBERED, PARTS, PAIRS = 170_000, 340_000, 170_000
+#: Rows that are decoded at a time; indices take eight times the room of their texts.
+DECODED = 100
 #: Characters that a text is streamed in, if its words can't be told apart beforehand.
 CHUNK = 4096
 _models: dict[str, Model] = {}
@@ -62,7 +65,9 @@ class Decoder:
         space marks as spaces, and the one in front removed."""
         size = self.size[ids]
         end = np.concatenate([[0], np.cumsum(size)])
-        data = self.data[np.arange(end[-1]) + np.repeat(self.start[ids] - end[:-1], size)].tobytes()
+        at = np.repeat(self.start[ids] - end[:-1], size)
+        at += np.arange(end[-1])
+        data = self.data[at].tobytes()
         cut = end[offsets].tolist()
         out = [data[a:b].decode("utf-8", "replace").replace(MARK, " ") for a, b in zip(cut, cut[1:], strict=False)]
         return [t[1:] if t.startswith(" ") else t for t in out]
@@ -83,7 +88,7 @@ class Model:
         self.longest = max(map(len, self.arcs), default=1)
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.arcs) and "\n" not in self.ids
         self.prefixes = {p[:n] for p in self.arcs for n in range(1, len(p) + 1)}
-        self.joined = {p[i : i + 2] for p in self.arcs for i in range(len(p) - 1)}
+        self.joined = {p[i : i + 2].replace(MARK, " ") for p in self.arcs for i in range(len(p) - 1)}
         self.words = Words(self)
 
     def merge(self, text: str) -> list[str]:
@@ -127,7 +132,7 @@ class Words(dict):
     def __missing__(self, key: str) -> bytes:
         found = self.old.get(key)
         if found is None:
-            found = self.of(key if key.startswith("\n") else MARK + key)
+            found = self.of(key if key.startswith("\n") else " " + key)
         self[key] = found
         return found
 
@@ -135,11 +140,12 @@ class Words(dict):
         if len(self) > REMEMBERED:
             self.old = dict(self)
             self.clear()
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > PARTS:
             self.parts, self.old_parts = {}, self.parts
 
     def of(self, text: str) -> bytes:
-        """Ids of a few characters: those between boundaries that no piece crosses are remembered on their own."""
+        """Ids of a few characters, with spaces for space marks, so that keys take a byte a letter where they can: those between
+        boundaries that no piece crosses are remembered on their own."""
         joined, parts, out, at = self.model.joined, self.parts, [], 0
         for i in range(1, len(text) + 1):
             if i == len(text) or text[i - 1 : i + 1] not in joined:
@@ -148,7 +154,7 @@ class Words(dict):
                 if found is None:
                     found = self.old_parts.get(part)
                     if found is None:
-                        ids = list(stream(self.model, (part,)))
+                        ids = list(stream(self.model, (part.replace(" ", MARK),)))
                         found = struct.pack(f"<{len(ids)}i", *ids)
                     parts[part] = found
                 out.append(found)
@@ -161,7 +167,7 @@ def stream(model: Model, chunks: Iterable[str], committed: list[int] | None = No
     Arcs are laid from each position in turn, once the characters that its longest arc could take are there; the first arc into
     a position survives, being the longest that the model admits. committed: takes the characters of each commit.
     """
-    prefixes, arcs, admits, known, longest = model.prefixes, model.arcs, model.admits, model.ids, model.longest
+    prefixes, arcs, admits, pairs, known, longest = model.prefixes, model.arcs, model.admits, model.pairs, model.ids, model.longest
     text, at = "", 0  # the window's characters, and the first position without arcs
     before: list[str | None] = [None]  # the surviving arc into each position of the window; None at the text's start
 
@@ -177,7 +183,11 @@ def stream(model: Model, chunks: Iterable[str], committed: list[int] | None = No
                 piece = text[at:j]
                 if piece not in prefixes:
                     break
-                if before[j] is None and piece in arcs and (barrier or admits(last, piece)):
+                if before[j] is None and piece in arcs:
+                    if not barrier:
+                        fits = pairs.get((last, piece))
+                        if not (admits(last, piece) if fits is None else fits):
+                            continue
                     before[j] = piece
             if before[at + 1] is None:
                 before[at + 1] = text[at]
@@ -240,7 +250,7 @@ def encode_bytes(model: Model, text: str) -> bytes:
     known.age()
     words = text.replace("\n", " \n").split(" ")
     if "" in words or MARK in text:  # runs of spaces are pieces too
-        return b"".join(map(known.of, _WORD.findall(normalise(text))))
+        return b"".join(known.of(word.replace(MARK, " ")) for word in _WORD.findall(normalise(text)))
     return b"".join(map(known.__getitem__, words))
 
 
@@ -306,8 +316,8 @@ def _decoder(path: str):
             _decoders[path] = Decoder(path)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            for first in range(0, len(batch), 500):
-                part = batch.slice(first, 500)
+            for first in range(0, len(batch), DECODED):
+                part = batch.slice(first, DECODED)
                 ids = part.column(at)
                 offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
                 texts = _decoders[path].texts(ids.flatten().to_numpy(zero_copy_only=False), offsets)

@@ -584,3 +584,33 @@ def test_words_of_every_code_point_have_the_library_s_ids():
         part = texts[at : at + 1000]
         want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(part, add_special_tokens=False)]
         assert encode(part) == want, next(t for t, a, b in zip(part, encode(part), want, strict=True) if a != b)
+
+
+def test_sentence_pieces_memory(monkeypatch):
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp, model = sentencepiece.SentencePieceProcessor(model_file=path), sentence_pieces.Model(path)
+    monkeypatch.setattr(sentence_pieces, "REMEMBERED", 20)
+    monkeypatch.setattr(sentence_pieces, "PARTS", 30)
+    texts = [f"Ablo{i} und  {i}\u2581wörter\n tail{i % 7} x " for i in range(200)]
+    for t in texts:
+        assert sentence_pieces.encode(model, t) == sp.encode(t), t
+        assert max(len(model.words), len(model.words.old)) < 40 and max(len(model.words.parts), len(model.words.old_parts)) < 60
+    sentence_pieces.encode(model, "plain words take a byte a letter")
+    assert {" plain", " letter"} <= set(model.words.parts) | set(model.words.old_parts)
+
+    ids = pa.array([sp.encode("some words of a text " * 150)] * 500, pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), ids], names=["c0", "ids"])
+    run = sentence_pieces._decoder(path)
+    list(run([batch.slice(0, 1)]))
+    tracemalloc.start()
+    try:
+        assert sum(map(len, run([batch]))) == 500
+        assert tracemalloc.get_traced_memory()[1] < 15_000_000  # indices of all 500 took over 30 MB
+    finally:
+        tracemalloc.stop()
