@@ -415,8 +415,9 @@ def preamble_leaks(lines: DataFrame, heard: DataFrame, end: int) -> DataFrame:
 
 
 def _if_few(df: DataFrame, rows: int, size: int | None) -> DataFrame:
-    """df to be broadcast, if that many rows and bytes of strings are fit for it."""
-    return F.broadcast(df) if rows <= C.BROADCAST_ROWS and (size or 0) <= 32 << 20 else df
+    """df to be broadcast, if that many rows and bytes of strings are fit for it; else neither side is: what it meets may be exploded
+    rows, which Spark takes to be as few as those that they come from."""
+    return F.broadcast(df) if rows <= C.BROADCAST_ROWS and (size or 0) <= 32 << 20 else df.hint("merge")
 
 
 #: First characters of a name on which it meets texts, at most.

@@ -288,6 +288,7 @@ def test_mentions_of_many_names_move_few_starts(spark, monkeypatch):
         monkeypatch.setattr(spelling, "MENTION_HEADS", heads, raising=False)
         assert rows(spelling.preamble_leaks(lines, heard, 2), "line", "name") == sorted([(t, n) for t in texts for n in names if t and n in t], key=str)
     assert "strategy=broadcast" in plans["mentions"]._jdf.queryExecution().optimizedPlan().toString()  # heads come first
+    assert "SortMergeJoin" in plans["mentions"]._jdf.queryExecution().sparkPlan().toString()  # places aren't broadcast to names
     early = heard.withColumn("first", F.when(F.col("name") == "ring 1", 1).otherwise(F.col("first")))
     audit = spelling.sheet_audit(ledger, ends, early, prior, lines)
     want = [("note", "ring 1", n) for n in names[:1] + names[2:] if any(t and n in t for t in texts)] + [("preamble", n, t) for t in texts for n in names[:1] + names[2:] if t and n in t]
